@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bpe, chat, media, rollup, warc
-from lorequarry.llm.common import Query, shared_folder, spread, table, written
+from lorequarry.llm import bpe, chat, decontam, media, rollup, toxicity, warc, wrapper
+from lorequarry.llm.common import Query, fold_remainder, shared_folder, spread, table, written
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.summary(decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = fold_remainder(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of an archive, audited against a replica in which one page in sixteen, by the
     digest of its html, has lost its last character."""
@@ -42,6 +53,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold(events))))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return wrapper.extracted(pages, written(wrapper.wrappers(pages), "wrappers"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -71,8 +87,11 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_warc_fixity": op5_warc_fixity,
     "op6_chat_formatting": op6_chat_formatting,
+    "op8_html_extraction": op8_html_extraction,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_rollup": op10_token_rollup,
 }
