@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bpe, chat, decontam, media, rollup, toxicity, warc, wrapper
+from lorequarry.llm import bpe, chat, decontam, lm, media, rollup, toxicity, warc, wrapper
 from lorequarry.llm.common import Query, fold_remainder, shared_folder, spread, table, written
 
 
@@ -53,6 +53,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold(events))))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return wrapper.extracted(pages, written(wrapper.wrappers(pages), "wrappers"))
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_warc_fixity": op5_warc_fixity,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_html_extraction": op8_html_extraction,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_rollup": op10_token_rollup,
