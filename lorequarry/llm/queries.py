@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bpe, chat, decontam, lm, media, rollup, toxicity, warc, wrapper
+from lorequarry.llm import bpe, chat, decontam, jaccard, lm, media, rollup, toxicity, warc, wrapper
 from lorequarry.llm.common import Query, fold_remainder, shared_folder, spread, table, written
 
 
@@ -13,6 +13,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.summary(decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -91,6 +95,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_warc_fixity": op5_warc_fixity,
