@@ -1,12 +1,6 @@
 """All queries of the engine's own operators, and the DuckDB SQL that gives the same rows."""
 
-from __future__ import annotations
+from lorequarry.oracle import ORACLE
+from lorequarry.queries import QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
