@@ -27,6 +27,7 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -313,27 +314,54 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     return docs.mapInArrow(run, SPANS)
 
 
-def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each row of docs the disjoint word spans [start, end) that benchmark windows cover; see SPANS."""
-    rows = keyed_texts(docs)
+def phrase_blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
+    """Items with ids in blocks of about PHRASE_BYTES; one block unless the benchmark is larger than that."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    passes = -(-total // PHRASE_BYTES) or 1
-    if passes == 1:
-        return _pass(spread(rows), [tuple(r) for r in bench.collect()], window)
+    if total <= PHRASE_BYTES:
+        return [[tuple(r) for r in bench.collect()]]
+    # ids are dealt by their digest; twice as many blocks as needed keep each within the bound
+    blocks = 2 * -(-total // PHRASE_BYTES)
+    key = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    return [[tuple(r) for r in bench.where(key == k).collect()] for k in range(blocks)]
+
+
+def kept(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without any occurrence, with all their columns; each block of phrases is one filter."""
+    rows = spread(docs)
+    for items in phrase_blocks(benchmark):
+        phrases = docs.sparkSession.sparkContext.broadcast(compile_phrases(items, window))  # at most PHRASE_BYTES of text
+
+        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text"))
+                begin = size = 0
+                for k, t in enumerate(texts):
+                    size += len(t.as_py() or "")
+                    if size >= 6 << 20 or k + 1 == len(texts):
+                        part = batch.slice(begin, k + 1 - begin)
+                        found = find_spans([words_of(t.as_py() or "") for t in texts[begin : k + 1]], phrases.value, window=window)
+                        yield part.filter(pa.array([not len(f[0]) for f in found], pa.bool_()))
+                        begin, size = k + 1, 0
+
+        rows = rows.mapInArrow(run, docs.schema)
+    return rows
+
+
+def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each row of docs the disjoint word spans [start, end) that benchmark windows cover; see SPANS."""
+    rows, blocks = keyed_texts(docs), phrase_blocks(benchmark)
+    if len(blocks) == 1:
+        return _pass(spread(rows), blocks[0], window)
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "decontam")  # repeated rows stay apart by their number over all passes
     keyed = rows.select(F.col("row").alias("doc_id"), "text")
-    # ids are dealt by their digest; a margin of passes keeps each block within the bound
-    block = F.pmod(F.xxhash64("item_id"), F.lit(2 * passes))
     found = None
-    for k in range(2 * passes):
-        part = _pass(keyed, [tuple(r) for r in bench.where(block == k).collect()], window)
+    for items in blocks:
+        part = _pass(keyed, items, window)
         found = part if found is None else found.unionByName(part)
 
-    def merged(starts, ends, items):
-        import pandas as pd
-
+    def merged(starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
         out = []
         for s, e, i in zip(starts, ends, items, strict=True):
             s, e = (np.concatenate([np.asarray(y, np.int64) for y in x]) if len(x) else np.zeros(0, np.int64) for x in (s, e))
