@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import sha256
 from math import isqrt
 
@@ -66,12 +67,13 @@ class Frame:
     height: int = 0
     components: list[Component] = field(default_factory=list)
     quant: dict[int, np.ndarray] = field(default_factory=dict)
-    huffman: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    huffman: dict[tuple[int, int], tuple[bytes, bytes]] = field(default_factory=dict)  # code counts and symbols
     interval: int = 0
     comments: list[bytes] = field(default_factory=list)
     scan: tuple[int, int] = (0, 0)  # where the entropy-coded data lie
 
 
+@lru_cache(maxsize=256)
 def huffman_table(counts: bytes, symbols: bytes) -> np.ndarray:
     """For each 16-bit prefix the length of the code that it starts with times 256, plus the symbol; 0 if none."""
     out, code, at = np.zeros(1 << 16, np.int32), 0, 0
@@ -109,7 +111,7 @@ def parse_markers(data: bytes) -> Frame:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                frame.huffman[body[0] >> 4, body[0] & 15] = huffman_table(body[1:17], body[17 : 17 + n])
+                frame.huffman[body[0] >> 4, body[0] & 15] = body[1:17], body[17 : 17 + n]
                 body = body[17 + n :]
         elif marker in (0xC0, 0xC1):
             if body[0] != 8:
@@ -129,17 +131,11 @@ def parse_markers(data: bytes) -> Frame:
                 c.dc, c.ac = body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15
             if body[0] != len(frame.components):
                 raise JpegError("one interleaved scan is read")
-            end = at
-            while True:
-                end = data.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(data):
-                    end = len(data)
-                    break
-                if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                    end += 2
-                    continue
-                break
-            frame.scan = at, end
+            raw = np.frombuffer(data, np.uint8)[at:]
+            mark = np.flatnonzero(raw[:-1] == 0xFF)
+            follows = raw[mark + 1]
+            last = mark[(follows != 0) & ((follows < 0xD0) | (follows > 0xD7))]
+            frame.scan = at, at + int(last[0]) if len(last) else len(data)
             return frame
     raise JpegError("no scan")
 
@@ -169,9 +165,9 @@ def _lock_step(stream: np.ndarray, starts: np.ndarray, plan: list[tuple[int, int
     wide = stream.astype(np.int64)
     wide = wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:]
 
-    def symbol(rows, tables):
+    def symbol(rows, table):
         peek = wide[at[rows] >> 3] >> (16 - (at[rows] & 7)) & 0xFFFF
-        got = tables[peek]
+        got = table[peek]
         if not got.all():
             raise JpegError("bits that no code starts with")
         at[rows] += got >> 8
@@ -182,16 +178,17 @@ def _lock_step(stream: np.ndarray, starts: np.ndarray, plan: list[tuple[int, int
         at[rows] += size
         return np.where(value < (1 << size >> 1), value - (1 << size) + 1, value)
 
+    tables = {k: huffman_table(*v) for k, v in frame.huffman.items()}
     everyone = np.arange(n)
     for b in range(most * per):
         comp, dc, ac = plan[b % per]
         rows = everyone[mcus > b // per] if most > 1 else everyone
-        size = symbol(rows, frame.huffman[0, dc]).astype(np.int64)
+        size = symbol(rows, tables[0, dc]).astype(np.int64)
         before[rows, comp] += extra(rows, size)
         out[rows, b, 0] = before[rows, comp]
         place = np.zeros(len(rows), np.int64)
         while len(rows):
-            got = symbol(rows, frame.huffman[1, ac])
+            got = symbol(rows, tables[1, ac])
             run, size = got >> 4, (got & 15).astype(np.int64)
             if not size.all():
                 on = (size > 0) | (run == 15)
@@ -213,7 +210,7 @@ def decode_scans(streams: list[bytes], frames: list[Frame] | None = None) -> lis
     frames = frames or [parse_markers(s) for s in streams]
     kinds: dict[tuple, list[int]] = {}
     for i, f in enumerate(frames):
-        kind = (tuple((k, v.tobytes()) for k, v in sorted(f.huffman.items())), tuple((c.h, c.v, c.dc, c.ac) for c in f.components))
+        kind = (tuple(sorted(f.huffman.items())), tuple((c.h, c.v, c.dc, c.ac) for c in f.components))
         kinds.setdefault(kind, []).append(i)
     out: list[list[np.ndarray]] = [[] for _ in streams]
     for own in kinds.values():
