@@ -206,40 +206,80 @@ def stem_events(words: dict[str, int]) -> set[tuple[str, int]]:
     return {(s, 1) for s in times} | {(s, 2) for s, n in times.items() if n > 1}
 
 
-def learn_stems(rows: list[tuple[dict[str, int], bool]]) -> dict[str, float]:
+def worth(n: int, against: int, toxic: int, clean: int) -> float:
+    """Log-odds of an event that n toxic and some clean rows have."""
+    return float(np.log((n + 0.5) / (toxic + 1)) - np.log((against + 0.5) / (clean + 1)))
+
+
+def cover(events: list[tuple[str, int]], weights: list[float], against: list[int], rows: list[list[int]]) -> dict[str, float]:
     """Greedy cover of the toxic rows by stems whose presence, or whose repetition, is rare in clean rows.
-    Weights are log-odds, shared among the occurrences that the event asks for."""
-    toxic, clean = [w for w, y in rows if y], [w for w, y in rows if not y]
-    if not toxic or not clean:
-        return {}
-    sets = [stem_events(w) for w in toxic]
-    seen = Counter(s for x in sets for s in x)
-    seen = {s: n for s, n in seen.items() if n >= LEAST_SUPPORT}
-    against: Counter[tuple[str, int]] = Counter()
-    for w in clean:
-        against.update(s for s in stem_events(w) if s in seen)
-    worth = {
-        s: float(np.log((n + 0.5) / (len(toxic) + 1)) - np.log((against[s] + 0.5) / (len(clean) + 1)))
-        for s, n in seen.items()
-        if against[s] <= MOST_CLEAN * len(clean)
-    }
+    rows: which events each toxic row has. Weights are shared among the occurrences that an event asks for."""
+    seen = Counter(e for r in rows for e in r)
     found: dict[str, float] = {}
-    waiting = sets
+    waiting = rows
     while waiting:
-        now = Counter(s for x in waiting for s in x if s in worth)
-        best = max(now, key=lambda s: (now[s] * worth[s], -s[1], len(s[0]), s), default=None)
-        if best is None or now[best] < LEAST_SUPPORT or worth[best] < 2:
+        now = Counter(e for r in waiting for e in r)
+        best = max(now, key=lambda e: (now[e] * weights[e], -events[e][1], len(events[e][0]), events[e]), default=None)
+        if best is None or now[best] < LEAST_SUPPORT:
             break
-        found[best[0]] = max(found.get(best[0], 0.0), worth[best] / best[1])
-        waiting = [x for x in waiting if best not in x]
+        stem, times = events[best]
+        found[stem] = max(found.get(stem, 0.0), weights[best] / times)
+        waiting = [r for r in waiting if best not in r]
     # further stems, as sure as any and never seen in a clean row
-    sure = max(LEAST_SUPPORT + 2, 0.02 * len(toxic))
-    for s in sorted(worth, key=lambda s: (-seen[s], -len(s[0]), s)):
-        if s[1] == 1 and seen[s] >= sure and not against[s] and not any(s[0].startswith(f) or f.startswith(s[0]) for f in found):
-            found[s[0]] = worth[s]
+    sure = max(LEAST_SUPPORT + 2, 0.02 * len(rows))
+    for e in sorted(seen, key=lambda e: (-seen[e], -len(events[e][0]), events[e])):
+        stem, times = events[e]
+        if times == 1 and seen[e] >= sure and not against[e] and not any(stem.startswith(f) or f.startswith(stem) for f in found):
+            found[stem] = weights[e]
     return found
 
 
+def _events_of(text: str | None) -> set[tuple[str, int]]:
+    return stem_events(Counter(TOKEN.findall((text or "").lower())))
+
+
+def learn_stems(sample: DataFrame) -> dict[str, float]:
+    """sample: text, toxic. The executors count; the driver sees counts of events with enough support, and of each
+    toxic row only the events that clean rows hardly have."""
+    n = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    toxic, clean = n.get(True, 0), n.get(False, 0)
+    if not toxic or not clean:
+        return {}
+
+    def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, int]] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(_events_of(text.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["stem", "times", "n"])
+
+    shape = "stem string, times int, n long"
+    counted = sample.where("toxic = 1").select("text").mapInArrow(support, shape).groupBy("stem", "times").agg(F.sum("n").alias("n"))
+    known = counted.where(F.col("n") >= LEAST_SUPPORT).collect()  # at most what TOXIC_ROWS texts have in common
+    numbers = {(r["stem"], r["times"]): i for i, r in enumerate(known)}
+    shared = sample.sparkSession.sparkContext.broadcast(numbers)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [[i for e in _events_of(t.as_py()) if (i := shared.value.get(e)) is not None] for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column(1)], ["ids", "toxic"])
+
+    numbered = written(sample.select("text", "toxic").mapInArrow(number, "ids array<int>, toxic int"), "toxic-events")
+    against = [0] * len(known)
+    for r in numbered.where("toxic <> 1").select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect():
+        against[r["id"]] = r["n"]
+    weights = [worth(r["n"], a, toxic, clean) for r, a in zip(known, against, strict=True)]
+    good = [i for i, w in enumerate(weights) if w >= 2 and against[i] <= MOST_CLEAN * clean]
+    kept = sample.sparkSession.sparkContext.broadcast(set(good))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([[i for i in r if i in kept.value] for r in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["ids"])
+
+    rows = [r["ids"] for r in numbered.where("toxic = 1").select("ids").mapInArrow(thin, "ids array<int>").collect()]
+    return cover([(r["stem"], r["times"]) for r in known], weights, against, rows)
+
+
 @dataclass
 class Model:
     stems: dict[str, float]
@@ -313,13 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # at most TOXIC_ROWS + CLEAN_ROWS ids
     sample = written(keyed_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([list(Counter(TOKEN.findall((t or "").lower())).items()) for t in texts], pa.map_(pa.string(), pa.int64())), batch.column(1)], ["words", "toxic"])
-
-    rows = [(r["words"], r["toxic"] == 1) for r in sample.select("text", "toxic").mapInArrow(words, "words map<string,long>, toxic int").collect()]
-    model = Model(learn_stems(rows), PRIOR, BASE)
+    model = Model(learn_stems(sample), PRIOR, BASE)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
