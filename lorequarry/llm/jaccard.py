@@ -18,9 +18,10 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two document
 5. Components of both kinds of links give component_id.
 
 Defined results: null, empty and blank texts have empty sets and are components of their own; texts of
-fewer words than a shingle are one shingle; rows of equal id count as one document whose set is that
-of its smallest text digest; ties have no influence, since components do not depend on order; extra
-columns are ignored; an empty table gives an empty result.
+fewer words than a shingle are one shingle; rows without id keep their size and have no component; rows
+of equal id give one row: with different texts, its smallest size, and links by one of the texts and the
+copies of the others; ties have no influence, since components do not depend on order; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ STARS = 3
 SIGNATURE = 1024  # bits
 CHUNK = 1024  # documents of a tile that are compared at once
 
-BLOCKS = "block long, ids binary, sizes binary, tokens binary, lengths binary, vocabulary binary, n_keys long"
+BLOCKS = "block long, ids binary, named binary, tokens binary, lengths binary, vocabulary binary, n_keys long"
 SUSPECTS = "doc_id long, set_key string, n int, rare int, shingles binary, ranks binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
 
@@ -133,8 +134,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                 [
                     {
                         "block": X.block_id(number),
-                        "ids": np.array(keys, np.int64).tobytes(),
-                        "sizes": b"",
+                        "ids": np.array([-1 if k is None else k for k in keys], np.int64).tobytes(),
+                        "named": np.array([k is not None for k in keys], bool).tobytes(),
                         "tokens": X.pack(tokens),
                         "lengths": np.array([len(r) for r in rows], np.int32).tobytes(),
                         "vocabulary": X.word_hashes(list(index)).tobytes(),
@@ -144,7 +145,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 schema,
             )
 
-    return spread(keyed_texts(docs).where("doc_id is not null")).mapInArrow(run, BLOCKS)
+    return spread(keyed_texts(docs)).mapInArrow(run, BLOCKS)
 
 
 def block_sets(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -178,11 +179,12 @@ def _suspecting(buckets: int):
             ids, sets = block_sets(row)
             keys = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             total = X.answers(keys, buckets, KEY_BITS, by)
-            for ident, own in zip(ids.tolist(), sets, strict=True):
+            named = np.frombuffer(row["named"], bool).tolist()
+            for ident, known, own in zip(ids.tolist(), named, sets, strict=True):
                 df = total[np.searchsorted(keys, own)]
                 shared = df > 1
-                one = {"doc_id": ident, "set_key": None, "n": len(own), "rare": None, "shingles": None, "ranks": None}
-                if len(own) and int(shared.sum()) >= needed(len(own)):
+                one = {"doc_id": ident if known else None, "set_key": None, "n": len(own), "rare": None, "shingles": None, "ranks": None}
+                if known and len(own) and int(shared.sum()) >= needed(len(own)):
                     one |= {
                         "set_key": xxhash.xxh3_128_hexdigest(own.tobytes()),
                         "rare": int((~shared).sum()),
@@ -241,7 +243,7 @@ def compare_tile(group: pa.Table) -> pa.Table:
     ids, n, m = (group[c].to_numpy() for c in ("doc_id", "n", "m"))
     component, side = group["component"].to_numpy(), group["side"].to_numpy()
     sig = np.stack([np.frombuffer(s.as_py(), np.uint64) for s in group["signature"]])
-    first, second = [], []
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a chunk may have no partner
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     for k in range(0, len(left), 256):
         a = left[k : k + 256]
@@ -317,7 +319,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # classes of equal sets: the smallest document carries the set
     members = suspects.select("doc_id", "set_key", "n")
     classes = members.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    heads = written(suspects.join(classes, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "rare", "shingles", "ranks"), "jaccard-heads")
+    chosen = classes.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
+    heads = written(suspects.join(chosen, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "rare", "shingles", "ranks"), "jaccard-heads")
 
     stars = written(_star_links(heads), "jaccard-stars")
     joined = components(stars)
@@ -325,9 +328,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = components(stars.union(late))
     copies = members.join(classes.withColumnRenamed("doc_id", "head"), "set_key").select("doc_id", "head")
     rooted = copies.join(whole.withColumnRenamed("doc_id", "head"), "head", "left").select("doc_id", F.coalesce("component", "head").alias("component"))
-    # repeated rows of one id: the component of each of its texts is the same by contract of unique ids
     own = rooted.groupBy("doc_id").agg(F.min("component").alias("component"))
-    sizes = every.groupBy("doc_id").agg(F.min("n").cast("long").alias("n_shingles"))
+    named = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("n").cast("long").alias("n_shingles"))
+    sizes = named.unionByName(every.where("doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles")))
     return sizes.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
