@@ -146,7 +146,11 @@ def parent_chunks(documents: DataFrame, version: str = "v3") -> DataFrame:
     )
 
 
-def embedding_text(path: Column, source: Column, content: Column, labels: tuple[str, str, str] = ("标题路径: ", "来源: ", "正文:")) -> Column:
+# Labels of path, source and content in the text that is embedded.
+LABELS = ("标题路径: ", "来源: ", "正文:")
+
+
+def embedding_text(path: Column, source: Column, content: Column, labels: tuple[str, str, str] = LABELS) -> Column:
     """Path, source and content with their labels, a line each; without a path its line is missing."""
     heading = F.when(F.size(path) > 0, F.concat(F.lit(labels[0]), F.array_join(path, " > ")))
     return F.concat_ws("\n", heading, F.concat(F.lit(labels[1]), source), F.lit(labels[2]), content)

@@ -15,13 +15,13 @@ def enrich_context(hits: DataFrame, chunks: DataFrame, with_parent: bool = True)
     chunks: chunk_id, chunk_type, heading_path, content, prev_chunk_id, next_chunk_id, one row for each id. A chunk
     that an earlier hit has taken is not taken again, not even as a hit's own text; with fewer than two
     chunks of its own a hit keeps its content and has no ids."""
-    few = F.broadcast(hits.select("pos", "chunk_id", "parent_id"))  # hits are as many as a recall has
+    few = hits.select("pos", "chunk_id", "parent_id")  # of a recall a few, which the optimizer sees; a batch may have many
     links = chunks.select("chunk_id", "prev_chunk_id", "next_chunk_id").join(few, "chunk_id", "right")
     asked = [F.struct(F.lit(0).alias("k"), F.col("chunk_id").alias("id")), *([F.struct(F.lit(1).alias("k"), F.col("parent_id").alias("id"))] if with_parent else [])]
     asked += [F.struct(F.lit(2).alias("k"), F.col("prev_chunk_id").alias("id")), F.struct(F.lit(3).alias("k"), F.col("next_chunk_id").alias("id"))]
     wanted = links.select("pos", F.col("chunk_id").alias("hit"), F.explode(F.array(*asked)).alias("a")).select("pos", "hit", "a.k", "a.id").where("id is not null and id <> ''")
     first = wanted.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("pos", "k"))).where("n = 1")
-    got = chunks.select(F.col("chunk_id").alias("id"), "chunk_type", "heading_path", F.col("content").alias("body")).join(F.broadcast(first), "id")
+    got = chunks.select(F.col("chunk_id").alias("id"), "chunk_type", "heading_path", F.col("content").alias("body")).join(first, "id")
     path = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " > ")
     head = F.substring("body", 1, PARENT_CHARS)
     own = F.col("id") == F.col("hit")

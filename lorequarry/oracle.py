@@ -187,6 +187,15 @@ SELECT vec_id, round(n, 6) AS norm, round(sqrt(list_sum(list_transform(e, lambda
     "chunk_id": f"SELECT doc_id, 'sha256:' || sha256(source || '||' || to_json([lang, source]) || '||1||' || {content_hash('text')}) AS chunk_id FROM documents",
     "manifest_hash": f"SELECT 'sha256:' || sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(9) || {content_hash('text')}, chr(10) ORDER BY doc_id)) AS content_hash FROM documents",
     "corpus_fingerprint": f"SELECT top, substring(sha256(unhex(string_agg(hex(encode(name)) || '00' || hex(encode(text)) || '00', '' ORDER BY name))), 1, 16) AS fingerprint, count(*) AS files FROM ({_FILES}) GROUP BY top",
+    "plain_fingerprint": "SELECT substring(sha256(unhex(string_agg(hex(encode(lpad(CAST(item_id AS VARCHAR), 6, '0') || '.md')) || hex(encode(text)), '' ORDER BY lpad(CAST(item_id AS VARCHAR), 6, '0')))), 1, 16) AS fingerprint FROM benchmark",
+    "eval_by_mode": """WITH l AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n FROM conversations WHERE turn > 0),
+r AS (SELECT conv_id, 'turn' AS mode, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM l UNION ALL SELECT conv_id, 'length', role, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) FROM l),
+c AS (SELECT DISTINCT conv_id, mode FROM conversations, (SELECT DISTINCT mode FROM r) WHERE turn = 0),
+h AS (SELECT DISTINCT conv_id, mode, 1 AS hit FROM r WHERE pos <= 1 AND role = 'assistant')
+SELECT mode, count(*) AS cases, count(hit) AS hits, round(count(hit) / CAST(count(*) AS DOUBLE), 4) AS recall_at_k FROM c LEFT JOIN h USING (conv_id, mode) GROUP BY mode""",
+    "eval_answers": """WITH r AS (SELECT quality = 1 AS a, toxic = 0 AS y, lang = 'en' OR source = 'src0' AS cited FROM documents JOIN labels USING (doc_id))
+SELECT round(count(*) FILTER (a AND y AND cited) / CAST(nullif(count(*) FILTER (a AND y), 0) AS DOUBLE), 4) AS source_coverage, round(count(*) FILTER (a AND y) / CAST(nullif(count(*) FILTER (a), 0) AS DOUBLE), 4) AS answer_rate,
+ round(count(*) FILTER (NOT a AND NOT y) / CAST(nullif(count(*) FILTER (NOT a), 0) AS DOUBLE), 4) AS refusal_accuracy FROM r""",
     "corpus_digest": f"""WITH leaf AS (SELECT sha256(name) AS n, sha256(text) AS b FROM ({_FILES})), mid AS (SELECT substring(n, 1, 2) AS part, sha256(string_agg(n || ':' || b, chr(10) ORDER BY n)) AS d FROM leaf GROUP BY 1)
 SELECT substring(sha256(string_agg(part || ':' || d, chr(10) ORDER BY part)), 1, 16) AS fingerprint FROM mid""",
     "exact_dup_groups": "SELECT min(doc_id) AS first_doc_id, count(*) AS n, 'sha256:' || sha256(text) AS source_hash FROM documents GROUP BY text HAVING count(*) > 1",

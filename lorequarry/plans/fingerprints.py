@@ -37,6 +37,13 @@ def corpus_fingerprint(files: DataFrame, by_parts: bool = True) -> DataFrame:
     return files.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"))
 
 
+def plain_fingerprint(files: DataFrame) -> DataFrame:
+    """Sixteen digits over names and bytes of all files, hidden ones too, without anything between them."""
+    hexed = F.concat(F.hex(F.encode("source", "UTF-8")), F.hex("content"))
+    rows = F.array_sort(F.collect_list(F.struct(F.split("source", "/").alias("o"), hexed.alias("h"))))
+    return files.agg(F.substring(F.sha2(F.unhex(F.array_join(F.transform(rows, lambda r: r["h"]), "")), 256), 1, 16).alias("fingerprint"))
+
+
 def corpus_digest(files: DataFrame, ranges: int = 256) -> DataFrame:
     """A fingerprint of any number of files: digests of files, then of ranges of their names' digests, then of these."""
     leaf = files.select(F.sha2(F.encode("source", "UTF-8"), 256).alias("name"), F.sha2("content", 256).alias("body"))

@@ -13,7 +13,7 @@ from lorequarry.functions import text as T
 from lorequarry.functions import vectors as V
 from lorequarry.operators import chunking, cite, elements, enrich, fusion, recall
 from lorequarry.operators.rerank import lexical_score, rerank
-from lorequarry.plans import fingerprints, index, ingest
+from lorequarry.plans import evaluate, fingerprints, index, ingest
 from lorequarry.plans.engine import ordered
 from lorequarry.sources import html, ocr
 from lorequarry.streaming import ingest as streaming
@@ -85,11 +85,33 @@ def eval_recall_at_k(spark, sf_dir):
     docs = spread(load(spark, sf_dir, "documents")).select(F.col("doc_id").alias("row_id"), F.col("text").alias("content"))
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = recall.keyword_recall_batch(docs, items, 3, groups=())
-    held = docs.join(found.select("row_id").distinct(), "row_id", "left_semi").join(found, "row_id").join(F.broadcast(items), "query_id").withColumn("hit", F.contains("content", F.col("query")))
+    held = docs.join(found.select("row_id").distinct(), "row_id", "left_semi").join(found, "row_id").join(items, "query_id").withColumn("hit", F.contains("content", F.col("query")))
     per_item = held.groupBy("query_id").agg(F.max("hit").alias("hit"))
     return per_item.agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 4).alias("recall_at_3"))
 
 
+def eval_by_mode(spark, sf_dir):
+    """Conversations as cases: the first turn asks, its next turns are found in the order of turn or of length."""
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", "role", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    cases = rows.where("turn = 0").select("id", F.lit("assistant").alias("expected_source"), F.lit(None).cast("string").alias("expected_heading"))
+    late = rows.where("turn > 0")
+
+    def part(mode, *order):
+        return late.select("id", F.lit(mode).alias("mode"), F.row_number().over(Window.partitionBy("id").orderBy(*order)).alias("pos"), F.col("role").alias("source"), F.lit("").alias("heading"))
+
+    return evaluate.recall_at_k(part("turn", "turn").unionByName(part("length", F.desc("n"), "turn")), cases, 1)
+
+
+def eval_answers(spark, sf_dir):
+    """Labelled documents as cases: good ones are answerable, clean ones answered, the source of each is cited by thirds."""
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "source", "lang"), load(spark, sf_dir, "labels")
+    rows = docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 0).alias("answered"), F.col("source").alias("expected_source"),
+        F.array(F.when(F.col("lang") == "en", F.col("source")).otherwise("none"), F.lit("src0")).alias("cited_sources"),
+    )
+    return evaluate.answer_metrics(rows)
+
+
 def vector_topk(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "seq")
     query = rows.where("seq = 0").first()["embedding"]
@@ -175,6 +197,12 @@ def corpus_fingerprint(spark, sf_dir):
     return rows.groupBy("top").agg(F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"), F.count("*").alias("files"))
 
 
+def plain_fingerprint(spark, sf_dir):
+    """Of the benchmark items as files; like corpus_fingerprint for what one task can hold."""
+    rows = load(spark, sf_dir, "benchmark").select(F.concat(F.lpad(F.col("item_id").cast("string"), 6, "0"), F.lit(".md")).alias("source"), F.encode("text", "UTF-8").alias("content"))
+    return fingerprints.plain_fingerprint(rows)
+
+
 def corpus_digest(spark, sf_dir):
     return fingerprints.corpus_digest(corpus_files(spark, sf_dir))
 
@@ -504,7 +532,7 @@ def job_recovery(spark, sf_dir):
 
 QUERIES = {
     "keyword_recall": keyword_recall, "keyword_issue_code_boost": keyword_issue_code_boost, "keyword_heading_boost": keyword_heading_boost,
-    "metadata_filtered_recall": metadata_filtered_recall, "keyword_recall_batch": keyword_recall_batch, "eval_recall_at_k": eval_recall_at_k,
+    "metadata_filtered_recall": metadata_filtered_recall, "keyword_recall_batch": keyword_recall_batch, "eval_recall_at_k": eval_recall_at_k, "eval_by_mode": eval_by_mode, "eval_answers": eval_answers, "plain_fingerprint": plain_fingerprint,
     "vector_topk": vector_topk, "vector_topk_batch": vector_topk_batch, "vector_normalize": vector_normalize, "config_gen_lookup": config_gen_lookup,
     "synonym_expand": synonym_expand, "synonym_tags": synonym_tags, "phrase_extract": phrase_extract, "issue_codes": issue_codes,
     "normalize_content": normalize_content, "content_hash": content_hash, "chunk_id": chunk_id, "point_id": point_id, "manifest_hash": manifest_hash,
