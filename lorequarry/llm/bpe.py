@@ -16,9 +16,9 @@ repeated rows and extra columns have no influence; an empty table gives an empty
 
 from __future__ import annotations
 
-import base64  # noqa: F401  (kept for callers that load rank files)
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from lorequarry.llm.common import keyed_texts, spread, text_batches
 
 SCAN_LIMIT = 96
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000  # words of each of two generations
 NEVER = 1 << 60
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -68,16 +68,37 @@ def _later_letters() -> regex.Pattern | None:
     return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]") if spans else None
 
 
+LATIN = 0x250
+
+
+def _latin_pattern() -> re.Pattern:
+    """PATTERN for texts below LATIN, where classes are short enough to be written out; much faster than by property."""
+    low = "".join(map(chr, range(LATIN)))
+
+    def spans(of: str) -> str:
+        return "".join(f"\\u{ord(c):04x}" for c in regex.findall(of, low))
+
+    letters, digits, space = spans(r"\p{L}"), spans(r"\p{N}"), spans(r"\s")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class _Words(dict):
-    """Ids of words met so far; its owner empties it at a bound."""
+    """Ids of words met lately. turn() makes them the older generation, from which a word returns when it is met."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self[word] = tuple(self.encode(word.encode()))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = tuple(self.encode(word.encode()))
+        self[word] = ids
         return ids
 
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 class RankArrayBPE:
     def __init__(self, path: str):
@@ -101,24 +122,28 @@ class RankArrayBPE:
         self.later = _later_letters()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known = _Words(self.encode_word)
+        self.latin, self.beyond = _latin_pattern(), re.compile(f"[^\\0-\\u{LATIN - 1:04x}]")
+        self.pairs = [[self.rank.get((a, b), NEVER) for b in self.first] for a in self.first]  # ranks by two bytes
+        self.decimal = [str(i) for i in range(max(self.bytes_of, default=0) + 1)]
 
     def encode_word(self, word: bytes) -> list[int]:
-        parts = [self.first[b] for b in word]
+        first, pairs = self.first, self.pairs
+        parts = [first[b] for b in word]
         if len(parts) > SCAN_LIMIT:
             return self._long_word(parts)
         rank, joined = self.rank.get, self.joined
-        ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:], strict=False)]
+        ranks = [pairs[a][b] for a, b in zip(word, word[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == NEVER:
                 break
             at = ranks.index(least)
-            parts[at] = joined[least]
+            new = parts[at] = joined[least]
             del parts[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = rank((parts[at], parts[at + 1]), NEVER)
+                ranks[at] = rank((new, parts[at + 1]), NEVER)
             if at:
-                ranks[at - 1] = rank((parts[at - 1], parts[at]), NEVER)
+                ranks[at - 1] = rank((parts[at - 1], new), NEVER)
         return parts
 
     def _long_word(self, parts: list[int]) -> list[int]:
@@ -141,23 +166,28 @@ class RankArrayBPE:
         return [x for x, on in zip(parts, alive, strict=True) if on]
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii() and self.later is not None and self.later.search(text):
-            shadow = self.later.sub("͸", text)  # an unassigned character, one for one
+        if not self.beyond.search(text):
+            return self.latin.findall(text)
+        if self.later is not None and self.later.search(text):
+            shadow = self.later.sub("\u0378", text)  # an unassigned character, one for one
             return [text[m.start() : m.end()] for m in self.pattern.finditer(shadow)]
         return self.pattern.findall(text)
 
     def encode(self, text: str) -> list[int]:
         if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        pieces = self.cut.split(text) if self.cut else [text]
+            self.known.turn()
         ids: list[int] = []
-        for piece in pieces:
+        for piece in self.cut.split(text) if self.cut else [text]:
             if piece in self.special:
                 ids.append(self.special[piece])
             elif piece:
                 ids += chain.from_iterable(map(self.known.__getitem__, self.words(piece)))
         return ids
 
+    def id_text(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -210,7 +240,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             for t in texts:
                 ids = bpe.encode(t)
                 counts.append(len(ids))
-                of_ids.append(sha256(",".join(map(str, ids)).encode()).hexdigest())
+                of_ids.append(sha256(bpe.id_text(ids).encode()).hexdigest())
                 of_text.append(sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)],

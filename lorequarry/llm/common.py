@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,13 +13,25 @@ from pyspark.sql import functions as F
 
 DEFAULT_SHARED = "/tmp/checkpoints"
 
+# Rows of whole texts that go to Python at once; Spark's own default is ten times as many.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, so that a batch of texts is some MB. Smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals a scan of fewer partitions than cores to all of them; larger scans stay as they are."""
+    """Deals a scan of fewer partitions than cores to all of them; larger scans stay as they are. Prepares the
+    session for what reads whole texts in Python."""
+    bounded_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
@@ -44,6 +58,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on beside the executor's heap after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_batches(
     batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text", limit: int = 4 << 20
 ) -> Iterator[tuple[list, list[str]]]:
@@ -63,6 +87,8 @@ def text_batches(
                 keys, texts, size = [], [], 0
     if keys:
         yield keys, texts
+    keys, texts = [], []
+    give_back()
 
 
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import keyed_texts, spread, text_batches, written
+from lorequarry.llm.common import give_back, keyed_texts, spread, text_batches, written
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
+BATCH_CHARS = 3 << 20  # of text whose words are held at once
 PHRASE_BYTES = 8 << 20
 SAMPLE = 16
 
@@ -297,7 +298,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     phrases = spark.sparkContext.broadcast(compile_phrases(items, window))  # at most PHRASE_BYTES of text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_batches(batches, limit=6 << 20):
+        for keys, texts in text_batches(batches, limit=BATCH_CHARS):
             docs = [words_of(t) for t in texts]
             found = find_spans(docs, phrases.value, window=window)
             yield pa.RecordBatch.from_arrays(
@@ -338,11 +339,12 @@ def kept(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 begin = size = 0
                 for k, t in enumerate(texts):
                     size += len(t.as_py() or "")
-                    if size >= 6 << 20 or k + 1 == len(texts):
+                    if size >= BATCH_CHARS or k + 1 == len(texts):
                         part = batch.slice(begin, k + 1 - begin)
                         found = find_spans([words_of(t.as_py() or "") for t in texts[begin : k + 1]], phrases.value, window=window)
                         yield part.filter(pa.array([not len(f[0]) for f in found], pa.bool_()))
                         begin, size = k + 1, 0
+            give_back()
 
         rows = rows.mapInArrow(run, docs.schema)
     return rows

@@ -20,6 +20,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
+from lorequarry.llm.common import give_back
+
 BLOCK_CHARS = 4 << 20
 BUCKET_KEYS = 1 << 20
 
@@ -63,6 +65,23 @@ def chained(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * MULTIPLIER + second)
 
 
+class Numbers(dict):
+    """Numbers things in the order in which they come."""
+
+    def __missing__(self, thing) -> int:
+        n = self[thing] = len(self)
+        return n
+
+
+def numbered(rows: Iterator[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of all rows, the numbers of the words of all rows one after the other, and the rows' lengths.
+    Only one row's words are held at a time besides the distinct ones."""
+    numbers = Numbers()
+    parts = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in rows]
+    tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return list(numbers), tokens, np.array([len(p) for p in parts], np.int32)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -119,6 +138,8 @@ def totals(sent: DataFrame) -> DataFrame:
         total = np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)[place]
         ends = np.cumsum([len(k) for k in keys])
         met = [int((sums > 0).sum())] + [0] * (len(keys) - 1)
+        del every, place, sums, counts
+        give_back()
         return pa.table(
             {
                 "block": pa.array(blocks, pa.int64()),

@@ -27,7 +27,6 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm import exchange as X
-from lorequarry.llm.common import keyed_texts, spread, text_batches, written
+from lorequarry.llm.common import give_back, keyed_texts, spread, text_batches, written
 
 SHINGLE, PERCENT = 5, 75
 KEY_BITS = 32  # of a shingle within its bucket; two that meet by chance only add suspects
@@ -126,10 +125,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (keys, texts) in enumerate(text_batches(batches, limit=X.BLOCK_CHARS)):
-            rows = [words_of(t) for t in texts]
-            flat = list(chain.from_iterable(rows))
-            index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-            tokens = np.fromiter(map(index.__getitem__, flat), np.int32, len(flat))
+            words, tokens, lengths = X.numbered(words_of(t) for t in texts)
             yield X.record_batch(
                 [
                     {
@@ -137,9 +133,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                         "ids": np.array([-1 if k is None else k for k in keys], np.int64).tobytes(),
                         "named": np.array([k is not None for k in keys], bool).tobytes(),
                         "tokens": X.pack(tokens),
-                        "lengths": np.array([len(r) for r in rows], np.int32).tobytes(),
-                        "vocabulary": X.word_hashes(list(index)).tobytes(),
-                        "n_keys": len(flat),
+                        "lengths": lengths.tobytes(),
+                        "vocabulary": X.word_hashes(words).tobytes(),
+                        "n_keys": len(tokens),
                     }
                 ],
                 schema,
@@ -192,7 +188,10 @@ def _suspecting(buckets: int):
                         "ranks": np.minimum(df[shared], 0xFFFFFFFF).astype(np.uint32).tobytes(),
                     }
                 out.append(one)
-        return pa.Table.from_pylist(out, schema=schema)
+        table = pa.Table.from_pylist(out, schema=schema)
+        out, by = [], {}
+        give_back()
+        return table
 
     return run
 

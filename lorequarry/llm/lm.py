@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm import exchange as X
-from lorequarry.llm.common import keyed_texts, spread, text_batches, written
+from lorequarry.llm.common import give_back, keyed_texts, spread, text_batches, written
 
 ORDER = 2
 FOLDS, HELD_OUT = 5, 1
@@ -59,11 +58,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (keys, texts) in enumerate(text_batches(batches, limit=X.BLOCK_CHARS)):
-            rows = [[*words_of(t), END] for t in texts]
-            flat = list(chain.from_iterable(rows))
-            index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-            tokens = np.fromiter(map(index.__getitem__, flat), np.int32, len(flat))
-            lengths = np.array([len(r) for r in rows], np.int32)
+            words, tokens, lengths = X.numbered([*words_of(t), END] for t in texts)
             training = np.array([is_training(k) for k in keys], bool)
             yield X.record_batch(
                 [
@@ -72,9 +67,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                         "ids": np.array([-1 if k is None else k for k in keys], np.int64).tobytes() + np.array([k is None for k in keys], bool).tobytes(),
                         "lengths": lengths.tobytes(),
                         "training": training.tobytes(),
-                        "vocabulary": X.word_hashes(list(index)).tobytes(),
+                        "vocabulary": X.word_hashes(words).tobytes(),
                         "tokens": X.pack(tokens),
-                        "n_tokens": len(flat),
+                        "n_tokens": len(tokens),
                         "n_training": int(lengths[training].sum()),
                         "n_documents": int(training.sum()),
                     }
@@ -158,6 +153,8 @@ def _with_answers(stored: DataFrame, answer: DataFrame, order: int, buckets: int
         for row in left.to_pylist():
             block = Block(row, order)
             out.append(emit(block, _answers(right, order, buckets, block)))
+        del block, row
+        give_back()
         return pa.concat_tables(out)
 
     return stored.groupBy("block").cogroup(answer.select("block", "bucket", "totals").groupBy("block")).applyInArrow(run, schema)

@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import fold_remainder, keyed_texts, spread, text_batches, written
+from lorequarry.llm.common import fold_remainder, give_back, keyed_texts, spread, text_batches, written
 
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
 STEM = range(3, 9)
 LEAST_SUPPORT = 3
+MEMO_WORDS = 100_000
 MOST_CLEAN = 0.005  # share of clean rows that an event may occur in
 
 SCHEMA = "doc_id long, score double, predicted int"
@@ -172,7 +173,9 @@ class Lexicon:
             for c in stem:
                 node = node.setdefault(c, {})
             node[""] = weight
-        self.closed = {w: s for s, words in WORDS.items() for w in words.split()}
+        # one pair for all words of a symbol, so that the memo holds little more than the words
+        self.other = ("O", 0.0)
+        self.closed = {w: (s, 0.0) for s, words in WORDS.items() for w in words.split()}
         self.memo: dict[str, tuple[str, float]] = {}
 
     def insult(self, word: str) -> float:
@@ -188,8 +191,8 @@ class Lexicon:
         got = self.memo.get(word)
         if got is None:
             weight = self.insult(word)
-            got = ("I", weight) if weight else (self.closed.get(word, "O"), 0.0)
-            if len(self.memo) > 500_000:
+            got = ("I", weight) if weight else self.closed.get(word, self.other)
+            if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
             self.memo[word] = got
         return got
@@ -387,5 +390,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([own.score(t.as_py() or "") < 0.5 for t in texts], pa.bool_()))
+        own.lexicon.memo.clear()
+        give_back()
 
     return spread(docs).mapInArrow(run, docs.schema)
