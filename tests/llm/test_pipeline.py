@@ -16,8 +16,8 @@ def folder(spark, tmp_path_factory):
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
     texts += [texts[3], texts[4] + " tail", "", None, None]
     passage = [f"b{k}" for k in range(14)]
-    texts += [f"x {' '.join(passage[2:])} y", "you zorgel zorgelin you", "a Zorgel and a zorgel again"]
-    texts += [f"{rng.choice(words)} zorgel {rng.choice(words)} zorgelax {k}" for k in range(12)]
+    texts += [f"x {' '.join(passage[2:])} y", "you zorgel, zorgelin! You zorgelax zorgel", "a Zorgel and a zorgel again, zorgel"]
+    texts += [f"{rng.choice(words)} zorgel {rng.choice(words)} zorgelax {k}" for k in range(40)]
     docs = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))

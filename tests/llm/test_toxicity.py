@@ -19,7 +19,7 @@ def test_grammar():
     assert machine("NI") == [None, 2] and machine("NOOOI")[-1] == 0
     assert machine("RI") == [None, 3] and machine("QIQI") == [None, 3, None, 0]
     assert machine("RNI")[-1] == 2
-    assert machine("WVY") == [None, None, 4] and machine("VY") == [None, None] and machine("WOOOVY")[-1] is None
+    assert machine("WVY") == [None, None, 4] and machine("VY") == [None, None] and machine("WOOOVY")[-1] == 4 and machine("WOOOOVY")[-1] is None
     assert machine("RWVY")[-1] == 5 and machine("NWVY")[-1] == 5
 
 
