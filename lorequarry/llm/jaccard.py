@@ -41,7 +41,7 @@ SHINGLE, PERCENT = 5, 75
 KEY_BITS = 32  # of a shingle within its bucket; two that meet by chance only add suspects
 STARS = 3
 SIGNATURE = 1024  # bits
-CHUNK = 1024  # documents of a tile that are compared at once
+CHUNK = 512  # documents of a tile that are compared at once
 
 BLOCKS = "block long, ids binary, named binary, tokens binary, lengths binary, vocabulary binary, n_keys long"
 SUSPECTS = "doc_id long, set_key string, n int, rare int, shingles binary, ranks binary"
@@ -236,27 +236,65 @@ def compare_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), pa.array([other[k] for k in keep], pa.int64())], ["a", "b"])
 
 
-def compare_tile(group: pa.Table) -> pa.Table:
-    """Pairs of a tile that the bit counts let through. Rows: id, n, m (shared shingles), component, side, signature.
+TILE = ["token", "band", "x", "y"]
+ROWS_A_TASK = 20_000  # postings that a task of tiles is dealt for
+
+
+class Rows:
+    """Rows of tiles as arrays: doc_id, n, m (shared shingles), component, side and the words of the signature.
     Side 0 is the left chunk, 1 the right one; rows of a tile that is its own right side are on side 2."""
-    ids, n, m = (group[c].to_numpy() for c in ("doc_id", "n", "m"))
-    component, side = group["component"].to_numpy(), group["side"].to_numpy()
-    sig = np.stack([np.frombuffer(s.as_py(), np.uint64) for s in group["signature"]])
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a chunk may have no partner
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    for k in range(0, len(left), 256):
-        a = left[k : k + 256]
-        apart = np.zeros((len(a), len(right)), np.int64)
-        for w in range(sig.shape[1]):
-            apart += np.bitwise_count(sig[a, w][:, None] ^ sig[right, w][None, :])
-        least = -(-PERCENT * (n[a][:, None] + n[right][None, :]) // (100 + PERCENT))
-        may = (m[a][:, None] + m[right][None, :] - apart) // 2 >= least
-        may &= component[a][:, None] != component[right][None, :]
-        may &= (side[a][:, None] != 2) | (ids[a][:, None] < ids[right][None, :])
-        x, y = np.nonzero(may)
-        first.append(np.minimum(ids[a[x]], ids[right[y]]))
-        second.append(np.maximum(ids[a[x]], ids[right[y]]))
-    return pa.table({"a": pa.array(np.concatenate(first), pa.int64()), "b": pa.array(np.concatenate(second), pa.int64())})
+
+    def __init__(self, table: pa.Table):
+        self.ids, self.n, self.m, self.component, self.side = (table[c].to_numpy() for c in ("doc_id", "n", "m", "component", "side"))
+        self.sig = np.frombuffer(b"".join(s.as_py() for s in table["signature"]), np.uint64).reshape(len(self.ids), -1)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of rows a and b (broadcast against each other) which pairs the bit counts let through."""
+        apart = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.int64)
+        for w in range(self.sig.shape[1]):
+            apart += np.bitwise_count(self.sig[a, w] ^ self.sig[b, w])
+        least = -(-PERCENT * (self.n[a] + self.n[b]) // (100 + PERCENT))
+        may = (bound(apart, self.m[a], self.m[b]) >= least) & (self.component[a] != self.component[b])
+        may &= (self.side[a] == 2) & (self.side[b] == 2) | (self.side[a] == 0) & (self.side[b] == 1)
+        return may & ((self.side[a] != 2) | (self.ids[a] < self.ids[b]))
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.minimum(self.ids[a], self.ids[b]), np.maximum(self.ids[a], self.ids[b])
+
+
+def tile_pairs(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """Pairs that may link in each of the tiles [start, end)."""
+    rows = Rows(table)
+    # tiles of two rows, by far the most, all at once
+    two = starts[ends - starts == 2]
+    first, second = np.concatenate([two, two + 1]), np.concatenate([two + 1, two])
+    may = rows.may_link(first, second)
+    found = [rows.pairs(first[may], second[may])]
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        if e - s < 3:
+            continue
+        own = np.arange(s, e)
+        left, right = own[rows.side[own] != 1], own[rows.side[own] != 0]
+        for k in range(0, len(left), 256):
+            a = left[k : k + 256, None]
+            x, y = np.nonzero(rows.may_link(a, right[None, :]))
+            found.append(rows.pairs(a[x, 0], right[y]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by TILE; a tile may go on in the next batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = np.stack([held[c].to_numpy().astype(np.int64) for c in TILE])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        if len(cuts):
+            yield tile_pairs(held, np.concatenate([[0], cuts[:-1]]), cuts)
+            held = held.slice(int(cuts[-1])).combine_chunks()
+    if held is not None and held.num_rows:
+        yield tile_pairs(held, np.array([0]), np.array([held.num_rows]))
 
 
 # ---- components ------------------------------------------------------------------------------
@@ -356,6 +394,8 @@ def _verified(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _late_links(heads: DataFrame, joined: DataFrame) -> DataFrame:
+    spark = heads.sparkSession
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tokens = [], []
@@ -403,7 +443,10 @@ def _late_links(heads: DataFrame, joined: DataFrame) -> DataFrame:
         .select("doc_id", "component", "token", "band", "cell.x", "cell.y", "cell.side")
     )
     filled = cells.join(about.drop("band"), "doc_id")
-    pairs = filled.groupBy("token", "band", "x", "y").applyInArrow(compare_tile, "a long, b long").distinct()
+    # a task compares many small tiles; their number, not their bytes, says how many tasks are needed
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() // ROWS_A_TASK)
+    dealt = filled.select(*TILE, "doc_id", "component", "side", "n", "m", "signature").repartition(tasks, *TILE).sortWithinPartitions(*TILE)
+    pairs = dealt.mapInArrow(compare_tiles, "a long, b long").distinct()
     return _verified(pairs, heads)
 
 
