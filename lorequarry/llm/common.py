@@ -44,11 +44,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Cuts the lineage: the rows as a table in the shared folder."""
+def written_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage: the rows as a table in the shared folder, and where it is."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    return written_at(df, purpose)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm import exchange as X
-from lorequarry.llm.common import give_back, keyed_texts, spread, text_batches, written
+from lorequarry.llm.common import give_back, keyed_texts, remove, spread, text_batches, written, written_at
 
 SHINGLE, PERCENT = 5, 75
+BLOCK_CHARS = 2 << 20
 KEY_BITS = 32  # of a shingle within its bucket; two that meet by chance only add suspects
 STARS = 3
 SIGNATURE = 1024  # bits
@@ -124,7 +125,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     schema = arrow_schema(BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (keys, texts) in enumerate(text_batches(batches, limit=X.BLOCK_CHARS)):
+        for number, (keys, texts) in enumerate(text_batches(batches, limit=BLOCK_CHARS)):
             words, tokens, lengths = X.numbered(words_of(t) for t in texts)
             yield X.record_batch(
                 [
@@ -346,12 +347,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    stored = written(blocks(docs), "jaccard-blocks")
+    stored, folder = written_at(blocks(docs), "jaccard-blocks")
     total = stored.agg(F.sum("n_keys")).first()[0] or 0
     buckets = X.bucket_count(int(total))
     answer = X.totals(stored.mapInArrow(_sending(buckets), X.SENT)).select("block", "bucket", "totals")
     found = stored.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_suspecting(buckets), SUSPECTS)
     every = written(found, "jaccard-sets")
+    remove(docs.sparkSession, folder)  # all that is needed of the blocks is in every now
     suspects = every.where("set_key is not null")
     # classes of equal sets: the smallest document carries the set
     members = suspects.select("doc_id", "set_key", "n")
