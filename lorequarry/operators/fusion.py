@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lorequarry.functions import text as T
 
 
-def _leader_of(threshold: float) -> Column:
-    """For each element of items (pos, grams) in order the pos of its leader, as an array of structs."""
+def _leader_of(items: Column, threshold: float) -> Column:
+    """For each element of items (pos, grams) in order the pos of its leader."""
     none = F.array().cast("array<struct<pos:int,lead:int,grams:array<string>>>")
 
     def step(done: Column, item: Column) -> Column:
@@ -19,15 +19,18 @@ def _leader_of(threshold: float) -> Column:
         lead = F.coalesce(F.get(alike, F.lit(0))["pos"], item["pos"])
         return F.concat(done, F.array(F.struct(item["pos"].alias("pos"), lead.alias("lead"), item["grams"].alias("grams"))))
 
-    return F.aggregate("items", none, step, lambda done: F.transform(done, lambda d: F.struct(d["pos"].alias("pos"), d["lead"].alias("lead"))))
+    return F.aggregate(items, none, step, lambda done: F.transform(done, lambda d: d["lead"]))
 
 
 def assign_leaders(rows: DataFrame, threshold: float = 0.8, content: str = "content") -> DataFrame:
     """rows (pos from 1) with lead: the first earlier leader that is more alike than the threshold, else itself.
-    Texts of fewer than two characters are like nothing."""
-    item = F.struct(F.col("pos").cast("int").alias("pos"), T.bigrams(F.coalesce(F.col(content), F.lit(""))).alias("grams"))
-    folded = rows.agg(F.array_sort(F.collect_list(item)).alias("items")).select(F.explode(_leader_of(threshold)).alias("x")).select("x.pos", "x.lead")
-    return rows.join(F.broadcast(folded), "pos")  # as many rows as a recall has
+    Texts of fewer than two characters are like nothing. The rows, as few as a recall has, travel through the fold,
+    so that what made them runs once."""
+    item = F.struct(F.col("pos").cast("int").alias("pos"), F.struct(*rows.columns).alias("row"), T.bigrams(F.coalesce(F.col(content), F.lit(""))).alias("grams"))
+    listed = rows.agg(F.array_sort(F.collect_list(item), lambda a, b: a["pos"] - b["pos"]).alias("items"))
+    folded = listed.select("items", _leader_of(F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), x["grams"].alias("grams"))), threshold).alias("leads"))
+    paired = folded.select(F.explode(F.arrays_zip(F.transform("items", lambda x: x["row"]).alias("row"), F.col("leads").alias("lead"))).alias("x"))
+    return paired.select("x.row.*", "x.lead")
 
 
 def leaders(rows: DataFrame, threshold: float = 0.8, content: str = "content") -> DataFrame:
@@ -39,10 +42,10 @@ def merge_duplicates(keyword: DataFrame, vector: DataFrame, threshold: float = 0
 
     Every list has pos, key, content and its score. A later duplicate overwrites the scores that it has, so
     the last one counts; columns in fill take the first value that is not empty."""
-    order = keyword.agg(F.max("pos").alias("n"))
-    named = lambda rows, score: rows.select("pos", "key", "content", *fill, *(F.col(c) if c == score else F.lit(None).cast("double").alias(c) for c in ("keyword_score", "vector_score")))
-    shifted = named(vector, "vector_score").join(F.broadcast(order)).withColumn("pos", (F.col("pos") + F.coalesce("n", F.lit(0))).cast("int")).drop("n")
-    led = assign_leaders(named(keyword, "keyword_score").withColumn("pos", F.col("pos").cast("int")).unionByName(shifted), threshold)
+    named = lambda rows, side, score: rows.select(F.lit(side).alias("side"), "pos", "key", "content", *fill, *(F.col(c) if c == score else F.lit(None).cast("double").alias(c) for c in ("keyword_score", "vector_score")))
+    both = named(keyword, 0, "keyword_score").unionByName(named(vector, 1, "vector_score"))
+    placed = both.withColumn("pos", F.row_number().over(Window.orderBy("side", "pos"))).drop("side")
+    led = assign_leaders(placed, threshold)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos")))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("pos")))
     return led.groupBy("lead").agg(F.min_by("key", "pos").alias("key"), F.min_by("content", "pos").alias("content"), *(first(c).alias(c) for c in fill), last("keyword_score").alias("keyword_score"), last("vector_score").alias("vector_score")).withColumnRenamed("lead", "pos")

@@ -28,8 +28,10 @@ def keyword_recall(rows: DataFrame, query: str, width: int = 20, content: str =
     """The rows with the highest keyword_score, rounded to four places before they are ordered, ties by seq."""
     phrases, codes = T.phrases_of(T.expand_query(query, groups)), T.issue_codes_of(query)
     score = T.keyword_score(F.col(content), phrases, codes, F.col(heading) if heading else None)
-    scored = filtered(rows, filters).withColumn("keyword_score", score).where("keyword_score > 0")
-    return scored.withColumn("keyword_score", F.round("keyword_score", 4)).orderBy(F.desc("keyword_score"), seq).limit(width)
+    # rows without a hit sort last and go after the cut; a filter before it would score every row twice
+    scored = filtered(rows, filters).withColumn("raw_score", score)
+    best = scored.orderBy(F.desc(F.round("raw_score", 4)), F.desc(F.col("raw_score") > 0), seq).limit(width)
+    return best.where("raw_score > 0").withColumn("keyword_score", F.round("raw_score", 4)).drop("raw_score")
 
 
 def vector_recall(rows: DataFrame, query: Sequence[float], width: int = 40, vector: str = "embedding", seq: str = "seq", filters: dict | None = None) -> DataFrame:
@@ -56,51 +58,90 @@ def _top(parts: list[DataFrame], by: str, score: str, key: str, width: int) -> D
     return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= width)
 
 
+class _Best:
+    """The best rows of each query so far: scores from high to low, ties by key."""
+
+    def __init__(self, queries: int, width: int):
+        self.width, self.keys, self.scores = width, np.zeros((queries, 0), np.int64), np.zeros((queries, 0))
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        """scores: [query, row]."""
+        keys = np.concatenate([self.keys, np.broadcast_to(keys, scores.shape)], axis=1)
+        scores = np.concatenate([self.scores, scores], axis=1)
+        order = np.lexsort((keys, -scores), axis=1)[:, : self.width]
+        self.keys, self.scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
+
+    def rows(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and score of what has a score above 0."""
+        q, at = np.nonzero(self.scores > 0)
+        return np.array(ids, np.int64)[q], self.keys[q, at], self.scores[q, at]
+
+
+BLOCK_ROWS = 128
+DENSE = 1 << 23  # phrases times queries that are held as one matrix
+
+
+class _Phrases:
+    """All phrases of a batch of queries, with the weight that each has in each query."""
+
+    def __init__(self, queries: list[tuple[int, str]], groups):
+        self.ids = [i for i, _ in queries]
+        self.codes = [T.issue_codes_of(t) for _, t in queries]
+        times = [Counter(T.phrases_of(T.expand_query(t, groups))) for _, t in queries]
+        self.divisors = np.array([max(c.total(), T.LEAST_DIVISOR) for c in times], float)
+        self.numbers: dict[str, int] = {}
+        entries = sorted((self.numbers.setdefault(p, len(self.numbers)), q, float(len(p) * n)) for q, c in enumerate(times) for p, n in c.items())
+        self.entries = np.array(entries, float).reshape(-1, 3)
+        self.starts = np.searchsorted(self.entries[:, 0], np.arange(len(self.numbers) + 1))
+        self.long = [(p, i) for p, i in self.numbers.items() if len(p) > 4]
+        self.dense = None
+        if len(self.numbers) * len(queries) <= DENSE:
+            self.dense = np.zeros((len(self.numbers), len(queries)), np.float32)  # whole numbers, exact far beyond any text
+            self.dense[self.entries[:, 0].astype(int), self.entries[:, 1].astype(int)] = self.entries[:, 2]
+
+    def found(self, text: str) -> list[int]:
+        """Which phrases a text has: short ones among its own n-grams, long ones by search."""
+        grams = {text[k : k + n] for n in (2, 3, 4) for k in range(len(text) - n + 1)}
+        return [self.numbers[g] for g in grams & self.numbers.keys()] + [i for p, i in self.long if p in text]
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """[query, text], rounded to four places."""
+        found = [self.found(t) for t in texts]
+        if self.dense is not None:
+            there = np.zeros((len(texts), len(self.numbers)), np.float32)
+            for k, f in enumerate(found):
+                there[k, f] = 1
+            hits = (there @ self.dense).astype(float)
+        else:
+            hits = np.zeros((len(texts), len(self.ids)))
+            for k, f in enumerate(found):
+                spans = np.concatenate([np.zeros(0, int), *(np.arange(a, b) for a, b in zip(self.starts[f], self.starts[np.array(f, int) + 1], strict=True))])
+                hits[k] = np.bincount(self.entries[spans, 1].astype(int), weights=self.entries[spans, 2], minlength=len(self.ids))
+        raw = (hits / self.divisors).T
+        for q, codes in enumerate(self.codes):
+            if codes:
+                raw[q] *= [2.0 if any(c in t for c in codes) else 1.0 for t in texts]
+        return np.floor(raw * 1e4 + 0.5) / 1e4
+
+
 def keyword_recall_batch(rows: DataFrame, queries: DataFrame, width: int = 20, groups=T.SYNONYMS) -> DataFrame:
     """query_id, row_id, keyword_score, rank. rows: row_id, content; queries: query_id, query.
 
     Each task keeps the best of its rows for every query, so only width rows of each query and task are
-    dealt. Phrases of up to four characters are looked up among a text's own n-grams."""
+    dealt. Rows are scored in blocks: which phrases they have, times the weights of the phrases."""
 
     def one(part: DataFrame) -> DataFrame:
-        known = part.select(F.col("query_id").cast("long"), "query").collect()  # at most BATCH_BYTES of text
-        numbers: dict[str, int] = {}
-        entries: list[tuple[int, int, float]] = []
-        divisors, codes = [], []
-        for q, r in enumerate(known):
-            times = Counter(T.phrases_of(T.expand_query(r["query"] or "", groups)))
-            divisors.append(max(times.total(), T.LEAST_DIVISOR))
-            codes.append(T.issue_codes_of(r["query"] or ""))
-            entries += [(numbers.setdefault(p, len(numbers)), q, float(len(p) * n)) for p, n in times.items()]
-        at = np.array(sorted(entries), float).reshape(-1, 3)
-        starts = np.searchsorted(at[:, 0], np.arange(len(numbers) + 1))
-        short = {p: i for p, i in numbers.items() if len(p) <= 4}
-        long = [(p, i) for p, i in numbers.items() if len(p) > 4]
-        ids = [r["query_id"] for r in known]
-        bundle = rows.sparkSession.sparkContext.broadcast((at, starts, short, long, np.array(divisors, float), codes, ids))
+        known = [(r["query_id"], r["query"] or "") for r in part.select(F.col("query_id").cast("long"), "query").collect()]  # at most BATCH_BYTES of text
+        bundle = rows.sparkSession.sparkContext.broadcast(_Phrases(known, groups))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, starts, short, long, divisors, codes, ids = bundle.value
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            phrases = bundle.value
+            best = _Best(len(phrases.ids), width)
             for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    text = " " + (text or "")
-                    grams = {text[k : k + n] for n in (2, 3, 4) for k in range(len(text) - n + 1)}
-                    found = [short[g] for g in grams & short.keys()] + [i for p, i in long if p in text]
-                    if not found:
-                        continue
-                    f = np.array(found)
-                    spans = np.concatenate([np.arange(a, b) for a, b in zip(starts[f], starts[f + 1], strict=True)])
-                    hits = np.bincount(at[spans, 1].astype(int), weights=at[spans, 2], minlength=len(ids)) / divisors
-                    for q in np.flatnonzero(hits):
-                        score = float(hits[q]) * (2.0 if any(c in text for c in codes[q]) else 1.0)
-                        item = (round(score, 4), -key)
-                        if len(best[q]) < width:
-                            heapq.heappush(best[q], item)
-                        elif item > best[q][0]:
-                            heapq.heapreplace(best[q], item)
-            out = [(ids[q], -k, s) for q, own in enumerate(best) for s, k in own]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "row_id", "keyword_score"])
+                for k in range(0, batch.num_rows, BLOCK_ROWS):
+                    block = batch.slice(k, BLOCK_ROWS)
+                    best.add(block.column(0).to_numpy(), phrases.scores([" " + (t or "") for t in block.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows(phrases.ids)], ["query_id", "row_id", "keyword_score"])
 
         return rows.select(F.col("row_id").cast("long"), "content").mapInArrow(run, "query_id long, row_id long, keyword_score double")
 
@@ -184,7 +225,7 @@ def lookup(rows: DataFrame, keywords: Sequence[str], width: int = 5, threshold:
     enough that width leaders are found unless the very best rows are copies of each other."""
     from lorequarry.operators.fusion import leaders
 
-    scored = rows.withColumn("score", F.round(T.lookup_score(F.col("content"), F.col("heading"), keywords), 2)).where("score > 0")
-    best = scored.orderBy(F.desc("score"), "seq").limit(candidates or max(60, 12 * width))
+    scored = rows.withColumn("score", F.round(T.lookup_score(F.col("content"), F.col("heading"), keywords), 2))
+    best = scored.orderBy(F.desc("score"), "seq").limit(candidates or max(60, 12 * width)).where("score > 0")
     order = Window.orderBy(F.desc("score"), "seq")
     return leaders(best.withColumn("pos", F.row_number().over(order)), threshold).orderBy("pos").limit(width)

@@ -94,6 +94,8 @@ def test_batches_agree_with_single_queries(spark, monkeypatch):
         for rank, r in enumerate(recall.keyword_recall(rows.withColumnRenamed("row_id", "seq"), text, 4, groups=()).collect(), 1):
             want[q, rank] = (r["seq"], r["keyword_score"])
     assert batch() == want
+    monkeypatch.setattr(recall, "DENSE", 0)
+    assert batch() == want
     monkeypatch.setattr(recall, "BATCH_BYTES", 10)
     assert batch() == want
 
