@@ -357,7 +357,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     suspects = every.where("set_key is not null")
     # classes of equal sets: the smallest document carries the set
     members = suspects.select("doc_id", "set_key", "n")
-    classes = members.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    # as a table, so that a class of very many copies can be split in the joins with it
+    classes = written(members.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
     chosen = classes.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
     heads = written(suspects.join(chosen, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "rare", "shingles", "ranks"), "jaccard-heads")
 
