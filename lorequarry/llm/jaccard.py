@@ -364,7 +364,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = written(_star_links(heads), "jaccard-stars")
     joined = components(stars)
-    late = _late_links(heads, joined)
+    # written, or the next stage would run two Python operators, and each executor keep four workers instead of two
+    late = written(_late_links(heads, joined), "jaccard-late")
     whole = components(stars.union(late))
     copies = members.join(classes.withColumnRenamed("doc_id", "head"), "set_key").select("doc_id", "head")
     rooted = copies.join(whole.withColumnRenamed("doc_id", "head"), "head", "left").select("doc_id", F.coalesce("component", "head").alias("component"))
