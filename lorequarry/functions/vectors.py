@@ -43,19 +43,36 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Cells(dict):
+    """Cell and sign of each trigram, hashed when it is first met."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, gram: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+        if len(self) > 500_000:
+            self.clear()
+        cell = self[gram] = h % self.dim + (0 if h >> 63 else self.dim)
+        return cell
+
+    def __reduce__(self):
+        return _Cells, (self.dim,)  # what was met stays behind
+
+
 class HashingEmbedder:
     """Feature-hashed character trigrams with unit length: a deterministic stand-in for a model."""
 
     def __init__(self, dim: int = 512):
-        self.dim = dim
+        self.dim, self.cells = dim, _Cells(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, text in enumerate(texts):
             padded = f"  {text.lower()} "
-            for k in range(len(padded) - 2):
-                h = int.from_bytes(hashlib.blake2b(padded[k : k + 3].encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1.0 if h >> 63 else -1.0
+            found = np.fromiter(map(self.cells.__getitem__, map("".join, zip(padded, padded[1:], padded[2:], strict=False))), np.int64)
+            counts = np.bincount(found, minlength=2 * self.dim)
+            out[i] = counts[: self.dim] - counts[self.dim :]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 
