@@ -117,6 +117,22 @@ def test_lookup_drops_near_duplicates(spark):
     assert [(r["seq"], r["score"]) for r in got] == [(1, 3.0), (3, 1.0), (4, 1.0)]
 
 
+def test_lookup_goes_on_behind_copies(spark):
+    copies = [(k, "h", "err none in a text of many copies" + " ." * (k % 2)) for k in range(70)] + [(k, "h", "another err and none, copied as often") for k in range(70, 140)]
+    single = [(200, "", "err alone here"), (201, "", "some other words, err"), (202, "", "nothing of this: none"), (203, "", "no hit"), (204, "", "none"), (205, "", "quite unlike it, err"), (206, "", "e")]
+    rows = spark.createDataFrame(copies + single, "seq bigint, heading string, content string").repartition(5)
+    pairs = lambda t: {t[k : k + 2] for k in range(len(t) - 1)}
+    want: list = []
+    for seq, text, score in sorted(((s, t, float(("err" in t) + ("none" in t))) for s, _, t in copies + single), key=lambda r: (-r[2], r[0])):
+        if score > 0 and not any(len(pairs(text) & pairs(t)) / max(len(pairs(text) | pairs(t)), 1) > 0.8 for _, t, _ in want):
+            want.append((seq, text, score))
+    for width in (3, 20):
+        got = recall.lookup(rows, ["err", "none"], width).collect()
+        assert [(r["seq"], r["content"], r["score"]) for r in got] == want[:width]
+    assert len(want) == 7 and [r["seq"] for r in recall.lookup(rows, ["err", "none"], 5, candidates=1).collect()] == [w[0] for w in want[:5]]
+    assert recall.lookup(rows, ["no such word"], 5).count() == 0
+
+
 CHUNKS = "chunk_id string, parent_id string, chunk_type string, heading_path array<string>, content string, prev_chunk_id string, next_chunk_id string"
 
 
