@@ -35,11 +35,12 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = F.substring(F.md5("html"), 1, 1) == "7"
     replica = pages.withColumn("html", F.when(lost, F.expr("left(html, length(html) - 1)")).otherwise(F.col("html")))
     left, right = written(warc.records(pages), "warc"), written(warc.records(replica), "warc")
-    bad = warc.audit(left, right).select("file_id", F.col("node").alias("ord"), F.lit(True).alias("bad"))
-    tops = warc.roots(left).join(warc.roots(right).withColumnRenamed("root", "replica_root"), "file_id")
+    bad = warc.audit(left, right, None).select(F.col("file_id").alias("bad_file"), F.col("node").alias("bad_ord"), F.lit(True).alias("bad"))
+    other = warc.roots(right).select(F.col("file_id").alias("replica_file"), F.col("root").alias("replica_root"))
+    tops = warc.roots(left).withColumnRenamed("file_id", "top_file").join(other, F.expr("top_file <=> replica_file"))
     return (
-        left.join(bad, ["file_id", "ord"], "left")
-        .join(tops, "file_id")
+        left.join(bad, F.expr("file_id <=> bad_file AND ord = bad_ord"), "left")
+        .join(tops, F.expr("file_id <=> top_file"))
         .select(
             "page_id", "file_id", "ord", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("digest").alias("record_sha256"),
             "root", "replica_root", F.coalesce("bad", F.lit(False)).alias("corrupt"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 FAN, LEVELS = 16, 3
 FILE_IDS = FAN**LEVELS
+NO_FILE = -(1 << 60)  # stands for null in joins: no id of 64 bits lies in this file
 
 
 def record_text(url: Column, page_id: Column, html: Column) -> Column:
@@ -62,12 +63,13 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
 
 def different(left: DataFrame, right: DataFrame) -> DataFrame:
     """Nodes that the two sides do not have alike."""
-    a, b = (x.select(F.coalesce("file_id", F.lit(-1)).alias("file_id"), "node", F.struct("start", "end", "digest").alias(n)) for x, n in ((left, "a"), (right, "b")))
+    a, b = (x.select(F.coalesce("file_id", F.lit(NO_FILE)).alias("file_id"), "node", F.struct("start", "end", "digest").alias(n)) for x, n in ((left, "a"), (right, "b")))
     return a.join(b, ["file_id", "node"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("file_id", "node")
 
 
-def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """file_id, node (ordinal) of the records of two replicas that differ, found from the roots down."""
+def audit(left: DataFrame, right: DataFrame, none: int | None = -1) -> DataFrame:
+    """file_id, node (ordinal) of the records of two replicas that differ, found from the roots down; none is the
+    file_id of null ids."""
     mine, theirs = tree(left), tree(right)
     bad = different(mine[-1], theirs[-1])
     for level in range(LEVELS - 1, -1, -1):
@@ -75,11 +77,11 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         parents = bad.select("file_id", F.col("node").alias("up"))
 
         def under(nodes: DataFrame, up=up, parents=parents) -> DataFrame:
-            keyed = nodes.select(F.coalesce("file_id", F.lit(-1)).alias("file_id"), "node", "start", "end", "digest", up.alias("up"))
+            keyed = nodes.select(F.coalesce("file_id", F.lit(NO_FILE)).alias("file_id"), "node", "start", "end", "digest", up.alias("up"))
             return keyed.join(parents, ["file_id", "up"], "left_semi").drop("up")
 
         bad = different(under(mine[level]), under(theirs[level]))
-    return bad
+    return bad.select(F.when(F.col("file_id") == NO_FILE, F.lit(none)).otherwise(F.col("file_id")).cast("long").alias("file_id"), "node")
 
 
 def roots(leaves: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from lorequarry.llm import warc
+from lorequarry.llm import queries, warc
 
 PAGES = "page_id long, url string, html string, digest string"
 
@@ -55,3 +55,15 @@ def test_odd_rows(spark):
     odd = [(None, None, None), (None, "a", ""), (1, "b", "x" * 200_000), (1, "b", "x" * 200_000)]
     assert located(spark, odd, odd) == []
     assert located(spark, [], []) == [] and located(spark, odd, []) == [(-1, 0), (-1, 1), (0, 0), (0, 1)]
+
+
+def test_query_keeps_rows_without_id(spark, tmp_path):
+    ids = [None, None, -1, 0, None, 5000]
+    pages(spark, [(i, f"u{k}", f"<p>{k}</p>") for k, i in enumerate(ids)]).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op5_warc_fixity(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"] is None, r["page_id"] or 0, r["file_id"]) for r in rows if r["page_id"] is not None) == [(False, -1, -1), (False, 0, 0), (False, 5000, 1)]
+    none = [r for r in rows if r["page_id"] is None]
+    assert sorted(r["ord"] for r in none) == [0, 1, 2] and {r["file_id"] for r in none} == {None} and len({r["root"] for r in none}) == 1
+    assert all(r["corrupt"] <= (r["root"] != r["replica_root"]) for r in rows)
+    both = pages(spark, [(None, "u", "a"), (-1, "v", "b")])
+    assert warc.audit(warc.records(both), warc.records(both)).count() == 0
