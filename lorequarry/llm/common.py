@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints"
+ONE_MACHINE = "/tmp/checkpoints"  # where spark.checkpoint.dir is unset and driver and executors are one process, as in tests
 
 # Rows of whole texts that go to Python at once; Spark's own default is ten times as many.
 BATCH_ROWS = 1000
@@ -33,26 +34,55 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     session for what reads whole texts in Python."""
     bounded_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = ONE_MACHINE
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
-    """Cuts the lineage: the rows as a table in the shared folder, and where it is."""
-    path = shared_folder(df.sparkSession, purpose)
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    """Cuts the lineage: the rows as a table in a folder."""
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    return written_at(df, purpose)[0]
+    """Cuts the lineage: the rows as a table of its own in the shared folder."""
+    return written_at(df, shared_folder(df.sparkSession, purpose))
+
+
+class Scratch:
+    """The intermediate tables of one run. They lie in one shared folder, which goes at the end of the run; what
+    result() has written stays."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose, self.folder = spark, purpose, shared_folder(spark, purpose)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written_at(df, f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}")
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that nothing will read again."""
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(self.spark, folder)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return written(df, f"{self.purpose}-result")
 
 
 def remove(spark: SparkSession, path: str) -> None:

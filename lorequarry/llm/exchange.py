@@ -1,34 +1,46 @@
 """Corpus-wide counts by exchanging packed arrays instead of rows.
 
-A block holds some MB of whole documents. For counting, a block sends each bucket of the key space one
-row: its own distinct keys, sorted, with their counts. A bucket adds up what all blocks sent and answers
-each block with one row: the totals in the order of the block's keys. A key that a third of all rows
-hold therefore counts once for each block, and a bucket's size is bounded by the number of buckets,
-which grows with the input.
-
-Keys are 64-bit hashes. A bucket takes the highest bits, so the sorted keys of a block fall into
-consecutive slices; ``bits`` below 64 keep only the lowest bits of the rest.
+A block holds some MB of whole documents. For counting, a block sends each route of the key space that
+it has keys in one row: its own distinct keys, sorted, with their counts. Where a route is small enough
+for one task, it is a bucket: its task adds up what all blocks sent and answers each block with one row,
+the totals in the order of the block's keys. Where it is not, up to MERGED rows of a route at a time are
+merged into one sorted array, which is sent on to the finer routes of the next level, and the answers
+come back the same way. A block sends ROUTES rows at most on each level, whatever the size of the corpus,
+so rows and loops grow with the input times the number of levels, which is the logarithm of the number of
+buckets. A key that a third of all rows hold counts once for each block, and beyond the first level once
+for each merged array.
+
+Keys are 64-bit hashes. Routes take the highest bits, so the sorted keys of a block fall into consecutive
+slices; ``bits`` below 64 keep only the lowest bits of the rest, on the last level. Totals have 64 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import prod
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lorequarry.llm.common import give_back
+from lorequarry.llm.common import give_back, written
 
 BLOCK_CHARS = 4 << 20
 BUCKET_KEYS = 1 << 20
+ROUTES = 256  # of one level
+MERGED = 256  # rows of a route that are merged before they go on
+KIND = 1 << 40  # routes of one kind of keys; kinds are counted apart
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio, odd
 
-SENT = "bucket int, block long, keys binary, counts binary"
-ANSWER = "block long, bucket int, totals binary, met long"
+SENT = "bucket long, block long, keys binary, counts binary"
+ANSWER = "block long, bucket long, totals binary, met long"
+SENT_TYPE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWER_TYPE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("met", pa.int64())])
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -86,14 +98,40 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def bucket_count(keys: int) -> int:
-    return max(8, -(-keys // BUCKET_KEYS))
+@dataclass(frozen=True)
+class Plan:
+    """How keys are routed: the fan of each level and the blocks there are."""
 
+    fans: tuple[int, ...]
+    blocks: int
+    bits: tuple[int, ...] = (64,)  # of the keys of each kind on the last level
 
-def slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys; one more than there are buckets."""
-    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    @classmethod
+    def of(cls, keys: int, blocks: int, bits: tuple[int, ...] = (64,)) -> Plan:
+        buckets, fans = max(8, -(-keys // BUCKET_KEYS)), []
+        while buckets > ROUTES:
+            fans.append(ROUTES)
+            buckets = -(-buckets // ROUTES)
+        return cls((*fans, buckets), blocks, bits)
+
+    def routes(self, level: int = 0) -> int:
+        return prod(self.fans[: level + 1])
+
+    def width(self, kind: int, level: int = 0) -> int:
+        return self.bits[min(kind, len(self.bits) - 1)] if level + 1 == len(self.fans) else 64
+
+
+def slices(keys: np.ndarray, routes: int) -> Iterator[tuple[int, int, int]]:
+    """Route, begin and end of each slice of sorted keys that is not empty."""
+    if not len(keys):
+        return
+    if routes < 1 << 32:
+        of = (keys >> np.uint64(32)) * np.uint64(routes) >> np.uint64(32)
+    else:
+        raise ValueError("more routes than the high half of a key tells apart")
+    cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+    begin = np.concatenate([[0], cut])
+    yield from zip(of[begin].tolist(), begin.tolist(), [*cut.tolist(), len(keys)], strict=True)
 
 
 def narrow(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -101,55 +139,83 @@ def narrow(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys if bits == 64 else keys & np.uint64((1 << bits) - 1)
 
 
-def send(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, bits: int, first: int = 0) -> Iterator[dict]:
-    """Rows of SENT for the sorted distinct keys of a block; ``first`` is the number of the first bucket."""
-    cut = slices(keys, buckets)
-    for b in range(buckets):
-        part, own = narrow(keys[cut[b] : cut[b + 1]], bits), counts[cut[b] : cut[b + 1]]
-        if len(part):
-            order = np.argsort(part, kind="stable") if bits < 64 else slice(None)
-            yield {"bucket": first + b, "block": block, "keys": pack_sorted(part[order]), "counts": pack(own[order].astype(np.uint32))}
+def send(plan: Plan, block: int, keys: np.ndarray, counts: np.ndarray, kind: int = 0, level: int = 0) -> Iterator[dict]:
+    """Rows of SENT for the sorted distinct keys of a block, one for each route that it has keys in."""
+    bits = plan.width(kind, level)
+    for route, a, z in slices(keys, plan.routes(level)):
+        part, own = narrow(keys[a:z], bits), counts[a:z]
+        order = np.argsort(part, kind="stable") if bits < 64 else slice(None)
+        yield {"bucket": kind * KIND + route, "block": block, "keys": pack_sorted(part[order]), "counts": pack(own[order].astype(np.uint64))}
 
 
-def answers(keys: np.ndarray, buckets: int, bits: int, rows: dict[int, bytes], first: int = 0) -> np.ndarray:
+def answers(plan: Plan, keys: np.ndarray, rows: dict[int, bytes], kind: int = 0, level: int = 0) -> np.ndarray:
     """Totals in the order of a block's sorted keys, from the rows of ANSWER by bucket."""
-    cut, out = slices(keys, buckets), np.zeros(len(keys), np.int64)
-    for b in range(buckets):
-        a, z = cut[b], cut[b + 1]
-        if z > a:
-            got = unpack(rows[first + b], np.uint32)
-            if bits < 64:
-                back = np.empty(z - a, np.int64)
-                back[np.argsort(narrow(keys[a:z], bits), kind="stable")] = got
-                got = back
-            out[a:z] = got
+    out, bits = np.zeros(len(keys), np.int64), plan.width(kind, level)
+    for route, a, z in slices(keys, plan.routes(level)):
+        got = unpack(rows[kind * KIND + route], np.uint64).astype(np.int64)
+        if bits < 64:
+            back = np.empty(z - a, np.int64)
+            back[np.argsort(narrow(keys[a:z], bits), kind="stable")] = got
+            got = back
+        out[a:z] = got
     return out
 
 
-def totals(sent: DataFrame) -> DataFrame:
-    """Rows of ANSWER: for each block and bucket the totals, and in one row of a bucket its keys of a total above 0."""
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All distinct keys, their sums, and the place of every key of every part among them."""
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(every), np.uint64)
+    np.add.at(sums, place, np.concatenate(counts))
+    return every, sums, place
+
+
+def _parts(group: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [unpack_sorted(k.as_py(), np.uint64) for k in group["keys"]], [unpack(c.as_py(), np.uint64) for c in group["counts"]]
+
+
+def _answered(group: pa.Table, totals: np.ndarray, ends: np.ndarray, met: int) -> pa.Table:
+    return pa.table(
+        {
+            "block": group["block"].combine_chunks(), "bucket": group["bucket"].combine_chunks(),
+            "totals": pa.array([pack(t) for t in np.split(totals, ends[:-1])], pa.binary()),
+            "met": pa.array([met] + [0] * (len(ends) - 1), pa.int64()),
+        },
+        schema=ANSWER_TYPE,
+    )
+
+
+def totals(plan: Plan, sent: DataFrame, write: Callable[[DataFrame, str], DataFrame] = written, level: int = 0, blocks: int | None = None) -> DataFrame:
+    """Rows of ANSWER: for each block and bucket the totals, and in one row of a bucket its keys of a total above 0.
+    write: keeps the rows of a level that is not the last; blocks: how many send to a route of this level."""
 
-    def run(group: pa.Table) -> pa.Table:
-        blocks, buckets = group["block"].to_pylist(), group["bucket"].to_pylist()
-        keys = [unpack_sorted(k.as_py(), np.uint64) for k in group["keys"]]
-        counts = [unpack(c.as_py(), np.uint32) for c in group["counts"]]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-        total = np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)[place]
-        ends = np.cumsum([len(k) for k in keys])
-        met = [int((sums > 0).sum())] + [0] * (len(keys) - 1)
+    def bucket(group: pa.Table) -> pa.Table:
+        keys, counts = _parts(group)
+        every, sums, place = added(keys, counts)
+        out = _answered(group, sums[place], np.cumsum([len(k) for k in keys]), int((sums > 0).sum()))
         del every, place, sums, counts
         give_back()
-        return pa.table(
-            {
-                "block": pa.array(blocks, pa.int64()),
-                "bucket": pa.array(buckets, pa.int32()),
-                "totals": pa.array([pack(t) for t in np.split(total, ends[:-1])], pa.binary()),
-                "met": pa.array(met, pa.int64()),
-            }
-        )
-
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
+        return out
+
+    if level + 1 == len(plan.fans):
+        return sent.groupBy("bucket").applyInArrow(bucket, ANSWER)
+
+    def onward(group: pa.Table) -> pa.Table:
+        every, sums, _ = added(*_parts(group))
+        kind = group["bucket"][0].as_py() // KIND
+        return pa.Table.from_pylist(list(send(plan, group["up"][0].as_py(), every, sums, kind, level + 1)), schema=SENT_TYPE)
+
+    def back(group: pa.Table, found: pa.Table) -> pa.Table:
+        keys, counts = _parts(group)
+        every, _, place = added(keys, counts)
+        by = dict(zip(found["bucket"].to_pylist(), (t.as_py() for t in found["totals"]), strict=True))
+        total = answers(plan, every, by, group["bucket"][0].as_py() // KIND, level + 1).astype(np.uint64)
+        return _answered(group, total[place], np.cumsum([len(k) for k in keys]), sum(found["met"].to_pylist()))
+
+    # so many parts of a route that some MERGED rows meet in one array; these arrays are the blocks of the next level
+    parts = max(1, -(-(blocks or plan.blocks) // MERGED))
+    keyed = write(sent.withColumn("up", F.col("bucket") * parts + F.pmod(F.xxhash64("block"), F.lit(parts))), "exchange")
+    below = totals(plan, keyed.groupBy("up").applyInArrow(onward, SENT), write, level + 1, parts)
+    return keyed.groupBy("up").cogroup(below.groupBy("block")).applyInArrow(back, ANSWER)
 
 
 def record_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:

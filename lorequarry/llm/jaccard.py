@@ -17,11 +17,13 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two document
    only pairs of different components are bounded by bit counts; what passes is compared exactly.
 5. Components of both kinds of links give component_id.
 
+Sets are kept by row and not by id, so that every text of an id has its links.
+
 Defined results: null, empty and blank texts have empty sets and are components of their own; texts of
-fewer words than a shingle are one shingle; rows without id keep their size and have no component; rows
-of equal id give one row: with different texts, its smallest size, and links by one of the texts and the
-copies of the others; ties have no influence, since components do not depend on order; extra columns
-are ignored; an empty table gives an empty result.
+fewer words than a shingle are one shingle; very long texts are read whole; rows without id keep their
+size, link nothing and have no component; rows of one id give one row: with different texts its smallest
+size, the links of all of them, and one component, which they join; ties have no influence, since
+components do not depend on order; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm import exchange as X
-from lorequarry.llm.common import give_back, keyed_texts, remove, spread, text_batches, written, written_at
+from lorequarry.llm.common import Scratch, give_back, keyed_texts, spread, text_batches
 
 SHINGLE, PERCENT = 5, 75
 BLOCK_CHARS = 2 << 20
@@ -45,7 +47,7 @@ SIGNATURE = 1024  # bits
 CHUNK = 512  # documents of a tile that are compared at once
 
 BLOCKS = "block long, ids binary, named binary, tokens binary, lengths binary, vocabulary binary, n_keys long"
-SUSPECTS = "doc_id long, set_key string, n int, rare int, shingles binary, ranks binary"
+SUSPECTS = "doc_id long, row long, set_key string, n int, rare int, shingles binary, ranks binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
 
 
@@ -152,20 +154,26 @@ def block_sets(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.frombuffer(row["ids"], np.int64), shingle_sets(words, starts, lengths)
 
 
-def _sending(buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
+def _sending(plan: X.Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, sets = block_sets(row)
                 keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-                yield X.record_batch(list(X.send(row["block"], keys, counts, buckets, KEY_BITS)), schema)
+                yield X.record_batch(list(X.send(plan, row["block"], keys, counts)), X.SENT_TYPE)
 
     return run
 
 
-def _suspecting(buckets: int):
+def row_id(block: int, place: int) -> int:
+    """A number for each row: 27 bits of the partition, 20 of the block there, 16 of the place in the block."""
+    partition, number = block >> 32, block & 0xFFFFFFFF
+    if partition >= 1 << 27 or number >= 1 << 20 or place >= 1 << 16:
+        raise ValueError("more partitions, blocks or rows than a row number holds")
+    return partition << 36 | number << 16 | place
+
+
+def _suspecting(plan: X.Plan):
     """All documents of a block by id, size and set; shingles and their corpus counts only of suspects."""
     schema = arrow_schema(SUSPECTS)
 
@@ -175,18 +183,19 @@ def _suspecting(buckets: int):
         for row in left.to_pylist():
             ids, sets = block_sets(row)
             keys = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-            total = X.answers(keys, buckets, KEY_BITS, by)
+            total = X.answers(plan, keys, by)
             named = np.frombuffer(row["named"], bool).tolist()
-            for ident, known, own in zip(ids.tolist(), named, sets, strict=True):
+            for place, (ident, known, own) in enumerate(zip(ids.tolist(), named, sets, strict=True)):
                 df = total[np.searchsorted(keys, own)]
                 shared = df > 1
-                one = {"doc_id": ident if known else None, "set_key": None, "n": len(own), "rare": None, "shingles": None, "ranks": None}
+                one = {"doc_id": ident if known else None, "row": None, "set_key": None, "n": len(own), "rare": None, "shingles": None, "ranks": None}
                 if known and len(own) and int(shared.sum()) >= needed(len(own)):
                     one |= {
+                        "row": row_id(row["block"], place),
                         "set_key": xxhash.xxh3_128_hexdigest(own.tobytes()),
                         "rare": int((~shared).sum()),
                         "shingles": own[shared].tobytes(),
-                        "ranks": np.minimum(df[shared], 0xFFFFFFFF).astype(np.uint32).tobytes(),
+                        "ranks": np.minimum(df[shared], 0xFFFFFFFF).astype(np.uint32).tobytes(),  # an order only; ties go by shingle
                     }
                 out.append(one)
         table = pa.Table.from_pylist(out, schema=schema)
@@ -242,11 +251,11 @@ ROWS_A_TASK = 20_000  # postings that a task of tiles is dealt for
 
 
 class Rows:
-    """Rows of tiles as arrays: doc_id, n, m (shared shingles), component, side and the words of the signature.
+    """Rows of tiles as arrays: row, n, m (shared shingles), component, side and the words of the signature.
     Side 0 is the left chunk, 1 the right one; rows of a tile that is its own right side are on side 2."""
 
     def __init__(self, table: pa.Table):
-        self.ids, self.n, self.m, self.component, self.side = (table[c].to_numpy() for c in ("doc_id", "n", "m", "component", "side"))
+        self.ids, self.n, self.m, self.component, self.side = (table[c].to_numpy() for c in ("row", "n", "m", "component", "side"))
         self.sig = np.frombuffer(b"".join(s.as_py() for s in table["signature"]), np.uint64).reshape(len(self.ids), -1)
 
     def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -322,23 +331,27 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """doc_id and component (its smallest id) of every document with a link. links: a, b.
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and component (its smallest node) of every node with a link. links: a, b.
 
-    Each round hangs every document on the smallest neighbour of its neighbours, after each partition
-    has reduced its own links to stars; the rounds grow with the logarithm of the longest chain."""
-    edges = written(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
+    Each round hangs every node on the smallest neighbour of its neighbours, after each partition has reduced its
+    own links to stars; the rounds grow with the logarithm of the longest chain. The smallest neighbours are a
+    table, so that the links of a node with very many can be split in the join with it."""
+    edges = scratch.written(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        # every neighbour of a document hangs on the smallest one around it
+        smallest = scratch.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "smallest")
+        # every neighbour of a node hangs on the smallest one around it
         moved = both.join(smallest, "a").select(F.col("root").alias("a"), "b").union(smallest.select(F.col("root").alias("a"), F.col("a").alias("b")))
-        after = written(moved.where("a <> b").distinct().repartition("b").mapInArrow(_forest, "a long, b long"), "links")
-        # done when every document hangs on one root that hangs on nothing
+        after = scratch.written(moved.where("a <> b").distinct().repartition("b").mapInArrow(_forest, "a long, b long"), "edges")
+        # done when every node hangs on one root that hangs on nothing
         open_ends = after.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-        loose = open_ends.where("lo <> hi").select("b").union(after.select(F.col("a").alias("b")).join(after.select("b"), "b", "left_semi"))
-        if loose.isEmpty():
-            return after.distinct().select(F.col("b").alias("doc_id"), F.col("a").alias("component")).union(after.select(F.col("a").alias("doc_id"), F.col("a").alias("component")).distinct())
+        loose = open_ends.where("lo <> hi").select("b").union(after.select(F.col("a").alias("b")).distinct().join(after.select("b"), "b", "left_semi"))
+        done = loose.isEmpty()
+        scratch.drop(smallest)
+        scratch.drop(edges)
+        if done:
+            return after.distinct().select(F.col("b").alias("node"), F.col("a").alias("component")).union(after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         edges = after
 
 
@@ -347,49 +360,64 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    stored, folder = written_at(blocks(docs), "jaccard-blocks")
-    total = stored.agg(F.sum("n_keys")).first()[0] or 0
-    buckets = X.bucket_count(int(total))
-    answer = X.totals(stored.mapInArrow(_sending(buckets), X.SENT)).select("block", "bucket", "totals")
-    found = stored.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_suspecting(buckets), SUSPECTS)
-    every = written(found, "jaccard-sets")
-    remove(docs.sparkSession, folder)  # all that is needed of the blocks is in every now
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        return scratch.result(_near_duplicates(docs, scratch))
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    stored = scratch.written(blocks(docs), "blocks")
+    size = stored.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("keys"), F.count("*").alias("blocks")).first()
+    plan = X.Plan.of(int(size["keys"]), int(size["blocks"]), (KEY_BITS,))
+    answer = X.totals(plan, stored.mapInArrow(_sending(plan), X.SENT), scratch.written).select("block", "bucket", "totals")
+    found = stored.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_suspecting(plan), SUSPECTS)
+    every = scratch.written(found, "sets")
+    scratch.drop(stored)  # all that is needed of the blocks is in every now
     suspects = every.where("set_key is not null")
-    # classes of equal sets: the smallest document carries the set
-    members = suspects.select("doc_id", "set_key", "n")
-    # as a table, so that a class of very many copies can be split in the joins with it
-    classes = written(members.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    chosen = classes.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
-    heads = written(suspects.join(chosen, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "rare", "shingles", "ranks"), "jaccard-heads")
-
-    stars = written(_star_links(heads), "jaccard-stars")
-    joined = components(stars)
+    # classes of equal sets: one row carries the set. As a table, so that a class of very many copies can be split in joins with it
+    members = suspects.select("doc_id", "row", "set_key")
+    classes = scratch.written(members.groupBy("set_key").agg(F.min("row").alias("head"), F.min("doc_id").alias("low")), "classes")
+    heads = scratch.written(suspects.join(classes.select(F.col("head").alias("row")), "row", "left_semi").select("row", "n", "rare", "shingles", "ranks"), "heads")
+
+    stars = scratch.written(_star_links(heads, scratch).union(_same_id_links(members, classes)), "stars")
+    joined = scratch.written(components(stars, scratch), "joined")
     # written, or the next stage would run two Python operators, and each executor keep four workers instead of two
-    late = written(_late_links(heads, joined), "jaccard-late")
-    whole = components(stars.union(late))
-    copies = members.join(classes.withColumnRenamed("doc_id", "head"), "set_key").select("doc_id", "head")
-    rooted = copies.join(whole.withColumnRenamed("doc_id", "head"), "head", "left").select("doc_id", F.coalesce("component", "head").alias("component"))
-    own = rooted.groupBy("doc_id").agg(F.min("component").alias("component"))
+    late = scratch.written(_late_links(heads, joined, scratch), "late")
+    whole = components(stars.union(late), scratch)
+    # the smallest id of each component, then of each class
+    rooted = scratch.written(classes.join(whole.withColumnRenamed("node", "head"), "head", "left").select("set_key", "low", F.coalesce("component", "head").alias("root")), "rooted")
+    lows = scratch.written(rooted.groupBy("root").agg(F.min("low").alias("component")), "lows")
+    named_sets = scratch.written(rooted.join(lows, "root").select("set_key", "component"), "components")
+    own = members.join(named_sets, "set_key").groupBy("doc_id").agg(F.min("component").alias("component"))
     named = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("n").cast("long").alias("n_shingles"))
     sizes = named.unionByName(every.where("doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles")))
     return sizes.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _star_links(heads: DataFrame) -> DataFrame:
+def _same_id_links(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links among the classes of the texts of one id, each with one of them."""
+    several = members.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one <> other").select("doc_id", "one")
+    pairs = members.join(several, "doc_id").where("set_key <> one").select("set_key", "one").distinct()
+    heads = classes.select("set_key", "head")
+    first = pairs.join(heads, "set_key").select(F.col("head").alias("a"), F.col("one").alias("set_key"))
+    return first.join(heads, "set_key").select("a", F.col("head").alias("b"))
+
+
+def _star_links(heads: DataFrame, scratch: Scratch) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, k, key) for i, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, key in enumerate(star_keys(np.frombuffer(s.as_py(), np.uint64)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "star", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["row", "star", "key"])
 
-    keyed = written(heads.select("doc_id", "shingles").mapInArrow(keys, "doc_id long, star int, key long"), "jaccard-keys")
-    leaders = keyed.groupBy("star", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    pairs = keyed.join(leaders, ["star", "key"]).where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    keyed = scratch.written(heads.select("row", "shingles").mapInArrow(keys, "row long, star int, key long"), "keys")
+    # a table, so that a star of very many rows can be split in the join with it
+    leaders = scratch.written(keyed.groupBy("star", "key").agg(F.min("row").alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
+    pairs = keyed.join(leaders, ["star", "key"]).where("row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
     return _verified(pairs, heads)
 
 
 def _verified(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    sets = heads.select("doc_id", "n", "shingles")
-    sides = [sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab"]
+    sets = heads.select("row", "n", "shingles")
+    sides = [sets.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab"]
     # sets of sizes too far apart go before their arrays are read
     sized = pairs.join(sides[0].select("a", "na"), "a").join(sides[1].select("b", "nb"), "b")
     near = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b")
@@ -397,7 +425,7 @@ def _verified(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare_star, "a long, b long")
 
 
-def _late_links(heads: DataFrame, joined: DataFrame) -> DataFrame:
+def _late_links(heads: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
     spark = heads.sparkSession
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +437,7 @@ def _late_links(heads: DataFrame, joined: DataFrame) -> DataFrame:
                 own = s[prefix(s, r, n[k], rare[k])].view(np.int64)
                 ids.append(np.full(len(own), ident, np.int64))
                 tokens.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], ["doc_id", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], ["row", "token"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,25 +445,26 @@ def _late_links(heads: DataFrame, joined: DataFrame) -> DataFrame:
             n = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([band(x) for x in n], pa.int32()), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "m", "band", "signature"],
+                ["row", "n", "m", "band", "signature"],
             )
 
-    posted = heads.select("doc_id", "n", "rare", "shingles", "ranks").mapInArrow(post, "doc_id long, token long")
-    placed = written(posted.join(joined, "doc_id", "left").select("doc_id", "token", F.coalesce("component", "doc_id").alias("component")), "jaccard-posts")
+    posted = heads.select("row", "n", "rare", "shingles", "ranks").mapInArrow(post, "row long, token long")
+    placed = scratch.written(posted.join(joined.withColumnRenamed("node", "row"), "row", "left").select("row", "token", F.coalesce("component", "row").alias("component")), "posts")
     # shingles whose documents are all in one component already need no tile
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    split = scratch.written(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "split")
     kept = placed.join(split, "token", "left_semi")
-    about = heads.select("doc_id", "n", "shingles").mapInArrow(describe, "doc_id long, n int, m int, band int, signature binary")
-    rows = kept.join(about.select("doc_id", "band"), "doc_id")
+    about = heads.select("row", "n", "shingles").mapInArrow(describe, "row long, n int, m int, band int, signature binary")
+    rows = kept.join(about.select("row", "band"), "row")
     # each document is in the tile of its band, and on the lower side of the tile of the next band
-    sided = rows.select("doc_id", "token", "component", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(False).alias("lower")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("lower")))).alias("t"))
-    tiles = sided.select("doc_id", "token", "component", "t.band", "t.lower")
-    sizes = tiles.groupBy("token", "band").agg(
+    sided = rows.select("row", "token", "component", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(False).alias("lower")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("lower")))).alias("t"))
+    tiles = scratch.written(sided.select("row", "token", "component", "t.band", "t.lower"), "tiles")
+    # the sizes are a table, so that a tile of very many rows can be split in the join with it
+    sizes = scratch.written(tiles.groupBy("token", "band").agg(
         F.sum(F.when(~F.col("lower"), 1).otherwise(0)).alias("size"), F.sum(F.when(F.col("lower"), 1).otherwise(0)).alias("lower_size"),
         F.min("component").alias("lo"), F.max("component").alias("hi"),
-    ).where("size > 0 and lo <> hi").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("lower_chunks", F.ceil(F.col("lower_size") / CHUNK).cast("int")).drop("lo", "hi")
+    ).where("size > 0 and lo <> hi").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("lower_chunks", F.ceil(F.col("lower_size") / CHUNK).cast("int")).drop("lo", "hi"), "sizes")
     cut = tiles.join(sizes, ["token", "band"])
-    chunk = F.pmod(F.xxhash64("doc_id"), F.when(F.col("lower"), F.greatest("lower_chunks", F.lit(1))).otherwise(F.col("chunks")).cast("long")).cast("int")
+    chunk = F.pmod(F.xxhash64("row"), F.when(F.col("lower"), F.greatest("lower_chunks", F.lit(1))).otherwise(F.col("chunks")).cast("long")).cast("int")
     cell = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
     across = F.sequence(F.lit(0), F.col("chunks") - 1)
     own = F.transform(across, lambda y: F.when(y == F.col("chunk"), cell(y, y, 2)).when(y > F.col("chunk"), cell(F.col("chunk"), y, 0)).otherwise(cell(y, F.col("chunk"), 1)))
@@ -444,33 +473,32 @@ def _late_links(heads: DataFrame, joined: DataFrame) -> DataFrame:
     cells = (
         cut.withColumn("chunk", chunk)
         .withColumn("cell", F.explode(F.when(F.col("lower"), lower).when(F.col("lower_size") > 0, F.concat(own, right_of)).otherwise(own)))
-        .select("doc_id", "component", "token", "band", "cell.x", "cell.y", "cell.side")
+        .select("row", "component", "token", "band", "cell.x", "cell.y", "cell.side")
     )
-    filled = cells.join(about.drop("band"), "doc_id")
+    filled = cells.join(about.drop("band"), "row")
     # a task compares many small tiles; their number, not their bytes, says how many tasks are needed
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() // ROWS_A_TASK)
-    dealt = filled.select(*TILE, "doc_id", "component", "side", "n", "m", "signature").repartition(tasks, *TILE).sortWithinPartitions(*TILE)
+    dealt = filled.select(*TILE, "row", "component", "side", "n", "m", "signature").repartition(tasks, *TILE).sortWithinPartitions(*TILE)
     pairs = dealt.mapInArrow(compare_tiles, "a long, b long").distinct()
     return _verified(pairs, heads)
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    """doc_id to set size and component by comparing all pairs; for small fixtures."""
-    sets = {}
-    for ident, text in docs:
+    """doc_id to its smallest set size and component by comparing all pairs of texts; for small fixtures."""
+    sets = []
+    for _, text in docs:
         w = words_of(text or "")
-        sets[ident] = {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))} if w else set()
-    top = {i: i for i in sets}
+        sets.append({tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))} if w else set())
+    top = {i: i for i, _ in docs}
 
     def find(x: int) -> int:
         while top[x] != x:
             x = top[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= PERCENT * len(sets[a] | sets[b]):
+    for k, (a, _) in enumerate(docs):
+        for j, (b, _) in enumerate(docs[:k]):
+            if sets[k] and sets[j] and 100 * len(sets[k] & sets[j]) >= PERCENT * len(sets[k] | sets[j]):
                 x, y = find(a), find(b)
                 top[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (min(len(s) for (j, _), s in zip(docs, sets, strict=True) if j == i), find(i)) for i in top}

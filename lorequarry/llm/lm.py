@@ -8,13 +8,12 @@ give, (bucket, probability of each order), is put on a logarithmic grid and summ
 grid bounds what reaches the driver, and EM runs there.
 
 Counts are exchanged in packed arrays (see exchange): blocks of whole documents send their distinct
-n-grams once, and get their totals back. Words are told apart by 64-bit hashes, so unigram counts are
-exact; longer n-grams use GRAM_BITS bits in each bucket, where two of a million n-grams meet by chance
-about once, which only blurs an estimate.
+n-grams once, and get their totals back, of any size. Words and n-grams are told apart by 64-bit hashes.
 
-Defined results: a null or empty text is the end token alone; without training rows every count is 0
-and the uniform share is all there is; repeated rows count and are scored each; extra columns are
-ignored; an empty table gives an empty result.
+Defined results: a null or empty text is the end token alone; a very long text is a block of its own and
+is scored whole; without training rows every count is 0 and the uniform share is all there is; repeated
+rows count and are scored each, also those of one id with different texts; ties have no influence, since
+nothing is ordered; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm import exchange as X
-from lorequarry.llm.common import give_back, keyed_texts, spread, text_batches, written
+from lorequarry.llm.common import Scratch, give_back, keyed_texts, spread, text_batches
 
 ORDER = 2
 FOLDS, HELD_OUT = 5, 1
 PARTS = 4
-GRAM_BITS = 40
 GRID = 4  # steps of the grid in each power of two
 STEPS = 60
 
@@ -52,7 +50,7 @@ def is_training(key) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % FOLDS != HELD_OUT
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, dealt: bool = True) -> DataFrame:
     """Documents as word numbers, some MB of text in a row; see BLOCKS. To be written before it is used."""
     schema = pa.schema([(x.split()[0], {"long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in BLOCKS.split(", ")])
 
@@ -77,7 +75,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                 schema,
             )
 
-    return spread(keyed_texts(docs)).mapInArrow(run, BLOCKS)
+    rows = keyed_texts(docs)
+    return (spread(rows) if dealt else rows).mapInArrow(run, BLOCKS)
 
 
 class Block:
@@ -106,10 +105,9 @@ class Block:
             gram = X.chained(before, word)
             self.grams.append(np.unique(gram, return_inverse=True))
 
-    def send(self, buckets: int) -> Iterator[dict]:
+    def send(self, plan: X.Plan) -> Iterator[dict]:
         for k, (keys, place) in enumerate(self.grams):
-            own = np.bincount(place[self.learned], minlength=len(keys))
-            yield from X.send(self.block, keys, own, buckets, GRAM_BITS if k else 64, k * buckets)
+            yield from X.send(plan, self.block, keys, np.bincount(place[self.learned], minlength=len(keys)), k)
 
     def estimates(self, totals: list[np.ndarray], corpus: dict, part: int | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """For each token the counts of its contexts by order, probabilities by order and the count of its word,
@@ -140,20 +138,16 @@ def frequency_bucket(contexts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(row, order: int, buckets: int, block: Block) -> list[np.ndarray]:
-    by = dict(zip(row["bucket"].to_pylist(), (t.as_py() for t in row["totals"]), strict=True))
-    return [X.answers(keys, buckets, GRAM_BITS if k else 64, by, k * buckets) for k, (keys, _) in enumerate(block.grams)]
-
-
-def _with_answers(stored: DataFrame, answer: DataFrame, order: int, buckets: int, emit, schema: str) -> DataFrame:
+def _with_answers(stored: DataFrame, answer: DataFrame, order: int, plan: X.Plan, emit, schema: str) -> DataFrame:
     """emit(block, totals) for each block, beside the totals of its n-grams."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        by = dict(zip(right["bucket"].to_pylist(), (t.as_py() for t in right["totals"]), strict=True))
         out = []
         for row in left.to_pylist():
             block = Block(row, order)
-            out.append(emit(block, _answers(right, order, buckets, block)))
-        del block, row
+            out.append(emit(block, [X.answers(plan, keys, by, k) for k, (keys, _) in enumerate(block.grams)]))
+        del block, row, by
         give_back()
         return pa.concat_tables(out)
 
@@ -192,20 +186,25 @@ def mixture(bucket: np.ndarray, uniform: float, shares: list[np.ndarray], weight
     return out
 
 
-def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Scores of every row of docs; see SCORES."""
-    stored = written(blocks(docs), "lm-blocks")
-    corpus = {k: int(v or 0) for k, v in stored.agg(F.sum("n_tokens").alias("all"), F.sum("n_training").alias("tokens"), F.sum("n_documents").alias("documents")).first().asDict().items()}
-    buckets = X.bucket_count(corpus["all"])
-    sent_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+def scores(docs: DataFrame, order: int = ORDER, dealt: bool = True) -> DataFrame:
+    """Scores of every row of docs; see SCORES. dealt: whether a table of few partitions is dealt to all cores."""
+    with Scratch(docs.sparkSession, "lm") as scratch:
+        return scratch.result(_scores(docs, order, dealt, scratch))
+
+
+def _scores(docs: DataFrame, order: int, dealt: bool, scratch: Scratch) -> DataFrame:
+    stored = scratch.written(blocks(docs, dealt), "blocks")
+    sums = stored.agg(F.sum("n_tokens").alias("all"), F.sum("n_training").alias("tokens"), F.sum("n_documents").alias("documents"), F.count("*").alias("blocks"))
+    corpus = {k: int(v or 0) for k, v in sums.first().asDict().items()}
+    plan = X.Plan.of(corpus["all"], corpus["blocks"])
 
     def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield X.record_batch(list(Block(row, order).send(buckets)), sent_schema)
+                yield X.record_batch(list(Block(row, order).send(plan)), X.SENT_TYPE)
 
-    answer = written(X.totals(stored.mapInArrow(sending, X.SENT)), "lm-counts")
-    corpus["types"] = int(answer.where(F.col("bucket") < buckets).agg(F.sum("met")).first()[0] or 0)
+    answer = scratch.written(X.totals(plan, stored.mapInArrow(sending, X.SENT), scratch.written), "counts")
+    corpus["types"] = int(answer.where(F.col("bucket") < X.KIND).agg(F.sum("met")).first()[0] or 0)
     uniform = 1.0 / (corpus["types"] + 1)
 
     def held_out(block: Block, totals: list[np.ndarray]) -> pa.Table:
@@ -221,7 +220,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     grid = ", ".join(f"c{k} long" for k in range(order + 1))
     names = [f"c{k}" for k in range(order + 1)]
-    cells = _with_answers(stored, answer, order, buckets, held_out, grid + ", n long").groupBy(*names).agg(F.sum("n").alias("n")).collect()  # bounded by the grid
+    cells = _with_answers(stored, answer, order, plan, held_out, grid + ", n long").groupBy(*names).agg(F.sum("n").alias("n")).collect()  # bounded by the grid
     floor = float(np.log2(uniform))
     weights = expectation_maximisation([(r["c0"], floor, *(r[c] for c in names[1:]), r["n"]) for r in cells], order)
 
@@ -242,4 +241,4 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             }
         )
 
-    return _with_answers(stored, answer, order, buckets, scoring, SCORES)
+    return _with_answers(stored, answer, order, plan, scoring, SCORES)

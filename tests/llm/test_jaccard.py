@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from lorequarry.llm import jaccard as J
+from lorequarry.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, component_id string, n int"
 
@@ -46,7 +48,7 @@ def test_against_all_pairs(spark):
 def test_small_chunks_and_no_stars_give_the_same(spark, monkeypatch):
     docs = corpus()
     monkeypatch.setattr(J, "CHUNK", 3)
-    monkeypatch.setattr(J, "_star_links", lambda heads: heads.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(J, "_star_links", lambda heads, scratch: heads.sparkSession.createDataFrame([], "a long, b long"))
     assert result(spark, docs) == J.brute_force(docs)
 
 
@@ -65,6 +67,22 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == sorted([(1, 2, 1), (2, 2, 1), (None, 2, None), (None, 0, None)], key=str)
 
 
+def test_all_texts_of_an_id_link(spark):
+    text = " ".join(f"a{k}" for k in range(40))
+    other = " ".join(f"b{k}" for k in range(50))
+    rows = [(5, text), (5, other), (1, text + " one"), (9, other + " nine"), (7, "c d e f g h"), (7, None), (8, "c d e f g h"), (3, "q r s t u v"), (3, "q r s t u v w")]
+    assert result(spark, rows) == J.brute_force(rows)
+    assert [J.brute_force(rows)[i][1] for i in (1, 5, 9, 7, 8)] == [1, 1, 1, 7, 7]
+
+
+def test_nothing_but_the_result_is_left(spark):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    assert result(spark, corpus()[:20])
+    left = set(os.listdir(base)) - before
+    assert len(left) == 1 and left.pop().startswith("jaccard-result-")
+
+
 def test_a_very_long_text(spark):
     long = " ".join(f"t{k % 5000}x{k}" for k in range(60_000))
     docs = [(1, long), (2, long + " tail"), (3, long[: len(long) // 2])]
@@ -90,7 +108,8 @@ def test_thresholds(a, b, i):
 @pytest.mark.parametrize("links", [[], [(1, 2)], [(k, k + 1) for k in range(1, 60)], [(1, k) for k in range(2, 50)] + [(70, 71), (49, 70)]])
 def test_components(spark, links):
     frame = spark.createDataFrame(links, "a long, b long").repartition(5)
-    got = {r["doc_id"]: r["component"] for r in J.components(frame).collect()}
+    with Scratch(spark, "components") as scratch:
+        got = {r["node"]: r["component"] for r in J.components(frame, scratch).collect()}
     top: dict[int, int] = {}
     for a, b in links:
         top.setdefault(a, a), top.setdefault(b, b)
