@@ -14,9 +14,11 @@ Phrases are windows of WINDOW words of each item, or the whole item if it has fe
 tasks in blocks of at most PHRASE_BYTES of benchmark text; a larger benchmark takes several passes
 over the shards, whose spans are merged by document afterwards.
 
-Defined results: null or wordless texts have no words and no hits; items without words have no
-windows; repeated rows and items count each for themselves; extra columns are ignored; an empty
-benchmark leaves all documents clean; an empty table gives an empty result.
+Defined results: null or wordless texts have no words and no hits; very long texts are searched whole;
+items without words have no windows; items without id are searched like others, hit and contaminate, count
+together as one item and leave items_sha256 as it is; items of one id count as one, repeated rows of
+documents each for themselves, also those without id; ties have no influence, since spans are merged;
+extra columns are ignored; an empty benchmark leaves all documents clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -210,12 +212,12 @@ class Phrases:
     bits: int
     windows: np.ndarray
     lengths: np.ndarray
-    owners: list[list[str]]
+    owners: list[list[str | None]]
 
 
-def compile_phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
+def compile_phrases(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phrases:
     numbers: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], dict[str, None]] = {}
+    found: dict[tuple[int, ...], dict[str | None, None]] = {}
     for ident, text in items:
         row = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text or "")]
         for k in range(max(1, len(row) - window + 1) if row else 0):
@@ -227,6 +229,11 @@ def compile_phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phras
     return Phrases(numbers, max(1, len(numbers).bit_length()), windows, lengths, [list(x) for x in found.values()])
 
 
+def by_name(items: set[str | None]) -> list[str | None]:
+    """Sorted as strings, no id first."""
+    return sorted(items, key=lambda i: (i is not None, i or ""))
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Disjoint spans that cover the same places; starts in order."""
     if not len(starts):
@@ -251,7 +258,7 @@ def _shard(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarra
     return index.locate(rows), np.repeat(which, many)
 
 
-def find_spans(docs: list[list[bytes]], phrases: Phrases, bound: int = SHARD_WORDS, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
+def find_spans(docs: list[list[bytes]], phrases: Phrases, bound: int = SHARD_WORDS, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray, list[str | None]]]:
     """For each document the merged word spans and the items found, shard by shard."""
     number = phrases.numbers.get
     hits: list[list[tuple[int, int]]] = [[] for _ in docs]
@@ -288,12 +295,12 @@ def find_spans(docs: list[list[bytes]], phrases: Phrases, bound: int = SHARD_WOR
         found.sort()
         starts = np.array([a for a, _ in found], np.int64)
         lengths = phrases.lengths[np.array([w for _, w in found], np.int64)] if found else starts
-        items = sorted({i for w in {w for _, w in found} for i in phrases.owners[w]})
+        items = by_name({i for w in {w for _, w in found} for i in phrases.owners[w]})
         out.append((*merge_spans(starts, starts + lengths), items))
     return out
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
     spark = docs.sparkSession
     phrases = spark.sparkContext.broadcast(compile_phrases(items, window))  # at most PHRASE_BYTES of text
 
@@ -315,15 +322,15 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     return docs.mapInArrow(run, SPANS)
 
 
-def phrase_blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """Items with ids in blocks of about PHRASE_BYTES; one block unless the benchmark is larger than that."""
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
+def phrase_blocks(benchmark: DataFrame) -> list[list[tuple[str | None, str]]]:
+    """Items in blocks of about PHRASE_BYTES; one block unless the benchmark is larger than that."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     if total <= PHRASE_BYTES:
         return [[tuple(r) for r in bench.collect()]]
-    # ids are dealt by their digest; twice as many blocks as needed keep each within the bound
+    # items are dealt by their digest; twice as many blocks as needed keep each within the bound
     blocks = 2 * -(-total // PHRASE_BYTES)
-    key = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    key = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     return [[tuple(r) for r in bench.where(key == k).collect()] for k in range(blocks)]
 
 
@@ -369,7 +376,7 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             s, e = (np.concatenate([np.asarray(y, np.int64) for y in x]) if len(x) else np.zeros(0, np.int64) for x in (s, e))
             order = np.lexsort((e, s))
             a, b = merge_spans(s[order], e[order])
-            out.append((a.tolist(), b.tolist(), sorted({y for x in i for y in x})))
+            out.append((a.tolist(), b.tolist(), by_name({y for x in i for y in x})))
         return pd.DataFrame(out, columns=["starts", "ends", "items"])
 
     merge = F.pandas_udf(merged, "starts array<long>, ends array<long>, items array<string>")
@@ -386,7 +393,7 @@ def summary(spans: DataFrame) -> DataFrame:
     )
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[tuple]:
     """The same digest by comparing every window with every place; for small fixtures."""
     out = []
     for ident, text in docs:
@@ -398,6 +405,7 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str |
                 for at in range(len(words) - len(part) + 1):
                     if words[at : at + len(part)] == part:
                         hit |= set(range(at, at + len(part)))
-                        found.add(str(item))
-        out.append((ident, len(words), len(hit), len(found), sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+                        found.add(item if item is None else str(item))
+        named = ",".join(sorted(i for i in found if i is not None))
+        out.append((ident, len(words), len(hit), len(found), sha256(named.encode()).hexdigest(), bool(hit)))
     return out

@@ -14,7 +14,7 @@ def corpus():
     rng = random.Random(3)
     word = lambda: rng.choice("the a of is w1 w2 w3 w4 é 7".split())
     items = [(str(k), " ".join(word() for _ in range(n))) for k, n in enumerate((0, 1, 3, 9, 10, 11, 25, 40, 25))]
-    items += [("x", None), ("10", items[6][1]), ("y", "?!")]
+    items += [("x", None), ("10", items[6][1]), ("y", "?!"), (None, items[8][1]), (None, " ".join(word() for _ in range(12)))]
     docs = [(1, None), (2, ""), (3, "..."), (4, "The, A! of")]
     for k in range(40):
         text = " ".join(rng.choice(["junk", "noise", word()]) for _ in range(rng.randrange(1, 60)))
@@ -24,6 +24,7 @@ def corpus():
             text += " " + " ".join(source[at : at + rng.randrange(8, 16)]).upper() + "! " + text
         docs.append((10 + k, text))
     docs.append((99, " ".join([items[6][1]] * 3)))
+    docs.append((98, f"junk {items[-1][1]} junk"))  # held by an item without id alone
     return docs, [i for i in items if i[0] not in ("1", "2")]
 
 
@@ -33,6 +34,7 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id string, text string, doc_id string")
     got = sorted(tuple(r) for r in D.summary(D.removal_spans(frame, bench)).collect())
     assert got == sorted(D.brute_force(docs, items))
+    assert [r[2:4] for r in got if r[0] == 98] == [(12, 1)]
     clean = sorted(r["doc_id"] for r in D.kept(frame, bench).collect())
     assert clean == sorted(r[0] for r in got if not r[5])
     assert D.kept(frame, bench).columns == frame.columns
@@ -52,7 +54,8 @@ def test_short_items_and_empty_tables(spark):
     frame = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([("a", "TWO"), ("b", ""), (None, "one")], "item_id string, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in D.summary(D.removal_spans(frame, bench)).collect()}
-    assert got == {1: (3, 1, 1, True), 2: (1, 1, 1, True), 3: (0, 0, 0, False)}
+    # the item without id hits and counts, as the item that it is
+    assert got == {1: (3, 2, 2, True), 2: (1, 1, 1, True), 3: (0, 0, 0, False)}
     assert D.summary(D.removal_spans(frame, bench.limit(0))).where("contaminated").count() == 0
     assert D.removal_spans(frame.limit(0), bench).count() == 0 and D.kept(frame, bench.limit(0)).count() == 3
 
