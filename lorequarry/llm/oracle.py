@@ -9,10 +9,10 @@ _RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13
 def _replica(name: str, body: str) -> str:
     return f"""
 {name}_rec AS (SELECT page_id, {_RECORD} AS record FROM (SELECT page_id, url, {body} AS body FROM pages)),
-{name}_hash AS (SELECT page_id, CAST(floor(page_id / 4096) AS BIGINT) AS file_id, octet_length(encode(record)) AS n_bytes, sha256(record) AS digest FROM {name}_rec),
+{name}_hash AS (SELECT page_id, (page_id - (page_id % 4096 + 4096) % 4096) // 4096 AS file_id, octet_length(encode(record)) AS n_bytes, sha256(record) AS digest FROM {name}_rec),
 {name}_leaf AS (SELECT page_id, file_id, row_number() OVER w - 1 AS ord, CAST(sum(n_bytes) OVER w AS BIGINT) AS end_offset,
   CAST(sum(n_bytes) OVER w AS BIGINT) - n_bytes AS start_offset, digest FROM {name}_hash
-  WINDOW w AS (PARTITION BY file_id ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  WINDOW w AS (PARTITION BY file_id ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 {name}_1 AS (SELECT file_id, ord // 16 AS node, min(start_offset) AS s, max(end_offset) AS e,
   sha256(min(start_offset) || '-' || max(end_offset) || ',' || string_agg(digest, ',' ORDER BY ord)) AS digest FROM {name}_leaf GROUP BY 1, 2),
 {name}_2 AS (SELECT file_id, node // 16 AS up, min(s) AS s, max(e) AS e,
@@ -20,11 +20,17 @@ def _replica(name: str, body: str) -> str:
 {name}_3 AS (SELECT file_id, sha256(min(s) || '-' || max(e) || ',' || string_agg(digest, ',' ORDER BY up)) AS root FROM {name}_2 GROUP BY 1)"""
 
 
+_DAMAGED = """coalesce(CASE WHEN substring(md5(html), 1, 1) <> '7' THEN html
+  WHEN octet_length(encode(right(html, 1))) > 1 THEN left(html, length(html) - 1)
+  WHEN right(html, 1) = '#' THEN left(html, length(html) - 1) || '$' ELSE left(html, length(html) - 1) || '#' END, '')"""
+
 OP5 = f"""WITH {_replica("a", "coalesce(html, '')")},
-{_replica("b", "coalesce(CASE WHEN substring(md5(html), 1, 1) = '7' THEN left(html, length(html) - 1) ELSE html END, '')")}
+{_replica("b", _DAMAGED)}
 SELECT a.page_id, a.file_id, CAST(a.ord AS BIGINT) AS ord, a.start_offset, a.end_offset, a.digest AS record_sha256, ra.root, rb.root AS replica_root,
-  NOT (a.digest = b.digest AND a.start_offset = b.start_offset AND a.end_offset = b.end_offset) AS corrupt
-FROM a_leaf a JOIN b_leaf b USING (file_id, ord) JOIN a_3 ra USING (file_id) JOIN b_3 rb USING (file_id)"""
+  b.ord IS NULL OR a.digest <> b.digest AS corrupt,
+  b.ord IS NOT NULL AND a.digest = b.digest AND (a.start_offset <> b.start_offset OR a.end_offset <> b.end_offset) AS moved
+FROM a_leaf a LEFT JOIN b_leaf b ON a.file_id IS NOT DISTINCT FROM b.file_id AND a.ord = b.ord
+  JOIN a_3 ra ON a.file_id IS NOT DISTINCT FROM ra.file_id JOIN b_3 rb ON a.file_id IS NOT DISTINCT FROM rb.file_id"""
 
 OP6 = """WITH c AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.llm import bpe, chat, decontam, jaccard, lm, media, rollup, toxicity, warc, wrapper
-from lorequarry.llm.common import Query, fold_remainder, shared_folder, spread, table, written
+from lorequarry.llm.common import Query, Scratch, fold_remainder, shared_folder, spread, table, written
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,22 +30,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of an archive, audited against a replica in which one page in sixteen, by the
-    digest of its html, has lost its last character."""
+    digest of its html, has a damaged last character. A page whose digest is the same at another place has moved."""
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    lost = F.substring(F.md5("html"), 1, 1) == "7"
-    replica = pages.withColumn("html", F.when(lost, F.expr("left(html, length(html) - 1)")).otherwise(F.col("html")))
-    left, right = written(warc.records(pages), "warc"), written(warc.records(replica), "warc")
-    bad = warc.audit(left, right, None).select(F.col("file_id").alias("bad_file"), F.col("node").alias("bad_ord"), F.lit(True).alias("bad"))
-    other = warc.roots(right).select(F.col("file_id").alias("replica_file"), F.col("root").alias("replica_root"))
-    tops = warc.roots(left).withColumnRenamed("file_id", "top_file").join(other, F.expr("top_file <=> replica_file"))
-    return (
-        left.join(bad, F.expr("file_id <=> bad_file AND ord = bad_ord"), "left")
-        .join(tops, F.expr("file_id <=> top_file"))
-        .select(
-            "page_id", "file_id", "ord", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("digest").alias("record_sha256"),
-            "root", "replica_root", F.coalesce("bad", F.lit(False)).alias("corrupt"),
-        )
-    )
+    hurt = F.substring(F.md5("html"), 1, 1) == "7"
+    replica = pages.withColumn("html", F.when(hurt, warc.damaged(F.col("html"))).otherwise(F.col("html")))
+    with Scratch(spark, "warc") as scratch:
+        left, right = (scratch.written(warc.records(x), "records") for x in (pages, replica))
+        mine, theirs = warc.tree(left, scratch), warc.tree(right, scratch)
+        bad = warc.audit(mine, theirs, scratch).select(F.col("file_id").alias("bad_file"), F.col("node").alias("bad_ord"), "moved")
+        tops = [x[-1].select(F.col("file_id").alias(f"{n}_file"), F.col("digest").alias(n)) for x, n in ((mine, "root"), (theirs, "replica_root"))]
+        roots = tops[0].join(tops[1], F.expr("root_file <=> replica_root_file"))
+        found = left.join(bad, F.expr("file_id <=> bad_file AND ord = bad_ord"), "left").join(roots, F.expr("file_id <=> root_file"))
+        return scratch.result(
+            found.select(
+                "page_id", "file_id", "ord", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("digest").alias("record_sha256"),
+                "root", "replica_root", F.coalesce(~F.col("moved"), F.lit(False)).alias("corrupt"), F.coalesce("moved", F.lit(False)).alias("moved"),
+            )
+        )
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
