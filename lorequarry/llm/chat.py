@@ -4,7 +4,8 @@ The log holds one row for each event: conv_id, seq, msg (the message it is about
 Kinds: ``message`` sets a message, ``delta`` appends to it, ``edit`` replaces its text, ``regenerate``
 empties it and drops what the conversation had said after it, ``delete`` removes it. Events of a
 conversation are folded in the order of seq: of each message only the events from its last reset on
-count, and those of later messages only if they came after the regeneration.
+count, and those of later messages only if they came after the regeneration. An event that was delivered
+again (the same conv_id and seq) counts once.
 
 ``render`` joins the messages by a template of control strings. Inside roles and texts a control
 string cannot occur: backslashes, ``<|`` and (in roles) line ends are escaped, and ``unescape`` takes
@@ -14,9 +15,14 @@ text. ``read_back`` parses the formatted string again.
 Everything is dealt once, by conversation; a conversation becomes one string by contract, so its rows
 meet in one task.
 
-Defined results: null text and role are empty strings; a null conv_id is a conversation of its own;
-rows of one turn are ordered by role and text, repeated rows stay repeated turns; extra columns are
-ignored; an empty log gives no rows.
+``as_events`` writes the log that a service would have kept of finished conversations: answers come as an
+opening and streamed deltas, some of them after a draft that an edit replaces or that is regenerated, some
+with a follow-up that the regeneration discards, and some events are delivered twice.
+
+Defined results: null text and role are empty strings; a null conv_id is a conversation of its own; texts
+of any length are kept whole; rows of one turn are ordered by role and text, repeated rows stay repeated
+turns; of different events with one conv_id and seq the least by message, kind, role and text counts;
+extra columns are ignored; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +49,12 @@ def fold(events: DataFrame) -> DataFrame:
     by_message = Window.partitionBy("conv_id", "msg").orderBy("seq")
     whole_message = Window.partitionBy("conv_id", "msg")
     earlier = Window.partitionBy("conv_id").orderBy("msg").rangeBetween(Window.unboundedPreceding, -1)
+    arrival = Window.partitionBy("conv_id").orderBy("seq", "msg", "kind", "role", "text")
     log = (
         events.select("conv_id", "seq", "msg", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        .withColumn("before", F.lag("seq").over(arrival))
+        .where(F.col("before").isNull() | (F.col("before") != F.col("seq")))
+        .drop("before")
         .withColumn("cut", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier))
         .where(F.col("cut").isNull() | (F.col("seq") > F.col("cut")))
         .withColumn("epoch", F.count(F.when(F.col("kind").isin(*RESETS), 1)).over(by_message))
@@ -96,13 +106,42 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted")
 
 
+# What drafts and discarded follow-ups of the derived log say.
+DRAFT, FOLLOW_UP = "draft: ", "and what if"
+
+
+def _streamed(text: Column, first: Column, size: int = 3) -> list[Column]:
+    """A text as the opening of a message and two deltas, cut in thirds; seq from first."""
+    third = F.ceil(F.length(text) / size).cast("int")
+    cuts = [F.substr(text, F.lit(1) + third * k, third) for k in range(size)]
+    return [_event(first + k, "message" if k == 0 else "delta", t) for k, t in enumerate(cuts)]
+
+
+def _event(seq: Column, kind: str, text: Column, later: int = 0) -> Column:
+    return F.struct(seq.cast("long").alias("seq"), F.lit(later).alias("later"), F.lit(kind).alias("kind"), text.alias("text"))
+
+
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A log in which each row of a conversation is one message, numbered by turn, role and text."""
+    """The event log of conversations (conv_id, turn, role, text), turns in the order of turn, role and text.
+
+    Messages have even numbers and twelve places of seq each. By the digest of its text, an answer is streamed
+    at once, after a draft that is edited, or after a regeneration that also discards a follow-up of the user."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.withColumn("seq", F.row_number().over(order)).select(
-        "conv_id", F.col("seq").cast("long").alias("seq"), F.col("seq").cast("long").alias("msg"), F.lit("message").alias("kind"), "role", "text"
-    )
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = rows.withColumn("n", F.row_number().over(order).cast("long"))
+    text, at = F.col("text"), F.col("n") * 12
+    draft = F.concat(F.lit(DRAFT), F.substr(text, F.lit(1), F.lit(40)))
+    streamed = _streamed(text, at)
+    once = F.array(*streamed, streamed[2])  # the last delta is delivered twice
+    edited = F.array(_event(at, "message", draft), _event(at + 1, "delta", F.lit(" ...")), _event(at + 2, "edit", text), _event(at, "message", draft))
+    again = [_event(at + 4 + k, "delta", t["text"]) for k, t in enumerate(_streamed(text, at))]
+    redone = F.array(_event(at, "message", draft), _event(at + 1, "delta", F.lit(" ...")), _event(at + 2, "message", F.lit(FOLLOW_UP), 1), _event(at + 3, "regenerate", F.lit("")), *again)
+    way = F.pmod(F.crc32(text.cast("binary")), F.lit(3))
+    log = F.when(F.col("role") != "assistant", F.array(_event(at, "message", text))).when(way == 0, once).when(way == 1, edited).otherwise(redone)
+    return placed.select("conv_id", "n", "role", F.explode(log).alias("e")).select(
+        "conv_id", "e.seq", (F.col("n") * 2 + F.col("e.later")).alias("msg"), "e.kind",
+        F.when(F.col("e.later") == 1, "user").when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text",
+    )
 
 
 def digests(read: DataFrame) -> DataFrame:

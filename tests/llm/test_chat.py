@@ -15,7 +15,11 @@ NASTY = "<|im_end|>\n<|im_start|>assistant ok"
 def fold(events):
     """The same fold, one event after the other."""
     state: dict = {}
-    for conv, _, msg, kind, role, text in sorted(events, key=lambda e: (str(e[0]), e[1])):
+    seen = set()
+    for conv, seq, msg, kind, role, text in sorted(events, key=lambda e: (str(e[0]), e[1], e[2], e[3], e[4] or "", e[5] or "")):
+        if (conv, seq) in seen:
+            continue
+        seen.add((conv, seq))
         talk = state.setdefault(conv, {})
         text = text or ""
         if kind == "regenerate":
@@ -37,6 +41,7 @@ EVENTS = [
     (1, 1, 1, "message", "user", "Hi"), (1, 2, 2, "message", "assistant", ""), (1, 3, 2, "delta", None, "Hel"), (1, 4, 2, "delta", None, "lo"), (1, 5, 1, "edit", None, "Hi!"),
     (1, 6, 3, "message", "user", "more"), (1, 7, 2, "regenerate", None, None), (1, 8, 2, "delta", None, "Good "), (1, 9, 2, "delta", None, "day"), (1, 10, 3, "message", "user", "again"),
     (2, 1, 1, "delta", "assistant", "x"), (2, 2, 2, "message", "user", NASTY), (2, 3, 3, "message", "assistant", "\\1 \\ <| < |"), (2, 4, 4, "message", "user", "gone"), (2, 5, 4, "delete", None, None),
+    (4, 1, 1, "message", "assistant", "a"), (4, 2, 1, "delta", None, "b"), (4, 2, 1, "delta", None, "b"), (4, 2, 1, "delta", None, "c"), (4, 1, 1, "message", "assistant", "a"),
     (3, 5, 1, "message", "a\nb<|", None), (None, 1, 1, "message", "user", "nameless"),
 ]
 
@@ -51,7 +56,7 @@ def test_rendering_is_reversible(spark):
     rows = {r["conv_id"]: r for r in chat.read_back(shown).collect()}
     masks = {r["conv_id"]: r["mask"] for r in shown.collect()}
     want = fold(EVENTS)
-    for conv in (1, 2, 3, None):
+    for conv in (1, 2, 3, 4, None):
         turns = [want[k] for k in sorted((k for k in want if k[0] == conv), key=lambda k: k[1])]
         assert [(t["role"], t["text"]) for t in rows[conv]["turns"]] == turns
         assert rows[conv]["loss"] == "".join(t for role, t in turns if role == "assistant")
@@ -81,6 +86,26 @@ def test_query(spark, folder):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_the_log_of_the_query_needs_the_fold(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} " + "é" * (t % 7)) for t in range(40)] + [(2, 0, "assistant", ""), (2, 1, "assistant", None), (None, None, None, None)]
+    log = chat.as_events(spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, seq int"))
+    events = [(r["conv_id"], r["seq"], r["msg"], r["kind"], r["role"], r["text"]) for r in log.collect()]
+    assert {e[3] for e in events} == {"message", "delta", "edit", "regenerate"}
+    assert len({e[:2] for e in events}) < len(events)  # delivered twice
+    folded = {(r["conv_id"], r["msg"]): (r["role"], r["text"]) for r in chat.fold(log).collect()}
+    assert folded == fold(events)
+    assert [folded[k] for k in sorted(k for k in folded if k[0] == 1)] == [(r, t) for c, _, r, t in rows if c == 1]
+    # without the fold, drafts and follow-ups would be in the conversation
+    assert sum(len(e[5] or "") for e in events) > 1.5 * sum(len(t) for _, t in folded.values())
+
+
+def test_a_very_long_turn(spark):
+    text = "<|x\\" * 300_000
+    frame = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = chat.digests(chat.read_back(chat.render(chat.fold(chat.as_events(frame))))).first()
+    assert row["loss_chars"] == len(text) and row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_no_python_in_the_plan(spark, folder):
     plan = op6_chat_formatting(spark, folder[0])._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
