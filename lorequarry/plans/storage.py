@@ -1,8 +1,12 @@
-"""Small JSON records and Parquet generations through Spark's file systems, so that any store will do."""
+"""Small JSON records and Parquet generations through Spark's file systems, so that any store will do.
+
+A record is replaced by one rename where the file system has such a rename, as HDFS does. Where it can only
+delete and then rename, a copy of the old record lies beside it meanwhile, and readers take that one."""
 
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,22 +39,56 @@ class Store:
         where, fs = self._hadoop(name)
         fs.delete(where, True)
 
-    def write_text(self, name: str, text: str) -> None:
-        """Under a hidden name first, then renamed: a reader sees all of it or the one before."""
-        target, fs = self._hadoop(name)
+    def _beside(self, name: str, end: str):
         folder, _, last = name.rpartition("/")
-        staged, _ = self._hadoop(f"{folder}/.{last}.tmp" if folder else f".{last}.tmp")
-        out = fs.create(staged, True)
+        return self._hadoop(f"{folder}/.{last}.{end}" if folder else f".{last}.{end}")[0]
+
+    def _write(self, where, fs, text: str) -> None:
+        out = fs.create(where, True)
         out.write(bytearray(text.encode()))
         out.close()
+
+    def _rename(self, source, target, overwrite: bool) -> None:
+        gateway, jvm = self.spark.sparkContext._gateway, self.spark.sparkContext._jvm
+        kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+        options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = next(k for k in kind if k.name() == ("OVERWRITE" if overwrite else "NONE"))
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(source, target, options)
+
+    def write_text(self, name: str, text: str) -> None:
+        """A reader sees all of it or all of the one before, also if the writer ends on the way."""
+        target, fs = self._hadoop(name)
+        staged, kept = self._beside(name, f"{uuid.uuid4().hex}.tmp"), self._beside(name, "old")
+        self._write(staged, fs, text)
+        if fs.exists(target):
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, kept, False, True, conf)
+        self._rename(staged, target, True)
+        fs.delete(kept, False)
+
+    def create(self, name: str, text: str) -> bool:
+        """Writes a record that must be new, as a whole; false if there is one. Of several writers one succeeds."""
+        target, fs = self._hadoop(name)
         if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(staged, target)
+            return False
+        staged = self._beside(name, f"{uuid.uuid4().hex}.tmp")
+        self._write(staged, fs, text)
+        try:
+            self._rename(staged, target, False)
+        except Exception as e:
+            fs.delete(staged, False)
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise
+        return True
 
     def read_text(self, name: str) -> str | None:
         where, fs = self._hadoop(name)
         if not fs.exists(where):
-            return None
+            where = self._beside(name, "old")
+            if not fs.exists(where):
+                return None
         stream = fs.open(where)
         try:
             return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()

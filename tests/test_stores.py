@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from lorequarry.plans import evaluate, fingerprints
+from lorequarry.plans.storage import Store
 from lorequarry.plans.vectors import VectorCollection
 from lorequarry.sources import tables
 
@@ -63,3 +64,38 @@ def test_evaluation(spark):
     answers = spark.createDataFrame([(True, True, "s", ["s"]), (True, True, "s", ["t"]), (True, False, "s", []), (False, False, None, [])], "answerable boolean, answered boolean, expected_source string, cited_sources array<string>")
     assert tuple(evaluate.answer_metrics(answers).first()) == (0.5, 0.6667, 1.0)
     assert tuple(evaluate.answer_metrics(answers.limit(0)).first()) == (None, None, None)
+
+
+@pytest.mark.parametrize("step", ["_write", "_rename", "between"])
+def test_a_failed_write_leaves_the_old_record(spark, tmp_path, monkeypatch, step):
+    store = Store(spark, f"{tmp_path}/records")
+    store.put("a/manifest.json", {"version": 1})
+
+    def fail(*args):
+        if step == "between":  # a file system that deletes before it renames
+            where, fs = store._hadoop("a/manifest.json")
+            fs.delete(where, False)
+        raise OSError("lost")
+
+    monkeypatch.setattr(store, "_write" if step == "_write" else "_rename", fail)
+    with pytest.raises(OSError, match="lost"):
+        store.put("a/manifest.json", {"version": 2})
+    monkeypatch.undo()
+    assert store.get("a/manifest.json") == {"version": 1}
+    store.put("a/manifest.json", {"version": 3})
+    assert store.get("a/manifest.json") == {"version": 3} and [n for n in store.names("a") if n.endswith(".old")] == []
+
+
+def test_one_of_several_writers_creates(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/records")
+    assert store.create("m/1", "one") and not store.create("m/1", "two") and store.read_text("m/1") == "one"
+    monkey = Store(spark, f"{tmp_path}/records")
+    where, fs = monkey._hadoop("m/2")
+    original = monkey._write
+
+    def slow(path, fs, text):  # another writer ends while this one writes
+        original(path, fs, text)
+        assert store.create("m/2", "first")
+
+    monkey._write = slow
+    assert not monkey.create("m/2", "second") and store.read_text("m/2") == "first"
