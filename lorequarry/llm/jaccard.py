@@ -173,6 +173,11 @@ def row_id(block: int, place: int) -> int:
     return partition << 36 | number << 16 | place
 
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """The order in which shingles are posted, in a byte: quarters of powers of two of their corpus counts."""
+    return np.floor(4 * np.log2(counts)).astype(np.uint8)
+
+
 def _suspecting(plan: X.Plan):
     """All documents of a block by id, size and set; shingles and their corpus counts only of suspects."""
     schema = arrow_schema(SUSPECTS)
@@ -185,18 +190,16 @@ def _suspecting(plan: X.Plan):
             keys = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             total = X.answers(plan, keys, by)
             named = np.frombuffer(row["named"], bool).tolist()
+            first: set[str] = set()  # copies in one block need their set once: the least row of a class carries it
             for place, (ident, known, own) in enumerate(zip(ids.tolist(), named, sets, strict=True)):
                 df = total[np.searchsorted(keys, own)]
                 shared = df > 1
                 one = {"doc_id": ident if known else None, "row": None, "set_key": None, "n": len(own), "rare": None, "shingles": None, "ranks": None}
                 if known and len(own) and int(shared.sum()) >= needed(len(own)):
-                    one |= {
-                        "row": row_id(row["block"], place),
-                        "set_key": xxhash.xxh3_128_hexdigest(own.tobytes()),
-                        "rare": int((~shared).sum()),
-                        "shingles": own[shared].tobytes(),
-                        "ranks": np.minimum(df[shared], 0xFFFFFFFF).astype(np.uint32).tobytes(),  # an order only; ties go by shingle
-                    }
+                    one |= {"row": row_id(row["block"], place), "set_key": xxhash.xxh3_128_hexdigest(own.tobytes()), "rare": int((~shared).sum())}
+                    if one["set_key"] not in first:
+                        first.add(one["set_key"])
+                        one |= {"shingles": own[shared].tobytes(), "ranks": rarity(df[shared]).tobytes()}
                 out.append(one)
         table = pa.Table.from_pylist(out, schema=schema)
         out, by = [], {}
@@ -433,7 +436,7 @@ def _late_links(heads: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFr
             ids, tokens = [], []
             n, rare = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for k, ident in enumerate(batch.column(0).to_pylist()):
-                s, r = np.frombuffer(batch.column(3)[k].as_py(), np.uint64), np.frombuffer(batch.column(4)[k].as_py(), np.uint32)
+                s, r = np.frombuffer(batch.column(3)[k].as_py(), np.uint64), np.frombuffer(batch.column(4)[k].as_py(), np.uint8)
                 own = s[prefix(s, r, n[k], rare[k])].view(np.int64)
                 ids.append(np.full(len(own), ident, np.int64))
                 tokens.append(own)
