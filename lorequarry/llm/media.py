@@ -11,8 +11,10 @@ coefficient of that category whose eight extra bits are the byte itself. With a
 one block the DC predictor is always 0. The payload is read back from the coefficients that the
 general decoder returns.
 
-Defined results: a null text counts as empty and is stored as one block of zeros; rows are
-independent, equal texts give equal values; an empty table gives an empty result.
+Defined results: a null text counts as empty and is stored as one block of zeros; a very long text is
+one image of up to SIDE by SIDE blocks, built and read in steps of a fixed size, and an error beyond
+that; rows are independent, so that repeated rows and ties give equal values; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ SCHEMA = (
 BLOCK = 64
 SIDE = 8191  # blocks in 65 535 samples, the largest side
 SEGMENTS = 1 << 15  # decoded in one lock step
+STEP = 1 << 13  # blocks that are stored at once
 
 
 def zigzag() -> np.ndarray:
@@ -239,11 +242,11 @@ def decode_scans(streams: list[bytes], frames: list[Frame] | None = None) -> lis
             for s, p in zip(starts, part, strict=True):
                 stream[s : s + len(p)] = p
             blocks = _lock_step(stream, starts * 8, plan, f0, mcus)
-            owners = np.array(of[k : k + SEGMENTS])
-            for i in dict.fromkeys(of[k : k + SEGMENTS]):
-                mine = owners == i
-                valid = np.arange(blocks.shape[1]) < (mcus[mine] * len(plan))[:, None]
-                got[i].append(blocks[mine][valid])
+            owners = np.array(of[k : k + SEGMENTS])  # the segments of a stream are neighbours
+            begins = np.concatenate([[0], np.flatnonzero(owners[1:] != owners[:-1]) + 1])
+            for a, z in zip(begins.tolist(), [*begins[1:].tolist(), len(owners)], strict=True):
+                valid = np.arange(blocks.shape[1]) < (mcus[a:z] * len(plan))[:, None]
+                got[int(owners[a])].append(blocks[a:z][valid])
         component = np.array([c for c, _, _ in plan])
         for i, parts in got.items():
             every = np.concatenate(parts) if parts else np.zeros((0, 64), np.int16)
@@ -291,19 +294,21 @@ def store_payload(payload: bytes) -> bytes:
     head += _segment(0xC0, struct.pack(">BHHBBBB", 8, down * 8, across * 8, 1, 1, 0x11, 0))
     head += _segment(0xC4, b"\x00" + one_code) + _segment(0xC4, b"\x10" + one_code) + _segment(0xDD, b"\0\1")
     head += _segment(0xDA, b"\1\1\0\0\x3f\0")
-    data = np.zeros((across * down, 64), np.uint8)
-    data.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    bits = np.zeros((len(data), 64, 9), np.uint8)
-    bits[:, :, 1:] = np.unpackbits(data, axis=1).reshape(-1, 64, 8)
-    packed = np.packbits(bits.reshape(len(data), -1), axis=1)  # 72 whole bytes a block
-    rows = np.concatenate([packed, np.full((len(data), 1), 0xFF, np.uint8), (0xD0 + np.arange(len(data)) % 8).astype(np.uint8)[:, None]], axis=1)
-    flat = rows.reshape(-1)
-    stuffed = packed == 0xFF
-    if stuffed.any():
-        step = np.ones((len(data), 74), np.int64)
-        step[:, :72] += stuffed
-        flat = np.insert(flat, np.flatnonzero(step.reshape(-1) == 2) + 1, 0)
-    return head + flat.tobytes()[:-2] + b"\xff\xd9"
+    out, total = [head], across * down
+    for k in range(0, total, STEP):
+        data = np.zeros((min(STEP, total - k), BLOCK), np.uint8)
+        own = np.frombuffer(payload, np.uint8)[k * BLOCK : (k + len(data)) * BLOCK]
+        data.reshape(-1)[: len(own)] = own
+        bits = np.zeros((len(data), 64, 9), np.uint8)
+        bits[:, :, 1:] = np.unpackbits(data, axis=1).reshape(-1, 64, 8)
+        packed = np.packbits(bits.reshape(len(data), -1), axis=1)  # 72 whole bytes a block
+        marks = (0xD0 + np.arange(k, k + len(data)) % 8).astype(np.uint8)[:, None]
+        rows = np.concatenate([packed, np.full((len(data), 1), 0xFF, np.uint8), marks], axis=1)
+        stuffed = np.zeros(rows.shape, bool)
+        stuffed[:, :72] = packed == 0xFF
+        out.append(np.insert(rows.reshape(-1), np.flatnonzero(stuffed.reshape(-1)) + 1, 0).tobytes())
+    out[-1] = out[-1][:-2]  # no restart after the last block
+    return b"".join([*out, b"\xff\xd9"])
 
 
 def read_payload(frame: Frame, blocks: list[np.ndarray]) -> bytes:
