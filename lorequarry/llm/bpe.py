@@ -10,8 +10,9 @@ The vocabulary is a file of a public tokenizer, named by its path; it is read on
 never shipped by this package. Special tokens of the file are recognised in the text, as the
 library that the file belongs to does by default.
 
-Defined results: a null text counts as empty and gives no ids; rows are independent, so ties,
-repeated rows and extra columns have no influence; an empty table gives an empty result.
+Defined results: a null text counts as empty and gives no ids; a very long text is encoded whole, while
+the words remembered stay within CACHE_BYTES; rows are independent, so ties, repeated rows and extra
+columns have no influence; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame
 from lorequarry.llm.common import keyed_texts, spread, text_batches
 
 SCAN_LIMIT = 96
-WORD_CACHE = 150_000  # words of each of two generations
+CACHE_BYTES = 24 << 20  # of the words of each of two generations, roughly
+CACHED_WORD = 64  # characters of the longest word that is remembered
 NEVER = 1 << 60
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -83,22 +85,25 @@ def _latin_pattern() -> re.Pattern:
 
 
 class _Words(dict):
-    """Ids of words met lately. turn() makes them the older generation, from which a word returns when it is met."""
+    """Ids of words met lately, in two generations: when the younger one is full it becomes the older one, from which
+    a word returns when it is met."""
 
     def __init__(self, encode):
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.held = encode, {}, 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.older.get(word)
         if ids is None:
             ids = tuple(self.encode(word.encode()))
-        self[word] = ids
+        if len(word) <= CACHED_WORD:
+            self.held += 160 + len(word) + 8 * len(ids)
+            if self.held > CACHE_BYTES:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            self[word] = ids
         return ids
 
-    def turn(self) -> None:
-        self.older = dict(self)
-        self.clear()
-
 
 class RankArrayBPE:
     def __init__(self, path: str):
@@ -174,8 +179,6 @@ class RankArrayBPE:
         return self.pattern.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        if len(self.known) > WORD_CACHE:
-            self.known.turn()
         ids: list[int] = []
         for piece in self.cut.split(text) if self.cut else [text]:
             if piece in self.special:
@@ -218,6 +221,19 @@ def encode_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     return spread(keyed_texts(docs)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def with_counts(rows: DataFrame, *keep: str, path: str | None = None) -> DataFrame:
+    """The columns named of every row, and n_tokens of its whole text (column text)."""
+    kept = rows.select(*keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path or vocabulary())
+        for batch in batches:
+            counts = pa.array([len(bpe.encode(t.as_py() or "")) for t in batch.column(batch.num_columns - 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], [*keep, "n_tokens"])
+
+    return spread(rows.select(*keep, "text")).mapInArrow(run, kept.schema.add("n_tokens", "long"))
+
+
 def decode_table(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the text of each row of ids."""
 

@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from lorequarry.llm.bpe import vocabulary
+
 _RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
  || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(octet_length(encode(body)) AS VARCHAR)
@@ -43,13 +47,71 @@ SELECT conv_id, count(*) AS n_turns,
     || replace(replace(text, chr(92), chr(92) || '0'), '<|', chr(92) || '1') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-OP10 = """WITH d AS (
-  SELECT doc_id, source, lang,
-    len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n1,
-    len(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS n2 FROM documents),
+# White space of Unicode as a class for RE2, and a character of private use that keeps words apart.
+_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_APART = r"\x{E000}"
+# Fixed value: the special token of the vocabulary.
+_SPECIAL = "<|endoftext|>"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _words(text: str) -> str:
+    """The words of byte-level BPE. RE2 cannot look ahead: the last of several blanks before a word is set apart first."""
+    kept = f"replace({text}, '{_SPECIAL}', chr(57344) || '{_SPECIAL}' || chr(57344))"
+    parted = f"regexp_replace({kept}, '([{_SPACE}]+)([{_SPACE}][^{_SPACE}{_APART}])', '\\1' || chr(57344) || '\\2', 'g')"
+    pattern = rf"<\|endoftext\|>|''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}{_APART}\p{{L}}\p{{N}}]+|[{_SPACE}]+"
+    return f"regexp_extract_all({parted}, '{pattern}')"
+
+
+def _hexed(symbols: str) -> str:
+    """Hexadecimal bytes of a token's printable symbols, by the rule of such vocabularies: bytes that are printable stand
+    for themselves, the others follow from 256 on in their order."""
+    byte = "CASE WHEN ord(c) < 256 THEN ord(c) WHEN ord(c) < 289 THEN ord(c) - 256 WHEN ord(c) < 323 THEN ord(c) - 162 ELSE 173 END"
+    return f"list_aggregate(list_transform(string_split({symbols}, ''), lambda c: printf('%02X', {byte})), 'string_agg', '')"
+
+
+def _bpe(path: str) -> str:
+    """CTEs: docs with their words ws, and done with the parts of every distinct word as hexadecimal bytes. Each round
+    of the recursion joins the leftmost pair of the least rank in every word."""
+    return f"""docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, lang, coalesce(text, '') AS text, {_words("coalesce(text, '')")} AS ws FROM documents),
+words AS MATERIALIZED (SELECT DISTINCT unnest(ws) AS w FROM docs),
+vocabulary_file AS MATERIALIZED (SELECT content AS j FROM read_text({_q(path)})),
+pairs AS MATERIALIZED (SELECT row_number() OVER () AS rank, p FROM (SELECT unnest(CAST(json_extract(j, '$.model.merges') AS JSON[])) AS p FROM vocabulary_file)),
+sides AS MATERIALIZED (SELECT rank, CASE WHEN json_type(p) = 'ARRAY' THEN [p->>0, p->>1] ELSE string_split(p->>'$', ' ') END AS t FROM pairs),
+merges AS MATERIALIZED (SELECT rank, {_hexed("t[1]")} AS l, {_hexed("t[2]")} AS r FROM sides),
+state AS (
+  SELECT w, list_transform(range(1, octet_length(encode(w)) + 1), lambda k: substring(hex(encode(w)), 2 * k - 1, 2)) AS parts, 0 AS step FROM words WHERE w <> '{_SPECIAL}'
+  UNION ALL
+  SELECT w, list_concat(list_concat(parts[:cut - 1], [parts[cut] || parts[cut + 1]]), parts[cut + 2:]), step + 1
+  FROM (SELECT s.w, any_value(s.parts) AS parts, any_value(s.step) AS step, arg_min(s.i, (m.rank, s.i)) AS cut
+        FROM (SELECT w, parts, step, unnest(range(1, len(parts))) AS i FROM state) s JOIN merges m ON m.l = s.parts[s.i] AND m.r = s.parts[s.i + 1] GROUP BY s.w)),
+done AS MATERIALIZED (SELECT w, arg_max(parts, step) AS parts FROM state GROUP BY w UNION ALL SELECT w, ['special'] FROM words WHERE w = '{_SPECIAL}')"""
+
+
+def _op9(path: str) -> str:
+    return f"""WITH RECURSIVE {_bpe(path)},
+entries AS MATERIALIZED (SELECT unnest(json_keys(j, '$.model.vocab')) AS symbols, unnest(CAST(json_extract(j, '$.model.vocab.*') AS BIGINT[])) AS id FROM vocabulary_file),
+names AS MATERIALIZED (SELECT {_hexed("symbols")} AS part, id FROM entries WHERE symbols <> '{_SPECIAL}'
+  UNION ALL SELECT 'special', CAST(json_extract(j, '$.added_tokens[0].id') AS BIGINT) FROM vocabulary_file),
+ids AS MATERIALIZED (SELECT w, count(*) AS n, string_agg(id, ',' ORDER BY k) AS ids FROM (SELECT w, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM done) JOIN names USING (part) GROUP BY w),
+said AS (SELECT row, sum(n) AS n, string_agg(ids, ',' ORDER BY k) AS ids FROM (SELECT row, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM docs) JOIN ids USING (w) GROUP BY row)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, sha256(coalesce(ids, '')) AS ids_sha256, sha256(text) AS decoded_sha256 FROM docs LEFT JOIN said USING (row)"""
+
+
+def _op10(path: str) -> str:
+    return f"""WITH RECURSIVE {_bpe(path)},
+n AS (SELECT row, sum(len(parts)) AS n3 FROM (SELECT row, unnest(ws) AS w FROM docs) JOIN done USING (w) GROUP BY row),
+d AS (SELECT doc_id, source, lang, coalesce(n3, 0) AS n3,
+    len(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS n2 FROM docs LEFT JOIN n USING (row)),
 bad AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 OR quality = 0),
-t AS (SELECT source, lang, 'words-1' AS tokenizer_version, 1 AS docs, n2 AS tokens FROM d
-  UNION ALL SELECT source, lang, 'words-2', 1, n2 FROM d WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM bad WHERE doc_id IS NOT NULL))
+t AS (SELECT source, lang, 'words' AS tokenizer_version, 1 AS docs, n2 AS tokens FROM d
+  UNION ALL SELECT source, lang, 'byte-bpe-50k', 1, n3 FROM d WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM bad WHERE doc_id IS NOT NULL))
 SELECT source, lang, tokenizer_version, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM t GROUP BY 1, 2, 3"""
 
-ORACLE: dict[str, str] = {"op5_warc_fixity": OP5, "op6_chat_formatting": OP6, "op10_token_rollup": OP10}
+
+OP9, OP10 = _op9(vocabulary()), _op10(vocabulary())
+
+ORACLE: dict[str, str] = {"op5_warc_fixity": OP5, "op6_chat_formatting": OP6, "op9_bpe_round_trip": OP9, "op10_token_rollup": OP10}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.llm import bpe, chat, decontam, jaccard, lm, media, rollup, toxicity, warc, wrapper
-from lorequarry.llm.common import Query, Scratch, fold_remainder, shared_folder, spread, table, written
+from lorequarry.llm.common import Query, Scratch, fold_remainder, spread, table, written
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,26 +73,27 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches: every document counted under words-1; the same batch sent again; all recounted, as
-    words-1 revised to what words-2 counts in lower-case ASCII letters, digits and the rest, and inserted under
-    words-2; documents labelled as poor or toxic deleted from words-2."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    first = rollup.counted(docs, "words-1").withColumnRenamed("n_tokens", "n1")
-    counts = written(rollup.counted(first, "words-2").select("doc_id", "lang", "source", "n1", F.col("n_tokens").alias("n2")), "tokens")
-
-    def feed(rows: DataFrame, op: str, version: str, old: str | None, new: str | None) -> DataFrame:
-        value = {k: F.col(v) if v else F.lit(None).cast("long") for k, v in (("old_tokens", old), ("new_tokens", new))}
-        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), value["old_tokens"].alias("old_tokens"), value["new_tokens"].alias("new_tokens"))
-
-    labels = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0").select("doc_id").distinct()
-    state = rollup.TokenRollup(spark, shared_folder(spark, "rollup"))
-    load = rollup.signed(feed(counts, "insert", "words-1", None, "n1"))
-    state.commit("0001", load)
-    state.commit("0001", load)
-    state.commit("0002", rollup.signed(feed(counts, "revise", "words-1", "n1", "n2").unionByName(feed(counts, "insert", "words-2", None, "n2"))))
-    state.commit("0003", rollup.signed(feed(counts.join(labels, "doc_id", "left_semi"), "delete", "words-2", "n2", None)))
-    state.compact()
-    return state.totals()
+    """Four batches: every document counted as words between blanks; the same batch sent again; all recounted, the
+    words revised to those of letters and digits, and inserted under the vocabulary byte-bpe-50k; documents labelled
+    as poor or toxic deleted from that vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    words = rollup.counted(rollup.counted(docs, "blanks").withColumnRenamed("n_tokens", "n1"), "letters").withColumnRenamed("n_tokens", "n2")
+    with Scratch(spark, "rollup") as scratch:
+        counts = scratch.written(bpe.with_counts(words, "doc_id", "lang", "source", "n1", "n2"), "tokens").withColumnRenamed("n_tokens", "n3")
+
+        def feed(rows: DataFrame, op: str, version: str, old: str | None, new: str | None) -> DataFrame:
+            value = {k: (F.col(v) if v else F.lit(None).cast("long")).alias(k) for k, v in (("old_tokens", old), ("new_tokens", new))}
+            return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), *value.values())
+
+        labels = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0").select("doc_id").distinct()
+        state = rollup.TokenRollup(spark, f"{scratch.folder}/state")
+        load = rollup.signed(feed(counts, "insert", "words", None, "n1"))
+        state.commit("0001", load)
+        state.commit("0001", load)
+        state.commit("0002", rollup.signed(feed(counts, "revise", "words", "n1", "n2").unionByName(feed(counts, "insert", "byte-bpe-50k", None, "n3"))))
+        state.commit("0003", rollup.signed(feed(counts.join(labels, "doc_id", "left_semi"), "delete", "byte-bpe-50k", "n3", None)))
+        state.compact()
+        return scratch.result(state.totals())
 
 
 QUERIES: dict[str, Query] = {

@@ -2,35 +2,41 @@
 
 A change feed has one row for each change of a document: op ``insert``, ``delete`` or ``revise`` with
 the old and the new count. ``signed`` turns it into additive deltas; ``commit`` sums the deltas of a
-batch by source, language and tokenizer version before anything is kept, and writes these sums under
-the batch's own name. A batch that has been committed is never applied again: its folder is there, as
-a whole, once its rename has happened. ``totals`` adds the sums of all batches, ``compact`` replaces
-them by one snapshot that still remembers which batches it holds.
+batch by source, language and tokenizer version before anything is kept, writes these sums under a name
+of their own, and then claims the batch's name by creating its marker, which only one writer can. A
+batch that has been committed is never applied again: one look at its marker says so. ``totals`` adds the
+sums of all committed batches; ``compact`` replaces them by one snapshot, published in the same way.
 
 Nothing is keyed by document here, and the groups shrink to one row in each task before the shuffle,
 so a hot source costs no more than others.
 
-Defined results: a null source or language is a group of its own; null counts are 0; repeated rows of
-a batch count repeatedly (a feed that may repeat itself sends the batch under its name again); extra
-columns are ignored; an empty batch commits no rows; totals of 0 documents and tokens are dropped.
+Defined results: a null source or language is a group of its own; null texts and null counts are 0; very
+long texts are counted whole; repeated rows of a batch count repeatedly (a feed that may repeat itself
+sends the batch under its name again); ties have no influence; extra columns are ignored; an empty batch
+is committed and changes nothing; totals of 0 documents and tokens are dropped; an empty state has no rows.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorequarry.plans.storage import Store
+
 KEYS = ["source", "lang", "tokenizer_version"]
-STATE = "source string, lang string, tokenizer_version string, docs long, tokens long, batch string"
+STATE = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
-# What counts as a token in each version of the counters shipped here.
-COUNTERS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
+# What counts as a token in the word counters shipped here. Other versions are vocabularies, see bpe.with_counts.
+COUNTERS = {"blanks": r"[^\x20\x09-\x0D]+", "letters": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
 
 
-def counted(docs: DataFrame, version: str) -> DataFrame:
-    """docs with n_tokens of the whole text under a version of COUNTERS."""
+def counted(docs: DataFrame, counter: str) -> DataFrame:
+    """docs with n_tokens of the whole text by one of COUNTERS."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("n_tokens", F.regexp_count(text, F.lit(COUNTERS[version])).cast("long"))
+    return docs.withColumn("n_tokens", F.regexp_count(text, F.lit(COUNTERS[counter])).cast("long"))
 
 
 def signed(feed: DataFrame) -> DataFrame:
@@ -42,61 +48,63 @@ def signed(feed: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """The state of one roll-up: a folder with a subfolder for each committed batch."""
+    """The state of one roll-up: folders of sums, a marker for each committed batch that names its folder, and
+    numbered markers of snapshots. What no marker names does not count."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-
-    def _fs(self):
-        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def batches(self) -> set[str]:
-        """Names of committed batches, those in the snapshot included."""
-        rows = self._state()
-        return {r[0] for r in rows.select("batch").distinct().collect()} if rows is not None else set()
-
-    def _state(self) -> DataFrame | None:
-        fs, top = self._fs(), self._path("")
-        if not fs.exists(top):
-            return None
-        paths = [str(x.getPath()) for x in fs.listStatus(top) if not x.getPath().getName().startswith((".", "_"))]
-        snapshots = sorted(p for p in paths if p.rsplit("/", 1)[1].startswith("snapshot-"))
-        if snapshots:
-            held = {r[0] for r in self.spark.read.schema(STATE).parquet(snapshots[-1]).select("batch").distinct().collect()}
-            paths = [snapshots[-1], *(p for p in paths if p not in snapshots and p.rsplit("/", 1)[1].removeprefix("batch-") not in held)]
-        return self.spark.read.schema(STATE).parquet(*paths) if paths else None
+        self.spark, self.folder, self.store = spark, folder.rstrip("/"), Store(spark, folder)
+
+    def committed(self, batch: str) -> bool:
+        return self.store.exists(f"batches/{batch}")
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Applies a batch unless it has been applied; says whether it did."""
-        if self._fs().exists(self._path(f"batch-{batch}")) or batch in self.batches():
+        if self.committed(batch):
             return False
-        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("batch", F.lit(batch))
-        # a marker row, so that an empty batch is remembered too
-        marker = self.spark.range(1).select(*(F.lit(None).cast("string").alias(k) for k in KEYS), F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), F.lit(batch).alias("batch"))
-        sums.unionByName(marker).write.mode("overwrite").parquet(f"{self.folder}/_staged-{batch}")
-        return bool(self._fs().rename(self._path(f"_staged-{batch}"), self._path(f"batch-{batch}")))
+        name = f"sums-{batch}-{uuid.uuid4().hex}"
+        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums.write.parquet(self.store.path(name))
+        if self.store.create(f"batches/{batch}", json.dumps({"folder": name})):
+            return True
+        self.store.delete(name)  # another writer was first
+        return False
+
+    def _snapshot(self) -> tuple[int, str | None, set[str]]:
+        """Number and folder of the last snapshot, and the folders whose sums it holds and that may still be there."""
+        numbers = sorted(int(n) for n in self.store.names("snapshots") if n.isdigit())
+        if not numbers:
+            return 0, None, set()
+        said = self.store.get(f"snapshots/{numbers[-1]}")
+        return numbers[-1], said["folder"], set(said["holds"])
+
+    def _live(self, held: set[str]) -> list[str]:
+        """Folders of committed batches that are not in the snapshot; as many as were committed since."""
+        found = []
+        for name in self.store.names():
+            if name.startswith("sums-") and name not in held:
+                batch = name.removeprefix("sums-").rsplit("-", 1)[0]
+                if (self.store.get(f"batches/{batch}") or {}).get("folder") == name:
+                    found.append(name)
+        return found
+
+    def _rows(self, snapshot: str | None, live: list[str]) -> DataFrame:
+        paths = [self.store.path(n) for n in ([snapshot] if snapshot else []) + live]
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
 
     def totals(self) -> DataFrame:
-        rows = self._state()
-        if rows is None:
-            rows = self.spark.createDataFrame([], STATE)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        _, snapshot, held = self._snapshot()
+        sums = self._rows(snapshot, self._live(held)).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0))
 
     def compact(self) -> None:
-        """Writes one snapshot of all batches, and only then drops their folders."""
-        rows = self._state()
-        if rows is None:
-            return
-        fs = self._fs()
-        old = [x.getPath() for x in fs.listStatus(self._path("")) if not x.getPath().getName().startswith((".", "_"))]
-        number = max([0, *(int(p.getName().rsplit("-", 1)[1]) for p in old if p.getName().startswith("snapshot-"))]) + 1
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.max("batch").alias("last"))
-        names = rows.select("batch").distinct().select(*(F.lit(None).cast("string").alias(k) for k in KEYS), F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), "batch")
-        sums.withColumnRenamed("last", "batch").unionByName(names).write.mode("overwrite").parquet(f"{self.folder}/_staged-snapshot")
-        fs.rename(self._path("_staged-snapshot"), self._path(f"snapshot-{number:09d}"))
-        for p in old:
-            fs.delete(p, True)
+        """Writes and publishes one snapshot of all committed batches. What it replaces goes with the next compaction,
+        so that a reader that has begun can end."""
+        number, snapshot, held = self._snapshot()
+        before = self.store.get(f"snapshots/{number - 1}") or {}
+        for old in [*held, *([before["folder"]] if before else [])]:
+            self.store.delete(old)
+        live = self._live(held)
+        name = f"snapshot-{uuid.uuid4().hex}"
+        self._rows(snapshot, live).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(self.store.path(name))
+        if not self.store.create(f"snapshots/{number + 1}", json.dumps({"folder": name, "holds": live})):
+            self.store.delete(name)  # another compaction was first

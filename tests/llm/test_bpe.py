@@ -62,6 +62,21 @@ def test_table(spark, both):
 
 def test_the_cache_may_overflow(both, monkeypatch):
     mine, theirs = both
-    monkeypatch.setattr(bpe, "WORD_CACHE", 2)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 400)
     for text in ("one two three four", "five six one"):
         assert mine.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_words_is_bounded(both, monkeypatch):
+    mine = bpe.RankArrayBPE(bpe.vocabulary())
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    text = " ".join(f"w{k}x{k * 7}" for k in range(3000)) + " " + "y" * 5000
+    assert mine.encode(text) == both[1].encode(text, add_special_tokens=False).ids
+    assert mine.known.held <= 20_000 and len(mine.known) + len(mine.known.older) < 300 and max(map(len, mine.known)) <= bpe.CACHED_WORD
+
+
+def test_counts(spark, both):
+    texts = [None, "", "a b", "don't  stop\n", "x" * 3000]
+    rows = spark.createDataFrame([(t, "en", k) for k, t in enumerate(texts)], "text string, lang string, n_tokens int")
+    got = bpe.with_counts(rows.withColumnRenamed("n_tokens", "k"), "k", "lang").collect()
+    assert {r["k"]: r["n_tokens"] for r in got} == {k: len(both[1].encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
