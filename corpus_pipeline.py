@@ -2,13 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, in the columns of
 documents; the last one returns the encodings of what is left. run() writes the result of each stage
-as Parquet in the shared folder and gives it to the next."""
+as Parquet in the shared folder and gives it to the next.
+
+Defined results, of every stage: a null text is an empty one; null values of other columns stay as they are;
+empty and very long texts are read whole; extra columns are dropped; an empty table gives an empty result;
+the order of rows has no influence.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.llm import bpe, decontam, jaccard, toxicity
@@ -18,37 +23,45 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic. The grammar is fitted on the labelled documents of this stage."""
+    """Documents that are not predicted toxic. The grammar is fitted on the labelled documents of this stage.
+
+    Empty texts are not toxic; repeated rows and rows without id are judged each; a score of exactly one half is toxic."""
     rows = docs.select(*COLUMNS)
     return toxicity.kept(rows, toxicity.fit(rows, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id; documents without shingles all stay."""
+    """Of each component of linked documents the one with the smallest id; documents without shingles all stay.
+
+    Repeated rows of one id and text are copies of which one stays, the least by its other columns; different texts of
+    the id that stays all stay; rows without id are linked with nothing and stay."""
     rows = docs.select(*COLUMNS)
-    found = jaccard.near_duplicates(rows)
-    extra = found.where("component_id <> doc_id").select("doc_id")
-    # repeated rows of one id are copies too: one of them stays
-    kept = rows.join(extra, "doc_id", "left_anti")
-    return _one_of_each_id(kept)
+    extra = jaccard.near_duplicates(rows).where("component_id <> doc_id").select("doc_id")
+    return _one_of_each(rows.join(extra, "doc_id", "left_anti"))
 
 
-def _one_of_each_id(rows: DataFrame) -> DataFrame:
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each id and text. Only ids that occur more than once are dealt by their texts."""
     twice = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
     if twice.isEmpty():
         return rows.select(*COLUMNS)
-    once = rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    order = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy("lang", "source", "n_chars")
+    once = rows.join(twice, "doc_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
     return rows.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Items without id count like others; documents without words are clean; repeated rows and rows without id are judged each."""
     rows = docs.select(*COLUMNS)
     return decontam.kept(rows, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of what is left."""
+    """doc_id, n_tokens and the digests of ids and decoded text of what is left.
+
+    Empty texts have no tokens; repeated rows and rows without id have a row each."""
     return bpe.round_trip(docs)
 
 

@@ -55,3 +55,12 @@ def test_repeated_ids(spark, folder):
     got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder[0]).collect()]
     assert sorted(map(str, got)) == ["1", "2", "None", "None"]
     assert toxicity.HELD_OUT == 0
+
+
+def test_different_texts_of_one_id_stay(spark, folder):
+    one, two, three = ("a b c d e f g", "h i j k l m n", "h i j k l m o p q r s t")
+    rows = [(5, one, "fr", "s", 1), (5, two, "en", "s", 1), (5, one, "en", "t", 1), (5, None, "en", "s", 0), (5, None, None, "s", 0), (9, two, "en", "s", 1), (7, three, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for frame in (docs, docs.orderBy("lang")):
+        got = [(r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.near_duplicates(spark, frame, folder[0]).collect()]
+        assert sorted(got, key=str) == sorted([(5, one, "en"), (5, two, "en"), (5, None, None), (7, three, "en")], key=str)
