@@ -3,9 +3,9 @@
 A document's set holds its distinct word shingles as 64-bit hashes. Two documents link when
 100 * intersection >= PERCENT * union. The join is exact; it never compares what cannot link:
 
-1. Corpus counts of all shingles (see exchange) leave as suspects only documents of whose shingles
-   enough occur in another document too: a link needs at least PERCENT per cent of them shared.
-2. Documents of equal sets form a class, and only its smallest document goes on.
+1. Texts of equal words form a class, and only its first row goes on.
+2. Corpus counts of all shingles (see exchange) leave as suspects only rows of whose shingles enough
+   occur in another document too: a link needs at least PERCENT per cent of them shared.
 3. Star tiles: classes with the same smallest hash, in each of STARS hash orders, meet the smallest of
    them, the leader. Bit counts of signatures bound the overlap from above, sorted arrays give it
    exactly. Members that link are in the leader's component; large groups of near copies become one
@@ -46,8 +46,9 @@ STARS = 3
 SIGNATURE = 1024  # bits
 CHUNK = 512  # documents of a tile that are compared at once
 
-BLOCKS = "block long, ids binary, named binary, tokens binary, lengths binary, vocabulary binary, n_keys long"
-SUSPECTS = "doc_id long, row long, set_key string, n int, rare int, shingles binary, ranks binary"
+BLOCKS = "block long, ids binary, named binary, classes binary, tokens binary, lengths binary, vocabulary binary, n_keys long"
+MEMBERS = "doc_id long, row long, class binary"
+SUSPECTS = "doc_id long, row long, n int, rare int, shingles binary, ranks binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
 
 
@@ -128,13 +129,22 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (keys, texts) in enumerate(text_batches(batches, limit=BLOCK_CHARS)):
-            words, tokens, lengths = X.numbered(words_of(t) for t in texts)
+            classes: list[bytes] = []
+
+            def noted(texts=texts, classes=classes) -> Iterator[list[bytes]]:
+                for t in texts:
+                    words = words_of(t)
+                    classes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    yield words
+
+            words, tokens, lengths = X.numbered(noted())
             yield X.record_batch(
                 [
                     {
                         "block": X.block_id(number),
                         "ids": np.array([-1 if k is None else k for k in keys], np.int64).tobytes(),
                         "named": np.array([k is not None for k in keys], bool).tobytes(),
+                        "classes": b"".join(classes),
                         "tokens": X.pack(tokens),
                         "lengths": lengths.tobytes(),
                         "vocabulary": X.word_hashes(words).tobytes(),
@@ -178,28 +188,49 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.floor(4 * np.log2(counts)).astype(np.uint8)
 
 
+def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with id and words, and the class that their words make."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            lengths, named = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["named"], bool)
+            at = np.flatnonzero(named & (lengths > 0))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.frombuffer(row["ids"], np.int64)[at]),
+                    pa.array([row_id(row["block"], k) for k in at.tolist()], pa.int64()),
+                    pa.array([row["classes"][16 * k : 16 * k + 16] for k in at.tolist()], pa.binary()),
+                ],
+                ["doc_id", "row", "class"],
+            )
+
+
+def places(heads: DataFrame) -> DataFrame:
+    """block and the places there of rows (see row_id)."""
+    block = F.shiftleft(F.shiftright("row", 36), 32).bitwiseOR(F.shiftright("row", 16).bitwiseAND(F.lit((1 << 20) - 1)))
+    return heads.groupBy(block.alias("block")).agg(F.collect_list(F.col("row").bitwiseAND(F.lit((1 << 16) - 1)).cast("int")).alias("places"))
+
+
 def _suspecting(plan: X.Plan):
-    """All documents of a block by id, size and set; shingles and their corpus counts only of suspects."""
+    """All documents of a block by id and size; of heads of classes that are suspects also the shared shingles and the
+    order of their corpus counts."""
     schema = arrow_schema(SUSPECTS)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         by = dict(zip(right["bucket"].to_pylist(), (t.as_py() for t in right["totals"]), strict=True))
+        heads = {p for own in right["places"].to_pylist() if own for p in own}
         out = []
         for row in left.to_pylist():
             ids, sets = block_sets(row)
             keys = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             total = X.answers(plan, keys, by)
             named = np.frombuffer(row["named"], bool).tolist()
-            first: set[str] = set()  # copies in one block need their set once: the least row of a class carries it
             for place, (ident, known, own) in enumerate(zip(ids.tolist(), named, sets, strict=True)):
-                df = total[np.searchsorted(keys, own)]
-                shared = df > 1
-                one = {"doc_id": ident if known else None, "row": None, "set_key": None, "n": len(own), "rare": None, "shingles": None, "ranks": None}
-                if known and len(own) and int(shared.sum()) >= needed(len(own)):
-                    one |= {"row": row_id(row["block"], place), "set_key": xxhash.xxh3_128_hexdigest(own.tobytes()), "rare": int((~shared).sum())}
-                    if one["set_key"] not in first:
-                        first.add(one["set_key"])
-                        one |= {"shingles": own[shared].tobytes(), "ranks": rarity(df[shared]).tobytes()}
+                one = {"doc_id": ident if known else None, "row": None, "n": len(own), "rare": None, "shingles": None, "ranks": None}
+                if place in heads:
+                    df = total[np.searchsorted(keys, own)]
+                    shared = df > 1
+                    if int(shared.sum()) >= needed(len(own)):
+                        one |= {"row": row_id(row["block"], place), "rare": int((~shared).sum()), "shingles": own[shared].tobytes(), "ranks": rarity(df[shared]).tobytes()}
                 out.append(one)
         table = pa.Table.from_pylist(out, schema=schema)
         out, by = [], {}
@@ -233,7 +264,7 @@ def band(n: int) -> int:
 
 
 def compare_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a class beside a leader: only those that link stay."""
+    """Heads of classes beside a leader: only those that link stay."""
     for batch in batches:
         ids, other = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -371,26 +402,28 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     stored = scratch.written(blocks(docs), "blocks")
     size = stored.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("keys"), F.count("*").alias("blocks")).first()
     plan = X.Plan.of(int(size["keys"]), int(size["blocks"]), (KEY_BITS,))
-    answer = X.totals(plan, stored.mapInArrow(_sending(plan), X.SENT), scratch.written).select("block", "bucket", "totals")
-    found = stored.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_suspecting(plan), SUSPECTS)
+    members = scratch.written(stored.select("block", "ids", "named", "lengths", "classes").mapInArrow(members_of, MEMBERS), "members")
+    # as a table, so that a class of very many copies can be split in joins with it
+    classes = scratch.written(members.groupBy("class").agg(F.min("row").alias("head"), F.min("doc_id").alias("low"), F.count("*").alias("size")), "classes")
+    answer = X.totals(plan, stored.mapInArrow(_sending(plan), X.SENT), scratch.written).select("block", "bucket", "totals", F.lit(None).cast("array<int>").alias("places"))
+    flags = places(classes.select(F.col("head").alias("row"))).select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "places")
+    found = stored.groupBy("block").cogroup(answer.unionByName(flags).groupBy("block")).applyInArrow(_suspecting(plan), SUSPECTS)
     every = scratch.written(found, "sets")
     scratch.drop(stored)  # all that is needed of the blocks is in every now
-    suspects = every.where("set_key is not null")
-    # classes of equal sets: one row carries the set. As a table, so that a class of very many copies can be split in joins with it
-    members = suspects.select("doc_id", "row", "set_key")
-    classes = scratch.written(members.groupBy("set_key").agg(F.min("row").alias("head"), F.min("doc_id").alias("low")), "classes")
-    heads = scratch.written(suspects.join(classes.select(F.col("head").alias("row")), "row", "left_semi").select("row", "n", "rare", "shingles", "ranks"), "heads")
+    heads = every.where("row is not null").select("row", "n", "rare", "shingles", "ranks")
 
     stars = scratch.written(_star_links(heads, scratch).union(_same_id_links(members, classes)), "stars")
     joined = scratch.written(components(stars, scratch), "joined")
     # written, or the next stage would run two Python operators, and each executor keep four workers instead of two
     late = scratch.written(_late_links(heads, joined, scratch), "late")
-    whole = components(stars.union(late), scratch)
-    # the smallest id of each component, then of each class
-    rooted = scratch.written(classes.join(whole.withColumnRenamed("node", "head"), "head", "left").select("set_key", "low", F.coalesce("component", "head").alias("root")), "rooted")
+    whole = scratch.written(components(stars.union(late), scratch), "whole")
+    # the smallest id of each component, then of each class; a class of one row without a link is its own component
+    rooted = scratch.written(
+        classes.join(whole.withColumnRenamed("node", "head"), "head", "left").where("size > 1 OR component is not null").select("class", "low", F.coalesce("component", "head").alias("root")), "rooted"
+    )
     lows = scratch.written(rooted.groupBy("root").agg(F.min("low").alias("component")), "lows")
-    named_sets = scratch.written(rooted.join(lows, "root").select("set_key", "component"), "components")
-    own = members.join(named_sets, "set_key").groupBy("doc_id").agg(F.min("component").alias("component"))
+    named_classes = scratch.written(rooted.join(lows, "root").select("class", "component"), "components")
+    own = members.join(named_classes, "class").groupBy("doc_id").agg(F.min("component").alias("component"))
     named = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("n").cast("long").alias("n_shingles"))
     sizes = named.unionByName(every.where("doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles")))
     return sizes.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -398,11 +431,11 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _same_id_links(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Links among the classes of the texts of one id, each with one of them."""
-    several = members.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one <> other").select("doc_id", "one")
-    pairs = members.join(several, "doc_id").where("set_key <> one").select("set_key", "one").distinct()
-    heads = classes.select("set_key", "head")
-    first = pairs.join(heads, "set_key").select(F.col("head").alias("a"), F.col("one").alias("set_key"))
-    return first.join(heads, "set_key").select("a", F.col("head").alias("b"))
+    several = members.groupBy("doc_id").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("doc_id", "one")
+    pairs = members.join(several, "doc_id").where("class <> one").select("class", "one").distinct()
+    heads = classes.select("class", "head")
+    first = pairs.join(heads, "class").select(F.col("head").alias("a"), F.col("one").alias("class"))
+    return first.join(heads, "class").select("a", F.col("head").alias("b"))
 
 
 def _star_links(heads: DataFrame, scratch: Scratch) -> DataFrame:
