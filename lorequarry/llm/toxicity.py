@@ -6,16 +6,23 @@ verbs of reported speech. Four small transducers work on these symbols and are c
 ``reported`` marks insults and threats after a verb of speech or inside quotation marks, ``negation``
 those shortly after a negator, ``threat`` turns announcement, violence and target into one event, and
 ``target`` raises an insult next to a person. The composed machine runs over each clause that has an
-insult or a threat, emits events, and the document's score is a logistic function of what the events
-of its clauses weigh together. A document without any such clause keeps the base score.
+insult or a threat. A matched clause is of one kind, its pattern (insult, targeted insult, threat) and
+its polarity (plain, reported, negated), and as strong as its events of that polarity. A document's
+score is a logistic function of what its clauses of each kind weigh. Weights have signs: a clause of a
+kind that clean documents have lowers the score.
+
+The grammar also decides what is learned: stems are counted where they are neither negated nor reported.
+A stem counts as an insult only if its log-odds are high at the cautious end of what its counts allow.
 
 Learning uses at most TOXIC_ROWS and CLEAN_ROWS labelled rows outside the held-out fold, those with the
 smallest digests of their ids; this is the documented bound of the fit. Scoring reads every whole text,
 and nothing but the text.
 
-Defined results: a null or empty text has the base score; a row without label is scored like any other;
-several labels of one document count as the highest; repeated rows are scored each; without any label
-of one class the fixed priors are used; extra columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text has the base score; a very long text is scored whole; a row without
+label is scored like any other; several labels of one document count as the highest; of several texts of
+one id the one with the least digest is learned from, and all are scored; repeated rows are scored each;
+without any label of one class the fixed priors are used; a score of one half is predicted as toxic; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +35,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import fold_remainder, give_back, keyed_texts, spread, text_batches, written
+from lorequarry.llm.common import Scratch, fold_remainder, give_back, keyed_texts, spread, text_batches
 
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
 STEM = range(3, 9)
 LEAST_SUPPORT = 3
+LEAST_WORTH = 2.5  # log-odds of a stem at the cautious end of its counts
 MEMO_WORDS = 100_000
 MOST_CLEAN = 0.005  # share of clean rows that an event may occur in
 
@@ -50,8 +58,11 @@ WORDS = {
     "N": "not never no nor without isn aren wasn weren don doesn didn won nicht kein keine nie niemals pas jamais sans nunca jamás sin",
     "R": "said says say wrote writes called calls quoted reported told claims sagte schrieb nannte dit disait écrit dijo dice escribió llamó",
 }
-EVENTS = ("insult", "targeted", "negated", "reported", "threat", "weak_threat")
-PRIOR = np.array([2.0, 2.4, 0.8, 0.9, 3.0, 0.9, -0.5])  # the last: of the length, against chance events in long texts
+PATTERNS, POLARITIES = ("insult", "targeted", "threat"), ("plain", "reported", "negated")
+KINDS = [(p, q) for p in PATTERNS for q in POLARITIES]
+THREAT = 5.0  # what a threat weighs beside the learned weights of insults
+# of clauses by kind, and the last of the length, against chance events in long texts
+PRIOR = np.array([{"plain": {"insult": 2.0, "targeted": 2.4, "threat": 3.0}[p], "reported": -0.3, "negated": -0.5}[q] for p, q in KINDS] + [-0.5])
 BASE = -3.0
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -151,13 +162,36 @@ def grammar() -> Transducer:
     return reduce(Transducer.__rshift__, (reported(), negation(), threat(), target()))
 
 
-def event(symbol: str) -> int | None:
-    """Which of EVENTS a symbol that left the grammar is."""
-    if symbol[0] == "I":
-        return 2 if "n" in symbol else 3 if "r" in symbol else 1 if "y" in symbol else 0
-    if symbol[0] == "T":
-        return 5 if len(symbol) > 1 else 4
-    return None
+def event(symbol: str) -> tuple[str, str] | None:
+    """Pattern and polarity of a symbol that left the grammar, if it is an event."""
+    if symbol[0] not in "IT":
+        return None
+    pattern = "threat" if symbol[0] == "T" else "targeted" if "y" in symbol else "insult"
+    return pattern, "negated" if "n" in symbol else "reported" if "r" in symbol else "plain"
+
+
+def clause_kind(events: list[tuple[tuple[str, str], float]]) -> tuple[int, float] | None:
+    """The kind of a clause by its events, what is meant before what is reported or denied and the gravest pattern
+    first, and how much its events of that polarity weigh."""
+    if not events:
+        return None
+    polarity = min((q for (_, q), _ in events), key=POLARITIES.index)
+    own = [(p, w) for (p, q), w in events if q == polarity]
+    pattern = max((p for p, _ in own), key=PATTERNS.index)
+    return KINDS.index((pattern, polarity)), sum(w for _, w in own)
+
+
+def clauses_of(low: str, look: Callable[[str], tuple[str, float]]) -> Iterator[list[tuple[str, str, float]]]:
+    """Word, symbol and weight of all pieces of a text in lower case, clause by clause."""
+    clause: list[tuple[str, str, float]] = []
+    for m in PIECE.finditer(low):
+        piece = m[0]
+        if piece in CLAUSE:
+            yield clause
+            clause = []
+        else:
+            clause.append((piece, *(("Q", 0.0) if piece in QUOTE else look(piece))))
+    yield clause
 
 
 # ---- lexicon ------------------------------------------------------------------------------
@@ -210,8 +244,9 @@ def stem_events(words: dict[str, int]) -> set[tuple[str, int]]:
 
 
 def worth(n: int, against: int, toxic: int, clean: int) -> float:
-    """Log-odds of an event that n toxic and some clean rows have."""
-    return float(np.log((n + 0.5) / (toxic + 1)) - np.log((against + 0.5) / (clean + 1)))
+    """Log-odds of an event that n toxic and some clean rows have, two deviations to the cautious side of both counts."""
+    few, many = max(0.0, n - 2 * np.sqrt(n)), against + 2 * np.sqrt(against) + 1
+    return float(np.log((few + 0.5) / (toxic + 1)) - np.log((many + 0.5) / (clean + 1)))
 
 
 def cover(events: list[tuple[str, int]], weights: list[float], against: list[int], rows: list[list[int]]) -> dict[str, float]:
@@ -223,7 +258,7 @@ def cover(events: list[tuple[str, int]], weights: list[float], against: list[int
     while waiting:
         now = Counter(e for r in waiting for e in r)
         best = max(now, key=lambda e: (now[e] * weights[e], -events[e][1], len(events[e][0]), events[e]), default=None)
-        if best is None or now[best] < LEAST_SUPPORT:
+        if best is None or now[best] < max(LEAST_SUPPORT, 0.02 * len(rows)):  # fewer may share it by chance, as copies or wrong labels
             break
         stem, times = events[best]
         found[stem] = max(found.get(stem, 0.0), weights[best] / times)
@@ -237,11 +272,22 @@ def cover(events: list[tuple[str, int]], weights: list[float], against: list[int
     return found
 
 
-def _events_of(text: str | None) -> set[tuple[str, int]]:
-    return stem_events(Counter(TOKEN.findall((text or "").lower())))
+def plain_words(text: str, closed: dict[str, tuple[str, float]], machine: Transducer) -> Counter[str]:
+    """Words of no list that the grammar would leave plain if they were insults."""
+    found: Counter[str] = Counter()
+    for clause in clauses_of(text.lower(), lambda w: closed.get(w, ("I", 0.0))):
+        for (word, symbol, _), passed in zip(clause, machine.run([s for _, s, _ in clause]), strict=True):
+            if symbol == "I" and event(passed)[1] == "plain":
+                found[word] += 1
+    return found
+
+
+def _event_reader() -> Callable[[str | None], set[tuple[str, int]]]:
+    closed, machine = Lexicon({}).closed, grammar()
+    return lambda text: stem_events(plain_words(text or "", closed, machine))
 
 
-def learn_stems(sample: DataFrame) -> dict[str, float]:
+def learn_stems(sample: DataFrame, scratch: Scratch) -> dict[str, float]:
     """sample: text, toxic. The executors count; the driver sees counts of events with enough support, and of each
     toxic row only the events that clean rows hardly have."""
     n = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -251,9 +297,10 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
 
     def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, int]] = Counter()
+        events_of = _event_reader()
         for batch in batches:
             for text in batch.column(0):
-                counts.update(_events_of(text.as_py()))
+                counts.update(events_of(text.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["stem", "times", "n"])
 
     shape = "stem string, times int, n long"
@@ -263,16 +310,17 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     shared = sample.sparkSession.sparkContext.broadcast(numbers)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events_of = _event_reader()
         for batch in batches:
-            ids = [[i for e in _events_of(t.as_py()) if (i := shared.value.get(e)) is not None] for t in batch.column(0)]
+            ids = [[i for e in events_of(t.as_py()) if (i := shared.value.get(e)) is not None] for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column(1)], ["ids", "toxic"])
 
-    numbered = written(sample.select("text", "toxic").mapInArrow(number, "ids array<int>, toxic int"), "toxic-events")
+    numbered = scratch.written(sample.select("text", "toxic").mapInArrow(number, "ids array<int>, toxic int"), "events")
     against = [0] * len(known)
     for r in numbered.where("toxic <> 1").select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect():
         against[r["id"]] = r["n"]
     weights = [worth(r["n"], a, toxic, clean) for r, a in zip(known, against, strict=True)]
-    good = [i for i, w in enumerate(weights) if w >= 2 and against[i] <= MOST_CLEAN * clean]
+    good = [i for i, w in enumerate(weights) if w >= LEAST_WORTH and against[i] <= MOST_CLEAN * clean]
     kept = sample.sparkSession.sparkContext.broadcast(set(good))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,34 +341,23 @@ class Model:
         self.lexicon, self.machine = Lexicon(self.stems), grammar()
 
     def features(self, text: str) -> np.ndarray | None:
-        """What the events of all clauses weigh, by kind; None without a clause that could have any."""
+        """What the matched clauses of each kind weigh, and the length; None without a clause that could match."""
         low = text.lower()
         look = self.lexicon.__getitem__
         kinds = {look(w)[0] for w in set(TOKEN.findall(low))}
         if "I" not in kinds and "V" not in kinds:
             return None
         out = np.zeros(len(PRIOR))
-        out[-1] = max(1, low.count(" ") / 100) - 1
-        clause: list[tuple[str, float]] = []
-        for m in PIECE.finditer(low):
-            piece = m[0]
-            if piece in CLAUSE:
-                self._clause(clause, out)
-                clause = []
-            elif piece in QUOTE:
-                clause.append(("Q", 0.0))
-            else:
-                clause.append(look(piece))
-        self._clause(clause, out)
+        for clause in clauses_of(low, look):
+            symbols = [s for _, s, _ in clause]
+            if "I" in symbols or "V" in symbols:
+                passed = self.machine.run(symbols)
+                events = [(e, w if p[0] == "I" else THREAT) for (_, _, w), p in zip(clause, passed, strict=True) if (e := event(p))]
+                if kind := clause_kind(events):
+                    out[kind[0]] += kind[1]
+        out[-1] = max(1, low.count(" ") / 100) - 1 if out.any() else 0
         return out
 
-    def _clause(self, clause: list[tuple[str, float]], out: np.ndarray) -> None:
-        symbols = [s for s, _ in clause]
-        if "I" in symbols or "V" in symbols:
-            for (_, weight), passed in zip(clause, self.machine.run(symbols), strict=True):
-                if (kind := event(passed)) is not None:
-                    out[kind] += weight if passed[0] == "I" else 5.0
-
     def score(self, text: str) -> float:
         f = self.features(text)
         z = self.base + (float(self.weights @ np.log1p(f)) if f is not None else 0.0)
@@ -328,7 +365,7 @@ class Model:
 
 
 def calibrate(features: list[np.ndarray | None], labels: list[bool]) -> tuple[np.ndarray, float]:
-    """Logistic weights of events and length, drawn towards PRIOR, and the base; events never lower a score."""
+    """Logistic weights of clauses by kind and of the length, drawn towards PRIOR, and the base; length never raises a score."""
     x = np.array([np.log1p(f) if f is not None else np.zeros(len(PRIOR)) for f in features]).reshape(-1, len(PRIOR))
     y = np.array(labels, float)
     w, b = PRIOR.copy(), BASE
@@ -337,7 +374,7 @@ def calibrate(features: list[np.ndarray | None], labels: list[bool]) -> tuple[np
     for _ in range(3000):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         w = w - 0.5 * (x.T @ (p - y) / len(y) + 0.0005 * (w - PRIOR))
-        w[:-1], w[-1] = np.maximum(0, w[:-1]), min(0, w[-1])
+        w[-1] = min(0, w[-1])
         b -= 0.5 * (float((p - y).mean()) + 0.0005 * (b - BASE))
     return w, min(b, -1.0)
 
@@ -354,9 +391,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     by = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = known.where("toxic = 1").orderBy(*by).limit(TOXIC_ROWS).unionByName(known.where("toxic = 0").orderBy(*by).limit(CLEAN_ROWS))
     # at most TOXIC_ROWS + CLEAN_ROWS ids
-    sample = written(keyed_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
+    least = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    found = keyed_texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("n", F.row_number().over(least)).where("n = 1").drop("n")
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        return _fitted(scratch.written(found, "sample"), scratch)
+
 
-    model = Model(learn_stems(sample), PRIOR, BASE)
+def _fitted(sample: DataFrame, scratch: Scratch) -> Model:
+    model = Model(learn_stems(sample, scratch), PRIOR, BASE)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
