@@ -406,7 +406,7 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # as a table, so that a class of very many copies can be split in joins with it
     classes = scratch.written(members.groupBy("class").agg(F.min("row").alias("head"), F.min("doc_id").alias("low"), F.count("*").alias("size")), "classes")
     answer = X.totals(plan, stored.mapInArrow(_sending(plan), X.SENT), scratch.written).select("block", "bucket", "totals", F.lit(None).cast("array<int>").alias("places"))
-    flags = places(classes.select(F.col("head").alias("row"))).select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "places")
+    flags = scratch.written(places(classes.select(F.col("head").alias("row"))), "places").select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "places")
     found = stored.groupBy("block").cogroup(answer.unionByName(flags).groupBy("block")).applyInArrow(_suspecting(plan), SUSPECTS)
     every = scratch.written(found, "sets")
     scratch.drop(stored)  # all that is needed of the blocks is in every now
