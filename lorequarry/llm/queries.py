@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.llm import bpe, chat, decontam, jaccard, lm, media, rollup, toxicity, warc, wrapper
-from lorequarry.llm.common import Query, Scratch, fold_remainder, spread, table, written
+from lorequarry.llm.common import Query, Scratch, fold_remainder, spread, table
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return wrapper.extracted(pages, written(wrapper.wrappers(pages), "wrappers"))
+    return wrapper.main_texts(pages)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
