@@ -9,12 +9,14 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that end a phrase, characters that end a sentence, places where a quote may be cut.
+# Characters that end a phrase, characters that end a sentence, places where a quote may be cut, the form
+# of an issue code, a run of ideographs.
 FUNCTION_CHARACTERS = "的是了什么呢吗啊呀与和或这那在有不"
 SENTENCE = r"[^。！？!?]+(?:[。！？!?]|$)"
 QUOTE_ENDS = " 。！？，\n"
 
 CODE = re.compile(r"\b[A-Z][A-Z_]{2,}[A-Z]\b")
+IDEOGRAPHS = r"[一-鿿]{3,5}"
 LEAST_DIVISOR = 10
 
 # A neutral default; callers pass their own groups of equivalent terms.
@@ -73,16 +75,11 @@ def expand_query(query: str, groups: Sequence[Sequence[str]] = SYNONYMS) -> str:
 
 
 def phrases_of(text: str) -> list[str]:
-    """Runs of three to five ideographs, then segments between function characters, long ones with all their
-    2-, 3- and 4-grams. Repetitions stay."""
-    found = re.findall(r"[一-鿿]{3,5}", text)
-    for part in map(str.strip, re.split(f"[{FUNCTION_CHARACTERS}]", text)):
-        if len(part) < 2:
-            continue
-        found.append(part)
-        if len(part) > 4:
-            found += (part[at : at + n] for n in (2, 3, 4) for at in range(len(part) - n + 1))
-    return found
+    """phrases() on the driver: runs of ideographs, segments between function characters, and all 2-, 3- and 4-grams of
+    long segments. Repetitions stay."""
+    segments = [s for s in (part.strip() for part in re.split(f"[{FUNCTION_CHARACTERS}]", text)) if len(s) >= 2]
+    grams = ("".join(g) for s in segments if len(s) > 4 for n in (2, 3, 4) for g in zip(*(s[k:] for k in range(n)), strict=False))
+    return [*re.findall(IDEOGRAPHS, text), *segments, *grams]
 
 
 def issue_codes_of(query: str) -> list[str]:
@@ -130,7 +127,7 @@ def lookup_score(content: Column, heading: Column, keywords: Sequence[str]) -> C
 
 def phrases(text: Column) -> Column:
     """phrases_of as an array column."""
-    runs = F.regexp_extract_all(text, F.lit(r"[一-鿿]{3,5}"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(IDEOGRAPHS), F.lit(0))
     parts = F.filter(F.transform(F.split(text, f"[{FUNCTION_CHARACTERS}]"), strip), lambda s: F.length(s) >= 2)
 
     def grams(s: Column) -> Column:
@@ -147,7 +144,7 @@ def phrases(text: Column) -> Column:
 
 
 def issue_codes(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z_]{2,}[A-Z]\b"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(CODE.pattern), F.lit(0))
 
 
 def synonym_expansion(query: Column, groups: Sequence[Sequence[str]] = SYNONYMS) -> Column:

@@ -7,6 +7,9 @@ sentences, which carries state from one to the next, runs in an Arrow function,
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -18,6 +21,7 @@ from lorequarry.functions import text as T
 from lorequarry.functions.vectors import Embedder
 
 _SENTENCE = re.compile(T.SENTENCE)
+SPAN = 1 << 24  # chunks of a document
 
 
 def section_ranges(content: Column, events: Column) -> Column:
@@ -30,32 +34,28 @@ def section_ranges(content: Column, events: Column) -> Column:
     return F.transform(begun, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(begun, i + 1), size).alias("e")))
 
 
-def merge_spans(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((max(0, s), min(length, e)) for s, e in spans if s < e and e > 0 and s < length):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def regions(protected: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, bool]]:
+    """The text cut where protection begins or ends: begin, end, protected. Where a span begins, the depth rises by
+    one, and it falls where one ends; a place is protected while it is above 0, so touching spans are one region."""
+    change: Counter[int] = Counter()
+    for s, e in protected:
+        s, e = max(0, s), min(length, e)
+        if s < e:
+            change.update({s: 1})
+            change.subtract({e: 1})
+    marks = sorted(change)
+    inside = [False, *(depth > 0 for depth in accumulate(change[m] for m in marks))]
+    cuts = zip([0, *marks], [*marks, length], inside, strict=True)
+    for flag, run in groupby((c for c in cuts if c[0] < c[1]), key=lambda c: c[2]):
+        first, *rest = run
+        yield first[0], (rest or [first])[-1][1], flag
 
 
 def units_of(text: str, protected: list[tuple[int, int]]) -> list[str]:
-    """Protected spans as one unit each, the text between them by sentences."""
-    pieces: list[str] = []
-
-    def split(part: str) -> None:
-        own = [s for s in (m.group().strip() for m in _SENTENCE.finditer(part)) if s]
-        pieces.extend(own or ([part.strip()] if part.strip() else []))
-
-    at = 0
-    for s, e in merge_spans(protected, len(text)):
-        split(text[at:s])
-        if text[s:e].strip():
-            pieces.append(text[s:e].strip())
-        at = e
-    split(text[at:])
-    return pieces
+    """Protected regions as one unit each, the text between them by sentences."""
+    parts = ((text[a:b], [text[a:b]] if whole else _SENTENCE.findall(text[a:b])) for a, b, whole in regions(protected, len(text)))
+    stripped = ((part, [s.strip() for s in found if s.strip()]) for part, found in parts)
+    return [u for part, found in stripped for u in (found or [part.strip()]) if u]
 
 
 def grouped(sizes: list[int], alike: np.ndarray, least: int, most: int, overlap: int, threshold: float) -> list[tuple[int, int]]:
@@ -156,16 +156,25 @@ def embedding_text(path: Column, source: Column, content: Column, labels: tuple[
     return F.concat_ws("\n", heading, F.concat(F.lit(labels[1]), source), F.lit(labels[2]), content)
 
 
-def child_chunks(parents: DataFrame, embedder: Embedder | None, least: int = 80, most: int = 350, overlap: int = 40, threshold: float = 0.62) -> DataFrame:
-    """A short parent is its own child; a long one is cut by meaning. Size is counted in characters."""
+def child_chunks(
+    parents: DataFrame, embedder: Embedder | None, least: int = 80, most: int = 350, overlap: int = 40, threshold: float = 0.62, count: Callable[[str], int] | None = None
+) -> DataFrame:
+    """A short parent is its own child; a long one is cut by meaning. count gives the tokens of a text; without it
+    size is counted in characters."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([semantic_chunks(t, [(r["s"], r["e"]) for r in s], embedder, least, most, overlap, threshold) for t, s in zip(texts, spans, strict=True)])
+        return pd.Series([semantic_chunks(t, [(r["s"], r["e"]) for r in s], embedder, least, most, overlap, threshold, count or len) for t, s in zip(texts, spans, strict=True)])
+
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(count)
 
     columns = [c for c in parents.columns if c not in ("protected",)]
-    short = parents.where(F.length("content") <= most).select(*columns, F.array("content").alias("pieces"))
-    long = parents.where(F.length("content") > most).select(*columns, cut("content", "protected").alias("pieces"))
+    size = F.length("content") if count is None else counted("content")
+    sized = parents.withColumn("size", size)
+    short = sized.where(F.col("size") <= most).select(*columns, F.array("content").alias("pieces"))
+    long = sized.where(F.col("size") > most).select(*columns, cut("content", "protected").alias("pieces"))
     piece = short.unionByName(long).select("*", F.posexplode("pieces").alias("k", "piece")).withColumn("piece", T.strip(F.col("piece"))).where("piece <> ''")
     hashed = piece.withColumn("own_hash", T.content_hash(F.col("piece")))
     ordinal = (F.col("k") + 1).cast("int")
@@ -185,12 +194,14 @@ def link_neighbours(chunks: DataFrame, group: str = "parent_id", order: tuple[st
 def build_chunks(documents: DataFrame, embedder: Embedder | None, version: str = "v3", **options) -> DataFrame:
     """All parent and linked child chunks of documents (source, raw_text, seq) as rows of schemas.CHUNK.
 
-    seq becomes unique: input order, then section, then parents before children."""
+    seq becomes unique: input order, then section, then parents before children. Chunks are numbered within their
+    document and added to its number times SPAN; a document of SPAN chunks would be an error, not a collision."""
     parents = parent_chunks(documents, version)
     children = link_neighbours(child_chunks(parents, embedder, **options), order=("ordinal", "seq", "section"))
     alone = parents.drop("protected").withColumns({"prev_chunk_id": F.lit(None).cast("string"), "next_chunk_id": F.lit(None).cast("string")})
-    rank = (F.col("seq") * 1_000_000 + F.col("section") * 1_000 + F.col("ordinal")).cast("bigint")
-    return alone.unionByName(children).withColumn("seq", rank).drop("section")
+    within = F.row_number().over(Window.partitionBy("seq").orderBy("section", "ordinal", "chunk_id")) - 1
+    placed = F.when(within < SPAN, F.col("seq") * SPAN + within).otherwise(F.raise_error(F.lit("more chunks in a document than seq tells apart")).cast("bigint"))
+    return alone.unionByName(children).withColumn("seq", placed.cast("bigint")).drop("section")
 
 
 # ---- plain splits -------------------------------------------------------------------------------
@@ -208,7 +219,13 @@ def heading_split(text: Column, least: int = 2, most: int = 2) -> Column:
     return F.when(F.regexp_like(text, F.lit(mark)), found).otherwise(plain)
 
 
-def plain_chunks(documents: DataFrame, least: int = 2, most: int = 2) -> DataFrame:
-    """Chunks of the plain split, numbered from one: source, heading, heading_path, content, ordinal, seq."""
-    cut = documents.select("source", "seq", F.posexplode(heading_split(F.col("raw_text"), least, most)).alias("k", "c"))
-    return cut.select("source", F.col("c.heading").alias("heading"), F.array("c.heading").alias("heading_path"), F.col("c.content").alias("content"), (F.col("k") + 1).alias("ordinal"), "seq")
+def plain_chunks(documents: DataFrame, least: int = 2, most: int = 2, fingerprint: str | None = None, version: str = "v3") -> DataFrame:
+    """Chunks of the plain split with ids as other chunks have them; ordinal counts from one, chunk_index from zero.
+    fingerprint: of the folder that the documents are from."""
+    cut = documents.select("source", "seq", F.posexplode(heading_split(F.col("raw_text"), least, most)).alias("chunk_index", "c"))
+    path = F.when(F.col("c.heading") == "", F.array().cast("array<string>")).otherwise(F.array("c.heading"))
+    rows = cut.withColumns({"heading_path": path, "content_hash": T.content_hash(F.col("c.content")), "ordinal": F.col("chunk_index") + 1})
+    return rows.select(
+        T.chunk_id(F.col("source"), F.col("heading_path"), F.col("ordinal"), F.col("content_hash")).alias("chunk_id"), "source", F.col("c.heading").alias("heading"), "heading_path",
+        F.col("c.content").alias("content"), "content_hash", "ordinal", "chunk_index", F.lit(version).alias("chunk_version"), F.lit(fingerprint).cast("string").alias("content_fingerprint"), "seq",
+    )

@@ -56,6 +56,12 @@ class Store:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(source, target, options)
 
+    def write_bytes(self, name: str, content: bytes) -> None:
+        where, fs = self._hadoop(name)
+        out = fs.create(where, True)
+        out.write(bytearray(content))
+        out.close()
+
     def write_text(self, name: str, text: str) -> None:
         """A reader sees all of it or all of the one before, also if the writer ends on the way."""
         target, fs = self._hadoop(name)

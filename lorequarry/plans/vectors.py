@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions.vectors import native_point_id
@@ -45,9 +45,11 @@ class VectorCollection:
         fine = F.when(F.size("embedding") == self.size, F.col("embedding")).otherwise(wrong.cast("array<float>"))
         return rows.withColumn("embedding", fine).withColumn("point_id", native_point_id(F.col("chunk_id")))
 
-    def upsert(self, rows: DataFrame) -> None:
-        """Points of the same chunk_id are replaced; of several in rows one stays."""
-        new = self._checked(rows).dropDuplicates(["point_id"])
+    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
+        """Points of the same chunk_id are replaced; of several in rows the last one stays, by a column or as they come."""
+        placed = self._checked(rows).withColumn("_place", F.struct(F.col(order) if order else F.lit(0), F.monotonically_increasing_id()))
+        last = Window.partitionBy("point_id").orderBy(F.desc("_place"))
+        new = placed.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_place")
         old = self.rows()
         kept = old.join(new.select("point_id"), "point_id", "left_anti") if old is not None else None
         self._write(new if kept is None else new.unionByName(kept, allowMissingColumns=True))

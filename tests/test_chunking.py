@@ -88,3 +88,26 @@ def test_heading_split(spark):
     assert got == [[("A", "## A\none"), ("B", "## B\n\ntwo")], [("", "p1"), ("", "p2")], [("", "# H\nx")], []]
     three = [[tuple(c) for c in r[0]] for r in frame.select(C.heading_split(F.col("t"), 1, 3)).collect()]
     assert three[2] == [("H", "# H\nx")]
+
+
+def test_numbers_of_chunks_stay_unique(spark):
+    long = "## One\n" + "".join(f"Sentence number {k} here! " for k in range(1500)) + "\n## Two\nend\n"
+    rows = built(spark, long, DOC, least=1, most=30, overlap=0).select("seq", "chunk_id").collect()
+    assert len(rows) > 1500 and len({r["seq"] for r in rows}) == len(rows)
+    order = [r["chunk_type"] for r in built(spark, DOC).orderBy("seq").collect()]
+    assert order[0] == "parent" and order.count("parent") == 3
+
+
+def test_sizes_by_a_token_counter(spark):
+    words = lambda t: len(t.split())
+    text = "## One\n" + "alpha beta gamma delta! " * 30
+    by_words = built(spark, text, least=1, most=12, overlap=0, threshold=0.0, count=words).where("chunk_type = 'child'").collect()
+    assert len(by_words) > 5 and all(words(r["content"]) <= 12 for r in by_words)
+    assert built(spark, text, least=1, most=500, overlap=0, count=words).where("chunk_type = 'child'").count() == 1
+
+
+def test_plain_chunks_carry_ids(spark):
+    frame = spark.createDataFrame([("a.md", "lost\n## A\none\n## B\ntwo", 1), ("b.md", "no heading", 2)], "source string, raw_text string, seq bigint")
+    rows = C.plain_chunks(frame, fingerprint="f").orderBy("seq", "ordinal").collect()
+    assert [(r["heading_path"], r["ordinal"], r["chunk_index"], r["content_fingerprint"]) for r in rows] == [(["A"], 1, 0, "f"), (["B"], 2, 1, "f"), ([], 1, 0, "f")]
+    assert len({r["chunk_id"] for r in rows}) == 3 and all(r["content_hash"].startswith("sha256:") for r in rows)

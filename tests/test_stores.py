@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorequarry.plans import evaluate, fingerprints
 from lorequarry.plans.storage import Store
@@ -99,3 +100,12 @@ def test_one_of_several_writers_creates(spark, tmp_path):
 
     monkey._write = slow
     assert not monkey.create("m/2", "second") and store.read_text("m/2") == "first"
+
+
+def test_the_last_of_equal_points_stays(spark, tmp_path):
+    c = VectorCollection(spark, str(tmp_path), "base", 1)
+    rows = spark.createDataFrame([("a", [float(k)], f"l{k}") for k in range(20)], "chunk_id string, embedding array<float>, lang string").coalesce(1)
+    c.upsert(rows)
+    assert [r["lang"] for r in c.rows().collect()] == ["l19"]
+    c.upsert(rows.repartition(7).withColumn("n", F.col("embedding")[0]), order="n")
+    assert [r["lang"] for r in c.rows().collect()] == ["l19"]
