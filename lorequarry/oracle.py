@@ -186,8 +186,8 @@ SELECT vec_id, round(n, 6) AS norm, round(sqrt(list_sum(list_transform(e, lambda
     "content_hash": f"SELECT doc_id, {content_hash('text')} AS content_hash FROM documents",
     "chunk_id": f"SELECT doc_id, 'sha256:' || sha256(source || '||' || to_json([lang, source]) || '||1||' || {content_hash('text')}) AS chunk_id FROM documents",
     "manifest_hash": f"SELECT 'sha256:' || sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(9) || {content_hash('text')}, chr(10) ORDER BY doc_id)) AS content_hash FROM documents",
-    "corpus_fingerprint": f"SELECT top, substring(sha256(unhex(string_agg(hex(encode(name)) || '00' || hex(encode(text)) || '00', '' ORDER BY name))), 1, 16) AS fingerprint, count(*) AS files FROM ({_FILES}) GROUP BY top",
-    "plain_fingerprint": "SELECT substring(sha256(unhex(string_agg(hex(encode(lpad(CAST(item_id AS VARCHAR), 6, '0') || '.md')) || hex(encode(text)), '' ORDER BY lpad(CAST(item_id AS VARCHAR), 6, '0')))), 1, 16) AS fingerprint FROM benchmark",
+    "corpus_fingerprint": f"SELECT substring(sha256(unhex(string_agg(hex(encode(name)) || '00' || hex(encode(text)) || '00', '' ORDER BY name))), 1, 16) AS fingerprint FROM ({_FILES})",
+    "plain_fingerprint": f"SELECT substring(sha256(unhex(string_agg(hex(encode(name)) || hex(encode(text)), '' ORDER BY name))), 1, 16) AS fingerprint FROM ({_FILES})",
     "eval_by_mode": """WITH l AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n FROM conversations WHERE turn > 0),
 r AS (SELECT conv_id, 'turn' AS mode, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM l UNION ALL SELECT conv_id, 'length', role, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) FROM l),
 c AS (SELECT DISTINCT conv_id, mode FROM conversations, (SELECT DISTINCT mode FROM r) WHERE turn = 0),
@@ -253,11 +253,6 @@ SELECT doc_id, n >= 50 AS passed, n < 200 OR n > 2000 AS requires_review, n AS t
  WHEN lang NOT IN ('en', 'fr', 'es') THEN 'unknown or disabled domain: ' || lang END AS refused FROM documents""",
     "ingest_dedup_registry": "SELECT doc_id, lang AS domain, min(doc_id) OVER (PARTITION BY lang, text) AS first_doc_id, doc_id > min(doc_id) OVER (PARTITION BY lang, text) AS duplicate FROM documents",
     "streaming_ingest": "SELECT lang AS domain, 'sha256:' || sha256(text) AS source_hash, min(doc_id) AS doc_id FROM documents GROUP BY lang, text",
-    "index_info": "SELECT lang, count(*) AS chunks, count(DISTINCT source) AS sources, count(*) FILTER (length(text) > 350) AS parents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
-    "readiness": """WITH r AS (SELECT source, count(*) FILTER (text IS NULL) AS missing, count(l.doc_id) AS known FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1),
-s AS (SELECT CASE WHEN missing > 0 THEN 'error' WHEN known = 0 THEN 'unindexed' ELSE 'ok' END AS s FROM r),
-n AS (SELECT count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'unindexed') AS unindexed, count(*) FILTER (s = 'error') AS error FROM s)
-SELECT *, CASE WHEN error > 0 THEN 'error' WHEN unindexed = 0 AND ok > 0 THEN 'ready' ELSE 'degraded' END AS status, CAST(CASE WHEN error > 0 THEN 503 ELSE 200 END AS BIGINT) AS http FROM n""",
     "version_retention": f"""WITH v AS (SELECT DISTINCT o_custkey AS domain, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS version FROM orders)
 SELECT domain, version FROM v QUALIFY row_number() OVER (PARTITION BY domain ORDER BY version DESC) <= {KEEP}""",
     "manifest_compat": """WITH m AS (SELECT n_nationkey AS k, n_regionkey % 3 AS r FROM nation)

@@ -88,12 +88,16 @@ class DomainIndex:
     def sources(self) -> list[tuple[str, str]]:
         return [("", knowledge_folder(self.settings, self.domain)), ("_managed", contained(self.settings.managed_root, self.domain))]
 
-    def rebuild(self, embedder: Embedder | None, force: bool = False, progress: Progress | None = None, collection: str | None = None) -> dict[str, Any]:
+    def rebuild(
+        self, embedder: Embedder | None, force: bool = False, progress: Progress | None = None, collection: str | None = None, documents: DataFrame | None = None
+    ) -> dict[str, Any]:
+        """A new generation, unless the one that serves still fits. documents (source, raw_text, seq) stand in for the
+        files of the domain's folders."""
         tell = progress or (lambda *_: None)
         base = collection_of(self.settings, self.domain)
         if collection and collection != base:
             raise ValueError(f"the collection of {self.domain} is {base}")
-        documents = files.markdown_tree(self.spark, self.sources())
+        documents = files.markdown_tree(self.spark, self.sources()) if documents is None else documents
         known = fingerprints.corpus_digest(documents.select("source", F.encode("raw_text", "UTF-8").alias("content"))).first()["fingerprint"]
         wanted = {
             "knowledge_version": known, "chunk_version": fingerprints.pipeline_version({"chunking": self.settings.chunking()}),
@@ -136,7 +140,7 @@ class DomainIndex:
         built.withColumn("embedding", vector).write.parquet(self.store.path(folder))
         tell("indexing", 0, 0)
         stored = self.spark.read.parquet(self.store.path(folder))
-        lines = fingerprints.manifest_hash(stored).first()["content_hash"]
+        lines = fingerprints.manifest_digest(stored).first()["content_hash"]
         n = stored.agg(
             F.count("*").alias("chunk_count"), F.count_if(F.col("chunk_type") == "parent").alias("parent_count"), F.count_if(F.col("chunk_type") == "child").alias("child_count"),
             F.count_if((F.col("chunk_type") == "child") & (F.size("embedding") == s.vector_size)).alias("vectors"),

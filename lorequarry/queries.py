@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from lorequarry.operators import chunking, cite, elements, enrich, fusion, recal
 from lorequarry.operators.rerank import lexical_score, rerank
 from lorequarry.plans import evaluate, fingerprints, index, ingest
 from lorequarry.plans.engine import ordered
+from lorequarry.plans.storage import Store, shared_folder
 from lorequarry.sources import html, ocr
 from lorequarry.streaming import ingest as streaming
 
@@ -33,7 +32,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """A table of fewer partitions than cores is dealt to all of them."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,17 +189,11 @@ def corpus_files(spark, sf_dir):
 
 
 def corpus_fingerprint(spark, sf_dir):
-    """By source: the bytes of a source must fit one task, as the definition asks; corpus_digest has no such bound."""
-    rows = corpus_files(spark, sf_dir).withColumn("top", F.get(F.split("source", "/"), F.lit(0)))
-    hexed = F.concat(F.hex(F.encode("source", "UTF-8")), F.lit("00"), F.hex("content"), F.lit("00"))
-    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.split("source", "/").alias("o"), hexed.alias("h")))), lambda r: r["h"]), ""))
-    return rows.groupBy("top").agg(F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"), F.count("*").alias("files"))
+    return fingerprints.corpus_fingerprint(corpus_files(spark, sf_dir))
 
 
 def plain_fingerprint(spark, sf_dir):
-    """Of the benchmark items as files; like corpus_fingerprint for what one task can hold."""
-    rows = load(spark, sf_dir, "benchmark").select(F.concat(F.lpad(F.col("item_id").cast("string"), 6, "0"), F.lit(".md")).alias("source"), F.encode("text", "UTF-8").alias("content"))
-    return fingerprints.plain_fingerprint(rows)
+    return fingerprints.plain_fingerprint(corpus_files(spark, sf_dir))
 
 
 def corpus_digest(spark, sf_dir):
@@ -475,10 +468,7 @@ def ingest_dedup_registry(spark, sf_dir):
 
 def streaming_ingest(spark, sf_dir):
     """Documents as a file stream into the registry, each content once for each language."""
-    from lorequarry.plans.storage import Store
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    folder = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "ingest")
     # a stream reads folders; a table in one file is a pattern in the folder above it
     whole = Store(spark, sf_dir).is_folder("documents.parquet")
     reader = spark.readStream.schema(load(spark, sf_dir, "documents").schema)
@@ -491,21 +481,6 @@ def streaming_ingest(spark, sf_dir):
 # ---- operations -------------------------------------------------------------------------------
 
 
-def index_info(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents")
-    return rows.groupBy("lang").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"), F.count_if(F.length("text") > 350).alias("parents"), F.sum(F.length("text")).alias("n_chars"))
-
-
-def readiness(spark, sf_dir):
-    """Sources as domains: in error if a text is missing, not indexed if it has no labelled document, else ok."""
-    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "source", "text"), load(spark, sf_dir, "labels").select("doc_id").distinct()
-    rows = docs.join(labels.withColumn("known", F.lit(1)), "doc_id", "left").groupBy("source").agg(F.count_if(F.col("text").isNull()).alias("missing"), F.count("known").alias("known"))
-    state = F.when(F.col("missing") > 0, "error").when(F.col("known") == 0, "unindexed").otherwise("ok")
-    sums = rows.select(state.alias("s")).agg(*(F.count_if(F.col("s") == s).alias(s) for s in ("ok", "unindexed", "error")))
-    overall = F.when(F.col("error") > 0, "error").when((F.col("unindexed") == 0) & (F.col("ok") > 0), "ready").otherwise("degraded")
-    return sums.select("ok", "unindexed", "error", overall.alias("status"), F.when(F.col("error") > 0, 503).otherwise(200).cast("long").alias("http"))
-
-
 def version_retention(spark, sf_dir):
     """Order days as versions of customers; the last two of each stay."""
     versions = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("domain"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long").alias("version")).distinct()
@@ -545,6 +520,6 @@ QUERIES = {
     "rerank_lexical": rerank_lexical, "multi_mode": multi_mode, "context_enrich": context_enrich, "citations": citations, "prompt_build": prompt_build,
     "html_to_markdown": html_to_markdown, "html_title": html_title, "html_elements": html_elements, "quality_report": quality_report,
     "render_markdown": render_markdown, "ocr_decode": ocr_decode, "ocr_confidence": ocr_confidence, "accept_uploads": accept_uploads,
-    "ingest_dedup_registry": ingest_dedup_registry, "streaming_ingest": streaming_ingest, "index_info": index_info, "readiness": readiness,
+    "ingest_dedup_registry": ingest_dedup_registry, "streaming_ingest": streaming_ingest,
     "version_retention": version_retention, "manifest_compat": manifest_compat, "job_recovery": job_recovery,
 }

@@ -1,6 +1,8 @@
-"""All queries of the engine's own operators, and the DuckDB SQL that gives the same rows."""
+"""All queries of the engine, and the SQL for them."""
 
-from lorequarry.oracle import ORACLE
-from lorequarry.queries import QUERIES
+from lorequarry import catalogue, oracle, queries
+
+QUERIES = queries.QUERIES | catalogue.QUERIES
+ORACLE = oracle.ORACLE | catalogue.ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
