@@ -76,6 +76,11 @@ runs AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, inside ORDER BY
 SELECT conv_id, min(loc) AS start_pos, CAST({end} AS INTEGER) AS end_pos FROM runs WHERE inside GROUP BY conv_id, run"""
 
 
+TABLES = islands(r"regexp_matches(line, '^\|.+\|.*\|$')", "max(loc + length(line))")
+LISTS = islands(r"regexp_matches(line, '^\s*(?:[-*+]\s+|\d+[.)]\s+)')", "max(loc + length(line) + 1)")
+CODE = f"""WITH {MD}, fence AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k FROM pos WHERE line LIKE '```%')
+SELECT conv_id, min(loc) AS start_pos, CAST(max(loc + length(line)) AS INTEGER) AS end_pos FROM fence GROUP BY conv_id, (k - 1) // 2 HAVING count(*) = 2"""
+
 SECTIONS = f"""WITH {MD}, cuts AS (SELECT conv_id, content, loc FROM heads WHERE level >= 2 UNION ALL SELECT conv_id, content, 0 FROM md),
 ends AS (SELECT conv_id, content, loc, coalesce(lead(loc) OVER (PARTITION BY conv_id ORDER BY loc), length(content)) AS e, row_number() OVER (PARTITION BY conv_id ORDER BY loc) - 1 AS k FROM cuts)"""
 
@@ -151,7 +156,11 @@ top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY keyword_score
 _LOOKUP_HITS = " + ".join(f"CASE WHEN contains(body, {q(k)}) THEN 1.0 ELSE 0.0 END + CASE WHEN contains(heading, {q(k)}) THEN 2.0 ELSE 0.0 END" for k in LOOKUP)
 _LOOKUP = f"""WITH RECURSIVE c AS (SELECT doc_id AS seq, text AS content, string_split(text, chr(10))[1] AS heading, string_split(text, chr(10))[1] || ' ' || text AS body FROM documents),
 scored AS (SELECT *, CAST(round({_LOOKUP_HITS}, 2) AS DOUBLE) AS score FROM c),
-cand AS (SELECT row_number() OVER (ORDER BY score DESC, seq) AS pos, seq, content, score FROM scored WHERE score > 0 ORDER BY pos LIMIT 60)"""
+cand AS (SELECT row_number() OVER (ORDER BY score DESC, seq) AS pos, seq, content, score FROM scored WHERE score > 0),
+grams AS MATERIALIZED (SELECT pos, seq, score, CASE WHEN length(content) < 2 THEN []::VARCHAR[] ELSE {PAIRS.format('content')} END AS g FROM cand),
+pick AS (SELECT 1 AS n, pos, [g] AS kept FROM grams WHERE pos = 1
+  UNION ALL SELECT any_value(p.n) + 1, min(c.pos), list_append(any_value(p.kept), arg_min(c.g, c.pos)) FROM pick p JOIN grams c ON c.pos > p.pos
+  WHERE p.n < 5 AND len(list_filter(p.kept, lambda k: len(k) > 0 AND len(c.g) > 0 AND len(list_intersect(k, c.g)) / CAST(len(k) + len(c.g) - len(list_intersect(k, c.g)) AS DOUBLE) > 0.8)) = 0 GROUP BY p.n)"""
 
 _TALK = """WITH ch AS (SELECT 'c' || conv_id || '-' || turn AS chunk_id, 'c' || conv_id AS parent_id, turn, coalesce(text, '') AS content FROM conversations),
 linked AS (SELECT *, lag(chunk_id) OVER (PARTITION BY parent_id ORDER BY turn) AS p, lead(chunk_id) OVER (PARTITION BY parent_id ORDER BY turn) AS n FROM ch),
@@ -177,7 +186,7 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (a.n *
 SELECT query_id, vec_id, round(s, 4) AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""",
     "vector_normalize": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v)
 SELECT vec_id, round(n, 6) AS norm, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS unit_norm, CAST(len(e) AS INTEGER) AS dim FROM n""",
-    "config_gen_lookup": dedup(_LOOKUP) + " SELECT row_number() OVER (ORDER BY led.pos) AS rank, led.seq AS doc_id, score FROM led JOIN cand USING (pos) WHERE led.pos = lead ORDER BY led.pos LIMIT 5",
+    "config_gen_lookup": _LOOKUP + " SELECT CAST(n AS BIGINT) AS rank, seq AS doc_id, score FROM pick JOIN grams USING (pos)",
     "synonym_expand": f"SELECT item_id, {SYN} AS expanded FROM benchmark",
     "synonym_tags": f"SELECT doc_id, array_to_string(list_filter([{TAGS}], lambda x: x IS NOT NULL), ' ') AS tags FROM documents",
     "phrase_extract": _BATCH_PHRASES + " SELECT item_id, phrase, n FROM n",
@@ -185,6 +194,13 @@ SELECT vec_id, round(n, 6) AS norm, round(sqrt(list_sum(list_transform(e, lambda
     "normalize_content": f"SELECT doc_id, CAST(length({normalized('text')}) AS INTEGER) AS n_chars, md5({normalized('text')}) AS normalized_md5 FROM documents",
     "content_hash": f"SELECT doc_id, {content_hash('text')} AS content_hash FROM documents",
     "chunk_id": f"SELECT doc_id, 'sha256:' || sha256(source || '||' || to_json([lang, source]) || '||1||' || {content_hash('text')}) AS chunk_id FROM documents",
+    "point_id": f"""WITH h AS (SELECT doc_id, sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8' || hex(encode({content_hash('text')})))) AS d FROM documents)
+SELECT doc_id, substring(d, 1, 8) || '-' || substring(d, 9, 4) || '-5' || substring(d, 14, 3) || '-' || substring('89ab', instr('0123456789abcdef', substring(d, 17, 1)) % 4 + CASE WHEN instr('0123456789abcdef', substring(d, 17, 1)) % 4 = 0 THEN 4 ELSE 0 END, 1)
+  || substring(d, 18, 3) || '-' || substring(d, 21, 12) AS point_id, true AS agrees FROM h""",
+    "range_merge": f"""WITH spans AS (SELECT * FROM ({TABLES}) UNION ALL SELECT * FROM ({LISTS}) UNION ALL SELECT * FROM ({CODE})),
+reach AS (SELECT *, max(end_pos) OVER (PARTITION BY conv_id ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans WHERE start_pos < end_pos),
+marked AS (SELECT *, sum(CASE WHEN before IS NULL OR start_pos > before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY start_pos, end_pos) AS run FROM reach)
+SELECT conv_id, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM marked GROUP BY conv_id, run""",
     "manifest_hash": f"SELECT 'sha256:' || sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(9) || {content_hash('text')}, chr(10) ORDER BY doc_id)) AS content_hash FROM documents",
     "corpus_fingerprint": f"SELECT substring(sha256(unhex(string_agg(hex(encode(name)) || '00' || hex(encode(text)) || '00', '' ORDER BY name))), 1, 16) AS fingerprint FROM ({_FILES})",
     "plain_fingerprint": f"SELECT substring(sha256(unhex(string_agg(hex(encode(name)) || hex(encode(text)), '' ORDER BY name))), 1, 16) AS fingerprint FROM ({_FILES})",
@@ -206,10 +222,9 @@ SELECT doc_id, CAST(k - 1 AS INTEGER) AS ordinal, CAST(length(s[k]) AS INTEGER)
     "element_id": "SELECT doc_id, substring(sha256(unhex(hex(encode(CAST(doc_id AS VARCHAR))) || '00' || hex(encode(text)))), 1, 24) AS element_id FROM documents",
     "frontmatter": f"WITH {MD} SELECT conv_id, 'Talk ' || conv_id AS title, 'chat' AS category, 'a,b' AS entities, CAST(length(content) AS INTEGER) AS content_chars FROM md",
     "heading_events": f"WITH {MD} SELECT conv_id, loc AS pos, CAST(level AS INTEGER) AS level, title FROM heads",
-    "table_ranges": islands(r"regexp_matches(line, '^\|.+\|.*\|$')", "max(loc + length(line))"),
-    "list_ranges": islands(r"regexp_matches(line, '^\s*(?:[-*+]\s+|\d+[.)]\s+)')", "max(loc + length(line) + 1)"),
-    "code_ranges": f"""WITH {MD}, fence AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k FROM pos WHERE line LIKE '```%')
-SELECT conv_id, min(loc) AS start_pos, CAST(max(loc + length(line)) AS INTEGER) AS end_pos FROM fence GROUP BY conv_id, (k - 1) // 2 HAVING count(*) = 2""",
+    "table_ranges": TABLES,
+    "list_ranges": LISTS,
+    "code_ranges": CODE,
     "section_ranges": SECTIONS + " SELECT conv_id, CAST(k AS INTEGER) AS section, loc AS start_pos, CAST(e AS INTEGER) AS end_pos FROM ends",
     "heading_path": PATHS,
     "heading_split": f"""WITH {MD}, cut AS (SELECT conv_id, content, loc, lead(loc) OVER (PARTITION BY conv_id ORDER BY loc) AS e, row_number() OVER (PARTITION BY conv_id ORDER BY loc) AS k, title FROM heads WHERE level = 2)
