@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from lorequarry.config import Domain, Settings
 from lorequarry.functions import text as T
 from lorequarry.functions import vectors as V
+from lorequarry.operators import chunking, elements
 from lorequarry.oracle import content_hash, dedup, keyword, lexical, q, quote
 from lorequarry.plans.engine import Engine
 from lorequarry.plans.ingest import Ingestion
 from lorequarry.plans.storage import Store, shared_folder
+from lorequarry.sources import html
 
 QUESTION = "small red ring of type ECONOMY"
 TOP = 5
@@ -144,7 +146,36 @@ def ingest_lifecycle(spark, sf_dir):
     return spark.createDataFrame(rows, "r_regionkey long, source_hash string, duplicate boolean, title string, passed boolean, parsed string, status string, body string")
 
 
-QUERIES = {f.__name__: f for f in (index_build, index_chunks, index_info, search_keyword_simple, search_hybrid, search_hybrid_reranked, search_multi_mode, answer, ingest_lifecycle)}
+class SameEmbedder:
+    """All texts are alike, so that only sizes decide where chunks end."""
+
+    dim = 1
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.ones((len(texts), 1), np.float32)
+
+
+def chunk_budget(spark, sf_dir):
+    """Texts of one to sixty sentences of 25 characters, cut by the budget of 350 with an overlap of up to 40."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("seq"), (1 + F.col("s_suppkey") % 60).alias("n"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.format_string("Supplier %05d says %04d!", F.col("seq"), k)), "")
+    children = chunking.child_chunks(chunking.parent_chunks(rows.select(F.concat(F.col("seq").cast("string"), F.lit(".md")).alias("source"), text.alias("raw_text"), "seq")), SameEmbedder())
+    return children.select(F.col("seq").alias("s_suppkey"), F.col("ordinal").cast("long").alias("ordinal"), F.length("content").cast("long").alias("n_chars"), "content_hash")
+
+
+def html_parsed(spark, sf_dir):
+    """Pages of suppliers as the parser and the elements see them."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    page = F.format_string(
+        "<html><head><title>%s</title><style>p{}</style></head><body><nav><p>no</p></nav><h2>%s</h2><p>Nation <b>%d</b> &amp; more</p><ul><li>one %d</li></ul><script>no()</script><p>end</p></body></html>",
+        "s_name", "s_name", "s_nationkey", "s_suppkey",
+    )
+    parsed = rows.select("s_suppkey", html.markdown(page, F.lit("stem")).alias("m")).select("s_suppkey", "m.title", "m.markdown")
+    made = parsed.select("s_suppkey", F.explode(elements.elements("markdown", "title")).alias("e"))
+    return made.select("s_suppkey", F.col("e.idx").cast("long").alias("idx"), "e.type", "e.text", F.array_join("e.heading_path", " > ").alias("path"), "e.element_id")
+
+
+QUERIES = {f.__name__: f for f in (index_build, index_chunks, index_info, search_keyword_simple, search_hybrid, search_hybrid_reranked, search_multi_mode, answer, ingest_lifecycle, chunk_budget, html_parsed)}
 
 
 # ---- SQL -----------------------------------------------------------------------------------------
@@ -222,4 +253,17 @@ SELECT true AS answered, count(*) AS citations, md5('Passages:' || chr(10) || ch
     "ingest_lifecycle": """WITH b AS (SELECT r_regionkey AS k, r_name AS name, repeat('Region ' || r_regionkey || ' is ' || lower(r_name) || '. ', CAST(1 + 2 * (r_regionkey % 2) AS INTEGER)) AS text FROM region)
 SELECT k AS r_regionkey, 'sha256:' || sha256('# ' || name || chr(10) || chr(10) || text) AS source_hash, true AS duplicate, name AS title, k % 2 = 1 AS passed, CASE WHEN k % 2 = 1 THEN 'ready' ELSE 'awaiting_review' END AS parsed,
   CASE WHEN k = 4 THEN 'deleted' ELSE 'published' END AS status, '# ' || name || chr(10) || chr(10) || trim(text) AS body FROM b""",
+    "chunk_budget": f"""WITH t AS (SELECT s_suppkey, 1 + s_suppkey % 60 AS n FROM supplier),
+g AS (SELECT s_suppkey, n, unnest(range(0, (n + 13) // 14)) AS g FROM t),
+cut AS (SELECT s_suppkey, g, 14 * g AS a, least(14 * g + 14, n) AS z FROM g),
+overlapped AS (SELECT s_suppkey, g, CASE WHEN g > 0 AND z - a <= 13 THEN a - 1 ELSE a END AS a, z FROM cut),
+said AS (SELECT s_suppkey, g, array_to_string(list_transform(range(a + 1, z + 1), lambda k: format('Supplier {{:05d}} says {{:04d}}!', s_suppkey, k)), '') AS content FROM overlapped)
+SELECT s_suppkey, g + 1 AS ordinal, length(content) AS n_chars, {_HASH} AS content_hash FROM said""",
+    "html_parsed": """WITH e AS (
+  SELECT s_suppkey, 0 AS idx, 'title' AS type, s_name AS text, s_name AS path FROM supplier
+  UNION ALL SELECT s_suppkey, 1, 'heading', s_name, s_name || ' > ' || s_name FROM supplier
+  UNION ALL SELECT s_suppkey, 2, 'paragraph', 'Nation ' || s_nationkey || ' & more', s_name || ' > ' || s_name FROM supplier
+  UNION ALL SELECT s_suppkey, 3, 'list', '- one ' || s_suppkey, s_name || ' > ' || s_name FROM supplier
+  UNION ALL SELECT s_suppkey, 4, 'paragraph', 'end', s_name || ' > ' || s_name FROM supplier)
+SELECT s_suppkey, CAST(idx AS BIGINT) AS idx, type, text, path, substring(sha256(unhex(hex(encode(CAST(idx AS VARCHAR))) || '00' || hex(encode(text)))), 1, 24) AS element_id FROM e""",
 }
