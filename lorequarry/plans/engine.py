@@ -84,8 +84,9 @@ class Engine:
         vector = self.embedder is not None and self.index(domain).manifest() is not None
         return {"lexical": True, "vector": vector, "rerank": self.scorer is not None, "mode": "hybrid" if vector else "keyword"}
 
-    def search(self, query: str, domain: str, top_k: int = 5, mode: str | None = None, filters: dict | None = None) -> DataFrame:
-        """The best passages with citations: pos, chunk_id, source, heading, content, score, score_breakdown, quote."""
+    def search(self, query: str, domain: str, top_k: int = 5, mode: str | None = None, filters: dict | None = None, from_files: bool = False) -> DataFrame:
+        """The best passages with citations: pos, chunk_id, source, heading, content, score, score_breakdown, quote.
+        from_files: a domain without an index is searched by keywords in its files."""
         if not 1 <= top_k <= 50:
             raise ValueError("top_k is from 1 to 50")
         profile = self.settings.domain(domain).profile
@@ -94,10 +95,10 @@ class Engine:
             raise ValueError(f"{profile} has no mode {mode}")
         index = self.index(domain)
         chunks = index.chunks()
-        if chunks is None:
+        if chunks is None and not (from_files and mode == "keyword"):
             raise ValueError(f"{domain} has no index")
-        rows = chunks.where("chunk_type = 'child'")
-        if profile == "keyword_simple":
+        rows = index.searchable()
+        if profile == "keyword_simple" or chunks is None:
             found = keyword_search(rows, query, self.settings, top_k, filters=filters)
         else:
             vector = self.embedder.encode_query(query) if self.embedder and mode != "keyword" else None

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.config import Settings, collection_of, contained, knowledge_folder
+from lorequarry.functions import text as T
 from lorequarry.functions.vectors import Embedder, embed
 from lorequarry.operators import chunking
 from lorequarry.plans import fingerprints
 from lorequarry.plans.storage import Store
+from lorequarry.plans.vectors import VectorCollection
 from lorequarry.schemas import MANIFEST_FIELDS
 from lorequarry.sources import files
 
@@ -77,14 +79,47 @@ class DomainIndex:
         return int((self.manifest() or {}).get("version", 0)) + 1
 
     def chunks(self) -> DataFrame | None:
-        """All chunks of the generation that serves."""
-        manifest = self.manifest()
-        return self.store.table(f"v={manifest['version']}") if manifest else None
+        """All chunks of the generation that serves; none without a manifest, or if its generation is not whole."""
+        folder = f"v={(self.manifest() or {}).get('version')}"
+        return self.store.table(folder) if self.store.exists(f"{folder}/_SUCCESS") else None
 
     def lexical_rows(self) -> DataFrame | None:
         rows = self.chunks()
         return rows.where("chunk_type = 'child'") if rows is not None else None
 
+    def plain_rows(self) -> DataFrame:
+        """Chunks of the files as they are now, split at their headings, for domains without a generation."""
+        documents = files.markdown_tree(self.spark, self.sources())
+        known = fingerprints.corpus_digest(documents.select("source", F.encode("raw_text", "UTF-8").alias("content"))).first()["fingerprint"]
+        rows = chunking.plain_chunks(documents, fingerprint=known)
+        return rows.withColumns({"title": F.col("heading"), "parent_id": F.lit(None).cast("string"), "chunk_type": F.lit("child")})
+
+    def searchable(self) -> DataFrame:
+        """What there is to search: children of the generation that serves, else plain chunks of the files."""
+        rows = self.lexical_rows()
+        return self.plain_rows() if rows is None else rows
+
+    def fill(self, collection: VectorCollection, embedder: Embedder) -> int:
+        """Embeds the plain chunks of the files into a collection that has no points; gives its size. Tags of synonyms
+        are in the text beside, and not in the content."""
+        if not collection.count():
+            rows = self.plain_rows()
+            tags = T.synonym_tags(F.col("content"))
+            told = F.when(tags != "", F.concat("content", F.lit("\n"), tags)).otherwise(F.col("content"))
+            collection.upsert(rows.withColumn("embedding_text", told).withColumn("embedding", embed(embedder)("content")), order="seq")
+        return collection.count()
+
+    def forget(self) -> None:
+        """What Spark remembers of the domain's files, so that the next search sees them anew."""
+        self.spark.catalog.refreshByPath(self.store.root)
+
+    def metadata(self, embedder: Embedder) -> DataFrame:
+        """One row: what a plain index of the files would be made of."""
+        documents = files.markdown_tree(self.spark, self.sources())
+        known = fingerprints.corpus_fingerprint(documents.select("source", F.encode("raw_text", "UTF-8").alias("content")))
+        fixed = {"embedding_model": self.settings.embedding_model_id, "embedding_dim": embedder.dim, "chunk_version": "v3", "knowledge_dir": knowledge_folder(self.settings, self.domain)}
+        return known.select(*(F.lit(v).alias(k) for k, v in fixed.items()), F.col("fingerprint").alias("content_fingerprint"))
+
     def sources(self) -> list[tuple[str, str]]:
         return [("", knowledge_folder(self.settings, self.domain)), ("_managed", contained(self.settings.managed_root, self.domain))]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,23 @@ from lorequarry.operators.recall import vector_recall
 from lorequarry.plans.storage import Store
 
 
+# The fields of a point beside its vector.
+PAYLOAD = (
+    "chunk_id", "parent_id", "source", "heading", "heading_path", "content", "content_hash", "knowledge_version", "chunk_version", "embedding_model", "embedding_revision",
+    "prev_chunk_id", "next_chunk_id", "chunk_type", "ordinal", "category", "statement_type", "entities",
+)
+
+
+def payload(chunks: DataFrame, manifest: dict[str, Any]) -> DataFrame:
+    """Chunks of an index as points: PAYLOAD and embedding."""
+    title = F.coalesce(F.nullif("title", F.lit("")), F.try_element_at("heading_path", F.lit(-1)), F.lit(""))
+    known = {
+        "heading": title, "knowledge_version": F.lit(manifest.get("knowledge_version")), "chunk_version": F.col("metadata.chunk_version"), "embedding_model": F.lit(manifest.get("embedding_model_id")),
+        "embedding_revision": F.lit(manifest.get("embedding_revision")), "category": F.col("metadata.category"), "statement_type": F.col("metadata.statement_type"), "entities": F.col("metadata.entities"),
+    }
+    return chunks.select(*((known[n] if n in known else F.col(n)).alias(n) for n in PAYLOAD), "embedding")
+
+
 class VectorCollection:
     """A collection is a folder of generations g=N, of which the last complete one counts."""
 
@@ -54,6 +72,12 @@ class VectorCollection:
         kept = old.join(new.select("point_id"), "point_id", "left_anti") if old is not None else None
         self._write(new if kept is None else new.unionByName(kept, allowMissingColumns=True))
 
+    def index(self, *fields: str) -> None:
+        """Rewrites the points in the order of the fields that filters use, so that readers skip what has other values."""
+        rows = self.rows()
+        if rows is not None and fields:
+            self._write(rows.repartitionByRange(*fields).sortWithinPartitions(*fields))
+
     def append(self, rows: DataFrame) -> None:
         """Points are added as they are, copies included."""
         new, old = self._checked(rows), self.rows()

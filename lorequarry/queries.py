@@ -385,10 +385,11 @@ def _talk_chunks(spark, sf_dir):
 
 
 def context_enrich(spark, sf_dir):
-    """The second turn of every conversation as a hit, in the order of their names."""
+    """The second turn of every conversation as a hit, in the order of their numbers; so many hits are never numbered
+    in one task."""
     chunks = _talk_chunks(spark, sf_dir)
     hits = chunks.where("chunk_type = 'child' and chunk_id like '%-1'").select("chunk_id", "parent_id", "content")
-    told = enrich.enrich_context(hits.withColumn("pos", F.row_number().over(Window.orderBy("chunk_id"))), chunks)
+    told = enrich.enrich_context(hits.withColumn("pos", F.substring("parent_id", 2, 20).cast("bigint")), chunks)
     return told.select("chunk_id", F.array_join("enriched_chunk_ids", ",").alias("ids"), F.md5(F.coalesce("enriched_text", F.lit("")).cast("binary")).alias("text_md5"))
 
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from lorequarry.functions import markdown as M
 from lorequarry.functions import text as T
 from lorequarry.operators.elements import ELEMENT, element, text_elements
+from lorequarry.plans.storage import shared_folder
 from lorequarry.sources.html import to_markdown
+from lorequarry.sources.pdf import PdfError, page_texts
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -51,9 +53,20 @@ def markdown_tree(spark: SparkSession, roots: list[tuple[str, str]], skip_blank:
     rows = rows.where(~F.element_at(F.split("source", "/"), -1).startswith("."))
     if skip_blank:
         rows = rows.where(T.strip(F.col("raw_text")) != "")
-    # the window sees names only, so that texts never meet in one task
-    order = rows.select("source").withColumn("seq", F.row_number().over(Window.orderBy("source")).cast("bigint"))
-    return rows.join(order, "source")
+    return rows.join(numbered(rows.select("source")), "source")
+
+
+def numbered(names: DataFrame) -> DataFrame:
+    """source and seq, dense from one in the order of source. Names are sorted by ranges, each range is numbered where
+    it lies, and the sizes of the ranges before it are added; only as many rows as there are ranges meet in one task.
+    The sorted names are written first, so that both uses see the same borders."""
+    folder = shared_folder(names.sparkSession, "names")
+    names.repartitionByRange("source").sortWithinPartitions("source").withColumn("range", F.spark_partition_id()).write.parquet(folder)
+    cut = names.sparkSession.read.parquet(folder)
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("source"))
+    return cut.withColumn("place", place).join(starts, "range").select("source", (F.col("place") + F.col("start")).cast("bigint").alias("seq"))
 
 
 def _docx(content: bytes, title: str) -> list[dict]:
@@ -111,8 +124,9 @@ def pdf_elements(content: bytes, title: str, reader: PdfReader) -> list[dict]:
     return out
 
 
-def parse_elements(files: DataFrame, pdf: PdfReader | None = None) -> DataFrame:
-    """files (path, content) with elements by extension and parse_error for what has no reader."""
+def parse_elements(files: DataFrame, pdf: PdfReader | None = page_texts) -> DataFrame:
+    """files (path, content) with elements by extension and parse_error for what has no reader. pdf: a reader of page
+    texts; the default one reads simple files."""
 
     @F.pandas_udf(f"struct<elements:array<{ELEMENT}>,parse_error:string>")
     def run(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
@@ -128,7 +142,7 @@ def parse_elements(files: DataFrame, pdf: PdfReader | None = None) -> DataFrame:
                     rows.append((PARSERS[ext](content or b"", stem or name), None))
                 else:
                     rows.append((None, f"no reader for {ext or name}"))
-            except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+            except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, PdfError) as e:
                 rows.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["elements", "parse_error"])
 

@@ -3,11 +3,14 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import logging
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from lorequarry import logs
 from lorequarry.config import Domain, Settings, contained, interpolated, load
 from lorequarry.functions.vectors import HashingEmbedder
 from lorequarry.operators import elements as E
@@ -15,7 +18,8 @@ from lorequarry.plans.engine import AnswerError, Engine
 from lorequarry.plans.index import BuildError, DomainIndex, JobLog, compatible
 from lorequarry.plans.ingest import Ingestion, IngestionError
 from lorequarry.plans.storage import Store
-from lorequarry.sources import files, html, ocr
+from lorequarry.plans.vectors import PAYLOAD, VectorCollection, payload
+from lorequarry.sources import files, html, ocr, pdf
 from lorequarry.streaming import ingest as streaming
 
 
@@ -253,3 +257,67 @@ def test_streaming_keeps_first_of_each_content(spark, tmp_path):
     accept = streaming.accept_batch(registry)
     accept(spark.createDataFrame([(5, "a", "y")], schema), 1)  # the same batch again
     assert sorted((r["domain"], r["seq"]) for r in streaming.registry(spark, registry).collect()) == [("a", 1), ("a", 5), ("b", 3)]
+
+
+def pdf_file(*pages, deflated=False):
+    """Objects numbered against the order of the pages, which the tree of pages gives."""
+    objects, kids = {}, []
+    for k, text in enumerate(pages):
+        number, stream = 100 - 2 * k, b"BT /F1 12 Tf (" + text.encode("latin-1").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj 0 -14 Td [(se) -20 (cond)] TJ <6F6B> Tj ET"
+        data = zlib.compress(stream) if deflated else stream
+        objects[number] = f"<< /Type /Page /Contents {number + 1} 0 R >>".encode()
+        objects[number + 1] = f"<< /Length {len(data)}{' /Filter /FlateDecode' if deflated else ''} >>\nstream\n".encode() + data + b"\nendstream"
+        kids.append(f"{number} 0 R")
+    objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode()
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % o for o in sorted(objects.items())) + b"\ntrailer"
+
+
+@pytest.mark.parametrize("deflated", [False, True])
+def test_default_pdf_reader(spark, tmp_path, deflated):
+    assert pdf.page_texts(pdf_file("one (1)", "é\\x", deflated=deflated)) == ["one (1)\nsecondok", "é\\x\nsecondok"]
+    (tmp_path / "a.pdf").write_bytes(pdf_file("one", "two", deflated=deflated))
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.parse_elements(files.binary(spark, str(tmp_path)).select("path", "content")).collect()}
+    assert [(e["text"], e["page"]) for e in rows["a.pdf"]["elements"]] == [("a", None), ("one\nsecondok", 1), ("two\nsecondok", 2)]
+    assert rows["b.pdf"]["parse_error"] == "PdfError: not a PDF file"
+
+
+def test_file_numbers_are_dense(spark):
+    names = [f"d{k % 7}/f{k:03d}.md" for k in range(200)]
+    frame = spark.createDataFrame([(n,) for n in names], "source string").repartition(6)
+    assert [(r["seq"], r["source"]) for r in files.numbered(frame).orderBy("seq").collect()] == list(enumerate(sorted(names), 1))
+
+
+def test_without_a_generation(spark, settings, tmp_path):
+    write(tmp_path, "a.md", "## One\nalpha beta gamma delta\n## Two\nother words here\n")
+    engine = Engine(spark, settings, HashingEmbedder(32), None)
+    index = engine.index("kb")
+    assert index.chunks() is None and index.searchable().count() == 2
+    (row,) = engine.search("alpha beta", "kb", 3, "keyword", from_files=True).collect()
+    assert (row["source"], row["heading"], row["citation_index"]) == ("a.md", "One", 1)
+    meta = index.metadata(HashingEmbedder(32)).first()
+    assert meta["embedding_dim"] == 32 and len(meta["content_fingerprint"]) == 16
+    collection = VectorCollection(spark, str(tmp_path / "vectors"), "kb", 32)
+    assert index.fill(collection, HashingEmbedder(32)) == 2 == index.fill(collection, HashingEmbedder(32))
+    index.rebuild(HashingEmbedder(32))
+    collection.upsert(payload(index.lexical_rows(), index.manifest()))
+    collection.index("source", "chunk_type")
+    assert set(PAYLOAD) <= set(collection.rows().columns) and 2 <= collection.count() <= 4  # equal sections have equal ids
+    # a generation that is not whole serves nothing, and files stand in
+    index.store.delete("v=1/_SUCCESS")
+    index.forget()
+    assert index.chunks() is None and index.searchable().count() == 2 and index.rebuild(HashingEmbedder(32), force=True)["manifest_version"] == 2
+
+
+def test_log_lines(capsys):
+    handler = logs.log_json()
+    try:
+        logging.getLogger("lorequarry.x").info("built %d", 3)
+        try:
+            raise ValueError("bad")
+        except ValueError:
+            logging.getLogger("lorequarry.x").exception("failed")
+    finally:
+        logging.getLogger("lorequarry").removeHandler(handler)
+    one, two = (json.loads(x) for x in capsys.readouterr().err.strip().split("\n"))
+    assert (one["msg"], one["level"], one["logger"]) == ("built 3", "INFO", "lorequarry.x") and two["error"] == "bad"
