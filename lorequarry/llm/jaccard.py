@@ -3,11 +3,11 @@
 A document's set holds its distinct word shingles as 64-bit hashes. Two documents link when
 100 * intersection >= PERCENT * union. The join is exact; it never compares what cannot link:
 
-1. Texts of equal words form a class, and only its first row goes on.
+1. Texts of equal words form a class, and only the row of its smallest id goes on.
 2. Corpus counts of all shingles (see exchange) leave as suspects only rows of whose shingles enough
    occur in another document too: a link needs at least PERCENT per cent of them shared.
-3. Star tiles: classes with the same smallest hash, in each of STARS hash orders, meet the smallest of
-   them, the leader. Bit counts of signatures bound the overlap from above, sorted arrays give it
+3. Star tiles: classes with the same smallest hash, in each of STARS hash orders, meet the one of the
+   smallest id, the leader: what copies were made from tends to be older than they are. Bit counts of signatures bound the overlap from above, sorted arrays give it
    exactly. Members that link are in the leader's component; large groups of near copies become one
    component here, with one comparison a document and order.
 4. Completion tiles: by the prefix filter, two linked sets share a shingle among the first
@@ -404,13 +404,13 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     plan = X.Plan.of(int(size["keys"]), int(size["blocks"]), (KEY_BITS,))
     members = scratch.written(stored.select("block", "ids", "named", "lengths", "classes").mapInArrow(members_of, MEMBERS), "members")
     # as a table, so that a class of very many copies can be split in joins with it
-    classes = scratch.written(members.groupBy("class").agg(F.min("row").alias("head"), F.min("doc_id").alias("low"), F.count("*").alias("size")), "classes")
+    classes = scratch.written(members.groupBy("class").agg(F.min_by("row", F.struct("doc_id", "row")).alias("head"), F.min("doc_id").alias("low"), F.count("*").alias("size")), "classes")
     answer = X.totals(plan, stored.mapInArrow(_sending(plan), X.SENT), scratch.written).select("block", "bucket", "totals", F.lit(None).cast("array<int>").alias("places"))
     flags = scratch.written(places(classes.select(F.col("head").alias("row"))), "places").select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "places")
     found = stored.groupBy("block").cogroup(answer.unionByName(flags).groupBy("block")).applyInArrow(_suspecting(plan), SUSPECTS)
     every = scratch.written(found, "sets")
     scratch.drop(stored)  # all that is needed of the blocks is in every now
-    heads = every.where("row is not null").select("row", "n", "rare", "shingles", "ranks")
+    heads = every.where("row is not null").select("row", "doc_id", "n", "rare", "shingles", "ranks")
 
     stars = scratch.written(_star_links(heads, scratch).union(_same_id_links(members, classes)), "stars")
     joined = scratch.written(components(stars, scratch), "joined")
@@ -441,12 +441,13 @@ def _same_id_links(members: DataFrame, classes: DataFrame) -> DataFrame:
 def _star_links(heads: DataFrame, scratch: Scratch) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, key) for i, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, key in enumerate(star_keys(np.frombuffer(s.as_py(), np.uint64)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["row", "star", "key"])
+            rows = [(i, k, key, d) for i, s, d in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True) for k, key in enumerate(star_keys(np.frombuffer(s.as_py(), np.uint64)))]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["row", "star", "key", "doc_id"])
 
-    keyed = scratch.written(heads.select("row", "shingles").mapInArrow(keys, "row long, star int, key long"), "keys")
+    keyed = scratch.written(heads.select("row", "shingles", "doc_id").mapInArrow(keys, "row long, star int, key long, doc_id long"), "keys")
     # a table, so that a star of very many rows can be split in the join with it
-    leaders = scratch.written(keyed.groupBy("star", "key").agg(F.min("row").alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
+    leaders = scratch.written(keyed.groupBy("star", "key").agg(F.min_by("row", F.struct("doc_id", "row")).alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
     pairs = keyed.join(leaders, ["star", "key"]).where("row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
     return _verified(pairs, heads)
 
