@@ -3,7 +3,7 @@
 A document's set holds its distinct word shingles as 64-bit hashes. Two documents link when
 100 * intersection >= PERCENT * union. The join is exact; it never compares what cannot link:
 
-1. Texts of equal words form a class, and only the row of its smallest id goes on.
+1. Texts of equal sets form a class, and only the row of its smallest id goes on.
 2. Corpus counts of all shingles (see exchange) leave as suspects only rows of whose shingles enough
    occur in another document too: a link needs at least PERCENT per cent of them shared.
 3. Star tiles: classes with the same smallest hash, in each of STARS hash orders, meet the one of the
@@ -129,15 +129,10 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (keys, texts) in enumerate(text_batches(batches, limit=BLOCK_CHARS)):
-            classes: list[bytes] = []
-
-            def noted(texts=texts, classes=classes) -> Iterator[list[bytes]]:
-                for t in texts:
-                    words = words_of(t)
-                    classes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    yield words
-
-            words, tokens, lengths = X.numbered(noted())
+            words, tokens, lengths = X.numbered(words_of(t) for t in texts)
+            hashes = X.word_hashes(words)
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+            classes = [xxhash.xxh3_128_digest(own.tobytes()) for own in shingle_sets(hashes[tokens], starts, lengths)]
             yield X.record_batch(
                 [
                     {
@@ -147,7 +142,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                         "classes": b"".join(classes),
                         "tokens": X.pack(tokens),
                         "lengths": lengths.tobytes(),
-                        "vocabulary": X.word_hashes(words).tobytes(),
+                        "vocabulary": hashes.tobytes(),
                         "n_keys": len(tokens),
                     }
                 ],
@@ -189,7 +184,7 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with id and words, and the class that their words make."""
+    """Rows with id and words, and the class that their set makes."""
     for batch in batches:
         for row in batch.to_pylist():
             lengths, named = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["named"], bool)
@@ -282,6 +277,7 @@ def compare_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 TILE = ["token", "band", "x", "y"]
 ROWS_A_TASK = 20_000  # postings that a task of tiles is dealt for
+KEPT_PAIRS = 1 << 18  # of a task that are remembered; beyond them a pair may be given again, which costs time only
 
 
 class Rows:
@@ -326,7 +322,23 @@ def tile_pairs(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs without those that the same task has just given: pairs meet in a tile for each shingle that they share."""
+    kept = np.zeros((0, 2), np.int64)
+    for batch in batches:
+        own = np.unique(np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1), axis=0)
+        fresh = own if not len(kept) else own[~np.isin(own.view("i8,i8").ravel(), kept.view("i8,i8").ravel())]
+        if len(fresh):
+            yield pa.RecordBatch.from_arrays([pa.array(fresh[:, 0]), pa.array(fresh[:, 1])], ["a", "b"])
+            kept = np.ascontiguousarray(np.concatenate([kept, fresh])[-KEPT_PAIRS:])
+
+
 def compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that may link in the tiles of a task, most of them once."""
+    return once(tiles_of(batches))
+
+
+def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by TILE; a tile may go on in the next batch."""
     held: pa.Table | None = None
     for batch in batches:

@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -118,3 +119,17 @@ def test_components(spark, links):
             if v in (x, y):
                 top[k] = min(x, y)
     assert got == top
+
+
+def test_pairs_of_a_task_come_once():
+    def batch(*pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    got = J.once(iter([batch((1, 2), (1, 2), (3, 4)), batch(), batch((1, 2), (5, 6)), batch((5, 6), (3, 4)), batch((2, 1))]))
+    assert [p for b in got for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)] == [(1, 2), (3, 4), (5, 6), (2, 1)]
+
+
+def test_equal_sets_of_different_texts_are_one_class(spark):
+    line = "one two three four five six seven eight"
+    rows = [(1, " ".join([line] * 9)), (2, " ".join([line] * 30)), (3, line), (4, "zero " + " ".join([line] * 12))]
+    assert result(spark, rows) == J.brute_force(rows)
