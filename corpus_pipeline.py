@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows of one id and text are copies of which one stays, the least by its other columns; different texts of
     the id that stays all stay; rows without id are linked with nothing and stay."""
     rows = docs.select(*COLUMNS)
-    extra = jaccard.near_duplicates(rows).where("component_id <> doc_id").select("doc_id")
+    # what goes grows with the input, so it is never broadcast: the join has one plan at every size
+    extra = jaccard.near_duplicates(rows).where("component_id <> doc_id").select("doc_id").hint("merge")
     return _one_of_each(rows.join(extra, "doc_id", "left_anti"))
 
 
