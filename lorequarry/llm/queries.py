@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bpe, chat, decontam, jaccard, lm, media, rollup, toxicity, warc, wrapper
+from lorequarry.llm import bpe, chat, decontam, fim, jaccard, lm, media, rollup, toxicity, warc, wrapper
 from lorequarry.llm.common import Query, Scratch, fold_remainder, spread, table
 
 
@@ -96,6 +96,10 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.result(state.totals())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -107,4 +111,5 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_rollup": op10_token_rollup,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
