@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bpe, chat, decontam, fim, jaccard, lm, media, rollup, toxicity, warc, wrapper
+from lorequarry.llm import bpe, chat, decontam, fim, jaccard, lm, media, residues, rollup, toxicity, warc, wrapper
 from lorequarry.llm.common import Query, Scratch, fold_remainder, spread, table
 
 
@@ -100,6 +100,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 100; labels of ids divisible by 7 are another one on purpose."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return residues.mined(rows.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -112,4 +119,5 @@ QUERIES: dict[str, Query] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_rollup": op10_token_rollup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
