@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lorequarry.llm import quality
 from lorequarry.llm.bpe import vocabulary
 
 _RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
@@ -122,6 +123,48 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
   sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256 FROM p"""
 
+
+
+def _op12() -> str:
+    """Windows, lines and common words are exploded here and grouped, where the query keeps to arrays of one text."""
+    blank, steps, left = quality.BLANK, [], "t"
+    for k, (_, chars) in enumerate(quality.CLASSES):
+        steps.append(f"s{k} AS (SELECT *, regexp_replace({left}, {_q(f'[{chars}]+')}, '', 'g') AS t{k} FROM {f's{k - 1}' if k else 'd'})")
+        left = f"t{k}"
+    n = len(quality.CLASSES)
+    sizes = ", ".join([*(f"length({'t' if k == 0 else f't{k - 1}'}) - length(t{k})" for k in range(n)), f"length(t{n - 1})"])
+    half = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    both = lambda p, r: f"{half(p, r)} + {half(r, p)}"
+    far = lambda value, limit, items: f"coalesce({value} > {limit[0]} + {limit[1]} / sqrt({items}), false)"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+{", ".join(steps)},
+c AS MATERIALIZED (SELECT row, doc_id, lang, t, [{sizes}] AS classes, regexp_extract_all(t, '[^{blank}]+') AS ws FROM s{n - 1}),
+w AS MATERIALIZED (SELECT row, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM c),
+grams AS (SELECT row, unnest(list_transform(range(1, len(ws) - {quality.WINDOW - 2}), lambda i: struct_pack(i := i, g := array_to_string(ws[i:i + {quality.WINDOW - 1}], ' ')))) AS e FROM c WHERE len(ws) >= {quality.WINDOW}),
+twice AS (SELECT row, e.i AS i FROM grams QUALIFY count(*) OVER (PARTITION BY row, e.g) > 1),
+repeated AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, range({quality.WINDOW}) AS o(k) GROUP BY row),
+lines AS (SELECT row, count(*) - count(DISTINCT l) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS l FROM c) WHERE regexp_matches(l, '[^{blank}]') GROUP BY row),
+totals AS (SELECT lang, count(*) AS total FROM w GROUP BY lang HAVING count(*) >= {quality.LEAST_REFERENCE}),
+common AS (SELECT lang, w, count(*) AS n FROM w JOIN totals USING (lang) WHERE regexp_full_match(w, '\\p{{L}}{{1,{quality.COMMON_CHARS}}}') GROUP BY lang, w
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= {quality.COMMON}),
+shares AS (SELECT lang, w, n / total AS r FROM common JOIN totals USING (lang)),
+rest AS (SELECT lang, (any_value(total) - sum(n)) / any_value(total) AS r FROM common JOIN totals USING (lang) GROUP BY lang),
+counted AS (SELECT row, w, count(*) AS n FROM w JOIN common USING (lang, w) GROUP BY row, w),
+parts AS (SELECT c.row, coalesce(n, 0) / len(ws) AS p, r, coalesce(n, 0) AS n FROM c JOIN shares USING (lang) LEFT JOIN counted ON counted.row = c.row AND counted.w = shares.w WHERE len(ws) > 0),
+sums AS (SELECT row, sum({both("p", "r")}) AS s, sum(n) AS n FROM parts GROUP BY row),
+words AS (SELECT row, sqrt(greatest(0, s + {both("p", "r")}) / 2) AS distance FROM (SELECT row, s, (len(ws) - n) / len(ws) AS p, r FROM sums JOIN c USING (row) JOIN rest USING (lang))),
+class_sums AS (SELECT lang, k, sum(classes[k]) AS n FROM c, range(1, {n + 2}) AS o(k) GROUP BY lang, k),
+class_shares AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS r FROM class_sums JOIN totals USING (lang)),
+classed AS (SELECT row, sqrt(greatest(0, sum({both("p", "r")})) / 2) AS distance FROM (SELECT row, classes[k] / length(t) AS p, r FROM c JOIN class_shares USING (lang) WHERE t <> '') GROUP BY row),
+base AS (SELECT row, doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) - classes[2] AS BIGINT) AS word_chars, CAST(classes[5] AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words FROM c LEFT JOIN lines USING (row) LEFT JOIN repeated USING (row)),
+failed AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
+  AND NOT (length(t) >= {quality.LEAST_CHARS} AND {far("classed.distance", quality.CLASS_LIMIT, "length(t)")})
+  AND NOT (n_words >= {quality.LEAST_JUDGED} AND {far("words.distance", quality.WORD_LIMIT, "n_words")}) AS kept
+FROM failed LEFT JOIN classed USING (row) LEFT JOIN words USING (row)"""
+
+
 OP13 = """WITH r AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -131,9 +174,9 @@ p AS (SELECT anchor, anchor_id, id AS positive_id, score AS positive_score, row_
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, place ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
 FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score QUALIFY rank <= 10"""
 
-OP9, OP10 = _op9(vocabulary()), _op10(vocabulary())
+OP9, OP10, OP12 = _op9(vocabulary()), _op10(vocabulary()), _op12()
 
 ORACLE: dict[str, str] = {
     "op5_warc_fixity": OP5, "op6_chat_formatting": OP6, "op9_bpe_round_trip": OP9, "op10_token_rollup": OP10,
-    "op11_fill_in_middle": OP11, "op13_hard_negatives": OP13,
+    "op11_fill_in_middle": OP11, "op12_quality_rules": OP12, "op13_hard_negatives": OP13,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bpe, chat, decontam, fim, jaccard, lm, media, residues, rollup, toxicity, warc, wrapper
+from lorequarry.llm import bpe, chat, decontam, fim, jaccard, lm, media, quality, residues, rollup, toxicity, warc, wrapper
 from lorequarry.llm.common import Query, Scratch, fold_remainder, spread, table
 
 
@@ -100,6 +100,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the ids divisible by 100; labels of ids divisible by 7 are another one on purpose."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
@@ -119,5 +124,6 @@ QUERIES: dict[str, Query] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_rollup": op10_token_rollup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_quality_rules": op12_quality_rules,
     "op13_hard_negatives": op13_hard_negatives,
 }
