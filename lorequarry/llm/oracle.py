@@ -139,21 +139,21 @@ def _op12() -> str:
     return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 {", ".join(steps)},
 c AS MATERIALIZED (SELECT row, doc_id, lang, t, [{sizes}] AS classes, regexp_extract_all(t, '[^{blank}]+') AS ws FROM s{n - 1}),
-w AS MATERIALIZED (SELECT row, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM c),
+w AS MATERIALIZED (SELECT row, lang, {quality.WEIGHT} // greatest(len(ws), {quality.LEAST_JUDGED}) AS weight, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM c),
 grams AS (SELECT row, unnest(list_transform(range(1, len(ws) - {quality.WINDOW - 2}), lambda i: struct_pack(i := i, g := array_to_string(ws[i:i + {quality.WINDOW - 1}], ' ')))) AS e FROM c WHERE len(ws) >= {quality.WINDOW}),
 twice AS (SELECT row, e.i AS i FROM grams QUALIFY count(*) OVER (PARTITION BY row, e.g) > 1),
 repeated AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, range({quality.WINDOW}) AS o(k) GROUP BY row),
 lines AS (SELECT row, count(*) - count(DISTINCT l) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS l FROM c) WHERE regexp_matches(l, '[^{blank}]') GROUP BY row),
-totals AS (SELECT lang, count(*) AS total FROM w GROUP BY lang HAVING count(*) >= {quality.LEAST_REFERENCE}),
-common AS (SELECT lang, w, count(*) AS n FROM w JOIN totals USING (lang) WHERE regexp_full_match(w, '\\p{{L}}{{1,{quality.COMMON_CHARS}}}') GROUP BY lang, w
-  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= {quality.COMMON}),
+totals AS (SELECT lang, sum(weight) AS total FROM w GROUP BY lang HAVING count(*) >= {quality.LEAST_REFERENCE}),
+common AS (SELECT lang, w, sum(weight) AS n FROM w JOIN totals USING (lang) WHERE regexp_full_match(w, '\\p{{L}}{{1,{quality.COMMON_CHARS}}}') GROUP BY lang, w
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(weight) DESC, w) <= {quality.COMMON}),
 shares AS (SELECT lang, w, n / total AS r FROM common JOIN totals USING (lang)),
 rest AS (SELECT lang, (any_value(total) - sum(n)) / any_value(total) AS r FROM common JOIN totals USING (lang) GROUP BY lang),
 counted AS (SELECT row, w, count(*) AS n FROM w JOIN common USING (lang, w) GROUP BY row, w),
 parts AS (SELECT c.row, coalesce(n, 0) / len(ws) AS p, r, coalesce(n, 0) AS n FROM c JOIN shares USING (lang) LEFT JOIN counted ON counted.row = c.row AND counted.w = shares.w WHERE len(ws) > 0),
 sums AS (SELECT row, sum({both("p", "r")}) AS s, sum(n) AS n FROM parts GROUP BY row),
 words AS (SELECT row, sqrt(greatest(0, s + {both("p", "r")}) / 2) AS distance FROM (SELECT row, s, (len(ws) - n) / len(ws) AS p, r FROM sums JOIN c USING (row) JOIN rest USING (lang))),
-class_sums AS (SELECT lang, k, sum(classes[k]) AS n FROM c, range(1, {n + 2}) AS o(k) GROUP BY lang, k),
+class_sums AS (SELECT lang, k, sum(classes[k] * ({quality.WEIGHT} // greatest(length(t), {quality.LEAST_CHARS}))) AS n FROM c, range(1, {n + 2}) AS o(k) GROUP BY lang, k),
 class_shares AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS r FROM class_sums JOIN totals USING (lang)),
 classed AS (SELECT row, sqrt(greatest(0, sum({both("p", "r")})) / 2) AS distance FROM (SELECT row, classes[k] / length(t) AS p, r FROM c JOIN class_shares USING (lang) WHERE t <> '') GROUP BY row),
 base AS (SELECT row, doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) - classes[2] AS BIGINT) AS word_chars, CAST(classes[5] AS BIGINT) AS n_symbols,

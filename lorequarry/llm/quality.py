@@ -2,8 +2,8 @@
 
 A document is compared with the reference of its language in two histograms: the classes of its characters (lower-case,
 upper-case, white space, digits, symbols, marks, others) and the language's most common short words against all other
-words. The distance is that of Jensen and Shannon, between 0 and 1. References are counted over all documents of a
-language. A histogram of few items differs from any reference by chance, by about one over the root of their number, so
+words. The distance is that of Jensen and Shannon, between 0 and 1. References are means over all documents of a
+language: each weighs the same whatever its length, but for short ones, so that no long text is the reference. A histogram of few items differs from any reference by chance, by about one over the root of their number, so
 that a limit has such a part; below a minimum of items, and for a language with a reference of few words, a document
 is not judged by it. Base rules (too few words, too many repeated windows of words) go first.
 
@@ -42,6 +42,7 @@ WORD_LIMIT = (0.2, 1.35)
 LEAST_CHARS = 120
 LEAST_JUDGED = 30  # words
 LEAST_REFERENCE = 2000  # words of a language
+WEIGHT = 1_000_000  # of a document in its reference, dealt to its words and characters in whole numbers
 
 BROADCAST_LANGUAGES = 10_000  # beyond it references are joined by a shuffle
 
@@ -117,19 +118,20 @@ def references(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, class_share, common, common_share (one more than common: all other words), of languages with
     LEAST_REFERENCE words and more."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    word = F.col("word")
-    short = F.when(F.rlike(word, F.lit(rf"^\p{{L}}{{1,{COMMON_CHARS}}}$")), word).alias("word")
-    counted = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", short).agg(F.count("*").alias("n"))
-    counts = scratch.written(counted, "words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_REFERENCE)
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    weight = lambda n, least: F.floor(WEIGHT / F.greatest(n, F.lit(least))).cast("long")
+    words = rows.select("lang", words_of(F.col("text")).alias("words")).select("lang", weight(F.size("words"), LEAST_JUDGED).alias("weight"), F.explode("words").alias("word"))
+    short = F.when(F.rlike("word", F.lit(rf"^\p{{L}}{{1,{COMMON_CHARS}}}$")), F.col("word")).alias("word")
+    counts = scratch.written(words.groupBy("lang", short).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), "words")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("weight").alias("total")).where(F.col("n") >= LEAST_REFERENCE).drop("n")
+    order = Window.partitionBy("lang").orderBy(F.desc("weight"), "word")
     top = counts.where("word IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON)
-    lists = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"), F.sum("n").alias("known"))
+    lists = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "weight"))).alias("top"), F.sum("weight").alias("known"))
     n = len(CLASSES) + 1
-    sums = with_classes(rows).groupBy("lang").agg(*(F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(n)))
+    of_text = weight(F.length("text"), LEAST_CHARS)
+    sums = with_classes(rows).groupBy("lang").agg(*(F.sum(F.col("classes")[k] * of_text).alias(f"c{k}") for k in range(n)))
     chars = F.array(*(F.col(f"c{k}") for k in range(n)))
     all_chars = sum((F.col(f"c{k}") for k in range(1, n)), F.col("c0"))
-    shares = F.concat(F.transform("top.n", lambda x: x / F.col("total")), F.array((F.col("total") - F.col("known")) / F.col("total")))
+    shares = F.concat(F.transform("top.weight", lambda x: x / F.col("total")), F.array((F.col("total") - F.col("known")) / F.col("total")))
     joined = totals.join(lists, "lang").join(sums, "lang")
     return joined.select("lang", F.transform(chars, lambda x: x / all_chars).alias("class_share"), F.col("top.word").alias("common"), shares.alias("common_share"))
 

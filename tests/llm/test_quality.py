@@ -53,13 +53,18 @@ def brute(rows) -> dict:
         texts[lang or ""].append(text or "")
     refs = {}
     for lang, of in texts.items():
-        words = Counter(w for t in of for w in WORD.findall(t))
-        if sum(words.values()) < quality.LEAST_REFERENCE:
+        if sum(len(WORD.findall(t)) for t in of) < quality.LEAST_REFERENCE:
             continue
+        words: Counter = Counter()
+        for t in of:
+            found = WORD.findall(t)
+            for w in found:
+                words[w] += 10**6 // max(len(found), quality.LEAST_JUDGED)
+        classes = [[n * (10**6 // max(len(t), quality.LEAST_CHARS)) for n in histogram(t)] for t in of]
         short = sorted(((-n, w.encode(), w) for w, n in words.items() if len(w) <= quality.COMMON_CHARS and all(c.isalpha() for c in w)))[: quality.COMMON]
         common = [w for *_, w in short]
         known = [words[w] for w in common]
-        refs[lang] = share([sum(x) for x in zip(*map(histogram, of), strict=True)]), common, share([*known, sum(words.values()) - sum(known)])
+        refs[lang] = share([sum(x) for x in zip(*classes, strict=True)]), common, share([*known, sum(words.values()) - sum(known)])
     out = {}
     for doc_id, text, lang in rows:
         text = text or ""
@@ -93,7 +98,7 @@ def prose(seed: int, n: int, junk: str = "") -> str:
 
 @pytest.fixture(scope="module")
 def rows():
-    out = [(i, prose(i, 20 + 7 * i), ["en", "de", None][i % 3]) for i in range(60)]
+    out = [(1000 + i, prose(i, 30 + 3 * i), ["en", "en", "de", None][i % 4]) for i in range(200)]
     out += [(100 + i, prose(100 + i, 120 + i, ["caps", "symbols"][i % 2]), "en") for i in range(6)]
     out += [
         (200, None, "en"), (201, "", "en"), (202, " \t\n\x0b\f\r ", "en"), (203, "one two three four", "en"), (204, "the the the the the the the the the the the the", "en"),
@@ -111,7 +116,7 @@ def test_against_brute_force(spark, rows):
         assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept] == [*start, kept], r.doc_id
         for found, value in ((r.class_distance, near), (r.word_distance, words)):
             assert (found is None) == (value is None) and (found is None or abs(found - value) < 1e-6), r.doc_id
-    assert not any(wanted[i][-1] for i in range(100, 106)) and all(wanted[i][-1] for i in range(60))
+    assert not any(wanted[i][-1] for i in range(100, 106)) and sum(wanted[1000 + i][-1] for i in range(200)) > 190
     assert wanted[208][-1]  # a language without a reference is not judged
 
 
