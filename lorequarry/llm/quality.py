@@ -17,7 +17,7 @@ count each; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,24 +100,30 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, lang, text, classes and the base rules' counts; the columns named in more stay."""
-    named = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = with_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, *more))
-    of_words = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+def _texts(docs: DataFrame) -> DataFrame:
+    columns = ("doc_id", "long"), ("lang", "string"), ("text", "string")
+    return docs.select(*(F.col(n).cast(k).alias(n) for n, k in columns)).na.fill("", ["lang", "text"])
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """The base rules' counts, classes, and how often common words occur, of rows of _texts() with their common words."""
+    of_words = let(
+        words_of(F.col("text")),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"), F.when(F.size(w) >= LEAST_JUDGED, common_counts(w, F.col("common"))).alias("common")),
+    )
     symbols = [n for n, _ in CLASSES].index("symbol")
     counts = {
-        "n_words": F.col("_words.n_words"), "word_chars": _chars(F.col("text")) - F.col("classes")[1], "n_symbols": F.col("classes")[symbols],
-        "n_dup_lines": duplicate_lines(F.col("text")), "n_repeat_words": F.col("_words.n_repeat_words"),
+        "n_words": F.col("_words.n"), "word_chars": _chars(F.col("text")) - F.col("classes")[1], "n_symbols": F.col("classes")[symbols],
+        "n_dup_lines": duplicate_lines(F.col("text")), "n_repeat_words": F.col("_words.repeated"), "found": F.col("_words.common"),
     }
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return rows.withColumn("_words", of_words).withColumns(counts).withColumn("base_failed", failed).drop("_words")
+    return with_classes(rows).withColumn("_words", of_words).withColumns(counts).withColumn("base_failed", failed).drop("_words")
 
 
 def references(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, class_share, common, common_share (one more than common: all other words), of languages with
     LEAST_REFERENCE words and more."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = _texts(docs)
     weight = lambda n, least: F.floor(WEIGHT / F.greatest(n, F.lit(least))).cast("long")
     words = rows.select("lang", words_of(F.col("text")).alias("words")).select("lang", weight(F.size("words"), LEAST_JUDGED).alias("weight"), F.explode("words").alias("word"))
     short = F.when(F.rlike("word", F.lit(rf"^\p{{L}}{{1,{COMMON_CHARS}}}$")), F.col("word")).alias("word")
@@ -136,52 +142,66 @@ def references(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return joined.select("lang", F.transform(chars, lambda x: x / all_chars).alias("class_share"), F.col("top.word").alias("common"), shares.alias("common_share"))
 
 
+def _parts(p: Column, r: Column) -> Column:
+    """What a pair of shares adds to twice the squared distance."""
+    half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
+    return half(p, r) + half(r, p)
+
+
+def _sum(values: Column, start: Column) -> Column:
+    return F.aggregate(values, start, lambda s, x: s + x)
+
+
+def _root(parts: Column) -> Column:
+    return let(parts, lambda s: F.sqrt(F.when(s < 0, 0.0).otherwise(s) / 2))  # null where there is no reference
+
+
 def distance(counts: Column, share: Column) -> Column:
     """The distance of Jensen and Shannon, to the base 2, between counts and shares of the same length."""
 
-    def part(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-
     def of(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-        both = let(total, lambda n: F.zip_with(c, share, lambda x, r: let(x / n, lambda p: part(p, r) + part(r, p))))
-        parts = F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
-        return let(parts, lambda s: F.sqrt(F.when(s < 0, 0.0).otherwise(s) / 2))  # null where there is no reference
+        return let(_sum(c, F.lit(0).cast("long")), lambda n: _sum(F.zip_with(c, share, lambda x, r: let(x / n, lambda p: _parts(p, r))), F.lit(0.0)))
+
+    return _root(let(counts, of))
+
 
-    return let(counts, of)
+def common_counts(words: Column, common: Column) -> Column:
+    """place, n: how often each common word stands among words, and all other words as place 0. Places of words are
+    sorted, which is cheap for numbers, and counted by the ends of their runs."""
 
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i)))
+        one = lambda e, at: F.struct(F.get(s, e - 1).alias("place"), (e - F.coalesce(at, F.lit(0))).cast("long").alias("n"))
+        return let(ends, lambda es: F.transform(es, lambda e, j: one(e, F.get(es, j - 1))))
 
-def common_counts(text: Column, common: Column, n_words: Column) -> Column:
-    """How often each common word stands in the text, and last all other words. Words are set apart by two blanks each,
-    so that the blanks around a word are its own."""
-    apart = F.concat(F.lit(" "), F.regexp_replace(text, f"[{BLANK}]+", "  "), F.lit(" "))
+    return let(F.sort_array(F.transform(words, lambda w: F.array_position(common, w))), runs)
 
-    def times(t: Column) -> Column:
-        gone = lambda w: F.octet_length(t) - F.octet_length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" "))))
-        return F.transform(common, lambda w: (gone(w) / (F.octet_length(w) + 2)).cast("long"))
 
-    return let(let(apart, times), lambda c: F.concat(c, F.array(n_words - F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x))))
+def common_distance(found: Column, n_words: Column, share: Column) -> Column:
+    """The same distance between common_counts() and the shares of common words, of which the last one is that of all
+    others. A word that does not occur adds its share."""
+    of = lambda e: F.get(share, F.when(e["place"] > 0, e["place"].cast("int") - 1).otherwise(F.size(share) - 1))
+    met = _sum(F.transform(found, lambda e: let(of(e), lambda r: _parts(e["n"] / n_words, r) - r)), F.lit(0.0))
+    return _root(met + _sum(share, F.lit(0.0)))
 
 
 def _limit(at: tuple[float, float], items: Column) -> Column:
     return at[0] + at[1] / F.sqrt(items)
 
 
-def judged(docs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
-    """The counts of measured() with class_distance, word_distance (null where not judged) and kept."""
-    spark = docs.sparkSession
-    with Scratch(spark, "quality") as scratch:
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text, the counts of the base rules and base_failed, class_distance and word_distance (null where
+    not judged) and kept."""
+    with Scratch(docs.sparkSession, "quality") as scratch:
         known = scratch.result(references(docs, scratch))
     if known.count() <= BROADCAST_LANGUAGES:
         known = F.broadcast(known)
-    n_chars = F.length("text")
-    rows = measured(docs, *more).join(known, "lang", "left")
+    rows = measured(_texts(docs).join(known, "lang", "left"))
+    n_chars, n_words = F.length("text"), F.col("n_words")
     distances = {
         "class_distance": F.when(~F.col("base_failed") & (n_chars >= LEAST_CHARS), distance(F.col("classes"), F.col("class_share"))),
-        "word_distance": F.when(
-            ~F.col("base_failed") & (F.col("n_words") >= LEAST_JUDGED), distance(common_counts(F.col("text"), F.col("common"), F.col("n_words")), F.col("common_share"))
-        ),
+        "word_distance": F.when(~F.col("base_failed") & (n_words >= LEAST_JUDGED), common_distance(F.col("found"), n_words, F.col("common_share"))),
     }
-    fails = (F.col("class_distance") > _limit(CLASS_LIMIT, n_chars), F.col("word_distance") > _limit(WORD_LIMIT, F.col("n_words")))
+    fails = F.col("class_distance") > _limit(CLASS_LIMIT, n_chars), F.col("word_distance") > _limit(WORD_LIMIT, n_words)
     far = F.coalesce(fails[0], F.lit(False)) | F.coalesce(fails[1], F.lit(False))
-    return rows.withColumns(distances).withColumn("kept", ~F.col("base_failed") & ~far).drop("class_share", "common", "common_share", "classes")
+    return rows.withColumns(distances).withColumn("kept", ~F.col("base_failed") & ~far).drop("class_share", "common", "common_share", "classes", "found")
