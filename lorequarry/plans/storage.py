@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from typing import Any
 
@@ -50,16 +51,24 @@ class Store:
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
     def delete(self, name: str) -> None:
+        """Deletes a record or folder, and the copy that a writer which ended on its way may have left beside it."""
         where, fs = self._hadoop(name)
+        if name:
+            fs.delete(self._beside(name, "old"), False)
         fs.delete(where, True)
 
+    def modified(self, name: str) -> float:
+        """When a record or folder was changed last, in seconds; now, if it is gone."""
+        where, fs = self._hadoop(name)
+        return fs.getFileStatus(where).getModificationTime() / 1000 if fs.exists(where) else time.time()
+
     def _beside(self, name: str, end: str):
         folder, _, last = name.rpartition("/")
         return self._hadoop(f"{folder}/.{last}.{end}" if folder else f".{last}.{end}")[0]
 
-    def _write(self, where, fs, text: str) -> None:
+    def _write(self, where, fs, content: bytes) -> None:
         out = fs.create(where, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
         out.close()
 
     def _rename(self, source, target, overwrite: bool) -> None:
@@ -70,17 +79,14 @@ class Store:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(source, target, options)
 
-    def write_bytes(self, name: str, content: bytes) -> None:
-        where, fs = self._hadoop(name)
-        out = fs.create(where, True)
-        out.write(bytearray(content))
-        out.close()
-
     def write_text(self, name: str, text: str) -> None:
+        self.write_bytes(name, text.encode())
+
+    def write_bytes(self, name: str, content: bytes) -> None:
         """A reader sees all of it or all of the one before, also if the writer ends on the way."""
         target, fs = self._hadoop(name)
         staged, kept = self._beside(name, f"{uuid.uuid4().hex}.tmp"), self._beside(name, "old")
-        self._write(staged, fs, text)
+        self._write(staged, fs, content)
         if fs.exists(target):
             conf = self.spark.sparkContext._jsc.hadoopConfiguration()
             self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, kept, False, True, conf)
@@ -93,7 +99,7 @@ class Store:
         if fs.exists(target):
             return False
         staged = self._beside(name, f"{uuid.uuid4().hex}.tmp")
-        self._write(staged, fs, text)
+        self._write(staged, fs, text.encode())
         try:
             self._rename(staged, target, False)
         except Exception as e:
@@ -127,5 +133,8 @@ class Store:
             return None
         return found if isinstance(found, dict) else None
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
     def table(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(self.path(name)) if self.exists(name) else None

@@ -109,3 +109,78 @@ def test_the_last_of_equal_points_stays(spark, tmp_path):
     assert [r["lang"] for r in c.rows().collect()] == ["l19"]
     c.upsert(rows.repartition(7).withColumn("n", F.col("embedding")[0]), order="n")
     assert [r["lang"] for r in c.rows().collect()] == ["l19"]
+
+
+def held(spark, c):
+    """Two frames of the last commit: one that has listed its files and one that was counted before."""
+    return c.rows(), c.rows().select("chunk_id", "lang")
+
+
+def test_held_readers_stay_right(spark, tmp_path):
+    c = VectorCollection(spark, str(tmp_path), "base", 1)
+    c.upsert(points(spark, ("a", [1.0], "one"), ("b", [1.0], "one")))
+    before = held(spark, c)
+    with c.pinned() as pin:
+        c.upsert(points(spark, ("a", [2.0], "two")))
+        c.append(points(spark, ("z", [2.0], "new")))
+        c.remove(points(spark, ("b", [0.0], "")))
+        for _ in range(9):
+            c.append(points(spark, ("y", [3.0], "more")))
+        c.index("lang")
+        c.compact()
+        c.vacuum(grace=3600)
+        for frame in before:
+            assert sorted((r["chunk_id"], r["lang"]) for r in frame.collect()) == [("a", "one"), ("b", "one")]
+        c.vacuum(grace=0)
+        assert sorted(r["lang"] for r in pin.rows().collect()) == ["one", "one"]
+    assert sorted(r["chunk_id"] for r in c.rows().collect()) == ["a", *"y" * 9, "z"]
+    kept = c.store.names("data")
+    assert c.vacuum(grace=0) and len(c.store.names("data")) == 1 < len(kept) and c.count() == 11
+    assert c.store.names("commits") == [f"{c.snapshot().number:012d}.json"]
+
+
+def test_two_writers_both_land(spark, tmp_path):
+    c, other = (VectorCollection(spark, str(tmp_path), "base", 1) for _ in range(2))
+    c.upsert(points(spark, ("a", [1.0], "first")))
+    create = c.store.create
+
+    def beaten(name, text):  # the other writer commits between the reading and the commit of this one
+        c.store.create = create
+        other.upsert(points(spark, ("b", [1.0], "second"), ("a", [1.0], "second")))
+        return create(name, text)
+
+    c.store.create = beaten
+    assert c.upsert(points(spark, ("c", [1.0], "third"))) == 3
+    assert {r["chunk_id"]: r["lang"] for r in c.rows().collect()} == {"a": "second", "b": "second", "c": "third"}
+    assert c.snapshot(1).rows().count() == 1 and c.snapshot(2).rows().count() == 2
+    with pytest.raises(ValueError, match="no commit 9"):
+        c.snapshot(9)
+
+
+def test_an_append_writes_its_own_rows_only(spark, tmp_path):
+    c = VectorCollection(spark, str(tmp_path), "base", 1)
+    c.upsert(spark.range(2000).selectExpr("concat('x', id) AS chunk_id", "array(cast(id AS float)) AS embedding", "'old' AS lang"))
+    known = set(c.store.names("data"))
+    c.append(points(spark, ("n", [1.0], "new")))
+    added = [n for n in c.store.names("data") if n not in known]
+    assert len(added) == 1 and [r["chunk_id"] for r in c.store.read(f"data/{added[0]}/rows").collect()] == ["n"]
+    for k in range(20):
+        c.append(points(spark, (f"m{k}", [1.0], "new")))
+    assert len(c.snapshot().runs) <= 8 and c.count() == 2021
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    c = VectorCollection(spark, str(tmp_path), "base", 1)
+    c.upsert(points(spark, ("a", [1.0], "en")))
+    known = c.store.names("data")
+    with pytest.raises(Exception, match="numbers"):
+        c.append(points(spark, ("z", [1.0, 2.0], "en")))
+    assert c.store.names("data") == known and c.count() == 1
+
+
+def test_a_deleted_record_stays_deleted(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/records")
+    store.put("a/x.json", {"v": 1})
+    store._write(store._beside("a/x.json", "old"), store._hadoop("a/x.json")[1], b'{"v": 0}')  # a writer ended on its way
+    store.delete("a/x.json")
+    assert store.get("a/x.json") is None
