@@ -1,12 +1,17 @@
 """Index generations: build, verify, publish by one manifest, keep the last ones.
 
-A generation is a folder v=N of chunks (lexical rows and vectors together). Nothing refers to it before
-the manifest is replaced, which is the commit; a failure before that deletes the folder and leaves
-the generation that serves."""
+A generation is a folder v=N of chunks (lexical rows and vectors together). Its number is claimed by creating
+claims/N.json before anything is written, so that of several builds each has a folder of its own and deletes no other.
+The commit is the creation of manifests/N.json; the highest manifest whose generation is whole serves. A build that
+ends after a later one has been published is superseded and gives its folder up, as a failed one does. A killed build
+leaves a claim, so that its number is not used again, and a folder that goes when the claim has run out."""
 
 from __future__ import annotations
 
+import json
+import re
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -25,6 +30,8 @@ from lorequarry.sources import files
 
 Progress = Callable[[str, int, int], None]
 
+CLAIM_SECONDS = 86_400  # after which an unfinished build counts as killed
+
 
 class BuildError(RuntimeError):
     pass
@@ -69,14 +76,33 @@ class DomainIndex:
         self.spark, self.settings, self.domain = spark, settings, domain
         self.store = Store(spark, contained(settings.index_root, domain))
 
-    def manifest(self) -> dict[str, Any] | None:
-        return self.store.get("manifest.json")
+    def _numbers(self, folder: str) -> list[int]:
+        return sorted(int(m[1]) for n in self.store.names(folder) if (m := re.fullmatch(r"(\d+)\.json", n)))
+
+    def manifest(self, version: int | None = None) -> dict[str, Any] | None:
+        """The manifest of a version, of the last one that was published without a number."""
+        wanted = max([0, *self._numbers("manifests")]) if version is None else version
+        return self.store.get(f"manifests/{wanted}.json") if wanted else None
 
     def versions(self) -> list[int]:
         return sorted(int(n[2:]) for n in self.store.names() if n.startswith("v=") and n[2:].isdigit())
 
     def next_version(self) -> int:
-        return int((self.manifest() or {}).get("version", 0)) + 1
+        """The number after all that were claimed or published, whatever has become of them."""
+        return max([0, *self._numbers("claims"), *self._numbers("manifests"), *self.versions()]) + 1
+
+    def claim(self) -> int:
+        """A version that is this build's alone."""
+        while True:
+            version = self.next_version()
+            if self.store.create(f"claims/{version}.json", json.dumps({"at": time.time(), "by": uuid.uuid4().hex})):
+                return version
+
+    def publish(self, version: int, manifest: dict[str, Any]) -> bool:
+        """Lets a version serve, unless a later one serves already."""
+        if max([0, *self._numbers("manifests")]) > version:
+            return False
+        return self.store.create(f"manifests/{version}.json", json.dumps(manifest, ensure_ascii=False, sort_keys=True, default=str))
 
     def chunks(self) -> DataFrame | None:
         """All chunks of the generation that serves; none without a manifest, or if its generation is not whole."""
@@ -142,27 +168,35 @@ class DomainIndex:
         current = self.manifest()
         if not force and compatible(current, wanted):
             return {"status": "skipped", "domain": self.domain, "manifest_version": current["version"], "parent_count": current["parent_count"], "child_count": current["child_count"], "knowledge_version": known}
-        version = self.next_version()
-        tell("parsing", 0, 0)
+        version = self.claim()
         folder = f"v={version}"
         try:
+            tell("parsing", 0, 0)
             counts = self._build(documents, embedder, folder, tell)
             manifest = {k: None for k in MANIFEST_FIELDS} | wanted | counts | {
                 "version": version, "domain": self.domain, "collection": f"{base}_v{version}", "lexical_namespace": f"{base}/{folder}", "created_at": time.strftime("%Y-%m-%dT%H:%M:%S"),
             }
-            self.store.put("manifest.json", manifest)
+            serves = self.publish(version, manifest)
         except BaseException:
-            try:
-                self.store.delete(folder)
-            except Exception:  # the first failure is the one to report
-                pass
+            self._give_up(version)
             raise
+        if not serves:
+            self._give_up(version)
         try:
             self.clean(version)
         except Exception:  # old generations do no harm
             pass
         tell("completed", counts["chunk_count"], counts["chunk_count"])
-        return {"status": "completed", "domain": self.domain, "manifest_version": version, "knowledge_version": known} | {k: counts[k] for k in ("parent_count", "child_count", "chunk_count")}
+        status = "completed" if serves else "superseded"
+        return {"status": status, "domain": self.domain, "manifest_version": version, "knowledge_version": known} | {k: counts[k] for k in ("parent_count", "child_count", "chunk_count")}
+
+    def _give_up(self, version: int) -> None:
+        """Deletes the folder of a build's own claim, then the claim."""
+        try:
+            self.store.delete(f"v={version}")
+            self.store.delete(f"claims/{version}.json")
+        except Exception:  # the failure that led here is the one to report
+            pass
 
     def _build(self, documents: DataFrame, embedder: Embedder | None, folder: str, tell: Progress) -> dict[str, Any]:
         s = self.settings
@@ -187,10 +221,14 @@ class DomainIndex:
         return {"chunk_count": n["chunk_count"], "parent_count": n["parent_count"], "child_count": n["child_count"], "content_hash": lines}
 
     def clean(self, active: int) -> None:
-        keep = max(1, self.settings.keep_versions)
+        """Deletes published generations before the last ones, and folders of builds that have neither published nor failed
+        within CLAIM_SECONDS. Running builds are left alone."""
+        keep, published = max(1, self.settings.keep_versions), self._numbers("manifests")
         for v in self.versions():
-            if v <= active - keep:
-                self.store.delete(f"v={v}")
+            at = (self.store.get(f"claims/{v}.json") or {}).get("at", 0)
+            if v in published and v <= active and v not in published[-keep:] or v not in published and v < active and time.time() - at > CLAIM_SECONDS:
+                for name in (f"v={v}", f"manifests/{v}.json", f"claims/{v}.json"):
+                    self.store.delete(name)
 
     def info(self) -> dict[str, Any]:
         manifest, rows = self.manifest(), self.chunks()
