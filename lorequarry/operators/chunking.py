@@ -58,45 +58,49 @@ def units_of(text: str, protected: list[tuple[int, int]]) -> list[str]:
     return [u for part, found in stripped for u in (found or [part.strip()]) if u]
 
 
+def _greedy(total: np.ndarray, alike: np.ndarray, most: int, threshold: float) -> list[int]:
+    """Where runs of units end, exclusive: before a unit that would exceed ``most``, one that is unlike the unit before
+    it, and around one that alone has ``most`` or more."""
+    n = len(total) - 1
+    large = np.diff(total) >= most
+    turns = np.flatnonzero(large[1:] | (alike[: n - 1] < threshold)) + 1
+    ends: list[int] = []
+    begin = 0
+    while begin < n:
+        full = int(np.searchsorted(total, total[begin] + most, "right")) - 1
+        turn = turns[np.searchsorted(turns, begin, "right") :][:1]
+        end = min(max(full, begin + 1), *turn.tolist(), n)
+        ends.append(end)
+        begin = end
+        if end < n and large[end]:
+            begin = end + 1
+            ends.append(begin)
+    return ends
+
+
+def _without_small(ends: list[int], total: np.ndarray, least: int, most: int) -> list[int]:
+    """Boundaries of the groups. The last boundary moves on where a small run fits into the group before it, and is
+    left out where it fits to the run that follows."""
+    bounds = [0]
+    for end, following in zip(ends, [*ends[1:], None], strict=True):
+        small = len(ends) > 1 and total[end] - total[bounds[-1]] < least
+        if small and len(bounds) > 1 and total[end] - total[bounds[-2]] <= most:
+            bounds[-1] = end
+        elif not small or following is None or total[following] - total[bounds[-1]] > most:
+            bounds.append(end)
+    return bounds
+
+
 def grouped(sizes: list[int], alike: np.ndarray, least: int, most: int, overlap: int, threshold: float) -> list[tuple[int, int]]:
-    """Unit ranges [first, last] of the chunks. alike[i]: similarity of units i and i + 1."""
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    weight = lambda g: int(total[g[1] + 1] - total[g[0]])
-    runs: list[tuple[int, int]] = []
-    first: int | None = None
-    for i, size in enumerate(sizes):
-        if first is None:
-            first = i
-        elif size >= most:  # alone, and what came before is complete
-            runs += [(first, i - 1), (i, i)]
-            first = None
-        elif weight((first, i)) > most or alike[i - 1] < threshold:
-            runs.append((first, i - 1))
-            first = i
-    if first is not None:
-        runs.append((first, len(sizes) - 1))
-    # small runs join the one before, else the one after
-    joined: list[tuple[int, int]] = []
-    k = 0
-    while k < len(runs):
-        run = runs[k]
-        small = len(runs) > 1 and weight(run) < least
-        if small and joined and weight(joined[-1]) + weight(run) <= most:
-            joined[-1] = (joined[-1][0], run[1])
-        elif small and k + 1 < len(runs) and weight(run) + weight(runs[k + 1]) <= most:
-            runs[k + 1] = (run[0], runs[k + 1][1])
-        else:
-            joined.append(run)
-        k += 1
-    if overlap <= 0:
-        return joined
-    out = joined[:1]
-    for before, run in zip(joined, joined[1:], strict=False):
-        start = run[0]
-        while start > before[0] and int(total[run[0]] - total[start - 1]) <= overlap and weight((start - 1, run[1])) <= most:
-            start -= 1
-        out.append((start, run[1]))
-    return out
+    """Unit ranges [first, last] of the chunks. alike[i]: similarity of units i and i + 1. A chunk begins with the last
+    units of the one before, as far as these have ``overlap`` at most and it stays within ``most``."""
+    total = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    bounds = np.array(_without_small(_greedy(total, np.asarray(alike, float), most, threshold), total, least, most))
+    begins, ends = bounds[:-1], bounds[1:]
+    if overlap > 0:
+        reach = np.searchsorted(total, np.maximum(total[begins] - overlap, total[ends] - most), "left")
+        begins = np.clip(reach, np.concatenate([begins[:1], begins[:-1]]), begins)
+    return list(zip(begins.tolist(), (ends - 1).tolist(), strict=True))
 
 
 def similarities(vectors: np.ndarray) -> np.ndarray:
@@ -210,13 +214,13 @@ def build_chunks(documents: DataFrame, embedder: Embedder | None, version: str =
 def heading_split(text: Column, least: int = 2, most: int = 2) -> Column:
     """heading and content at each heading of some levels, what comes before them dropped; a text without any is
     split at blank lines, without headings."""
-    mark = rf"(?md)^#{{{least},{most}}} "
-    parts = F.split(F.regexp_replace(text, mark.replace("^", "^(?=") + ")", "\x01"), "\x01")
-    rows = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), T.strip), lambda p: p != "")
+    mark = rf"^#{{{least},{most}}} "
+    parts = F.regexp_extract_all(text, F.lit(rf"(?dms){mark}.*?(?={mark}|\z)"), F.lit(0))
+    rows = F.filter(F.transform(parts, T.strip), lambda p: p != "")
     found = F.transform(rows, lambda p: F.struct(F.regexp_extract(p, rf"(?d)\A#{{{least},{most}}} (.*)", 1).alias("heading"), p.alias("content")))
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), T.strip), lambda p: p != "")
     plain = F.transform(paragraphs, lambda p: F.struct(F.lit("").alias("heading"), p.alias("content")))
-    return F.when(F.regexp_like(text, F.lit(mark)), found).otherwise(plain)
+    return F.when(F.regexp_like(text, F.lit(f"(?md){mark}")), found).otherwise(plain)
 
 
 def plain_chunks(documents: DataFrame, least: int = 2, most: int = 2, fingerprint: str | None = None, version: str = "v3") -> DataFrame:

@@ -111,3 +111,11 @@ def test_plain_chunks_carry_ids(spark):
     rows = C.plain_chunks(frame, fingerprint="f").orderBy("seq", "ordinal").collect()
     assert [(r["heading_path"], r["ordinal"], r["chunk_index"], r["content_fingerprint"]) for r in rows] == [(["A"], 1, 0, "f"), (["B"], 2, 1, "f"), ([], 1, 0, "f")]
     assert len({r["chunk_id"] for r in rows}) == 3 and all(r["content_hash"].startswith("sha256:") for r in rows)
+
+
+def test_heading_split_keeps_every_character(spark):
+    """A control character, or what looks like a heading inside a line, is text."""
+    text = "lost\n## A\n\x01x\x01\n### deeper\n## \n\n## B ## C\nlast\x01"
+    rows = spark.createDataFrame([(text,), ("a\x01b\n\nc",), ("## only",), ("",)], "t string").select(C.heading_split(F.col("t")).alias("c"))
+    got = [[(x["heading"], x["content"]) for x in r["c"]] for r in rows.collect()]
+    assert got == [[("A", "## A\n\x01x\x01\n### deeper"), ("", "##"), ("B ## C", "## B ## C\nlast\x01")], [("", "a\x01b"), ("", "c")], [("only", "## only")], []]
