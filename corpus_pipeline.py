@@ -12,6 +12,7 @@ the order of rows has no influence.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,21 +32,41 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id; documents without shingles all stay.
+    """Of each group of linked documents the one with the smallest id; documents without shingles all stay.
 
-    Repeated rows of one id and text are copies of which one stays, the least by its other columns; different texts of
-    the id that stays all stay; rows without id are linked with nothing and stay."""
+    A document is an id with a text: different texts of one id are linked only if they are alike, so none goes because
+    another text of its id does. Repeated rows of one id and text are copies of which one stays, the least by its other
+    columns; rows without id are linked with nothing and stay."""
     rows = docs.select(*COLUMNS)
-    # what goes grows with the input, so it is never broadcast: the join has one plan at every size
-    extra = jaccard.near_duplicates(rows).where("component_id <> doc_id").select("doc_id").hint("merge")
-    return _one_of_each(rows.join(extra, "doc_id", "left_anti"))
-
-
-def _one_of_each(rows: DataFrame) -> DataFrame:
-    """One row of each id and text. Only ids that occur more than once are dealt by their texts."""
     twice = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
     if twice.isEmpty():
-        return rows.select(*COLUMNS)
+        # what goes grows with the input, so it is never broadcast: the join has one plan at every size
+        extra = jaccard.near_duplicates(rows).where("component_id <> doc_id").select("doc_id").hint("merge")
+        return rows.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    named = _by_text(rows, twice)
+    of_text = jaccard.near_duplicates(named.where("name is not null").select(F.col("name").alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), "component_id")
+    ids = named.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    first = of_text.join(ids.hint("merge"), "name").groupBy("component_id").agg(F.min(F.struct("doc_id", "name"))["name"].alias("name"))
+    kept = named.join(first.select("name").hint("merge"), "name", "left_semi").unionByName(named.where("name is null"))
+    return _one_of_each(kept, twice)
+
+
+def _by_text(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows with a name of each id and text: the id itself where it occurs once, else a hash of both under a seed for
+    which all names differ."""
+    text = F.coalesce("text", F.lit(""))
+    once, several = rows.join(twice, "doc_id", "left_anti"), rows.join(twice, "doc_id", "left_semi")
+    for seed in count():
+        name = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
+        names = written(several.select(name.alias("name"), "doc_id", F.sha2(text, 256).alias("text")).distinct(), "names")
+        clash = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name").union(names.select("name").join(once.select(F.col("doc_id").alias("name")), "name", "left_semi"))
+        if clash.isEmpty():
+            return once.withColumn("name", F.col("doc_id")).unionByName(several.withColumn("name", name))
+    raise AssertionError("count() has no end")
+
+
+def _one_of_each(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """One row of each id and text. Only ids that occur more than once are dealt by their texts."""
     order = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy("lang", "source", "n_chars")
     once = rows.join(twice, "doc_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
     return rows.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
