@@ -64,3 +64,19 @@ def test_different_texts_of_one_id_stay(spark, folder):
     for frame in (docs, docs.orderBy("lang")):
         got = [(r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.near_duplicates(spark, frame, folder[0]).collect()]
         assert sorted(got, key=str) == sorted([(5, one, "en"), (5, two, "en"), (5, None, None), (7, three, "en")], key=str)
+
+
+def test_the_texts_of_an_id_that_goes_stay(spark, folder):
+    """Only the text that has a copy goes; its id keeps the others, and does not link them with each other."""
+    one, two = "a b c d e f g", "h i j k l m n"
+    rows = [(5, one), (9, one), (9, two), (9, None), (12, two), (3, two + " o p q r s t u v"), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, folder[0]).collect()]
+    assert sorted(got, key=str) == sorted([(5, one), (9, two), (9, None), (3, two + " o p q r s t u v"), (None, one)], key=str)
+
+
+def test_empty_texts_are_not_toxic(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    empty = spark.createDataFrame([(1000, None, "en", "s", 0), (1001, "", None, "s", 0), (1002, " \n", "en", None, 2)], docs.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.toxic(spark, docs.unionByName(empty), folder[0]).collect()}
+    assert {1000, 1001, 1002} <= got
