@@ -1,8 +1,8 @@
 """All queries of the engine, and the SQL for them."""
 
-from lorequarry import catalogue, oracle, queries
+from lorequarry import catalogue, oracle, queries, stored
 
-QUERIES = queries.QUERIES | catalogue.QUERIES
-ORACLE = oracle.ORACLE | catalogue.ORACLE
+QUERIES = queries.QUERIES | catalogue.QUERIES | stored.QUERIES
+ORACLE = oracle.ORACLE | catalogue.ORACLE | stored.ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
