@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
-import time
-import uuid
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorequarry.functions.vectors import native_point_id
 from lorequarry.operators.recall import vector_recall
+from lorequarry.plans.runs import RunStore, union
 from lorequarry.plans.storage import Store
 
 
@@ -37,133 +32,33 @@ def payload(chunks: DataFrame, manifest: dict[str, Any]) -> DataFrame:
     return chunks.select(*((known[n] if n in known else F.col(n)).alias(n) for n in PAYLOAD), "embedding")
 
 
-FAN = 8  # runs of the same weight that become one
-
-
-@dataclass(frozen=True)
-class Snapshot:
-    """The points of one commit. Its folders are never changed, so frames made from it stay right after later writes."""
-
-    spark: SparkSession
-    store: Store
-    number: int
-    runs: tuple[dict[str, Any], ...]
-
-    def rows(self) -> DataFrame | None:
-        return _visible(self.store, self.runs)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame | None:
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else None
-
-
-def _dead(store: Store, runs: Sequence[dict[str, Any]]) -> DataFrame | None:
-    """point_id and the last of the runs that replaces or deletes it."""
-    found = [store.read(r["dead"]).withColumn("_dead", F.lit(i)) for i, r in enumerate(runs) if r["dead"]]
-    every = _union(found)
-    return every.groupBy("point_id").agg(F.max("_dead").alias("_dead")) if every is not None else None
-
-
-def _visible(store: Store, runs: Sequence[dict[str, Any]]) -> DataFrame | None:
-    """Rows of runs in their order; a later run hides rows of earlier ones, not its own."""
-    every = _union([store.read(r["rows"]).withColumn("_run", F.lit(i)) for i, r in enumerate(runs) if r["rows"]])
-    if every is None:
-        return None
-    gone = _dead(store, runs[1:])  # nothing is before the first run
-    if gone is not None:
-        every = every.join(gone, "point_id", "left").where("_dead IS NULL OR _run > _dead").drop("_dead")
-    return every.drop("_run")
-
-
-class VectorCollection:
-    """Points as immutable runs in data/, and numbered commits that list them.
-
-    A write puts its own rows into a folder of its own, with the ids that it replaces or deletes as tombstones, and
-    then creates the next commit; of several writers one gets a number and the others take the next one, so that every
-    write lands. FAN runs of one weight are merged into one, so that a point is rewritten as often as the logarithm of
-    the number of writes. Readers hold a commit; vacuum() deletes only what neither the last commit, nor one that was
-    the last within the grace time, nor a pinned one needs."""
+class VectorCollection(RunStore):
+    """Points of a collection, by runs with tombstones: an upsert's own ids, or those that are removed."""
 
     def __init__(self, spark: SparkSession, root: str, name: str, size: int, distance: str = "Cosine"):
         if distance.lower() != "cosine":
             raise ValueError(f"no distance {distance}")
-        self.spark, self.root, self.name, self.size = spark, root, name, size
-        self.store = Store(spark, f"{root.rstrip('/')}/{name}")
-
-    def _numbers(self) -> list[int]:
-        return sorted(int(m[1]) for n in self.store.names("commits") if (m := re.fullmatch(r"(\d+)\.json", n)))
-
-    def _record(self, number: int) -> dict[str, Any] | None:
-        return self.store.get(f"commits/{number:012d}.json")
-
-    def snapshot(self, number: int | None = None) -> Snapshot:
-        """The points as of a commit, of the last one without a number."""
-        wanted = max([0, *self._numbers()]) if number is None else number
-        found = self._record(wanted) if wanted else {"runs": []}
-        if found is None:
-            raise ValueError(f"{self.name} has no commit {wanted}")
-        return Snapshot(self.spark, self.store, wanted, tuple(found["runs"]))
-
-    def rows(self) -> DataFrame | None:
-        return self.snapshot().rows()
-
-    def count(self) -> int:
-        rows = self.rows()
-        return rows.count() if rows is not None else 0
-
-    def _commit(self, change: Callable[[list[dict[str, Any]]], list[dict[str, Any]] | None]) -> int | None:
-        """Creates the next commit with the changed runs of the last one; None if there is nothing to change any more."""
-        while True:
-            last = self.snapshot()
-            runs = change(list(last.runs))
-            if runs is None:
-                return None
-            number = last.number + 1
-            if self.store.create(f"commits/{number:012d}.json", json.dumps({"at": time.time(), "runs": runs})):
-                return number
-
-    def _run(self, rows: DataFrame | None, dead: DataFrame | None = None, replaces: bool = False, weight: int = 1) -> dict[str, Any]:
-        """Writes a run; with ``replaces`` its own ids are its tombstones. Nothing refers to it before its commit; a
-        failure deletes it."""
-        folder = f"data/{uuid.uuid4().hex}"
-        run: dict[str, Any] = {"rows": None, "dead": None, "weight": weight}
-        try:
-            if rows is not None:
-                run["rows"] = f"{folder}/rows"
-                rows.write.parquet(self.store.path(run["rows"]))
-            if replaces:
-                dead = self.store.read(run["rows"]).select("point_id")  # as they were written, whatever a second run would give
-            if dead is not None:
-                run["dead"] = f"{folder}/dead"
-                dead.write.parquet(self.store.path(run["dead"]))
-        except BaseException:
-            self.store.delete(folder)
-            raise
-        return run
-
-    def _merge(self, old: Sequence[dict[str, Any]], sort: Sequence[str] = ()) -> int | None:
-        """One run in the place of neighbours. If another writer has merged them meanwhile, its result stays."""
-        first = self.snapshot().runs[:1] == tuple(old[:1])
-        rows, dead = _visible(self.store, old), None if first else _dead(self.store, old)
-        if rows is not None and sort:
-            rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        run = self._run(rows, dead.select("point_id") if dead is not None else None, weight=sum(r["weight"] for r in old))
-
-        def change(runs: list[dict[str, Any]]) -> list[dict[str, Any]] | None:
-            at = next((i for i in range(len(runs)) if runs[i : i + len(old)] == list(old)), None)
-            return None if at is None else [*runs[:at], run, *runs[at + len(old) :]]
-
-        number = self._commit(change)
-        if number is None:
-            self.store.delete(run["rows"].rpartition("/")[0] if run["rows"] else run["dead"].rpartition("/")[0])
-        return number
-
-    def _land(self, run: dict[str, Any]) -> int:
-        number = self._commit(lambda runs: [*runs, run])
-        while len(last := self.snapshot().runs[-FAN:]) == FAN and len({r["weight"] for r in last}) == 1:
-            if self._merge(last) is None:
-                break
-        return number
+        super().__init__(spark, f"{root.rstrip('/')}/{name}")
+        self.root, self.size = root, size
+
+    def _dead(self, runs: Sequence[dict[str, Any]]) -> DataFrame | None:
+        """point_id and the last of the runs that replaces or deletes it."""
+        every = union([self.store.read(r["dead"]).withColumn("_dead", F.lit(i)) for i, r in enumerate(runs) if r["dead"]])
+        return every.groupBy("point_id").agg(F.max("_dead").alias("_dead")) if every is not None else None
+
+    def view(self, runs: Sequence[dict[str, Any]]) -> DataFrame | None:
+        """Rows of runs in their order; a later run hides rows of earlier ones, not its own."""
+        every = union([self.store.read(r["rows"]).withColumn("_run", F.lit(i)) for i, r in enumerate(runs) if r["rows"]])
+        if every is None:
+            return None
+        gone = self._dead([{"dead": None}, *runs[1:]])  # nothing is before the first run
+        if gone is not None:
+            every = every.join(gone, "point_id", "left").where("_dead IS NULL OR _run >= _dead").drop("_dead")
+        return every.drop("_run")
+
+    def merged(self, runs: Sequence[dict[str, Any]], first: bool) -> tuple[DataFrame | None, DataFrame | None]:
+        dead = None if first else self._dead(runs)
+        return self.view(runs), dead.select("point_id") if dead is not None else None
 
     def _checked(self, rows: DataFrame) -> DataFrame:
         """rows (chunk_id, embedding, any payload) with point_id; a vector of another size is an error."""
@@ -177,7 +72,7 @@ class VectorCollection:
         placed = self._checked(rows).withColumn("_place", F.struct(F.col(order) if order else F.lit(0), F.monotonically_increasing_id()))
         last = Window.partitionBy("point_id").orderBy(F.desc("_place"))
         new = placed.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_place")
-        return self._land(self._run(new, replaces=True))
+        return self._land(self._run(new, replaces="point_id"))
 
     def index(self, *fields: str) -> None:
         """Rewrites the points in the order of the fields that filters use, so that readers skip what has other values."""
@@ -185,12 +80,6 @@ class VectorCollection:
         if runs and fields:
             self._merge(runs, fields)
 
-    def compact(self) -> None:
-        """All points as one run."""
-        runs = self.snapshot().runs
-        if len(runs) > 1:
-            self._merge(runs)
-
     def append(self, rows: DataFrame) -> int:
         """Points are added as they are, copies included. Only these rows are written."""
         return self._land(self._run(self._checked(rows)))
@@ -199,37 +88,6 @@ class VectorCollection:
         """Deletes the points of the chunk_ids in rows."""
         return self._land(self._run(None, rows.select(native_point_id(F.col("chunk_id")).alias("point_id")).distinct()))
 
-    @contextmanager
-    def pinned(self, seconds: float = 3600) -> Iterator[Snapshot]:
-        """The last commit, which vacuum() leaves until the end of the block, or for so many seconds if it is never reached."""
-        name = f"pins/{uuid.uuid4().hex}.json"
-        while True:
-            held = self.snapshot()
-            self.store.put(name, {"commit": held.number, "until": time.time() + seconds})
-            if not held.number or self._record(held.number):
-                break  # it was still there after the pin: vacuum() sees the pin from now on
-        try:
-            yield held
-        finally:
-            self.store.delete(name)
-
-    def vacuum(self, grace: float = 86_400) -> list[str]:
-        """Deletes commits and folders that nobody can hold; gives the folders' names. A frame made from a commit that was
-        the last one ``grace`` seconds ago or later stays right, and so does a write that has begun since then."""
-        now, numbers = time.time(), self._numbers()
-        records = {n: r for n in numbers if (r := self._record(n))}
-        pins = [p for n in self.store.names("pins") if (p := self.store.get(f"pins/{n}"))]
-        held = {p["commit"] for p in pins if p["until"] > now} | {n for n, later in zip(numbers, numbers[1:], strict=False) if later in records and records[later]["at"] > now - grace}
-        keep = held | set(numbers[-1:])
-        for n in set(numbers) - keep:
-            self.store.delete(f"commits/{n:012d}.json")
-        used = {r[k].split("/")[1] for n in keep if n in records for r in records[n]["runs"] for k in ("rows", "dead") if r[k]}
-        listed = {r[k].split("/")[1] for x in records.values() for r in x["runs"] for k in ("rows", "dead") if r[k]}
-        gone = [f for f in self.store.names("data") if f not in used and (f in listed or self.store.modified(f"data/{f}") < now - grace)]
-        for f in gone:
-            self.store.delete(f"data/{f}")
-        return gone
-
     def search(self, query: Sequence[float], width: int, filters: dict | None = None) -> DataFrame:
         """The nearest points with their payload; equal scores go by chunk_id."""
         if len(query) != self.size:

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorequarry.config import Domain, Settings
+from lorequarry.functions import text as T
+from lorequarry.oracle import ORACLE as PLAIN
+from lorequarry.operators.recall import vector_recall
+from lorequarry.plans.bulk import BulkIngestion, RecordLog
 from lorequarry.plans.cells import CellIndex
+from lorequarry.plans.postings import PostingIndex
 from lorequarry.plans.storage import shared_folder
 from lorequarry.plans.vectors import VectorCollection
-from lorequarry.queries import load, spread
+from lorequarry.queries import CODE_QUERY, QUERY, documents, load, numbered, spread
 
 
 def _points(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
@@ -31,8 +37,6 @@ def vector_collection(spark, sf_dir):
     c.compact()
     query = load(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
     found = c.search(query, 20).select(F.lit("last").alias("state"), "chunk_id", "label", "version", "vector_score")
-    from lorequarry.operators.recall import vector_recall
-
     before = vector_recall(early, query, 20, seq="chunk_id").select(F.lit("first").alias("state"), "chunk_id", "label", "version", "vector_score")
     return found.unionByName(before)
 
@@ -57,7 +61,52 @@ def vector_cells_recall(spark, sf_dir):
     return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("results"), (F.count("met") >= 0.9 * F.count("*")).alias("recall_reached"))
 
 
-QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall)}
+def _recalled(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    rows = documents(spark, sf_dir).withColumnRenamed("seq", "row_id")
+    found = PostingIndex(spark, shared_folder(spark, "postings")).build(rows).recall(query).withColumnRenamed("row_id", "seq")
+    return numbered(found, "keyword_score")
+
+
+def postings_recall(spark, sf_dir):
+    """The query of keyword_recall by way of postings."""
+    return _recalled(spark, sf_dir, QUERY).select("rank", F.col("seq").alias("doc_id"), "source", "keyword_score", T.quote(F.col("content")).alias("quote"))
+
+
+def postings_issue_code(spark, sf_dir):
+    """The query of keyword_issue_code_boost by way of postings."""
+    return _recalled(spark, sf_dir, CODE_QUERY).select("rank", F.col("seq").alias("doc_id"), "keyword_score")
+
+
+def record_log(spark, sf_dir):
+    """Events as changes of users in nine batches, purchases delete: the users that are left after two merges, and their last event."""
+    log = RecordLog(spark, shared_folder(spark, "log"), "user_id")
+    events = load(spark, sf_dir, "events")
+    changes = events.select("user_id", "event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("updated_at"), (F.col("event_type") == "purchase").alias("deleted"))
+    for k in range(9):
+        log.append(changes.where(F.col("event_id") % 9 == k), F.col("event_id"))
+    log.compact()
+    return log.state().select("user_id", "event_id", "event_type", "updated_at")
+
+
+def bulk_ingest(spark, sf_dir):
+    """Documents as files of their language, of which Spanish is no domain: taken in twice, Germans deleted and taken in again
+    by force, short ones left for review elsewhere."""
+    docs = load(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    content = F.concat(F.lit("# About "), F.col("lang"), F.lit("\n\n## Part\n\nText "), said).cast("binary")
+    uploads = spread(docs.select(F.format_string("up/%d.md", "doc_id").alias("path"), content.alias("content"), F.col("lang").alias("domain"), F.col("doc_id").alias("seq")))
+    settings = Settings(domains={x: Domain(x, x) for x in ("en", "de", "fr")}, ingestion_root=shared_folder(spark, "bulk"))
+    bulk = BulkIngestion(spark, settings)
+    bulk.ingest(uploads, 1)
+    bulk.ingest(uploads, 2)
+    bulk.delete(bulk.log.state().where("domain = 'de'"), 3)
+    bulk.ingest(uploads, 4, force=True)
+    rows = bulk.log.state()
+    body = F.element_at(F.split("text", "---\n\n", 2), 2)
+    return rows.select("domain", "source_filename", "source_hash", "title", "status", F.col("quality.text_chars").alias("n_chars"), F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), (body == F.col("markdown")).alias("same_body"), "updated_at")
+
+
+QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall, postings_recall, postings_issue_code, record_log, bulk_ingest)}
 
 
 # ---- SQL -----------------------------------------------------------------------------------------
@@ -74,5 +123,16 @@ SELECT state, chunk_id, label, version, round({_COSINE}, 4) AS vector_score FROM
     "vector_cells_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) + 1e-8 AS n FROM v),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM u a, u b WHERE a.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(s, 4) AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""",
+    "postings_recall": PLAIN["keyword_recall"],
+    "postings_issue_code": PLAIN["keyword_issue_code_boost"],
+    "record_log": """WITH e AS (SELECT user_id, event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS updated_at FROM events),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, event_id % 9 DESC, event_id DESC) = 1)
+SELECT user_id, event_id, event_type, updated_at FROM l WHERE event_type <> 'purchase'""",
+    "bulk_ingest": """WITH d AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS said FROM documents WHERE lang IN ('en', 'de', 'fr')),
+u AS (SELECT *, '# About ' || lang || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || 'Text ' || said AS content, trim('Text ' || said, ' ') AS body FROM d),
+f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, content ORDER BY doc_id) = 1)
+SELECT lang AS domain, doc_id || '.md' AS source_filename, 'sha256:' || sha256(content) AS source_hash, 'About ' || lang AS title, CASE WHEN lang = 'de' OR length(body) >= 50 THEN 'published' ELSE 'awaiting_review' END AS status,
+  length(body) AS n_chars, md5('# About ' || lang || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || body || chr(10)) AS markdown_md5,
+  CASE WHEN lang = 'de' OR length(body) >= 50 THEN true END AS same_body, CASE WHEN lang = 'de' THEN 4 ELSE 1 END::BIGINT AS updated_at FROM f""",
     "vector_cells_recall": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT count(*) AS queries, CAST(count(*) * least(5, any_value(n)) AS BIGINT) AS results, true AS recall_reached FROM embeddings, n WHERE vec_id % 100 = 0",
 }
