@@ -12,8 +12,9 @@ from lorequarry.operators.recall import vector_recall
 from lorequarry.plans.bulk import BulkIngestion, RecordLog
 from lorequarry.plans.cells import CellIndex
 from lorequarry.plans.postings import PostingIndex
-from lorequarry.plans.storage import shared_folder
+from lorequarry.plans.storage import Store, shared_folder
 from lorequarry.plans.vectors import VectorCollection
+from lorequarry.streaming import jobs
 from lorequarry.queries import CODE_QUERY, QUERY, documents, load, numbered, spread
 
 
@@ -106,7 +107,27 @@ def bulk_ingest(spark, sf_dir):
     return rows.select("domain", "source_filename", "source_hash", "title", "status", F.col("quality.text_chars").alias("n_chars"), F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"), (body == F.col("markdown")).alias("same_body"), "updated_at")
 
 
-QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall, postings_recall, postings_issue_code, record_log, bulk_ingest)}
+JOB_LEASE, JOB_LIFE = 8 * 3_600_000, 12 * 3_600_000
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. A stream reads folders; a table in one file is a pattern in the folder above it."""
+    reader = spark.readStream.schema(load(spark, sf_dir, name).schema)
+    if Store(spark, sf_dir).is_folder(f"{name}.parquet"):
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def job_watch(spark, sf_dir):
+    """Events as states of a job for each user, as a stream: jobs that are queued again, fail or expire."""
+    folder = shared_folder(spark, "jobs")
+    status = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status"
+    events = table_stream(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id AS number", status, "CAST(ts AS TIMESTAMP) AS ts")
+    jobs.watch(events, f"{folder}/found", f"{folder}/checkpoint", JOB_LEASE, JOB_LIFE).awaitTermination()
+    return spark.read.schema(jobs.TRANSITION).parquet(f"{folder}/found")
+
+
+QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall, postings_recall, postings_issue_code, record_log, bulk_ingest, job_watch)}
 
 
 # ---- SQL -----------------------------------------------------------------------------------------
@@ -134,5 +155,12 @@ f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, content ORDE
 SELECT lang AS domain, doc_id || '.md' AS source_filename, 'sha256:' || sha256(content) AS source_hash, 'About ' || lang AS title, CASE WHEN lang = 'de' OR length(body) >= 50 THEN 'published' ELSE 'awaiting_review' END AS status,
   length(body) AS n_chars, md5('# About ' || lang || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || body || chr(10)) AS markdown_md5,
   CASE WHEN lang = 'de' OR length(body) >= 50 THEN true END AS same_body, CASE WHEN lang = 'de' THEN 4 ELSE 1 END::BIGINT AS updated_at FROM f""",
+    "job_watch": f"""WITH e AS (SELECT user_id AS job_id, event_id, epoch_us(ts) // 1000 AS t, event_type IN ('signup', 'view', 'click') AS active FROM events),
+n AS (SELECT *, lead(t) OVER (PARTITION BY job_id ORDER BY t, event_id) AS next FROM e), m AS (SELECT max(t) AS mark FROM e),
+s AS (SELECT job_id, active, t, least(coalesce(next, mark), mark) AS until FROM n, m),
+a AS (SELECT job_id, t + k * {JOB_LEASE} AS t, k, until FROM s, range(1, 5) r(k) WHERE active AND t + k * {JOB_LEASE} < until)
+SELECT job_id, CASE WHEN k = 4 THEN 'failed' ELSE 'requeued' END AS kind, CAST(t AS BIGINT) AS "at", CAST(least(k, 3) AS INTEGER) AS attempts FROM a
+UNION ALL SELECT job_id, 'expired', CAST(t + {JOB_LIFE} AS BIGINT), 3 FROM a WHERE k = 4 AND t + {JOB_LIFE} < until
+UNION ALL SELECT job_id, 'expired', CAST(t + {JOB_LIFE} AS BIGINT), 0 FROM s WHERE NOT active AND t + {JOB_LIFE} < until""",
     "vector_cells_recall": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT count(*) AS queries, CAST(count(*) * least(5, any_value(n)) AS BIGINT) AS results, true AS recall_reached FROM embeddings, n WHERE vec_id % 100 = 0",
 }
