@@ -211,10 +211,10 @@ def build_chunks(documents: DataFrame, embedder: Embedder | None, version: str =
 # ---- plain splits -------------------------------------------------------------------------------
 
 
-def heading_split(text: Column, least: int = 2, most: int = 2) -> Column:
+def heading_split(text: Column, least: int = 2, most: int = 2, named: bool = False) -> Column:
     """heading and content at each heading of some levels, what comes before them dropped; a text without any is
-    split at blank lines, without headings."""
-    mark = rf"^#{{{least},{most}}} "
+    split at blank lines, without headings. ``named``: a heading has a character after its mark."""
+    mark = rf"^#{{{least},{most}}} " + (r"(?=[^\n])" if named else "")
     parts = F.regexp_extract_all(text, F.lit(rf"(?dms){mark}.*?(?={mark}|\z)"), F.lit(0))
     rows = F.filter(F.transform(parts, T.strip), lambda p: p != "")
     found = F.transform(rows, lambda p: F.struct(F.regexp_extract(p, rf"(?d)\A#{{{least},{most}}} (.*)", 1).alias("heading"), p.alias("content")))
@@ -223,10 +223,10 @@ def heading_split(text: Column, least: int = 2, most: int = 2) -> Column:
     return F.when(F.regexp_like(text, F.lit(f"(?md){mark}")), found).otherwise(plain)
 
 
-def plain_chunks(documents: DataFrame, least: int = 2, most: int = 2, fingerprint: str | None = None, version: str = "v3") -> DataFrame:
+def plain_chunks(documents: DataFrame, least: int = 2, most: int = 2, fingerprint: str | None = None, version: str = "v3", named: bool = False) -> DataFrame:
     """Chunks of the plain split with ids as other chunks have them; ordinal counts from one, chunk_index from zero.
     fingerprint: of the folder that the documents are from."""
-    cut = documents.select("source", "seq", F.posexplode(heading_split(F.col("raw_text"), least, most)).alias("chunk_index", "c"))
+    cut = documents.select("source", "seq", F.posexplode(heading_split(F.col("raw_text"), least, most, named)).alias("chunk_index", "c"))
     path = F.when(F.col("c.heading") == "", F.array().cast("array<string>")).otherwise(F.array("c.heading"))
     rows = cut.withColumns({"heading_path": path, "content_hash": T.content_hash(F.col("c.content")), "ordinal": F.col("chunk_index") + 1})
     return rows.select(

@@ -219,34 +219,39 @@ def bigram_neighbours(rows: DataFrame, queries: DataFrame, width: int = 1) -> Da
 
 
 def lookup(rows: DataFrame, keywords: Sequence[str], width: int = 5, threshold: float = 0.8, candidates: int | None = None) -> DataFrame:
-    """The best rows by keyword lookup without near duplicates. rows: seq, source, heading, content.
+    """The best rows by keyword lookup without near duplicates. rows: seq (unique), source, heading, content.
 
-    Leaders are taken in the order of score, then seq. The fold sees candidates rows at a time; while leaders are
-    missing, it goes on after the last row seen, without what is like a leader already found. So each further block
-    begins with a new leader, and no number of copies takes the place of other rows."""
+    Leaders are taken in the order of score, then seq. Equal contents are folded to their best row first, by a digest, so
+    that only places are dealt; the texts of the best ``candidates`` are read then and folded. While leaders are missing,
+    the fold goes on after the last row seen, without what is like a leader already found. So each further block
+    begins with a new leader, and no number of copies or near copies takes the place of other rows."""
     from lorequarry.operators.fusion import assign_leaders
 
     size = candidates or max(60, 12 * width)
     score = F.round(T.lookup_score(F.col("content"), F.col("heading"), keywords), 2)
-    scored = rows.withColumn("score", score).withColumn("place", F.struct((-F.col("score")).alias("down"), F.col("seq").alias("seq"), F.xxhash64("content").alias("tie")))
+    scored = rows.withColumn("score", score).withColumn("place", F.struct((-F.col("score")).alias("down"), F.col("seq").alias("seq")))
     grams = T.bigrams(F.coalesce(F.col("content"), F.lit("")))
+    # a content without pairs of characters is like no other, not even an equal one
+    same = F.when(F.length("content") >= 2, F.sha2(F.col("content").cast("binary"), 256)).otherwise(F.col("seq").cast("string"))
     kind = rows.withColumn("score", score).withColumn("pos", F.lit(0)).schema
     found: list[tuple] = []
     seen = 0
-    left = scored
+    left = scored.where("score > 0")
     while len(found) < width:
-        best = left.orderBy("place").limit(size).where("score > 0").withColumn("pos", F.row_number().over(Window.orderBy("place")))
-        led = assign_leaders(best, threshold)
-        own = F.col("pos") == F.col("lead")
-        got = led.select("pos", "place", F.when(own, F.struct(*rows.columns, "score")).alias("row")).orderBy("pos").collect()  # texts of leaders only
-        fresh = [(*r["row"], seen + r["pos"]) for r in got if r["row"] is not None][: width - len(found)]
-        found += fresh
-        seen += len(got)
-        if len(got) < size:
+        places = left.groupBy(same.alias("same")).agg(F.min("place").alias("place")).orderBy("place").limit(size).select("place").collect()
+        if not places:
+            break
+        best = rows.withColumn("score", score).where(F.col("seq").isin([p["place"]["seq"] for p in places]))
+        order = Window.orderBy(F.desc("score"), "seq")  # of one block
+        led = assign_leaders(best.withColumn("pos", F.row_number().over(order)), threshold)
+        heads = led.where("pos = lead").select(*rows.columns, "score", "pos").orderBy("pos").limit(width - len(found)).collect()  # texts of leaders only
+        found += [(*h[:-1], seen + h["pos"]) for h in heads]
+        seen += len(places)
+        if len(places) < size:
             break
         at = rows.columns.index("content")
-        heads = rows.sparkSession.createDataFrame([(f[at],) for f in found], "content string").select(F.collect_list(grams).alias("heads"))
+        known = rows.sparkSession.createDataFrame([(f[at],) for f in found], "content string").select(F.collect_list(grams).alias("heads"))
         alike = F.exists("heads", lambda h: T.jaccard(h, grams) > threshold)
-        last = F.struct(*(F.lit(got[-1]["place"][k]).cast(scored.schema["place"].dataType[k].dataType).alias(k) for k in ("down", "seq", "tie")))
-        left = scored.where((F.col("score") > 0) & (F.col("place") > last)).crossJoin(F.broadcast(heads)).where(~alike).drop("heads")
+        last = F.struct(*(F.lit(places[-1]["place"][k]).cast(scored.schema["place"].dataType[k].dataType).alias(k) for k in ("down", "seq")))
+        left = scored.where((F.col("score") > 0) & (F.col("place") > last)).crossJoin(F.broadcast(known)).where(~alike).drop("heads")
     return rows.sparkSession.createDataFrame(found, kind).orderBy("pos")

@@ -39,14 +39,14 @@ def relative(root: str):
     return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(re.sub("^[a-z]+:/+", "/", root.rstrip("/"))) + "/+", "")
 
 
-def markdown_tree(spark: SparkSession, roots: list[tuple[str, str]], skip_blank: bool = True) -> DataFrame:
-    """source, raw_text, seq of the *.md files below several (prefix, root), hidden ones skipped, in the order of
+def markdown_tree(spark: SparkSession, roots: list[tuple[str, str]], skip_blank: bool = True, pattern: str = "*.md") -> DataFrame:
+    """source, raw_text, seq of the files of a pattern below several (prefix, root), hidden ones skipped, in the order of
     their joined names. seq is dense and follows that order."""
     parts = []
     for prefix, root in roots:
         name = relative(root)
         source = F.concat(F.lit(f"{prefix}/"), name) if prefix else name
-        parts.append(binary(spark, root, "*.md").select(source.alias("source"), F.decode("content", "UTF-8").alias("raw_text")))
+        parts.append(binary(spark, root, pattern).select(source.alias("source"), F.decode("content", "UTF-8").alias("raw_text")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

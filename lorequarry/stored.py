@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.config import Domain, Settings
 from lorequarry.functions import text as T
 from lorequarry.oracle import ORACLE as PLAIN
+from lorequarry.oracle import PAIRS, q
 from lorequarry.operators.recall import vector_recall
+from lorequarry.plans import config_gen
 from lorequarry.plans.bulk import BulkIngestion, RecordLog
 from lorequarry.plans.cells import CellIndex
 from lorequarry.plans.postings import PostingIndex
@@ -127,14 +129,47 @@ def job_watch(spark, sf_dir):
     return spark.read.schema(jobs.TRANSITION).parquet(f"{folder}/found")
 
 
-QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall, postings_recall, postings_issue_code, record_log, bulk_ingest, job_watch)}
+CODES, NODES, ASKED = ["ECONOMY", "size 15"], ["red"], ["blue", "PROMO", "ring"]
+
+
+def config_files(spark, sf_dir):
+    """Parts as Markdown files, one for each brand, and what both lookups find there."""
+    part, folder = load(spark, sf_dir, "part"), shared_folder(spark, "config")
+    section = F.format_string("## %s %d\n\n%s part of size %d\n\n", "p_name", "p_partkey", "p_type", "p_size")
+    texts = part.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", section.alias("s")))), lambda x: x["s"]), "").alias("value"))
+    texts.select(F.concat(F.lit("lost\n# \n\n"), F.col("value")).alias("value"), F.regexp_extract("p_brand", r"(\d+)$", 1).alias("brand")).repartition("brand").write.partitionBy("brand").text(folder)
+    found = [
+        ("repair", config_gen.repair_strategies(spark, folder, CODES, NODES, 7, "*.txt")),
+        ("guide", config_gen.generation_guide(spark, folder, ASKED, 7, "*.txt")),
+    ]
+    rows = [f.select(F.lit(n).alias("entry"), F.row_number().over(Window.orderBy("pos")).cast("long").alias("rank"), F.regexp_extract("source", r"brand=(\d+)", 1).alias("brand"), "heading", "content", "score") for n, f in found]
+    return rows[0].unionByName(rows[1])
+
+
+QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall, postings_recall, postings_issue_code, record_log, bulk_ingest, job_watch, config_files)}
 
 
 # ---- SQL -----------------------------------------------------------------------------------------
 
 _COSINE = "list_dot_product(e, q) / ((sqrt(list_dot_product(e, e)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8))"
 
+
+
+def _folded(name: str, words: list[str]) -> str:
+    """Rows of a lookup over the sections of parts, taken one leader after the other."""
+    hits = " + ".join(f"CASE WHEN contains(heading || ' ' || content, {q(w)}) THEN 1.0 ELSE 0.0 END + CASE WHEN contains(heading, {q(w)}) THEN 2.0 ELSE 0.0 END" for w in words)
+    return f"""SELECT {q(name)} AS entry, n AS rank, brand, heading, content, score FROM (WITH RECURSIVE c AS (SELECT regexp_extract(p_brand, '([0-9]+)$', 1) AS brand, p_partkey AS k, p_name || ' ' || p_partkey AS heading,
+    '## ' || p_name || ' ' || p_partkey || chr(10) || chr(10) || p_type || ' part of size ' || p_size AS content FROM part),
+  s AS (SELECT *, CAST({hits} AS DOUBLE) AS score FROM c), cand AS (SELECT *, row_number() OVER (ORDER BY score DESC, brand, k) AS pos FROM s WHERE score > 0),
+  grams AS MATERIALIZED (SELECT *, {PAIRS.format("content")} AS g FROM cand),
+  pick AS (SELECT CAST(1 AS BIGINT) AS n, pos, [g] AS kept FROM grams WHERE pos = 1
+    UNION ALL SELECT any_value(p.n) + 1, min(c.pos), list_append(any_value(p.kept), arg_min(c.g, c.pos)) FROM pick p JOIN grams c ON c.pos > p.pos
+    WHERE p.n < 7 AND len(list_filter(p.kept, lambda o: len(list_intersect(o, c.g)) / CAST(len(o) + len(c.g) - len(list_intersect(o, c.g)) AS DOUBLE) > 0.8)) = 0 GROUP BY p.n)
+  SELECT n, brand, heading, content, score FROM pick JOIN grams USING (pos))"""
+
+
 ORACLE = {
+    "config_files": f"{_folded('repair', [*CODES, *NODES])} UNION ALL {_folded('guide', ASKED)}",
     "vector_collection": f"""WITH v AS (SELECT vec_id, 'v' || vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), z AS (SELECT e AS q FROM v WHERE vec_id = 0),
 states AS (
   SELECT 'first' AS state, chunk_id, label, 1 AS version, e, 0 AS copy FROM v

@@ -119,3 +119,17 @@ def test_heading_split_keeps_every_character(spark):
     rows = spark.createDataFrame([(text,), ("a\x01b\n\nc",), ("## only",), ("",)], "t string").select(C.heading_split(F.col("t")).alias("c"))
     got = [[(x["heading"], x["content"]) for x in r["c"]] for r in rows.collect()]
     assert got == [[("A", "## A\n\x01x\x01\n### deeper"), ("", "##"), ("B ## C", "## B ## C\nlast\x01")], [("", "a\x01b"), ("", "c")], [("only", "## only")], []]
+
+
+def test_lookups_read_files(spark, tmp_path):
+    from lorequarry.plans import config_gen
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("lost ERR1\n# Fix\nERR1 by node7\n## \n#### deep ERR1\n## Other\nnothing\n## Fix\nERR1 by node7 \n### Third ERR1\nx")
+    (tmp_path / "in" / "b.md").write_text("plain ERR1 text\n\nmore\n\n\nnode7 alone")
+    (tmp_path / ".in.md").write_text("# ERR1")
+    found = config_gen.repair_strategies(spark, str(tmp_path), ["ERR1"], ["node7"]).orderBy("pos").collect()
+    assert [(r["source"], r["heading"], r["score"]) for r in found] == [("in/a.md", "Third ERR1", 3.0), ("in/a.md", "Fix", 2.0), ("in/a.md", "Fix", 2.0), ("in/b.md", "", 1.0), ("in/b.md", "", 1.0)]
+    assert [r["content"] for r in found][2:] == ["## Fix\nERR1 by node7", "plain ERR1 text", "node7 alone"]
+    assert config_gen.generation_guide(spark, str(tmp_path / "none"), ["x"]).count() == 0
+    assert [r["content"] for r in config_gen.generation_guide(spark, str(tmp_path), ["alone"], 1).collect()] == ["node7 alone"]
