@@ -193,7 +193,7 @@ chunks AS (SELECT *, 'sha256:' || sha256(source || '||' || to_json(path) || '||1
   '标题路径: ' || array_to_string(path, ' > ') || chr(10) || '来源: ' || source || chr(10) || '正文:' || chr(10) || content AS told FROM parents)"""
 
 
-def _letters(x: str) -> str:
+def letters(x: str) -> str:
     return "[" + ", ".join(f"CAST(length({x}) - length(replace({x}, '{c}', '')) AS DOUBLE)" for c in string.ascii_lowercase) + "]"
 
 
@@ -203,7 +203,7 @@ _ASKED = "[" + ", ".join(f"{QUESTION.lower().count(c)}.0::DOUBLE" for c in strin
 def _lists(modes: tuple[str, ...], rerank: bool = False) -> str:
     """CTEs up to ff, the fused rows of the lists named."""
     best = keyword("chunks", "seq", "content", QUESTION, 20).removeprefix("WITH ")
-    vectors = f""", e AS (SELECT seq, content, {_letters("lower(told)")} AS e FROM chunks), angles AS (SELECT seq, content, list_dot_product(e, {_ASKED}) / ((sqrt(list_dot_product(e, e)) + 1e-8) * (sqrt(list_dot_product({_ASKED}, {_ASKED})) + 1e-8)) AS s FROM e),
+    vectors = f""", e AS (SELECT seq, content, {letters("lower(told)")} AS e FROM chunks), angles AS (SELECT seq, content, list_dot_product(e, {_ASKED}) / ((sqrt(list_dot_product(e, e)) + 1e-8) * (sqrt(list_dot_product({_ASKED}, {_ASKED})) + 1e-8)) AS s FROM e),
 vbest AS (SELECT seq, content, round(s, 4) AS vector_score, row_number() OVER (ORDER BY s DESC, seq) AS rank FROM angles ORDER BY rank LIMIT 40)"""
     parts = ["SELECT rank AS pos, seq, content, keyword_score, CAST(NULL AS DOUBLE) AS vector_score FROM best" if "keyword" in modes else "SELECT NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE WHERE false"]
     if "vector" in modes:
@@ -235,7 +235,7 @@ SELECT run, status, version, n AS parents, n AS children, true AS kept FROM n, (
     "index_chunks": f"""WITH {_CHUNKS}
 SELECT parent_id AS chunk_id, NULL::VARCHAR AS parent_id, 'parent' AS chunk_type, source, array_to_string(path, ' > ') AS path, coalesce(head, brand) AS title, 0::INTEGER AS ordinal, content_hash,
   NULL::VARCHAR AS prev_chunk_id, NULL::VARCHAR AS next_chunk_id, NULL::VARCHAR AS embedding_md5, NULL::DOUBLE AS letters, CAST(2 * k AS BIGINT) AS place FROM chunks
-UNION ALL SELECT chunk_id, parent_id, 'child', source, array_to_string(path, ' > '), coalesce(head, brand), 1, content_hash, NULL, NULL, md5(told), list_sum({_letters("lower(told)")}), CAST(2 * k + 1 AS BIGINT) FROM chunks""",
+UNION ALL SELECT chunk_id, parent_id, 'child', source, array_to_string(path, ' > '), coalesce(head, brand), 1, content_hash, NULL, NULL, md5(told), list_sum({letters("lower(told)")}), CAST(2 * k + 1 AS BIGINT) FROM chunks""",
     "index_info": f"""WITH {_SECTIONS}, d AS (SELECT r_regionkey AS k, replace(r_name, ' ', '_') AS domain FROM region), s AS (SELECT doc % 5 AS k, 2 * count(*) AS chunks, count(DISTINCT doc) AS sources FROM sections GROUP BY 1)
 SELECT domain, k % 2 = 1 AS indexed, CASE WHEN k % 2 = 1 THEN chunks END AS chunks, CASE WHEN k % 2 = 1 THEN sources END AS sources, CASE WHEN k % 2 = 1 THEN 1::BIGINT END AS version,
   CASE WHEN k % 2 = 1 THEN 'ok' ELSE 'unindexed' END AS state, 'degraded' AS status FROM d LEFT JOIN s USING (k)""",

@@ -144,7 +144,7 @@ p AS (SELECT item_id, unnest(regexp_extract_all(text, '[一-鿿]{{3,5}}')) AS ph
   UNION ALL SELECT item_id, unnest(list_transform(range(1, length(s) - 2), lambda k: substring(s, k, 4))) FROM ok WHERE length(s) > 4),
 n AS (SELECT item_id, phrase, count(*) AS n FROM p GROUP BY 1, 2)"""
 
-_BATCH = _BATCH_PHRASES + """, total AS (SELECT item_id, greatest(sum(n), 10) AS d FROM n GROUP BY 1),
+BATCH = _BATCH_PHRASES + """, total AS (SELECT item_id, greatest(sum(n), 10) AS d FROM n GROUP BY 1),
 codes AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Z_]{2,}[A-Z]\\b')) AS code FROM i),
 u AS MATERIALIZED (SELECT DISTINCT phrase FROM n),
 found AS MATERIALIZED (SELECT doc_id, phrase FROM documents, u WHERE contains(' ' || text, phrase)),
@@ -177,8 +177,8 @@ ORACLE: dict[str, str] = {
     "keyword_issue_code_boost": best_of(CODE_QUERY, 20, " SELECT rank, seq AS doc_id, keyword_score FROM best"),
     "keyword_heading_boost": keyword("pages", "page_id", "html", HEADING_QUERY, 20, heading=TITLE) + " SELECT rank, seq AS page_id, keyword_score FROM best",
     "metadata_filtered_recall": keyword(*DOCS, QUERY, 20, where="lang = 'en' AND source IN ('src3', 'src4')", extra=", source") + " SELECT rank, seq AS doc_id, source, keyword_score FROM best",
-    "keyword_recall_batch": _BATCH + " SELECT item_id, doc_id, keyword_score, rank FROM top",
-    "eval_recall_at_k": _BATCH + """, h AS (SELECT top.item_id, max(CAST(contains(d.text, i.text) AS INTEGER)) AS hit FROM top JOIN documents d USING (doc_id) JOIN i ON i.item_id = top.item_id GROUP BY 1)
+    "keyword_recall_batch": BATCH + " SELECT item_id, doc_id, keyword_score, rank FROM top",
+    "eval_recall_at_k": BATCH + """, h AS (SELECT top.item_id, max(CAST(contains(d.text, i.text) AS INTEGER)) AS hit FROM top JOIN documents d USING (doc_id) JOIN i ON i.item_id = top.item_id GROUP BY 1)
 SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 4) AS recall_at_3 FROM h""",
     "vector_topk": "WITH x AS (SELECT 1)" + _VECTORS + " SELECT row_number() OVER (ORDER BY s DESC, vec_id) AS rank, vec_id, round(s, 4) AS vector_score FROM vnear ORDER BY rank LIMIT 10",
     "vector_topk_batch": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) + 1e-8 AS n FROM v),

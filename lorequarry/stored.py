@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.config import Domain, Settings
+from lorequarry.catalogue import LetterEmbedder, letters
 from lorequarry.functions import text as T
+from lorequarry.functions import vectors as V
 from lorequarry.oracle import ORACLE as PLAIN
-from lorequarry.oracle import PAIRS, q
+from lorequarry.oracle import BATCH, PAIRS, q
 from lorequarry.operators.recall import vector_recall
-from lorequarry.plans import config_gen
+from lorequarry.plans import batch_search, config_gen
 from lorequarry.plans.bulk import BulkIngestion, RecordLog
 from lorequarry.plans.cells import CellIndex
 from lorequarry.plans.postings import PostingIndex
@@ -146,7 +148,19 @@ def config_files(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
-QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall, postings_recall, postings_issue_code, record_log, bulk_ingest, job_watch, config_files)}
+NARROW = {"keyword_width": 3, "vector_width": 3, "rrf_width": 4}
+
+
+def hybrid_batch(spark, sf_dir):
+    """All benchmark items as queries over the different documents, by words and by how often letters occur."""
+    docs = load(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("key")).withColumnRenamed("text", "content")
+    rows = spread(docs).withColumn("embedding", V.embed(LetterEmbedder())("content"))
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = batch_search.hybrid_batch(rows, items, LetterEmbedder(), Settings(domains={}, **NARROW), 3, groups=())
+    return found.select("query_id", F.col("pos").cast("long").alias("rank"), F.col("key").alias("doc_id"), "keyword_score", "vector_score", "rrf_score")
+
+
+QUERIES = {f.__name__: f for f in (vector_collection, vector_cells_topk, vector_cells_recall, postings_recall, postings_issue_code, record_log, bulk_ingest, job_watch, config_files, hybrid_batch)}
 
 
 # ---- SQL -----------------------------------------------------------------------------------------
@@ -168,7 +182,25 @@ def _folded(name: str, words: list[str]) -> str:
   SELECT n, brand, heading, content, score FROM pick JOIN grams USING (pos))"""
 
 
+_LIKE = "list_filter(kept, lambda o: len(o.g) > 0 AND len(c.g) > 0 AND len(list_intersect(o.g, c.g)) / CAST(len(o.g) + len(c.g) - len(list_intersect(o.g, c.g)) AS DOUBLE) > 0.8)"
+
 ORACLE = {
+    "hybrid_batch": BATCH.replace("WITH ", f"""WITH RECURSIVE different AS (SELECT text, min(doc_id) AS doc_id FROM main.documents WHERE text IS NOT NULL GROUP BY text), documents AS (SELECT doc_id, text FROM different),
+""", 1) + f""", v AS (SELECT doc_id, {letters("lower(text)")} AS e FROM documents), a AS (SELECT item_id, {letters("lower(text)")} AS q FROM i),
+near AS (SELECT item_id, doc_id, {_COSINE} AS s FROM v, a QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY {_COSINE} DESC, doc_id) <= 3),
+both_lists AS (SELECT item_id, 0 AS side, rank AS pos, doc_id, keyword_score, CAST(NULL AS DOUBLE) AS vector_score FROM top
+  UNION ALL SELECT item_id, 1, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id), doc_id, NULL, round(s, 4) FROM near),
+cand AS MATERIALIZED (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY side, pos) AS pos, doc_id, keyword_score, vector_score,
+  CASE WHEN length(text) < 2 THEN []::VARCHAR[] ELSE {PAIRS.format("text")} END AS g FROM both_lists JOIN documents USING (doc_id)),
+led AS (SELECT item_id, CAST(1 AS BIGINT) AS pos, [struct_pack(pos := pos, g := g)] AS kept, CAST(1 AS BIGINT) AS lead FROM cand WHERE pos = 1
+  UNION ALL SELECT c.item_id, c.pos, CASE WHEN len({_LIKE}) > 0 THEN kept ELSE list_append(kept, struct_pack(pos := c.pos, g := c.g)) END, coalesce({_LIKE}[1].pos, c.pos)
+  FROM led JOIN cand c ON c.item_id = led.item_id AND c.pos = led.pos + 1),
+m AS (SELECT item_id, lead AS pos, arg_min(doc_id, cand.pos) AS doc_id, arg_max(keyword_score, cand.pos) FILTER (keyword_score IS NOT NULL) AS keyword_score,
+  arg_max(vector_score, cand.pos) FILTER (vector_score IS NOT NULL) AS vector_score FROM led JOIN cand USING (item_id, pos) GROUP BY item_id, lead),
+r AS (SELECT *, CASE WHEN keyword_score IS NOT NULL THEN row_number() OVER (PARTITION BY item_id, keyword_score IS NULL ORDER BY keyword_score DESC, pos) END AS keyword_rank,
+  CASE WHEN vector_score IS NOT NULL THEN row_number() OVER (PARTITION BY item_id, vector_score IS NULL ORDER BY vector_score DESC, pos) END AS vector_rank FROM m),
+f AS (SELECT *, round(coalesce(1.0 / (60 + CAST(keyword_rank AS DOUBLE)), 0) + coalesce(1.0 / (60 + CAST(vector_rank AS DOUBLE)), 0), 6) AS rrf_score FROM r)
+SELECT item_id AS query_id, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, pos) AS rank, doc_id, keyword_score, vector_score, rrf_score FROM f QUALIFY rank <= 3""",
     "config_files": f"{_folded('repair', [*CODES, *NODES])} UNION ALL {_folded('guide', ASKED)}",
     "vector_collection": f"""WITH v AS (SELECT vec_id, 'v' || vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), z AS (SELECT e AS q FROM v WHERE vec_id = 0),
 states AS (
