@@ -322,22 +322,29 @@ def _pass(docs: DataFrame, items: list[tuple[str | None, str]], window: int) ->
     return docs.mapInArrow(run, SPANS)
 
 
-def phrase_blocks(benchmark: DataFrame) -> list[list[tuple[str | None, str]]]:
-    """Items in blocks of about PHRASE_BYTES; one block unless the benchmark is larger than that."""
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    if total <= PHRASE_BYTES:
-        return [[tuple(r) for r in bench.collect()]]
-    # items are dealt by their digest; twice as many blocks as needed keep each within the bound
-    blocks = 2 * -(-total // PHRASE_BYTES)
-    key = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [[tuple(r) for r in bench.where(key == k).collect()] for k in range(blocks)]
+class PhraseBlocks:
+    """Items in blocks of about PHRASE_BYTES, one unless the benchmark is larger than that. A block is collected when its
+    turn comes, so that the driver holds one at a time."""
+
+    def __init__(self, benchmark: DataFrame):
+        self.items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        total = self.items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+        # items are dealt by their digest; twice as many blocks as needed keep each within the bound
+        self.count = 1 if total <= PHRASE_BYTES else 2 * -(-total // PHRASE_BYTES)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[list[tuple[str | None, str]]]:
+        key = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.count))
+        for k in range(self.count):
+            yield [tuple(r) for r in (self.items if self.count == 1 else self.items.where(key == k)).collect()]
 
 
 def kept(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without any occurrence, with all their columns; each block of phrases is one filter."""
     rows = spread(docs)
-    for items in phrase_blocks(benchmark):
+    for items in PhraseBlocks(benchmark):
         phrases = docs.sparkSession.sparkContext.broadcast(compile_phrases(items, window))  # at most PHRASE_BYTES of text
 
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
@@ -359,15 +366,15 @@ def kept(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """For each row of docs the disjoint word spans [start, end) that benchmark windows cover; see SPANS."""
-    rows, blocks = keyed_texts(docs), phrase_blocks(benchmark)
+    rows, blocks = keyed_texts(docs), PhraseBlocks(benchmark)
     if len(blocks) == 1:
-        return _pass(spread(rows), blocks[0], window)
+        return _pass(spread(rows), next(iter(blocks)), window)
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "decontam")  # repeated rows stay apart by their number over all passes
     keyed = rows.select(F.col("row").alias("doc_id"), "text")
     found = None
     for items in blocks:
-        part = _pass(keyed, items, window)
+        part = written(_pass(keyed, items, window), "decontam-pass")  # the phrases of a pass are given up after it
         found = part if found is None else found.unionByName(part)
 
     def merged(starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:

@@ -46,10 +46,26 @@ def test_several_blocks_of_phrases(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
     monkeypatch.setattr(D, "PHRASE_BYTES", 60)
-    assert len(D.phrase_blocks(bench)) > 2
+    assert len(D.PhraseBlocks(bench)) > 2
     assert sorted(tuple(r) for r in D.summary(D.removal_spans(frame, bench)).collect()) == sorted(D.brute_force(docs, items))
 
 
+def test_the_driver_holds_one_block_of_phrases(spark, monkeypatch):
+    """Many blocks: each is collected after the pass of the one before, and none has more than the bound."""
+    docs, items = corpus()
+    items = [*items, *((f"n{k}", f"filler words of item {k} that no document holds at all {k * k} {k}") for k in range(40))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    monkeypatch.setattr(D, "PHRASE_BYTES", 400)
+    steps: list[tuple[str, int]] = []
+    compiled, passed = D.compile_phrases, D.written
+    monkeypatch.setattr(D, "compile_phrases", lambda items, window: steps.append(("block", sum(len(t.encode()) for _, t in items))) or compiled(items, window))
+    monkeypatch.setattr(D, "written", lambda df, name: steps.append((name, 0)) or passed(df, name))
+    found = D.summary(D.removal_spans(spark.createDataFrame(docs, "doc_id long, text string"), bench)).collect()
+    assert sorted(tuple(r) for r in found) == sorted(D.brute_force(docs, items))
+    assert [n for n, _ in steps] == ["decontam", *["block", "decontam-pass"] * len(D.PhraseBlocks(bench))] and len(steps) > 20
+    assert max(size for _, size in steps) < sum(len((t or "").encode()) for _, t in items) / 4
+
+
 def test_short_items_and_empty_tables(spark):
     frame = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([("a", "TWO"), ("b", ""), (None, "one")], "item_id string, text string")
