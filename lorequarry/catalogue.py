@@ -186,7 +186,7 @@ _SECTIONS = """sections AS (
   UNION ALL SELECT DISTINCT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT), p_brand, 0, NULL, '# ' || p_brand FROM part)"""
 
 _HASH = content_hash("content")
-_CHUNKS = f"""{_SECTIONS},
+CHUNKS = f"""{_SECTIONS},
 pathed AS (SELECT *, 'parts/' || doc || '.md' AS source, CASE WHEN head IS NULL THEN [brand] ELSE [brand, head] END AS path, {_HASH} AS content_hash FROM sections),
 parents AS (SELECT *, 'sha256:' || sha256(source || '||' || to_json(path) || '||0||' || content_hash) AS parent_id FROM pathed),
 chunks AS (SELECT *, 'sha256:' || sha256(source || '||' || to_json(path) || '||1||' || content_hash) AS chunk_id, doc * 16777216 + 2 * k + 1 AS seq,
@@ -210,7 +210,7 @@ vbest AS (SELECT seq, content, round(s, 4) AS vector_score, row_number() OVER (O
         shift = " + (SELECT count(*) FROM best)" if "keyword" in modes else ""
         parts.append(f"SELECT rank{shift} AS pos, seq, content, NULL AS keyword_score, vector_score FROM vbest")
     cand = f", cand(pos, seq, content, keyword_score, vector_score) AS ({' UNION ALL '.join(parts)})"
-    return f"WITH RECURSIVE {_CHUNKS}, " + dedup(best + vectors + cand) + """,
+    return f"WITH RECURSIVE {CHUNKS}, " + dedup(best + vectors + cand) + """,
 m AS (SELECT l.lead AS pos, arg_min(l.seq, l.pos) AS seq, arg_max(k.keyword_score, l.pos) FILTER (k.keyword_score IS NOT NULL) AS keyword_score,
   arg_max(k.vector_score, l.pos) FILTER (k.vector_score IS NOT NULL) AS vector_score FROM led l JOIN cand k USING (pos) GROUP BY 1),
 r AS (SELECT *, CASE WHEN keyword_score IS NOT NULL THEN row_number() OVER (PARTITION BY keyword_score IS NULL ORDER BY keyword_score DESC, pos) END AS keyword_rank,
@@ -232,14 +232,14 @@ _TOLD = "content || chr(10) || '---' || chr(10) || '[' || array_to_string(path,
 ORACLE = {
     "index_build": f"""WITH {_SECTIONS}, n AS (SELECT count(*) AS n FROM sections)
 SELECT run, status, version, n AS parents, n AS children, true AS kept FROM n, (VALUES (1::BIGINT, 'completed', 1::BIGINT), (2, 'skipped', 1), (3, 'completed', 2)) r(run, status, version)""",
-    "index_chunks": f"""WITH {_CHUNKS}
+    "index_chunks": f"""WITH {CHUNKS}
 SELECT parent_id AS chunk_id, NULL::VARCHAR AS parent_id, 'parent' AS chunk_type, source, array_to_string(path, ' > ') AS path, coalesce(head, brand) AS title, 0::INTEGER AS ordinal, content_hash,
   NULL::VARCHAR AS prev_chunk_id, NULL::VARCHAR AS next_chunk_id, NULL::VARCHAR AS embedding_md5, NULL::DOUBLE AS letters, CAST(2 * k AS BIGINT) AS place FROM chunks
 UNION ALL SELECT chunk_id, parent_id, 'child', source, array_to_string(path, ' > '), coalesce(head, brand), 1, content_hash, NULL, NULL, md5(told), list_sum({letters("lower(told)")}), CAST(2 * k + 1 AS BIGINT) FROM chunks""",
     "index_info": f"""WITH {_SECTIONS}, d AS (SELECT r_regionkey AS k, replace(r_name, ' ', '_') AS domain FROM region), s AS (SELECT doc % 5 AS k, 2 * count(*) AS chunks, count(DISTINCT doc) AS sources FROM sections GROUP BY 1)
 SELECT domain, k % 2 = 1 AS indexed, CASE WHEN k % 2 = 1 THEN chunks END AS chunks, CASE WHEN k % 2 = 1 THEN sources END AS sources, CASE WHEN k % 2 = 1 THEN 1::BIGINT END AS version,
   CASE WHEN k % 2 = 1 THEN 'ok' ELSE 'unindexed' END AS state, 'degraded' AS status FROM d LEFT JOIN s USING (k)""",
-    "search_keyword_simple": f"WITH {_CHUNKS}, " + keyword("chunks", "seq", "content", QUESTION, TOP, where="doc < 20").removeprefix("WITH ")
+    "search_keyword_simple": f"WITH {CHUNKS}, " + keyword("chunks", "seq", "content", QUESTION, TOP, where="doc < 20").removeprefix("WITH ")
     + f" SELECT best.rank, {_SHOWN.replace('content', 'chunks.content')}, best.rank AS citation_index, keyword_score AS score, keyword_score FROM best JOIN chunks USING (seq)",
     "search_hybrid": _HYBRID + f""" SELECT ff.rank, {_SHOWN}, ff.rank AS citation_index, coalesce(keyword_score, rrf_score) AS score, keyword_score, vector_score, rrf_score, CAST(NULL AS DOUBLE) AS rerank_score
 FROM ff JOIN chunks USING (seq) WHERE ff.rank <= {TOP}""",
