@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorequarry.catalogue import CHUNKS, LetterEmbedder, documents, engine, indexed
+from lorequarry.catalogue import CHUNKS, LetterEmbedder, documents, engine, indexed, letters
 from lorequarry.functions import markdown as M
 from lorequarry.functions import text as T
 from lorequarry.functions.arrow import arrow_function
+from lorequarry.operators import chunking
 from lorequarry.operators.elements import ELEMENT
 from lorequarry.oracle import strip
 from lorequarry.plans.vectors import payload
@@ -105,9 +106,47 @@ def ocr_elements(spark, sf_dir):
     return made.select("conv_id", F.col("e.idx").cast("long").alias("idx"), "e.type", F.md5(F.col("e.text").cast("binary")).alias("text_md5"), F.col("e.page").cast("long").alias("page"), "e.level", F.size("e.heading_path").cast("long").alias("depth"))
 
 
-QUERIES = {f.__name__: f for f in (path_parts, range_places, table_markdown, point_payload, index_retention, ocr_elements)}
+ALIKE = 0.9
+
+
+def semantic_budget(spark, sf_dir):
+    """Parts of one size as a text of sentences, every fifth of other letters, and tables: chunks by similarity of letters, by
+    the budget of 350, without runs below 80, with an overlap of up to 40. Tables are protected."""
+    key = F.col("p_partkey")
+    said = F.when(key % 5 == 0, F.format_string("zq jx %d zzz!", key)).otherwise(F.format_string("The %s of type %s has number %d!", "p_name", "p_type", key))
+    block = F.when(key % 7 == 3, F.format_string("\n| %s | %s |\n| %d | x |\n", "p_name", "p_type", key)).otherwise(said)
+    texts = load(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, block.alias("b")))), lambda x: x["b"]), "").alias("raw_text"))
+    parents = chunking.parent_chunks(texts.select(F.concat(F.col("seq").cast("string"), F.lit(".md")).alias("source"), "raw_text", "seq"))
+    children = chunking.child_chunks(parents, LetterEmbedder(), threshold=ALIKE)
+    return children.select(F.col("seq").alias("p_size"), F.col("ordinal").cast("long").alias("ordinal"), F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+QUERIES = {f.__name__: f for f in (semantic_budget, path_parts, range_places, table_markdown, point_payload, index_retention, ocr_elements)}
+
+_COSINE = "list_dot_product(e[i], e[i + 1]) / (sqrt(list_dot_product(e[i], e[i])) * sqrt(list_dot_product(e[i + 1], e[i + 1])) + 1e-8)"
 
 ORACLE = {
+    "semantic_budget": f"""WITH RECURSIVE p AS (SELECT CAST(p_size AS BIGINT) AS doc, p_partkey AS k, p_partkey % 7 = 3 AS tab, CASE WHEN p_partkey % 7 = 3 THEN '| ' || p_name || ' | ' || p_type || ' |' || chr(10) || '| ' || p_partkey || ' | x |'
+  WHEN p_partkey % 5 = 0 THEN 'zq jx ' || p_partkey || ' zzz!' ELSE 'The ' || p_name || ' of type ' || p_type || ' has number ' || p_partkey || '!' END AS u FROM part),
+b AS (SELECT doc, trim(string_agg(CASE WHEN tab THEN chr(10) || u || chr(10) ELSE u END, '' ORDER BY k), chr(10)) AS content, list(u ORDER BY k) AS us FROM p GROUP BY doc),
+y AS (SELECT doc, us, list_transform(us, lambda u: length(u)) AS n, list_transform(us, lambda u: {letters("lower(u)")}) AS e FROM b WHERE length(content) > 350),
+x AS MATERIALIZED (SELECT doc, us, n, list_transform(range(0, len(us) + 1), lambda i: CAST(coalesce(list_sum(n[1:i]), 0) AS BIGINT)) AS tot, list_transform(range(1, len(us)), lambda i: {_COSINE}) AS alike FROM y),
+g AS (SELECT doc, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS first, []::BIGINT[] AS ends FROM x
+  UNION ALL SELECT doc, i + 1, CASE WHEN first IS NULL THEN i WHEN n[i + 1] >= 350 THEN NULL WHEN tot[i + 2] - tot[first + 1] > 350 OR alike[i] < {ALIKE} THEN i ELSE first END,
+    CASE WHEN first IS NULL THEN ends WHEN n[i + 1] >= 350 THEN list_concat(ends, [i, i + 1]) WHEN tot[i + 2] - tot[first + 1] > 350 OR alike[i] < {ALIKE} THEN list_append(ends, i) ELSE ends END
+  FROM g JOIN x USING (doc) WHERE i < len(us)),
+runs AS MATERIALIZED (SELECT doc, CASE WHEN first IS NULL THEN ends ELSE list_append(ends, i) END AS ends FROM g JOIN x USING (doc) WHERE i = len(us)),
+m AS (SELECT doc, CAST(0 AS BIGINT) AS k, [0]::BIGINT[] AS bounds FROM runs
+  UNION ALL SELECT doc, k + 1, CASE
+    WHEN len(ends) > 1 AND tot[ends[k + 1] + 1] - tot[bounds[-1] + 1] < 80 AND len(bounds) > 1 AND tot[ends[k + 1] + 1] - tot[bounds[-2] + 1] <= 350 THEN list_append(bounds[1:len(bounds) - 1], ends[k + 1])
+    WHEN NOT (len(ends) > 1 AND tot[ends[k + 1] + 1] - tot[bounds[-1] + 1] < 80) OR k + 1 = len(ends) OR tot[ends[k + 2] + 1] - tot[bounds[-1] + 1] > 350 THEN list_append(bounds, ends[k + 1])
+    ELSE bounds END
+  FROM m JOIN runs USING (doc) JOIN x USING (doc) WHERE k < len(ends)),
+o AS (SELECT doc, bounds, unnest(range(1, len(bounds))) AS j FROM m JOIN runs USING (doc) WHERE k = len(ends)),
+cut AS (SELECT doc, j, us, tot, bounds[j] AS a, bounds[j + 1] AS z, bounds[greatest(j - 1, 1)] AS low FROM o JOIN x USING (doc)),
+said AS (SELECT doc, j, array_to_string(us[coalesce(list_min(list_filter(range(low, a + 1), lambda s: tot[a + 1] - tot[s + 1] <= 40 AND tot[z + 1] - tot[s + 1] <= 350)), a) + 1:z], '') AS content FROM cut
+  UNION ALL SELECT doc, 1, content FROM b WHERE length(content) <= 350)
+SELECT doc AS p_size, CAST(j AS BIGINT) AS ordinal, length(content) AS n_chars, md5(content) AS content_md5 FROM said""",
     "path_parts": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'README' WHEN 1 THEN p_name || '.v1' ELSE 'index' END AS stem,
   CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' > ' || p_name || '.v1' ELSE p_brand || ' > ' || p_name END AS fallback FROM part""",
     "range_places": """WITH r AS (SELECT s_suppkey, unnest([struct_pack(k := 1, s := s_suppkey % 10, e := s_suppkey % 10 + s_suppkey % 4), struct_pack(k := 2, s := s_suppkey % 50 + 5, e := s_suppkey % 50 + 20)]) AS r FROM supplier),
