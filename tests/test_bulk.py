@@ -88,3 +88,23 @@ def test_a_failed_batch_leaves_nothing(spark, bulk, monkeypatch):
     with pytest.raises(OSError, match="lost"):
         bulk.ingest(uploads(spark, ("b.md", f"# B\n\n{LONG}".encode(), "kb")), 2)
     assert bulk.log.state().count() == 1
+
+
+def test_of_equal_uploads_at_once_one_stays(bulk, monkeypatch):
+    from lorequarry.plans.ingest import Ingestion
+
+    one, other = (Ingestion(bulk.spark, bulk.settings) for _ in range(2))
+    create = one.store.create
+
+    def beaten(name, text):  # the other upload ends between the look and the record of this one
+        one.store.create = create
+        beaten.first = other.accept("b.md", b"text", "kb")
+        return create(name, text)
+
+    one.store.create = beaten
+    late = one.accept("a.md", b"text", "kb")
+    assert late["duplicate"] and late["document_id"] == beaten.first["document_id"]
+    assert [r["source_filename"] for r in one.documents().collect()] == ["b.md"] and len(one.store.names("raw")) == 1
+    one.delete(late["document_id"])
+    again = one.accept("c.md", b"text", "kb")
+    assert not again["duplicate"] and again["document_id"] != late["document_id"] and other.accept("d.md", b"text", "kb")["document_id"] == again["document_id"]
