@@ -5,16 +5,21 @@ is first folded, so that neighbouring equal runs become one repeated group. Wrap
 two at a time: equal items stay, text slots meet in a slot, repeated groups meet in a repeated group
 whose inside is aligned in turn, and whatever only one side has becomes optional, or repeated where it
 folds into the group before it. There are no alternatives, hence union-free. Distinct folded streams of
-a host are aligned in a tree: some FAN of them become one wrapper in each task of a round, and rounds go
-on until every host has one. So a hot host with very many layouts is dealt to very many tasks.
+a host are aligned in a tree: some FAN of them are aligned in each task of a round, and rounds go
+on until a host has few. So a hot host with very many layouts is dealt to very many tasks.
 
-The wrapper of a host says where its article is: every symbol of a page has a place in the wrapper, by the wrapper as a
+A wrapper holds WRAPPER_SYMBOLS symbols at most, or one layout. Layouts that do not fit in it are not left out, but become
+further wrappers of their host in the same way, until every layout is in one. Rounds end when all wrappers of a
+host are in one task, or when all pairs of them have met in some task and none fits with another. A page is read with the wrapper
+that its layout is in: on hosts of one wrapper that one, else by a join of the pages' layouts.
+
+The wrapper of a page says where its article is: every symbol of a page has a place in the wrapper, by the wrapper as a
 regular expression over tokens, and the texts inside the region are the article. The region is what the wrapper has as
-article, else as main part. A host without such elements has the region that varies: the texts of a slot vary if two
+article, else as main part. A wrapper without such elements has the region that varies: the texts of a slot vary if two
 pages have different ones, and from the root on the region is the container that holds more than half of the characters
 in varying slots outside of menus, scripts and the like, as long as it is no block of text itself and no repeated one.
-Names of classes have no part in that. Where nothing varies, as on a host of one page, and on pages whose layout
-the wrapper does not have, the page's own article, main part or body is read.
+Names of classes have no part in that. Where nothing varies, as on a host of one page, the page's own article, main part or
+body is read.
 
 Inside an article or region only elements are left out that are not text of it by their tag, role or whole class name
 (scripts, forms, menus, adverts, comments of readers); nothing is left out for being the same on other pages. Where
@@ -24,7 +29,7 @@ Defined results: null, empty and text-only pages have an empty wrapper; a page w
 main or body is read as a whole; a very long page is read whole, and runs of any width are folded; a null
 or unparsable url is a host of its own (empty); repeated rows are read each; the layouts of a host are aligned from the
 most frequent on, then the longest, then by their texts, and one that would bring the wrapper beyond WRAPPER_SYMBOLS
-symbols is left out of it, so that odd layouts take nothing from the others; extra columns are ignored;
+symbols goes to a later wrapper, so that odd layouts take nothing from the others; extra columns are ignored;
 an empty table gives an empty result.
 """
 
@@ -325,18 +330,33 @@ def read(text: str) -> tuple:
     return tuple(stack[0][1])
 
 
-def infer(layouts: list[str], pages: list[int] | None = None) -> str:
-    """One wrapper for the layouts of a host, each of which so many pages have."""
+def inferred(layouts: list[str], pages: list[int] | None = None) -> dict[str, str]:
+    """The wrapper of each layout of a host. So many pages have each; what does not fit in a wrapper makes the next ones."""
     times: Counter[str] = Counter()
     for x, n in zip(layouts, pages or [1] * len(layouts), strict=True):
         times[x] += n
-    out: tuple = ()
-    for x in sorted(times, key=lambda s: (-times[s], -len(s), s)):
-        one = read(x)
-        both = fold(align(out, one)) if out and one else out or one
-        if not out or sum(1 for _ in flat(both)) <= WRAPPER_SYMBOLS:
-            out = both
-    return show(out)
+    out: dict[str, str] = {}
+    rest = sorted(times, key=lambda s: (-times[s], -len(s), s))
+    while rest:
+        wrapper: tuple = ()
+        members: list[str] = []
+        others: list[str] = []
+        for x in rest:
+            one = read(x)
+            both = fold(align(wrapper, one)) if wrapper and one else wrapper or one
+            if not wrapper or sum(1 for _ in flat(both)) <= WRAPPER_SYMBOLS:
+                wrapper = both
+                members.append(x)
+            else:
+                others.append(x)
+        out |= dict.fromkeys(members, show(wrapper))
+        rest = others
+    return out
+
+
+def infer(layouts: list[str], pages: list[int] | None = None) -> str:
+    """The first wrapper of the layouts of a host, each of which so many pages have."""
+    return next(iter(inferred(layouts, pages).values()), "")
 
 
 # ---- reading a page --------------------------------------------------------------------------
@@ -574,16 +594,42 @@ def text_digest(text: str) -> int:
     return digest(_SPACE.sub(" ", text).strip())
 
 
+def layout_key(layout: str) -> str:
+    return hashlib.sha256(layout.encode()).hexdigest()  # as sha2 of Spark has it
+
+
+def with_wrappers(pages: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """Pages (host, html and others) joined with the rows of their wrappers. known: one row for each host, or, with a column
+    layout that is not null there, one for each layout of a host that has several wrappers."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [layout_key(show(skeleton(well_formed(tokens(h or ""))))) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, "layout"])
+
+    if "layout" not in known.columns:
+        return pages.join(known, "host", how)
+    several = known.where("layout IS NOT NULL")
+    one = known.where("layout IS NULL").drop("layout")
+    if several.isEmpty():
+        return pages.join(one, "host", how)
+    hosts = several.select("host").distinct()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema) + ", layout string"
+    theirs = pages.join(hosts, "host", "left_semi").select(*pages.columns).mapInArrow(keyed, schema)
+    return pages.join(hosts, "host", "left_anti").join(one, "host", how).unionByName(theirs.join(several, ["host", "layout"], how).drop("layout"))
+
+
 def variation(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """host and slots (slot, chars): the text slots of its wrapper in which two pages have different texts, and how many
-    characters all pages have there. known: host and wrapper.
+    """host, part and slots (slot, chars): the text slots of a wrapper in which two of its pages have different texts, and how
+    many characters all its pages have there. known: host and wrapper, and layout as in with_wrappers(); part is the wrapper's
+    hash.
 
     Different texts have different digests, of which the least and the largest are told on: sums of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met: dict[tuple[str, int], list[int]] = {}
-            for host, html, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            met: dict[tuple[str, str, int], list[int]] = {}
+            for host, part, html, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 stream = well_formed(tokens(html or ""))
                 states = Wrapper(wrapper).slots(stream)
                 own: dict[int, list[str]] = {}  # a slot of a repeated group has several texts on one page
@@ -591,63 +637,106 @@ def variation(pages: DataFrame, known: DataFrame) -> DataFrame:
                     own.setdefault(states[k], []).append(stream[k][1])
                 for slot, texts in own.items():
                     d, n = text_digest("\n".join(texts)), sum(map(len, texts))
-                    one = met.setdefault((host, slot), [d, d, 0])
-                    met[host, slot] = [min(one[0], d), max(one[1], d), one[2] + n]
-            columns = [h for h, _ in met], [s for _, s in met], *([v[k] for v in met.values()] for k in range(3))
-            types = pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "slot", "low", "high", "chars"])
+                    one = met.setdefault((host, part, slot), [d, d, 0])
+                    met[host, part, slot] = [min(one[0], d), max(one[1], d), one[2] + n]
+            columns = *([m[k] for m in met] for k in range(3)), *([v[k] for v in met.values()] for k in range(3))
+            types = pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
+            names = ["host", "part", "slot", "low", "high", "chars"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    rows = spread(pages.select(host_of(F.col("url")).alias("host"), "html")).join(known, "host").select("host", "html", "wrapper")
-    each = rows.mapInArrow(run, "host string, slot int, low long, high long, chars long")
-    sums = each.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars")).where("low <> high")
-    return sums.groupBy("host").agg(F.collect_list(F.struct("slot", "chars")).alias("slots"))
+    texts = spread(pages.select(host_of(F.col("url")).alias("host"), "html"))
+    rows = with_wrappers(texts, known.withColumn("part", F.sha2("wrapper", 256)), "inner").select("host", "part", "html", "wrapper")
+    each = rows.mapInArrow(run, "host string, part string, slot int, low long, high long, chars long")
+    sums = each.groupBy("host", "part", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars")).where("low <> high")
+    return sums.groupBy("host", "part").agg(F.collect_list(F.struct("slot", "chars")).alias("slots"))
 
 
 REGIONS = "array<struct<low:int,high:int>>"
 
 
+def merged(group: pa.Table) -> pa.Table:
+    """Each of some layouts of a host, as its hash, with the wrapper that it goes into there."""
+    layouts, times = group["layout"].to_pylist(), group["n"].to_pylist()
+    into = inferred(layouts, times)
+    columns = group["host"], pa.array(map(layout_key, layouts), pa.string()), pa.array([into[x] for x in layouts], pa.string()), group["n"]
+    return pa.table(dict(zip(("host", "key", "layout", "n"), columns, strict=True)))
+
+
+def grouped(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """host, wrapper and part (the wrapper's hash) of all hosts; and host, layout (a hash) and part of every layout of
+    the hosts that have several wrappers, if there are any. found: host, layout, n.
+
+    In a round every task has two blocks of the wrappers of a host, or all of them if they are few. With an unchanged
+    number of blocks any two of them meet within as many rounds."""
+    steps: list[DataFrame] = []
+    blocks = idle = at = 0
+    while True:
+        most, before = found.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        count = -(-2 * (most or 0) // FAN) if (most or 0) > FAN else 1
+        idle, blocks, at = (idle if count == blocks else 0), count, at + 1
+        block = F.pmod(F.xxhash64("layout"), F.lit(count))
+        part = F.least(block, F.pmod(F.lit(at) - block, F.lit(count)))
+        step = scratch.written(found.withColumn("part", part).groupBy("host", "part").applyInArrow(merged, "host string, key string, layout string, n long"), "steps")
+        after = scratch.written(step.groupBy("host", "layout").agg(F.sum("n").alias("n")), "layouts")
+        fewer = after.count() < (before or 0)
+        idle = 0 if fewer else idle + 1
+        if fewer or not steps:
+            steps.append(step)
+            found = after
+        else:
+            scratch.drop(after)
+            scratch.drop(step)
+        if count == 1 or idle >= count:
+            break
+    known = found.select("host", F.col("layout").alias("wrapper"), F.sha2("layout", 256).alias("part"))
+    several = scratch.written(known.groupBy("host").agg(F.count("*").alias("n")).where("n > 1").select("host"), "several")
+    if several.isEmpty():
+        return known, None
+    into = [x.join(several, "host", "left_semi").select("host", "key", F.sha2("layout", 256).alias("into")) for x in steps]
+    layouts = into[0].withColumnsRenamed({"key": "layout", "into": "part"})
+    for x in into[1:]:
+        layouts = layouts.join(x.withColumnRenamed("key", "part"), ["host", "part"]).select("host", "layout", F.col("into").alias("part"))
+    return known, scratch.written(layouts, "members")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper and regions, its state ranges that are article; pages: url, html."""
+    """host, layout, wrapper and regions, its state ranges that are article; pages: url, html. One row for each host, with a
+    null as layout, or one for each layout (its hash) of a host that has several wrappers."""
 
     def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shown = [show(skeleton(well_formed(tokens(h or "")))) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string())], ["host", "layout"])
 
-    def merged(group: pa.Table) -> pa.Table:
-        times = group["n"].to_pylist()
-        return pa.table({"host": group["host"][:1], "layout": pa.array([infer(group["layout"].to_pylist(), times)], pa.string()), "n": pa.array([sum(times)], pa.int64())})
-
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bool(Wrapper(w).landmarks()) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], ["host", "wrapper", "landmarks"])
+            found = [bool(Wrapper(w).landmarks()) for w in batch.column("wrapper").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], [*batch.schema.names, "landmarks"])
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            rows = zip(batch.column("wrapper").to_pylist(), batch.column("slots").to_pylist(), strict=True)
             ranges = [Wrapper(w).landmarks() or Wrapper(w).varying({x["slot"]: x["chars"] for x in slots or ()}) for w, slots in rows]
             kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[{"low": a, "high": b} for a, b in r] for r in ranges], kind)], ["host", "wrapper", "regions"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([[{"low": a, "high": b} for a, b in r] for r in ranges], kind)], [*batch.schema.names[:3], "regions"])
 
-    shape = "host string, layout string, n long"
     with Scratch(pages.sparkSession, "wrappers") as scratch:
         each = spread(pages.select(host_of(F.col("url")).alias("host"), "html")).mapInArrow(layouts, "host string, layout string")
-        found = scratch.written(each.groupBy("host", "layout").agg(F.count("*").alias("n")), "layouts")
-        while (most := found.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > FAN:
-            part = F.pmod(F.xxhash64("layout"), F.lit(-(-most // FAN)))
-            dealt = found.withColumn("part", part).groupBy("host", "part").applyInArrow(merged, shape)
-            found = scratch.written(dealt.groupBy("host", "layout").agg(F.sum("n").alias("n")), "layouts")
-        whole = found.groupBy("host").applyInArrow(merged, shape).select("host", F.col("layout").alias("wrapper"))
-        known = scratch.written(whole.mapInArrow(marked, "host string, wrapper string, landmarks boolean"), "known")
-        # the pages are read once more only for hosts whose wrapper does not say by itself where the article is
-        open_hosts = known.where("NOT landmarks").select("host", "wrapper")
-        told = known.select("host", "wrapper").join(scratch.written(variation(pages, open_hosts), "variation"), "host", "left")
-        return scratch.result(told.select("host", "wrapper", "slots").mapInArrow(located, f"host string, wrapper string, regions {REGIONS}"))
+        found, members = grouped(scratch.written(each.groupBy("host", "layout").agg(F.count("*").alias("n")), "layouts"), scratch)
+        known = scratch.written(found.mapInArrow(marked, "host string, wrapper string, part string, landmarks boolean"), "known")
+
+        def by_layout(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("layout", F.lit(None).cast("string")) if members is None else rows.join(members, ["host", "part"], "left")
+
+        # the pages are read once more only for wrappers that do not say by themselves where the article is
+        varied = scratch.written(variation(pages, by_layout(known.where("NOT landmarks")).select("host", "layout", "wrapper")), "variation")
+        told = known.join(varied, ["host", "part"], "left").select("host", "wrapper", "part", "slots")
+        regions = told.mapInArrow(located, f"host string, wrapper string, part string, regions {REGIONS}")
+        return scratch.result(by_layout(regions).select("host", "layout", "wrapper", "regions"))
 
 
 def extracted(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page. known: host, wrapper and regions, one row for each host."""
+    """page_id, url, text, n_chars of every page. known: the rows of wrappers()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -659,7 +748,7 @@ def extracted(pages: DataFrame, known: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper", "regions").mapInArrow(run, SCHEMA)
+    return with_wrappers(rows, known, "left").select("page_id", "url", "html", "wrapper", "regions").mapInArrow(run, SCHEMA)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -210,3 +210,36 @@ def test_a_very_long_page(spark):
     long = "<article>" + "".join(f"<p>paragraph {k}</p>" for k in range(20_000)) + "</article>"
     frame = spark.createDataFrame([(1, "http://l.org", long)], "page_id long, url string, html string")
     assert W.main_texts(frame).first()["text"] == " ".join(f"paragraph {k}" for k in range(20_000))
+
+
+def templates(n: int, pages: int, parts: int = 450) -> list[tuple[str, str]]:
+    """Pages of one host without telling elements or names, with their texts. Any two of the n templates are too long for one wrapper."""
+    out = []
+    for t in range(n):
+        rng = random.Random(100 + t)
+        menu = "".join(f"<{tag}>menu</{tag}>" for tag in (rng.choice(["h2", "h3", "h4", "h5", "pre", "dl", "ul", "ol"]) for _ in range(parts)))
+        for k in range(pages):
+            own = [f"title {t} {k}", *(f"own text {t} {k} {j}" for j in range(3))]
+            body = f"<h1>{own[0]}</h1>" + "".join(f"<p>{x}</p>" for x in own[1:])
+            out.append((f"<html><body><div><p>{t}</p>{menu}</div><div>{body}</div></body></html>", " ".join(own)))
+    return out
+
+
+def test_every_layout_is_in_a_wrapper():
+    layouts = [shown(p) for p, _ in templates(3, 1)]
+    into = W.inferred(layouts)
+    assert len(set(into.values())) == 3 and set(into) == set(layouts)
+    assert all(W.Wrapper(into[x]).matches(W.read(x)) for x in layouts) and into[max(layouts)] == max(layouts)
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_what_does_not_fit_in_a_wrapper_gets_another(spark, monkeypatch, fan):
+    """No page is read by itself for being beyond the symbols of one wrapper, nor where no task has all wrappers of a host."""
+    monkeypatch.setattr(W, "FAN", fan)
+    rows = [(p, text) for p, text in templates(4, 3)]
+    frame = spark.createDataFrame([(k, f"http://a.com/{k}", p) for k, (p, _) in enumerate(rows)] + [(99, "http://b.com", "<p>b</p>")], "page_id long, url string, html string").repartition(3)
+    found = W.main_texts(frame).collect()
+    assert sorted(r["page_id"] for r in found) == [*range(len(rows)), 99]
+    got = {r["page_id"]: r["text"] for r in found}
+    assert got.pop(99) == "b" and got == {k: text for k, (_, text) in enumerate(rows)}
+    assert not any(W.extract(p, "") == text for p, text in rows)
