@@ -7,7 +7,8 @@ language: each weighs the same whatever its length, but for short ones, so that
 that a limit has such a part; below a minimum of items, and for a language with a reference of few words, a document
 is not judged by it. Base rules (too few words, too many repeated windows of words) go first.
 
-Counts of one text are arrays of that text alone: nothing is exploded or shuffled for them. Words are counted once for
+Counts of one text are arrays of that text alone: nothing is exploded or shuffled for them. A word is looked up among the
+common ones that share its hash only. Words are counted once for
 the references, aggregated before they are dealt. References are broadcast only where there are few languages.
 
 Defined results: a null text is an empty one, without words, and fails the base rules; a null language is a language of
@@ -44,6 +45,7 @@ LEAST_JUDGED = 30  # words
 LEAST_REFERENCE = 2000  # words of a language
 WEIGHT = 1_000_000  # of a document in its reference, dealt to its words and characters in whole numbers
 
+BUCKETS = 64  # lists by hash in which a common word is looked up
 BROADCAST_LANGUAGES = 10_000  # beyond it references are joined by a shuffle
 
 
@@ -80,7 +82,7 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
 
     def places(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         twice = lambda s: F.filter(s, lambda e, k: e["h"].eqNullSafe(F.get(s, k - 1)["h"]) | e["h"].eqNullSafe(F.get(s, k + 1)["h"]))
         return F.sort_array(F.transform(let(pairs, twice), lambda e: e["i"]))
 
@@ -109,7 +111,7 @@ def measured(rows: DataFrame) -> DataFrame:
     """The base rules' counts, classes, and how often common words occur, of rows of _texts() with their common words."""
     of_words = let(
         words_of(F.col("text")),
-        lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"), F.when(F.size(w) >= LEAST_JUDGED, common_counts(w, F.col("common"))).alias("common")),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"), F.when(F.size(w) >= LEAST_JUDGED, common_counts(w, F.col("common"), F.col("buckets"))).alias("common")),
     )
     symbols = [n for n, _ in CLASSES].index("symbol")
     counts = {
@@ -121,12 +123,12 @@ def measured(rows: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """lang, class_share, common, common_share (one more than common: all other words), of languages with
-    LEAST_REFERENCE words and more."""
+    """lang, class_share, common, buckets (the common words again, in lists by hash), common_share (one more than common: all
+    other words), of languages with LEAST_REFERENCE words and more."""
     rows = _texts(docs)
     weight = lambda n, least: F.floor(WEIGHT / F.greatest(n, F.lit(least))).cast("long")
     words = rows.select("lang", words_of(F.col("text")).alias("words")).select("lang", weight(F.size("words"), LEAST_JUDGED).alias("weight"), F.explode("words").alias("word"))
-    short = F.when(F.rlike("word", F.lit(rf"^\p{{L}}{{1,{COMMON_CHARS}}}$")), F.col("word")).alias("word")
+    short = F.when((F.length("word") <= COMMON_CHARS) & F.rlike("word", F.lit(rf"^\p{{L}}{{1,{COMMON_CHARS}}}$")), F.col("word")).alias("word")
     counts = scratch.written(words.groupBy("lang", short).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("weight").alias("total")).where(F.col("n") >= LEAST_REFERENCE).drop("n")
     order = Window.partitionBy("lang").orderBy(F.desc("weight"), "word")
@@ -139,7 +141,7 @@ def references(docs: DataFrame, scratch: Scratch) -> DataFrame:
     all_chars = sum((F.col(f"c{k}") for k in range(1, n)), F.col("c0"))
     shares = F.concat(F.transform("top.weight", lambda x: x / F.col("total")), F.array((F.col("total") - F.col("known")) / F.col("total")))
     joined = totals.join(lists, "lang").join(sums, "lang")
-    return joined.select("lang", F.transform(chars, lambda x: x / all_chars).alias("class_share"), F.col("top.word").alias("common"), shares.alias("common_share"))
+    return joined.select("lang", F.transform(chars, lambda x: x / all_chars).alias("class_share"), F.col("top.word").alias("common"), in_buckets(F.col("top.word")).alias("buckets"), shares.alias("common_share"))
 
 
 def _parts(p: Column, r: Column) -> Column:
@@ -165,16 +167,27 @@ def distance(counts: Column, share: Column) -> Column:
     return _root(let(counts, of))
 
 
-def common_counts(words: Column, common: Column) -> Column:
-    """place, n: how often each common word stands among words, and all other words as place 0. Places of words are
-    sorted, which is cheap for numbers, and counted by the ends of their runs."""
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def in_buckets(common: Column) -> Column:
+    """The common words of each bucket."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.filter(common, lambda w: bucket(w) == b))
+
+
+def common_counts(words: Column, common: Column, buckets: Column) -> Column:
+    """place, n: all words but common ones as place 0, and how often each common word stands among words. Places of common
+    words are sorted, which is cheap for numbers, and counted by the ends of their runs."""
 
     def runs(s: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i)))
+        ends = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i > 0) & ((i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i))))
         one = lambda e, at: F.struct(F.get(s, e - 1).alias("place"), (e - F.coalesce(at, F.lit(0))).cast("long").alias("n"))
-        return let(ends, lambda es: F.transform(es, lambda e, j: one(e, F.get(es, j - 1))))
+        others = F.struct(F.lit(0).cast("long").alias("place"), (F.size(words) - F.size(s)).cast("long").alias("n"))
+        return F.concat(F.array(others), let(ends, lambda es: F.transform(es, lambda e, j: one(e, F.get(es, j - 1)))))
 
-    return let(F.sort_array(F.transform(words, lambda w: F.array_position(common, w))), runs)
+    met = F.filter(words, lambda w: (F.length(w) <= COMMON_CHARS) & F.array_contains(F.get(buckets, bucket(w)), w))
+    return let(F.sort_array(F.transform(met, lambda w: F.array_position(common, w))), runs)
 
 
 def common_distance(found: Column, n_words: Column, share: Column) -> Column:
@@ -204,4 +217,4 @@ def judged(docs: DataFrame) -> DataFrame:
     }
     fails = F.col("class_distance") > _limit(CLASS_LIMIT, n_chars), F.col("word_distance") > _limit(WORD_LIMIT, n_words)
     far = F.coalesce(fails[0], F.lit(False)) | F.coalesce(fails[1], F.lit(False))
-    return rows.withColumns(distances).withColumn("kept", ~F.col("base_failed") & ~far).drop("class_share", "common", "common_share", "classes", "found")
+    return rows.withColumns(distances).withColumn("kept", ~F.col("base_failed") & ~far).drop("class_share", "common", "buckets", "common_share", "classes", "found")

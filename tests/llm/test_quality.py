@@ -141,3 +141,18 @@ def test_empty_table(spark):
 def test_let_computes_once(spark):
     twice = spark.range(1).select(quality.let(F.rand(), lambda x: x - x).alias("zero"))
     assert twice.first().zero == 0.0
+
+
+def test_common_words_are_looked_up_in_short_lists(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with quality.Scratch(spark, "test") as scratch:
+        found = quality.references(docs, scratch).collect()
+        assert found and all(sorted(w for b in r.buckets for w in b) == sorted(r.common) and max(map(len, r.buckets)) < len(r.common) / 2 for r in found)
+    (ref,) = (r for r in found if r.lang == "en")
+    texts = ["", " ".join(ref.common * 2 + ["z", "Zebra", "zebras"]), "no common0 word_", " ".join(ref.common[:1] * 3), *(prose(k, 200) for k in range(3))]
+    frame = spark.createDataFrame([(k, t, ref.common, ref.buckets) for k, t in enumerate(texts)], "k int, text string, common array<string>, buckets array<array<string>>")
+    counted = quality.common_counts(quality.words_of(F.col("text")), F.col("common"), F.col("buckets"))
+    for r in frame.select("text", counted.alias("found")).collect():
+        words = Counter(WORD.findall(r.text))
+        want = {k + 1: words[w] for k, w in enumerate(ref.common) if words[w]}
+        assert [(e.place, e.n) for e in r.found] == [(0, sum(words.values()) - sum(want.values())), *sorted(want.items())]
