@@ -726,7 +726,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
         known = scratch.written(found.mapInArrow(marked, "host string, wrapper string, part string, landmarks boolean"), "known")
 
         def by_layout(rows: DataFrame) -> DataFrame:
-            return rows.withColumn("layout", F.lit(None).cast("string")) if members is None else rows.join(members, ["host", "part"], "left")
+            if members is None:
+                return rows.withColumn("layout", F.lit(None).cast("string"))
+            # as a table of known size: if it is small, it is broadcast, and pages of one layout are not all in one task
+            return scratch.written(rows.join(members, ["host", "part"], "left"), "by-layout")
 
         # the pages are read once more only for wrappers that do not say by themselves where the article is
         varied = scratch.written(variation(pages, by_layout(known.where("NOT landmarks")).select("host", "layout", "wrapper")), "variation")
