@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 FUNCTION_CHARACTERS = "的是了什么呢吗啊呀与和或这那在有不"
 SENTENCE = r"[^。！？!?]+(?:[。！？!?]|$)"
 QUOTE_ENDS = " 。！？，\n"
+# The white space that strip() takes off, for Python's strip.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 CODE = re.compile(r"\b[A-Z][A-Z_]{2,}[A-Z]\b")
 IDEOGRAPHS = r"[一-鿿]{3,5}"
