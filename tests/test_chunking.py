@@ -181,3 +181,21 @@ def test_texts_are_cut_once(spark):
     frame = spark.createDataFrame([("a.md", DOC, 1)], "source string, raw_text string, seq bigint")
     plan = C.child_chunks(C.parent_chunks(frame), V.HashingEmbedder(16))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [parse(") == 1 and plan.count("ArrowEvalPython [cut(") == 2
+
+
+def test_one_document_of_many_sections(spark):
+    """Paths, texts and chunks come from one pass: before, each section went over all headings of its document."""
+    text = "# Top\n\n" + "".join(f"## Part {k}\n\nsmall part of size {k % 9}\n\n### Sub\n\nmore of it\n\n" for k in range(6000))
+    frame = spark.createDataFrame([("a.md", text, 1)], "source string, raw_text string, seq bigint")
+    rows = C.build_chunks(frame, V.HashingEmbedder(16))
+    assert seconds_of(rows) < 60
+    n = rows.groupBy("chunk_type").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("seqs"), F.count_distinct(F.array_join("heading_path", ">")).alias("paths")).collect()
+    assert sorted(tuple(r) for r in n) == [("child", 12001, 12001, 12001), ("parent", 12001, 12001, 12001)]
+
+
+def test_links_stay_among_children(spark):
+    """Sections that are the same share an id; their children are one row of links, parents have none."""
+    rows = built(spark, "## A\nx\n## A\nx\n## B\ny\n").collect()
+    kids = [r for r in rows if r["chunk_type"] == "child" and r["heading_path"] == ["A"]]
+    assert len(rows) == 6 and sorted((r["prev_chunk_id"] is None, r["next_chunk_id"] is None) for r in kids) == [(False, True), (True, False)]
+    assert all(r["prev_chunk_id"] is None and r["next_chunk_id"] is None and r["ordinal"] == 0 for r in rows if r["chunk_type"] == "parent")
