@@ -148,28 +148,70 @@ def keyword_recall_batch(rows: DataFrame, queries: DataFrame, width: int = 20, g
     return _top([one(p) for p in _batches(queries, F.octet_length(F.coalesce("query", F.lit(""))))], "query_id", "keyword_score", "row_id", width)
 
 
+CELLS = 1 << 20  # products that a task holds at once
+MARGIN = 1e-9  # far more than rounding makes of a product of unit vectors
+
+
+class _Nearest:
+    """The rows nearest to each query so far. Blocks of rows times all queries say which pairs may be among the best; these
+    get the score that the pair alone has, whatever its block, so that equal vectors tie. What is held is bounded by CELLS
+    and by the rows that are kept, for any number of rows."""
+
+    def __init__(self, queries: np.ndarray, width: int):
+        self.queries, self.width, self.lengths = queries, width, np.linalg.norm(queries, axis=1) + V.TINY
+        self.unit = queries / self.lengths[:, None]
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, key and score
+        self.least = np.full(len(queries), -np.inf)  # scores that the best of a query have, once there are enough
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.block = max(2 * width, CELLS // max(1, len(queries)))
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        lengths = np.linalg.norm(rows, axis=1) + V.TINY
+        near = self.unit @ (rows / lengths[:, None]).T
+        least = self.least
+        if len(rows) > self.width and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(np.where(np.isnan(near), -np.inf, near), -self.width, axis=1)[:, -self.width])
+        q, at = np.nonzero(~(near < (least - MARGIN)[:, None]))
+        few = max(1, CELLS // rows.shape[1])
+        for k in range(0, len(q), few):
+            a, b = q[k : k + few], at[k : k + few]
+            self.new.append((a, keys[b], (self.queries[a] * rows[b]).sum(axis=1) / (self.lengths[a] * lengths[b])))
+        if sum(len(n[0]) for n in self.new) > max(len(self.best[0]), CELLS // 16):
+            self.merge()
+
+    def merge(self) -> None:
+        """Scores from high to low, ties by key."""
+        q, keys, scores = (np.concatenate(c) for c in zip(self.best, *self.new, strict=True))
+        order = np.lexsort((keys, -scores, q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.width
+        self.best = (q[kept], keys[order[kept]], scores[order[kept]])
+        last = rank == self.width - 1
+        known = scores[order[last]]
+        self.least[q[last]] = np.where(np.isnan(known), -np.inf, known)
+        self.new = []
+
+
 def vector_recall_batch(rows: DataFrame, queries: DataFrame, width: int = 10) -> DataFrame:
     """query_id, row_id, vector_score, rank. rows: row_id, vector; queries: query_id, vector. Exact: blocks of rows
     times all queries, the best of each task dealt on."""
 
     def one(part: DataFrame) -> DataFrame:
         known = part.select(F.col("query_id").cast("long"), "vector").collect()  # at most BATCH_BYTES of numbers
-        q = np.array([r["vector"] for r in known], float).reshape(len(known), -1)
-        bundle = rows.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in known], np.int64), q / (np.linalg.norm(q, axis=1, keepdims=True) + V.TINY)))
+        bundle = rows.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in known], np.int64), np.array([r["vector"] for r in known], float)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, unit = bundle.value
-            keys, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            ids, vectors = bundle.value
+            nearest = _Nearest(vectors, width) if len(ids) else None
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                x = np.array(batch.column(1).to_pylist(), float)
-                own = unit @ (x / (np.linalg.norm(x, axis=1, keepdims=True) + V.TINY)).T
-                keys = np.concatenate([keys, np.broadcast_to(batch.column(0).to_numpy(), own.shape)], axis=1)
-                scores = np.concatenate([scores, own], axis=1)
-                order = np.lexsort((keys, -scores), axis=1)[:, :width]
-                keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.reshape(-1)), pa.array(scores.reshape(-1))], ["query_id", "row_id", "raw_score"])
+                for k in range(0, batch.num_rows, nearest.block) if nearest else ():
+                    block = batch.slice(k, nearest.block)
+                    nearest.add(block.column(0).to_numpy(), np.array(block.column(1).to_pylist(), float))
+            if nearest:
+                nearest.merge()
+                q, keys, scores = nearest.best
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys), pa.array(scores)], ["query_id", "row_id", "raw_score"])
 
         return rows.select(F.col("row_id").cast("long"), "vector").mapInArrow(run, "query_id long, row_id long, raw_score double")
 

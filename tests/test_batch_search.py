@@ -57,3 +57,49 @@ def test_context_goes_by_query(spark, chunks):
     hits = spark.createDataFrame([(p, c) for p, c, *_ in first], "pos int, chunk_id string").join(chunks.select("chunk_id", "parent_id", "content"), "chunk_id")
     alone = enrich.enrich_context(hits, chunks).orderBy("pos").collect()
     assert [(r["pos"], r["chunk_id"], r["enriched_text"], r["enriched_chunk_ids"]) for r in alone] == first
+
+
+def test_nearest_rows_take_bounded_memory(spark, monkeypatch):
+    """What a task holds does not grow with queries times rows: before, it was ten times as much here."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    tasks = []
+    rows = spark.createDataFrame([(0, [1.0])], "row_id long, vector array<double>")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, kind, **_: tasks.append(run) or spark.createDataFrame([], kind))
+    random_ = np.random.default_rng(5)
+    vectors = random_.normal(size=(4000, 8))
+    asked = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "query_id long, vector array<double>")
+    recall.vector_recall_batch(rows, asked, 5)
+    x = random_.normal(size=(10_000, 8))
+    x[::50] = vectors[7]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + 5000)), pa.array(x[k : k + 5000].tolist())], ["row_id", "vector"]) for k in (5000, 0)]
+    tracemalloc.start()
+    (out,) = tasks[0](iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
+    got = {}
+    for q, key, score in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        got.setdefault(q, []).append((-score, key))
+    assert [key for _, key in sorted(got[7])] == [0, 50, 100, 150, 200]
+    for q in range(0, 4000, 400):
+        exact = (x @ vectors[q]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(vectors[q]))
+        assert [key for _, key in sorted(got[q])] == sorted(range(10_000), key=lambda k: (-exact[k], k))[:5]
+
+
+def test_equal_vectors_tie_wherever_they_lie(spark):
+    """By the smaller key, also for fewer rows than the width, null vectors of length 0 and numbers that are none."""
+    import numpy as np
+
+    base = np.random.default_rng(3).normal(size=(40, 7))
+    x = [*base[np.arange(600) % 40].tolist(), [0.0] * 7, [float("nan")] * 7]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "row_id long, vector array<double>").repartition(3)
+    asked = rows.where("row_id < 3").withColumnRenamed("row_id", "query_id")
+    found = recall.vector_recall_batch(rows, asked, 6).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["row_id"]) for r in found] == [(q, q + 40 * k) for q in range(3) for k in range(6)]
+    few = recall.vector_recall_batch(rows.where("row_id >= 599"), asked.where("query_id = 0"), 6).orderBy("rank").collect()
+    assert len(few) == 3 and {r["row_id"] for r in few} == {599, 600, 601}
+    assert recall.vector_recall_batch(rows, asked.where("query_id < 0"), 6).count() == 0
